@@ -11,6 +11,31 @@ def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tracelake.llm.license_scan import scan
+
+    return scan(_documents(spark, sf_dir)).select("doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score")
+
+
+def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tracelake.llm.secret_scan import scan
+
+    return scan(_documents(spark, sf_dir))
+
+
+def op6_telephony_audio(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tracelake.llm.telephony_audio import digest
+
+    return digest(_documents(spark, sf_dir))
+
+
+def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+    from tracelake.llm.bpe import digest
+
+    return digest(_documents(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json"))
+
+
 def op8_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tracelake.llm.source_mixing import mix
 
@@ -24,7 +49,7 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op8_source_mixing, op10_quality_rules)}
+    return {f.__name__: f for f in (op3_license_scan, op5_secret_scan, op6_telephony_audio, op7_bpe, op8_source_mixing, op10_quality_rules)}
 
 
 def oracle_sql() -> dict[str, str]:
