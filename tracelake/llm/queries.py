@@ -5,18 +5,34 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def op1_kneser_ney(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tracelake.llm.kneser_ney import train_and_score
+
+    return train_and_score(_documents(spark, sf_dir))
+
+
 def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tracelake.llm.license_scan import scan
 
     return scan(_documents(spark, sf_dir)).select("doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score")
 
 
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tracelake.llm.common import remainder
+    from tracelake.llm.toxicity import score, train
+
+    docs = _documents(spark, sf_dir)
+    scores = score(docs, train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
+    return scores.select("doc_id", (remainder("doc_id", 5) == 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
 def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tracelake.llm.secret_scan import scan
 
@@ -49,7 +65,7 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op3_license_scan, op5_secret_scan, op6_telephony_audio, op7_bpe, op8_source_mixing, op10_quality_rules)}
+    return {f.__name__: f for f in (op1_kneser_ney, op3_license_scan, op4_toxicity, op5_secret_scan, op6_telephony_audio, op7_bpe, op8_source_mixing, op10_quality_rules)}
 
 
 def oracle_sql() -> dict[str, str]:
