@@ -18,6 +18,12 @@ def op1_kneser_ney(spark: SparkSession, sf_dir: str) -> DataFrame:
     return train_and_score(_documents(spark, sf_dir))
 
 
+def op2_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tracelake.llm.ngram_join import join
+
+    return join(_documents(spark, sf_dir))
+
+
 def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tracelake.llm.license_scan import scan
 
@@ -65,7 +71,7 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_kneser_ney, op3_license_scan, op4_toxicity, op5_secret_scan, op6_telephony_audio, op7_bpe, op8_source_mixing, op10_quality_rules)}
+    return {f.__name__: f for f in (op1_kneser_ney, op2_ngram_join, op3_license_scan, op4_toxicity, op5_secret_scan, op6_telephony_audio, op7_bpe, op8_source_mixing, op10_quality_rules)}
 
 
 def oracle_sql() -> dict[str, str]:
