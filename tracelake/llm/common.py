@@ -110,9 +110,30 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _POWERS["up"][:n], _POWERS["down"][:n]
 
 
+#: Bytes hashed at once: the arrays of 64-bit values take some thirty times as much.
+_HASHED_BYTES = 2 << 20
+
+
 def hashed_words(texts: list[str], lower: bool = True) -> tuple[np.ndarray, np.ndarray]:
-    """64-bit hashes of all words of the texts in order, and each text's first place in them (one more at the end). Lower-cases A-Z. Numpy over bytes only: a prefix sum of byte * base**place gives each word's polynomial."""
-    raw = [t.encode("utf-8", "surrogatepass") for t in texts]
+    """64-bit hashes of all words of the texts in order, and each text's first place in them (one more at the end). Lower-cases A-Z."""
+    found, held, size = [], [], 0
+    for t in texts:
+        held.append(t.encode("utf-8", "surrogatepass"))
+        size += len(held[-1])
+        if size >= _HASHED_BYTES:
+            found.append(_hashed(held, lower))
+            held, size = [], 0
+    if held or not found:
+        found.append(_hashed(held, lower))
+    first, at = [np.zeros(1, np.int64)], 0
+    for h, begin in found:
+        first.append(begin[1:] + at)
+        at += len(h)
+    return np.concatenate([h for h, _ in found]), np.concatenate(first)
+
+
+def _hashed(raw: list[bytes], lower: bool) -> tuple[np.ndarray, np.ndarray]:
+    """Numpy over bytes only: a prefix sum of byte * base**place gives each word's polynomial."""
     joined = b"\n".join(raw) + b"\n"
     if lower:
         joined = joined.translate(_LOWER)

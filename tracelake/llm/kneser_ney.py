@@ -28,8 +28,9 @@ from pyspark.sql import functions as F
 
 from tracelake.llm.common import hashed_words, mix, remainder, shared_dir, slices
 
-#: Text bytes counted at once: larger parts merge more pairs before the shuffle.
-PART_BYTES = 32 << 20
+#: Text bytes counted at once, as larger parts merge more pairs before the shuffle, and scored at once.
+PART_BYTES = 24 << 20
+SCORED_BYTES = 6 << 20
 #: Word hashes have 56 bits: seven bytes in the shuffle.
 _WORD_BITS = 56
 _HASH = np.uint64(64 - _WORD_BITS)
@@ -407,7 +408,7 @@ def score(docs: DataFrame, model: Model, doc_id: str = "doc_id", text: str = "te
         to = to_arrow_schema(out)
         shards = Shards(model)
         for batch in batches:
-            for part in slices(batch, "text", PART_BYTES):
+            for part in slices(batch, "text", SCORED_BYTES):
                 got = score_texts(shards, part.column("text").to_pylist())
                 got |= {"train_tokens": np.full(part.num_rows, model.n_tokens), "perplexity": 10 ** np.minimum(-got["score"] / got["n_tokens"], 300)}
                 yield pa.RecordBatch.from_arrays([part.column(f.name) if f.name in ("doc_id", "held_out") else pa.array(got[f.name], f.type) for f in to], schema=to)
