@@ -124,11 +124,14 @@ def train(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str
 
     def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            places = []
-            for b in batch.column("buckets").to_pylist():
-                at = np.searchsorted(buckets, b)
-                places.append(at[buckets[np.minimum(at, len(buckets) - 1)] == b])
-            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("y"), pa.array(places, pa.list_(pa.int32()))], names=["id", "y", "places"])
+            column = batch.column("buckets")
+            found = column.flatten().to_numpy()
+            at = np.searchsorted(buckets, found)
+            hit = buckets[np.minimum(at, len(buckets) - 1)] == found
+            ends = column.offsets.to_numpy() - column.offsets[0].as_py()
+            upto = np.concatenate([[0], np.cumsum(hit)])
+            places = pa.ListArray.from_arrays(pa.array(upto[ends], pa.int32()), pa.array(at[hit], pa.int32()))
+            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("y"), places], names=["id", "y", "places"])
 
     got = rows.mapInArrow(pick, "id long, y int, places array<int>").toArrow().sort_by("id")
     w, bias = fit([np.asarray(p, np.int64) for p in got.column("places").to_pylist()], got.column("y").to_numpy().astype(float), ratio)
