@@ -64,6 +64,12 @@ def op8_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(_documents(spark, sf_dir)).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op9_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tracelake.llm.html_extraction import extract
+
+    return extract(spark.read.parquet(f"{sf_dir}/pages.parquet"))
+
+
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tracelake.llm.quality_rules import quality
 
@@ -71,7 +77,7 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_kneser_ney, op2_ngram_join, op3_license_scan, op4_toxicity, op5_secret_scan, op6_telephony_audio, op7_bpe, op8_source_mixing, op10_quality_rules)}
+    return {f.__name__: f for f in (op1_kneser_ney, op2_ngram_join, op3_license_scan, op4_toxicity, op5_secret_scan, op6_telephony_audio, op7_bpe, op8_source_mixing, op9_html_extraction, op10_quality_rules)}
 
 
 def oracle_sql() -> dict[str, str]:
