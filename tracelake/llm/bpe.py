@@ -15,7 +15,7 @@ import codecs
 import hashlib
 import json
 import unicodedata
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import regex
@@ -24,8 +24,9 @@ from pyspark.sql import DataFrame
 from tracelake.llm.common import map_texts
 
 END = "</w>"
-#: Words whose encoding a worker remembers; beyond it starts anew.
-CACHED_WORDS = 400_000
+#: Words, runs within words and pairs of tokens that a worker remembers; beyond them it starts anew.
+CACHED_WORDS = 600_000
+CACHED_RUNS = 500_000
 CACHED_PAIRS = 1_000_000
 
 #: White space of the normaliser's `\s`.
@@ -57,7 +58,10 @@ class Encoder:
             self.tokens[i] = t
         self._special = regex.compile("|".join(map(regex.escape, sorted(self.special, key=len, reverse=True)))) if self.special else None
         self._chars = byte_chars()
-        self._stable: dict[tuple[str, str], bool] = {}
+        self._stable: dict[str, dict[str, bool]] = {}  # by the first token of a pair
+        self._pairs = 0
+        self._words = _Bounded(lambda word: np.array(self.word_ids(word), "<u4").tobytes(), CACHED_WORDS)
+        self._runs = _Bounded(self.run_ids, CACHED_RUNS)
         #: The merge that makes each token; the longest token, in symbols, is the sufficient lookahead.
         self._made = {a + b: (a, b) for a, b in reversed(self.rank)}
         self._simple = len(self._made) == len(self.rank)
@@ -108,60 +112,70 @@ class Encoder:
                 limit, b = old_b + 1, made[b][0]
 
     def stable(self, a: str, b: str) -> bool:
-        """Whether a and b stay apart when they follow one another."""
-        found = self._stable.get((a, b))
-        if found is None:
-            if len(self._stable) >= CACHED_PAIRS:
-                self._stable.clear()
-            found = self._stable[a, b] = self._apart(a, b)
+        """Whether a and b stay apart when they follow one another; nothing before b is always apart."""
+        after = self._after(a)
+        if (found := after.get(b)) is None:
+            self._pairs += 1
+            found = after[b] = not a or self._apart(a, b)
         return found
 
+    def _after(self, a: str) -> dict[str, bool]:
+        """What is known of a's followers."""
+        if self._pairs >= CACHED_PAIRS:
+            self._stable.clear()
+            self._pairs = 0
+        if (after := self._stable.get(a)) is None:
+            after = self._stable[a] = {}
+        return after
+
     def transduce(self, symbols: list[str]) -> Iterator[str]:
         """Tokens of one run of symbols (the last has END), each as soon as it is stable. State: three lookaheads of last tokens, by the prefix's end."""
-        by_prefix, stable, known = self.by_prefix, self.stable, self._stable
+        prefix, stable = self.by_prefix.get, self.stable
         n = len(symbols)
         most = 3 * self.lookahead
-        last: list = [("", -1)] + [None] * min(n, most + self.lookahead)  # token and start of each prefix's last token
+        size = min(n, most + self.lookahead) + 1
+        last, begin = [None] * size, [0] * size  # each prefix's last token and its start
+        last[0] = ""
         first = 0  # place of last[0] in the stream
         for start in range(n):
             here = start - first
-            before = last[here][0]
-            text = symbols[start]
-            end = here
+            before = last[here]
+            known = self._after(before).get
+            text, end = symbols[start], here
+            token = True
             while True:
                 end += 1
-                if last[end] is None and (text not in by_prefix or by_prefix[text]):
-                    pair = (before, text)
-                    ok = known.get(pair) if before else True
-                    if ok is None:
-                        ok = stable(before, text)
-                    if ok:
-                        last[end] = (text, start)
+                if token and last[end] is None:
+                    ok = known(text)
+                    if ok or (ok is None and stable(before, text)):
+                        last[end], begin[end] = text, start
                 if first + end >= n:
                     break
                 text += symbols[first + end]
-                if text not in by_prefix:
+                token = prefix(text)
+                if token is None:
                     break
             if here >= most and start + 1 < n:
-                done, keep = self._agreed(last, first, start + 1)
-                yield from done
-                first += keep
-                last = last[keep:] + [None] * keep
-                last[0] = ("", -1) if not done else (done[-1], -1)
+                done, keep = self._agreed(last, begin, first, start + 1)
+                if done:
+                    yield from done
+                    first += keep
+                    last, begin = last[keep:] + [None] * keep, begin[keep:] + [0] * keep
+                    last[0] = done[-1]
         chain, at = [], n
         while at > first:
-            t, at = last[at - first]
-            chain.append(t)
+            chain.append(last[at - first])
+            at = begin[at - first]
         yield from reversed(chain)
 
-    def _agreed(self, last: list, first: int, place: int) -> tuple[list[str], int]:
+    def _agreed(self, last: list, begin: list, first: int, place: int) -> tuple[list[str], int]:
         """Tokens on which the chains of all prefixes that a later token can follow agree, and their symbols."""
         chains = []
         for at in range(max(first + 1, place - self.lookahead), place + 1):
             chain = []
             while at > first:
-                t, at = last[at - first]
-                chain.append((t, at))
+                chain.append((last[at - first], begin[at - first]))
+                at = chain[-1][1]
             chains.append(chain[::-1])
         n = 0
         while all(len(c) > n + 1 for c in chains) and len({c[n] for c in chains}) == 1:
@@ -171,12 +185,13 @@ class Encoder:
     def word_ids(self, word: str) -> list[int]:
         """Ids of a run without white space."""
         word = unicodedata.normalize("NFC", word).replace("Σ", "σ").lower()
-        ids = []
-        for part in _WORD.findall(word):
-            symbols = [self._chars[b] for b in part.encode("utf-8", "surrogatepass")]
-            symbols[-1] += END
-            ids += [self.vocab[t] for t in self.transduce(symbols)]
-        return ids
+        return [i for part in _WORD.findall(word) for i in self._runs[part]]
+
+    def run_ids(self, part: str) -> tuple[int, ...]:
+        """Ids of one run that the pre-tokenizer found."""
+        symbols = [self._chars[b] for b in part.encode("utf-8", "surrogatepass")]
+        symbols[-1] += END
+        return tuple([self.vocab[t] for t in self.transduce(symbols)])
 
     def _plain(self, text: str) -> bytes:
         words = text.split() if not _ODD.search(text) else _SPLIT.findall(text)
@@ -184,8 +199,6 @@ class Encoder:
 
     def encode(self, text: str) -> np.ndarray:
         """Ids of a whole text as little-endian unsigned 32-bit integers."""
-        if not hasattr(self, "_words"):
-            self._words = _Words(self)
         if self._special is None or not self._special.search(text):
             got = self._plain(text)
         else:
@@ -218,16 +231,16 @@ class Encoder:
             yield piece + " " * ends
 
 
-class _Words(dict):
-    """Ids of words seen, as bytes; bounded."""
+class _Bounded(dict):
+    """Results by word, made when they are missed; it starts anew when it is full, and long words are not kept."""
 
-    def __init__(self, encoder: Encoder):
-        self.encoder = encoder
+    def __init__(self, make: Callable[[str], object], most: int):
+        self.make, self.most = make, most
 
-    def __missing__(self, word: str) -> bytes:
-        got = np.array(self.encoder.word_ids(word), "<u4").tobytes()
+    def __missing__(self, word: str):
+        got = self.make(word)
         if len(word) <= 64:
-            if len(self) >= CACHED_WORDS:
+            if len(self) >= self.most:
                 self.clear()
             self[word] = got
         return got
