@@ -13,10 +13,13 @@ import math
 import re
 from bisect import bisect_left
 from collections import Counter
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
-from tracelake.llm.common import map_texts
+from tracelake.llm.common import map_texts, slices
 
 #: Base patterns; ASCII letters only fold in the keyword.
 ASSIGN = re.compile(r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.ASCII)
@@ -139,3 +142,20 @@ def masked(text: str, reach: int = REACH) -> str:
             parts += [text[at:a], f"[{kind}]"]
         at = max(at, b)
     return "".join([*parts, text[at:]])
+
+
+def mask(docs: DataFrame, text: str = "text", n_chars: str | None = "n_chars", reach: int = REACH) -> DataFrame:
+    """The rows of docs, all columns, with the text masked; a null text stays null. n_chars, if it is a column, gets the new length where the text is not null."""
+
+    at = docs.columns.index(text)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch, text):
+                made = [t if t is None else masked(t, reach) for t in part.column(at).to_pylist()]
+                yield part.set_column(at, text, pa.array(made, part.schema.field(at).type))
+
+    out = docs.mapInArrow(run, docs.schema)
+    if n_chars and n_chars in docs.columns:
+        out = out.withColumn(n_chars, F.when(F.col(text).isNull(), F.col(n_chars)).otherwise(F.length(text).cast(docs.schema[n_chars].dataType)))
+    return out

@@ -95,7 +95,7 @@ def cut_point(rows: DataFrame) -> DataFrame:
     return last.agg(F.min(F.struct("upto", "finish", "order_key", (F.col("budget") - F.col("upto") + F.col("words")).cast("long").alias("part"))).alias("x")).select("x.finish", "x.order_key", "x.part")
 
 
-def mix(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source", seed: int = 17) -> DataFrame:
+def mix(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source", seed: int = 17, keep_key: bool = False) -> DataFrame:
     """One row per row of docs: doc_id, source, size, source_size, target, taken, first_finish (null if it is not taken).
 
     A null text has size 0 and is never taken; a null source is a source of its own, the last.
@@ -113,4 +113,24 @@ def mix(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str
     sums = F.aggregate(F.transform(_all_packets(), taken), F.lit(0).cast("long"), lambda a, x: a + x)
     got = F.when((F.col("size") > 0) & (F.col("target") > 0), sums).otherwise(F.lit(0).cast("long"))
     first = F.when(got > 0, (F.col("before") + F.col("size")) / F.col("target"))
-    return rows.crossJoin(F.broadcast(cut)).select("doc_id", "source", "size", "source_size", "target", got.alias("taken"), first.alias("first_finish"))
+    return rows.crossJoin(F.broadcast(cut)).select("doc_id", "source", "size", "source_size", "target", got.alias("taken"), first.alias("first_finish"), *(["order_key"] if keep_key else []))
+
+
+def _first_words(text: Column, n: Column) -> Column:
+    """The text up to the end of its n-th word, white space as it stands."""
+    return F.array_join(F.slice(F.regexp_extract_all(text, F.lit(r"[\x20\x09-\x0D]*" + WORD), F.lit(0)), F.lit(1), n.cast("int")), "")
+
+
+def mixed_rows(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source", n_chars: str = "n_chars", seed: int = 17) -> DataFrame:
+    """The mix with all columns of docs: a row for each time a document is sent, the last one cut to the words that the budget leaves it (n_chars, if it is a column, follows). Rows that are not taken are left out."""
+    # Equal rows have one key; each gets an equal part of what they take together.
+    taken = mix(docs, doc_id, text, source, seed, keep_key=True).groupBy("order_key").agg(F.floor(F.sum("taken") / F.count("*")).alias("mix_taken"), F.max("size").alias("mix_size")).filter("mix_taken > 0")
+    key = F.xxhash64(F.lit(seed), F.col(doc_id), F.col(text))
+    sent = docs.withColumn("mix_key", key).join(taken.withColumnRenamed("order_key", "mix_key"), "mix_key")
+    sent = sent.withColumn("mix_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.ceil(F.col("mix_taken") / F.col("mix_size")))))
+    whole = F.col("mix_copy") * F.col("mix_size") <= F.col("mix_taken")
+    cut = F.when(whole, F.col(text)).otherwise(_first_words(F.col(text), F.col("mix_taken") - (F.col("mix_copy") - 1) * F.col("mix_size")))
+    out = sent.withColumn(text, cut)
+    if n_chars in docs.columns:
+        out = out.withColumn(n_chars, F.when(whole, F.col(n_chars)).otherwise(F.length(text).cast(docs.schema[n_chars].dataType)))
+    return out.select(*docs.columns)

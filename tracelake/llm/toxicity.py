@@ -176,8 +176,10 @@ def score(docs: DataFrame, model: Model, doc_id: str = "doc_id", text: str = "te
 def reject(docs: DataFrame, model: Model, text: str = "text", threshold: float = 0.5) -> DataFrame:
     """The rows of docs, all columns, whose score is below the threshold."""
 
+    at = docs.columns.index(text)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table, at = _table(model), docs.columns.index(text)
+        table = _table(model)
         for batch in batches:
             for part in slices(batch, text):
                 texts = [t or "" for t in part.column(at).to_pylist()]
