@@ -58,7 +58,7 @@ def slices(batch: pa.RecordBatch, text: str = "text", most: int = SLICE_BYTES) -
             yield batch.slice(a, b - a)
 
 
-def map_texts(docs: DataFrame, work: Callable[[list, list], dict], schema: str, doc_id: str = "doc_id", text: str = "text", prepare: Callable[[], object] | None = None) -> DataFrame:
+def map_texts(docs: DataFrame, work: Callable[[list, list], dict], schema: str, doc_id: str = "doc_id", text: str = "text", prepare: Callable[[], object] | None = None, most: int = SLICE_BYTES) -> DataFrame:
     """Applies work(ids, texts) -> columns to slices of whole texts. Only the id and the text are sent to Python; null texts come as ''. With prepare, work gets its result first."""
     picked = docs.select(F.col(doc_id).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     out = StructType.fromDDL(schema)
@@ -69,7 +69,7 @@ def map_texts(docs: DataFrame, work: Callable[[list, list], dict], schema: str,
         to = to_arrow_schema(out)
         state = (prepare(),) if prepare else ()
         for batch in batches:
-            for part in slices(batch):
+            for part in slices(batch, most=most):
                 got = work(*state, part.column("doc_id").to_pylist(), part.column("text").to_pylist())
                 yield pa.RecordBatch.from_arrays([pa.array(got[f.name], type=f.type) for f in to], schema=to)
 

@@ -29,6 +29,8 @@ LEAST_ROWS = 6
 ALPHA = 0.5
 L2 = 0.2
 ROUNDS = 300
+#: Bytes of text scored at once: the arrays of n-grams take some forty times as much.
+SCORED_BYTES = 1 << 20
 
 #: Lower case for A-Z; other ASCII that is no letter becomes a space.
 _LETTERS = bytes(c + 32 if 65 <= c <= 90 else c if 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
@@ -170,7 +172,7 @@ def score(docs: DataFrame, model: Model, doc_id: str = "doc_id", text: str = "te
     def work(table: np.ndarray, ids: list, texts: list) -> dict:
         return {"doc_id": ids, "score": 1 / (1 + np.exp(-np.clip(logits(model, table, texts), -500, 500)))}
 
-    return map_texts(docs, work, "doc_id long, score double", doc_id, text, prepare=lambda: _table(model))
+    return map_texts(docs, work, "doc_id long, score double", doc_id, text, prepare=lambda: _table(model), most=SCORED_BYTES)
 
 
 def reject(docs: DataFrame, model: Model, text: str = "text", threshold: float = 0.5) -> DataFrame:
@@ -181,7 +183,7 @@ def reject(docs: DataFrame, model: Model, text: str = "text", threshold: float =
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = _table(model)
         for batch in batches:
-            for part in slices(batch, text):
+            for part in slices(batch, text, SCORED_BYTES):
                 texts = [t or "" for t in part.column(at).to_pylist()]
                 yield part.filter(pa.array(1 / (1 + np.exp(-np.clip(logits(model, table, texts), -500, 500))) < threshold))
 
