@@ -9,9 +9,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from tracelake.llm.common import materialize, shared_dir
-from tracelake.llm.ngram_join import linked_nodes, nodes_of
+from tracelake.llm.ngram_join import linked_nodes
 from tracelake.llm.packed import find, mapped, pack, put, ranges, shard_bits, unpack
 
 SALTS = 8
@@ -19,8 +20,8 @@ SALTS = 8
 
 def _fates(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
     """row_key and fate of the rows that do not simply stay: 0 goes, 2 stays once (the row is repeated)."""
-    linked = linked_nodes(docs, doc_id, text)
-    rows = materialize(nodes_of(docs, doc_id, text).filter("node is not null"), "near-rows")
+    rows, linked = linked_nodes(docs, doc_id, text)
+    rows = rows.filter("node is not null")
     counted = rows.groupBy("node").agg(F.count("*").alias("n"))
     rooted = counted.join(linked, "node", "left").filter("n > 1 or root is not null").select("node", F.coalesce("root", "node").alias("root"), F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
     salted = rows.withColumn("salt", F.pmod(F.hash("row_key"), F.lit(SALTS)))
@@ -59,7 +60,7 @@ def distinct(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Dat
     bits, folder = shard_bits(docs.sparkSession), f"{shared_dir(docs.sparkSession)}/near-{uuid.uuid4().hex}"
     _write(_fates(docs, doc_id, text), bits, folder)
     key = "_row_key" + uuid.uuid4().hex[:8]
-    keyed = docs.withColumn(key, F.xxhash64(F.col(doc_id), F.coalesce(F.col(text), F.lit(""))))
+    keyed = docs.withColumn(key, F.xxhash64(F.col(doc_id).cast("long"), F.coalesce(F.col(text), F.lit(""))))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict = {}
@@ -78,5 +79,5 @@ def distinct(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Dat
             once = pa.array(np.where(fate == 2, keys.view(np.int64), 0), pa.int64(), mask=fate != 2)
             yield batch.set_column(batch.schema.get_field_index(key), key, once).filter(stays)
 
-    looked = keyed.mapInArrow(run, keyed.schema)
+    looked = keyed.mapInArrow(run, StructType([*docs.schema.fields, StructField(key, LongType())]))
     return looked.filter(F.col(key).isNull()).unionByName(looked.filter(F.col(key).isNotNull()).dropDuplicates([key])).drop(key)
