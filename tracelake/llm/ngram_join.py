@@ -35,8 +35,8 @@ MOST_GROUPS = 4096
 #: Points of a leaf, and children of an inner node.
 LEAF = 64
 #: Nodes of a key or of a cluster that a task holds at once; larger ones are dealt by pairs of blocks.
-BLOCK = 4096
-PART_BYTES = 16 << 20
+BLOCK = 1024
+PART_BYTES = 8 << 20
 
 
 # --- sets and points -----------------------------------------------------------
@@ -64,9 +64,14 @@ def shingle_sets(texts: list[str]) -> list[np.ndarray]:
     return out
 
 
-def digest(s: np.ndarray) -> np.uint64:
-    """Equal for equal sets."""
-    return mix(np.array([mix(s).sum(dtype=np.uint64) ^ mix(s ^ np.uint64(0xA5A5A5A5A5A5A5A5)).sum(dtype=np.uint64) << np.uint64(1)], np.uint64) + np.uint64(len(s)))[0]
+def digests(sets: list[np.ndarray]) -> np.ndarray:
+    """A 64-bit value for each non-empty set, equal for equal sets."""
+    if not sets:
+        return np.zeros(0, np.uint64)
+    every, n = np.concatenate(sets), np.array([len(s) for s in sets])
+    at = np.cumsum(n) - n
+    one, two = (np.add.reduceat(mix(every ^ np.uint64(k)), at) for k in (0, 0xA5A5A5A5A5A5A5A5))
+    return mix((one ^ two << np.uint64(1)) + n.astype(np.uint64))
 
 
 def n_keys(n: np.ndarray | int):
@@ -203,17 +208,19 @@ def _frequent(texts: DataFrame, bits: int, folder: str) -> None:
     dealt(texts.mapInArrow(count, ROWS), bits).mapInArrow(total, ROWS).select("sums").collect()
 
 
-def _is_frequent(folder: str, bits: int, held: dict, s: np.ndarray) -> np.ndarray:
-    out = np.zeros(len(s), bool)
-    for shard, x in ranges(s, bits):
+def _is_frequent(folder: str, bits: int, held: dict, every: np.ndarray) -> np.ndarray:
+    """Which shingles are frequent: sorted first, so that each shard is searched once."""
+    out, order = np.zeros(len(every), bool), np.argsort(every)
+    for shard, x in ranges(every[order], bits):
         if shard not in held:
             file = mapped(folder, f"frequent-{shard}")
             held[shard] = unpack(file, "<u8")[0] if file is not None else np.zeros(0, np.uint64)
-        out[x] = find(held[shard], s[x])[0]
+        if len(held[shard]):
+            out[order[x]] = find(held[shard], every[order[x]])[0]
     return out
 
 
-_KEYED = pa.schema([("kind", pa.int8()), ("node", pa.int64()), ("key", pa.int64()), ("n", pa.int32()), ("point", pa.binary())])
+_KEYED = pa.schema([("kind", pa.int8()), ("node", pa.int64()), ("key", pa.int64()), ("n", pa.int32()), ("point", pa.binary()), ("doc_id", pa.int64())])
 
 
 def _long(a) -> list[int]:
@@ -230,86 +237,97 @@ def _block_pairs(m: int, x: int, key: int) -> list[int]:
     return _long(mix(pairs + np.uint64(1) ^ mix(np.array([key], np.int64).view(np.uint64))))
 
 
+#: Kinds of packed parts and of rows: keys that nodes share, nodes, documents.
+SHARED, NODE, DOCUMENT = 0, 1, 2
+
+
 def _meetings(texts: DataFrame, bits: int, folder: str) -> DataFrame:
-    """kind 0: node and key for every key that two nodes share. kind 1: node, key (the least row key of its documents), n and point."""
+    """SHARED: node and group, for every set of nodes that share a key. NODE: node, key (the least row key of its documents), n and point. DOCUMENT: node (null without words), key (its row key), n and doc_id."""
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def rows():
             held: dict = {}
             for batch in batches:
                 for part in slices(batch, "text", PART_BYTES):
-                    nodes: dict[int, tuple] = {}
-                    for row, s in zip(part.column("row_key").to_pylist(), shingle_sets(part.column("text").to_pylist())):
-                        if len(s):
-                            d = int(digest(s))
-                            nodes[d] = (min(row, nodes[d][0]) if d in nodes else row, s)
-                    ids = np.array(sorted(nodes), np.uint64)
-                    keys, at, points = [], [], []
-                    for k, d in enumerate(ids.tolist()):
-                        s = nodes[d][1]
-                        often = _is_frequent(folder, bits, held, s)
-                        mine = np.concatenate([s[~often], s[often]])[: n_keys(len(s))]
-                        keys.append(mine)
-                        at.append(np.full(len(mine), k))
-                        points.append(point(s).tobytes())
-                    if not keys:
-                        continue
-                    key, node = np.concatenate(keys), ids[np.concatenate(at)]
-                    order = np.argsort(mix(key))
-                    key, node = key[order], node[order]
-                    for s, x in ranges(mix(key), bits):
-                        yield s, pack(key[x], node[x]), [0]
-                    for s, x in ranges(ids, bits):
-                        mine = ids[x].tolist()
-                        yield s, pack(ids[x], np.array([nodes[d][0] for d in mine], np.int64), np.array([len(nodes[d][1]) for d in mine], "<u4"), np.frombuffer(b"".join(points[x]), np.uint8)), [1]
+                    yield from sent(held, part)
+
+        def sent(held: dict, part: pa.RecordBatch):
+            sets = shingle_sets(part.column("text").to_pylist())
+            n = np.array([len(s) for s in sets], "<u4")
+            row, ids = part.column("row_key").to_numpy().view("<u8"), part.column("doc_id")
+            digest = np.zeros(len(sets), np.uint64)
+            digest[n > 0] = digests([s for s in sets if len(s)])
+            flags = (ids.is_null().to_numpy(zero_copy_only=False) + 2 * (n == 0)).astype(np.uint8)
+            order = np.argsort(row)
+            for s, x in ranges(row[order], bits):
+                x = order[x]
+                yield s, pack(row[x], digest[x], ids.fill_null(0).to_numpy()[x], n[x], flags[x]), [DOCUMENT]
+            # Each distinct set once, with its least row key.
+            order = np.lexsort((row.view(np.int64), digest))
+            order = order[n[order] > 0]
+            if not len(order):
+                return
+            at, _ = runs((digest[order],), np.ones(len(order), np.int64))
+            order = order[at]
+            node = digest[order]
+            every = np.concatenate([sets[k] for k in order])
+            often = np.split(_is_frequent(folder, bits, held, every), np.cumsum(n[order])[:-1])
+            keys = [np.concatenate([sets[k][~o], sets[k][o]])[: n_keys(len(o))] for k, o in zip(order, often)]
+            points = [point(sets[k]) for k in order]
+            for s, x in ranges(node, bits):
+                yield s, pack(node[x], row[order[x]], n[order[x]], np.concatenate(points[x])), [NODE]
+            key, of = np.concatenate(keys), np.repeat(node, [len(k) for k in keys])
+            place = mix(key)
+            by = np.argsort(place)
+            for s, x in ranges(place[by], bits):
+                yield s, pack(key[by[x]], of[by[x]]), [SHARED]
 
         yield from batches_of(rows())
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in _by_kind(batches):
-            yield from batch
-
-    def _by_kind(batches):
-        now, parts = None, ([], [])
-        for batch in batches:
-            for shard, part, kind in zip(batch.column("shard").to_pylist(), batch.column("part").to_pylist(), batch.column("sums").to_pylist()):
-                if shard != now:
-                    if now is not None:
-                        yield _shard(*parts)
-                    now, parts = shard, ([], [])
-                parts[kind[0]].append(part)
-        if now is not None:
-            yield _shard(*parts)
-
-    def _shard(met: list[bytes], seen: list[bytes]) -> Iterator[pa.RecordBatch]:
         def rows():
-            if met:
-                got = [unpack(p, "<u8", "<u8") for p in met]
-                key, node = (np.concatenate([g[k] for g in got]) for k in (0, 1))
-                order = np.lexsort((node, key))
-                at, _ = runs((key[order], node[order]), np.ones(len(order), np.int64))  # a node once a key
-                key, node = key[order][at], node[order][at]
-                at, m = runs((key,), np.ones(len(key), np.int64))
-                for a, k in zip(at[m > 1].tolist(), m[m > 1].tolist()):
-                    one = int(key[a].view(np.int64))
-                    for x, v in enumerate(_long(node[a : a + k])):
-                        for group in _block_pairs(k, x, one):
-                            yield 0, v, group, 0, b""
-            if seen:
-                got = [unpack(p, "<u8", "<i8", "<u4", "u1") for p in seen]
-                points = []
-                for g in got:
-                    ends = np.cumsum([n_groups(k) for k in g[2].tolist()])
-                    points += [p.tobytes() for p in np.split(g[3], ends[:-1])]
+            now, parts = None, ([], [], [])
+            for batch in batches:
+                for shard, part, kind in zip(batch.column("shard").to_pylist(), batch.column("part").to_pylist(), batch.column("sums").to_pylist()):
+                    if shard != now:
+                        yield from met(*parts)
+                        now, parts = shard, ([], [], [])
+                    parts[kind[0]].append(part)
+            yield from met(*parts)
+
+        def met(shared: list[bytes], nodes: list[bytes], documents: list[bytes]):
+            if shared:
+                yield from _groups(*(np.concatenate(c) for c in zip(*(unpack(p, "<u8", "<u8") for p in shared))))
+            for p in documents:
+                row, node, ids, n, flags = unpack(p, "<u8", "<u8", "<i8", "<u4", "u1")
+                for r, d, i, k, f in zip(_long(row), _long(node), ids.tolist(), n.tolist(), flags.tolist()):
+                    yield DOCUMENT, None if f & 2 else d, r, k, b"", None if f & 1 else i
+            if nodes:
+                got = [unpack(p, "<u8", "<u8", "<u4", "u1") for p in nodes]
+                points = [x for g in got for x in np.split(g[3], np.cumsum([n_groups(k) for k in g[2].tolist()])[:-1])]
                 node, row, n = (np.concatenate([g[k] for g in got]) for k in (0, 1, 2))
-                order = np.lexsort((row, node))
+                order = np.lexsort((row.view(np.int64), node))
                 at, _ = runs((node[order],), np.ones(len(order), np.int64))
                 for k in order[at].tolist():
-                    yield 1, int(node[k].view(np.int64)), int(row[k]), int(n[k]), points[k]
+                    yield NODE, int(node[k].view(np.int64)), int(row[k].view(np.int64)), int(n[k]), points[k].tobytes(), None
 
         return batches_of(rows(), _KEYED, 4)
 
-    schema = "kind byte, node long, key long, n int, point binary"
+    def _groups(key: np.ndarray, node: np.ndarray):
+        """Nodes of each key that several share. Keys that the same nodes share are one group, named by its nodes, so near copies meet once and not once a key."""
+        order = np.lexsort((node, key))
+        at, _ = runs((key[order], node[order]), np.ones(len(order), np.int64))
+        key, node = key[order][at], node[order][at]
+        at, m = runs((key,), np.ones(len(key), np.int64))
+        name = mix(np.add.reduceat(mix(node), at) + m.astype(np.uint64))
+        _, first = np.unique(name, return_index=True)
+        first = first[m[first] > 1]
+        for a, k, group in zip(at[first].tolist(), m[first].tolist(), _long(name[first])):
+            for x, v in enumerate(_long(node[a : a + k])):
+                for g in _block_pairs(k, x, group):
+                    yield SHARED, v, g, 0, b"", None
+
+    schema = "kind byte, node long, key long, n int, point binary, doc_id long"
     return materialize(dealt(texts.mapInArrow(send, ROWS), bits).mapInArrow(meet, schema), "join-meetings")
 
 
@@ -354,8 +372,6 @@ def _edges(groups: Iterator[dict[str, list]], with_sets: bool) -> Iterator[pa.Re
                 seen.add(g["node"][k])
                 order.append(k)
         node = [g["node"][k] for k in order]
-        if len(node) == 2 and not with_sets and tuple(node) in done:
-            continue
         points = [np.frombuffer(g["point"][k], np.uint8) for k in order]
         sets = [np.frombuffer(g["set"][k], "<u8") for k in order] if with_sets else None
         done.update((node[a], node[b]) for a, b in link(points, np.array([g["n"][k] for k in order], np.int64), sets))
@@ -412,20 +428,16 @@ def _sets(texts: DataFrame, bits: int, folder: str) -> DataFrame:
     return texts.mapInArrow(run, "group long, node long, n int, point binary, set binary")
 
 
-def join(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """One row per row of docs: doc_id, n_shingles, component_id (the least id that links reach).
-
-    A null or empty text has no shingles and no links; equal sets link; a null id takes part and is
-    named only where it is alone; repeated rows get equal results; extra columns are left out.
-    """
-    picked = docs.select(F.col(doc_id).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    texts = picked.select(F.xxhash64("doc_id", "text").alias("row_key"), "text")
+def linked_nodes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> tuple[DataFrame, DataFrame]:
+    """The documents (doc_id, row_key, n_shingles, node; node is null without words) and, of nodes that links connect, (node, root)."""
+    picked = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
+    texts = picked.select("doc_id", F.xxhash64(F.col("doc_id"), "text").alias("row_key"), "text")
     bits, folder = shard_bits(docs.sparkSession), _folder(docs)
     _frequent(texts.select("text"), bits, folder)
     met = _meetings(texts, bits, folder)
-    nodes = met.filter("kind = 1").select("node", F.col("key").alias("row_key"), "n", "point")
-    # Nodes meet by key as points.
-    meeting = met.filter("kind = 0").select("node", "key").join(nodes.select("node", "n", "point"), "node")
+    nodes = met.filter(F.col("kind") == NODE).select("node", F.col("key").alias("row_key"), "n", "point")
+    # Nodes that share a key meet as points.
+    meeting = met.filter(F.col("kind") == SHARED).select("node", "key").join(nodes.select("node", "n", "point"), "node")
     near = meeting.repartition(1 << bits, "key").sortWithinPartitions("key").mapInArrow(lambda b: _edges(_grouped(b, "key"), False), "u long, v long")
     clusters = components(near)
     sized = clusters.join(clusters.groupBy("root").agg(F.count("*").alias("size")), "root").select("node", F.col("root").alias("cluster"), "size")
@@ -433,20 +445,16 @@ def join(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFra
     # Connected candidates are verified by their sets.
     sets = _sets(texts, bits, folder).repartition(1 << bits, "group").sortWithinPartitions("group")
     linked = components(sets.mapInArrow(lambda b: _edges(_grouped(b, "group"), True), "u long, v long"))
-    return _label(picked, linked)
-
+    return met.filter(F.col("kind") == DOCUMENT).select("doc_id", F.col("key").alias("row_key"), F.col("n").cast("long").alias("n_shingles"), "node"), linked
 
-def _label(picked: DataFrame, linked: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, component_id from the nodes' components."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part in slices(batch, "text", PART_BYTES):
-                sets = shingle_sets(part.column("text").to_pylist())
-                node = [int(digest(s).view(np.int64)) if len(s) else None for s in sets]
-                yield pa.RecordBatch.from_arrays([part.column("doc_id").cast(pa.int64()), pa.array(map(len, sets), pa.int64()), pa.array(node, pa.int64())], names=["doc_id", "n_shingles", "node"])
+def join(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """One row per row of docs: doc_id, n_shingles, component_id (the least id that links reach).
 
-    rows = materialize(picked.mapInArrow(run, "doc_id long, n_shingles long, node long"), "join-rows")
+    A null or empty text has no shingles and no links; equal sets link; a null id takes part and is
+    named only where it is alone; repeated rows get equal results; extra columns are left out.
+    """
+    rows, linked = linked_nodes(docs, doc_id, text)
     # Only nodes with several documents or links need a look-up; their rows are salted, as one node may have a third of all.
     firsts = rows.filter("node is not null").groupBy("node").agg(F.min("doc_id").alias("first"), F.count("*").alias("n"))
     rooted = firsts.join(linked, "node", "left").filter("n > 1 or root is not null").select("node", F.coalesce("root", "node").alias("root"), "first")
@@ -454,5 +462,5 @@ def _label(picked: DataFrame, linked: DataFrame) -> DataFrame:
     least = rooted.groupBy("root").agg(F.min("first").alias("component"))
     salts = 8
     named = rooted.join(least, "root").select("node", "component", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("salt"))
-    salted = rows.withColumn("salt", F.when(F.col("node").isNotNull(), F.pmod(F.hash("doc_id"), F.lit(salts))).otherwise(F.pmod(F.hash("doc_id"), F.lit(1 << 20)) + salts))
+    salted = rows.withColumn("salt", F.when(F.col("node").isNotNull(), F.pmod(F.hash("row_key"), F.lit(salts))).otherwise(F.pmod(F.hash("row_key"), F.lit(1 << 20)) + salts))
     return salted.join(named, ["node", "salt"], "left").select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
