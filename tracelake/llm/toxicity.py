@@ -118,25 +118,18 @@ def train(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str
     pos, neg = F.col("pos"), F.col("neg")
     part = lambda k, of: F.when(k > 0, k * F.ln(k / of)).otherwise(F.lit(0.0))
     gain = part(pos, (pos + neg) * float(max(n_pos, 1)) / max(n_pos + n_neg, 1)) + part(neg, (pos + neg) * float(max(n_neg, 1)) / max(n_pos + n_neg, 1))
-    best = counts.select("bucket", "pos", "neg", gain.alias("gain")).orderBy(F.desc("gain"), "bucket").limit(KEPT).toPandas().sort_values("bucket")
+    best_rows = materialize(counts.select("bucket", "pos", "neg", gain.alias("gain")).orderBy(F.desc("gain"), "bucket").limit(KEPT), "tox-kept")
+    best = best_rows.toPandas().sort_values("bucket")
     buckets = best["bucket"].to_numpy(np.int32)
     if not len(buckets):
         return Model(buckets, np.zeros(0), math.log((n_pos + 1) / (n_neg + 1)))
     ratio = np.log((best["pos"].to_numpy() + ALPHA) / (n_pos + 2 * ALPHA)) - np.log((best["neg"].to_numpy() + ALPHA) / (n_neg + 2 * ALPHA))
 
-    def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            column = batch.column("buckets")
-            found = column.flatten().to_numpy()
-            at = np.searchsorted(buckets, found)
-            hit = buckets[np.minimum(at, len(buckets) - 1)] == found
-            ends = column.offsets.to_numpy() - column.offsets[0].as_py()
-            upto = np.concatenate([[0], np.cumsum(hit)])
-            places = pa.ListArray.from_arrays(pa.array(upto[ends], pa.int32()), pa.array(at[hit], pa.int32()))
-            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("y"), places], names=["id", "y", "places"])
-
-    got = rows.mapInArrow(pick, "id long, y int, places array<int>").toArrow().sort_by("id")
-    w, bias = fit([np.asarray(p, np.int64) for p in got.column("places").to_pylist()], got.column("y").to_numpy().astype(float), ratio)
+    # Each row's kept buckets, picked before they leave Spark.
+    kept = best_rows.agg(F.collect_list("bucket").alias("kept"))
+    got = rows.crossJoin(F.broadcast(kept)).select("id", "y", F.array_intersect("buckets", "kept").alias("found")).toArrow().sort_by("id")
+    places = [np.searchsorted(buckets, np.array(b, np.int32)) for b in got.column("found").to_pylist()]
+    w, bias = fit(places, got.column("y").to_numpy().astype(float), ratio)
     return Model(buckets, w * ratio, bias)
 
 
