@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -58,6 +60,21 @@ def slices(batch: pa.RecordBatch, text: str = "text", most: int = SLICE_BYTES) -
             yield batch.slice(a, b - a)
 
 
+def tidied(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """run, after which a worker that is kept for later tasks gives freed memory back to the system."""
+
+    def tidy(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            gc.collect()
+            pa.default_memory_pool().release_unused()
+            if (trim := getattr(ctypes.CDLL(None), "malloc_trim", None)) is not None:
+                trim(0)
+
+    return tidy
+
+
 def map_texts(docs: DataFrame, work: Callable[[list, list], dict], schema: str, doc_id: str = "doc_id", text: str = "text", prepare: Callable[[], object] | None = None, most: int = SLICE_BYTES) -> DataFrame:
     """Applies work(ids, texts) -> columns to slices of whole texts. Only the id and the text are sent to Python; null texts come as ''. With prepare, work gets its result first."""
     picked = docs.select(F.col(doc_id).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
@@ -73,7 +90,7 @@ def map_texts(docs: DataFrame, work: Callable[[list, list], dict], schema: str,
                 got = work(*state, part.column("doc_id").to_pylist(), part.column("text").to_pylist())
                 yield pa.RecordBatch.from_arrays([pa.array(got[f.name], type=f.type) for f in to], schema=to)
 
-    return picked.mapInArrow(run, out)
+    return picked.mapInArrow(tidied(run), out)
 
 
 # --- hashed words -----------------------------------------------------------
@@ -111,7 +128,7 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 #: Bytes hashed at once: the arrays of 64-bit values take some thirty times as much.
-_HASHED_BYTES = 2 << 20
+_HASHED_BYTES = 1 << 19
 
 
 def hashed_words(texts: list[str], lower: bool = True) -> tuple[np.ndarray, np.ndarray]:

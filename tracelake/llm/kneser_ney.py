@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tracelake.llm.common import hashed_words, mix, remainder, shared_dir, slices
+from tracelake.llm.common import hashed_words, mix, remainder, shared_dir, slices, tidied
 
 #: Text bytes counted at once, as larger parts merge more pairs before the shuffle, and scored at once.
 PART_BYTES = 24 << 20
@@ -294,9 +294,9 @@ def train(docs: DataFrame, text: str = "text", shards: int | None = None) -> Mod
 
         yield from _batches(rows())
 
-    sent = docs.select(F.coalesce(F.col(text), F.lit("")).alias("text")).mapInArrow(count, _ROWS)
+    sent = docs.select(F.coalesce(F.col(text), F.lit("")).alias("text")).mapInArrow(tidied(count), _ROWS)
     dealt = lambda df: df.repartition(1 << bits, "shard").sortWithinPartitions("shard")
-    sums = [r["sums"] for r in dealt(dealt(sent).mapInArrow(pairs, _ROWS)).mapInArrow(words, _ROWS).select("sums").collect()]
+    sums = [r["sums"] for r in dealt(dealt(sent).mapInArrow(tidied(pairs), _ROWS)).mapInArrow(tidied(words), _ROWS).select("sums").collect()]
     total = lambda kind, size: [sum(x) for x in zip([0] * size, *(s[1:] for s in sums if s[0] == kind))]
     *of_words, n_types, n_tokens, n_pairs = total(1, 7)
     word_d = discounts(*of_words)
@@ -414,7 +414,7 @@ def score(docs: DataFrame, model: Model, doc_id: str = "doc_id", text: str = "te
                 yield pa.RecordBatch.from_arrays([part.column(f.name) if f.name in ("doc_id", "held_out") else pa.array(got[f.name], f.type) for f in to], schema=to)
 
     picked = docs.select(F.col(doc_id).cast("long").alias("doc_id"), (remainder(doc_id, folds) == fold).alias("held_out"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    return picked.mapInArrow(run, out)
+    return picked.mapInArrow(tidied(run), out)
 
 
 def train_and_score(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", folds: int = 7, fold: int = 2) -> DataFrame:

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
-from tracelake.llm.common import materialize, shared_dir
+from tracelake.llm.common import materialize, shared_dir, tidied
 from tracelake.llm.ngram_join import linked_nodes
 from tracelake.llm.packed import find, mapped, pack, put, ranges, shard_bits, unpack
 
@@ -48,7 +48,7 @@ def _write(fates: DataFrame, bits: int, folder: str) -> None:
             yield pa.RecordBatch.from_arrays([pa.array([shard], pa.int32())], names=["shard"])
 
     top = F.shiftrightunsigned("row_key", 64 - bits).cast("int")
-    fates.select(top.alias("shard"), "row_key", "fate").repartition(1 << bits, "shard").mapInArrow(run, "shard int").count()
+    fates.select(top.alias("shard"), "row_key", "fate").repartition(1 << bits, "shard").mapInArrow(tidied(run), "shard int").count()
 
 
 def distinct(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -79,5 +79,5 @@ def distinct(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Dat
             once = pa.array(np.where(fate == 2, keys.view(np.int64), 0), pa.int64(), mask=fate != 2)
             yield batch.set_column(batch.schema.get_field_index(key), key, once).filter(stays)
 
-    looked = keyed.mapInArrow(run, StructType([*docs.schema.fields, StructField(key, LongType())]))
+    looked = keyed.mapInArrow(tidied(run), StructType([*docs.schema.fields, StructField(key, LongType())]))
     return looked.filter(F.col(key).isNull()).unionByName(looked.filter(F.col(key).isNotNull()).dropDuplicates([key])).drop(key)

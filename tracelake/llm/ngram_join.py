@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tracelake.llm.common import hashed_words, materialize, mix, shared_dir, slices
+from tracelake.llm.common import hashed_words, materialize, mix, shared_dir, slices, tidied
 from tracelake.llm.components import components
 from tracelake.llm.packed import ROWS, batches_of, by_shard, dealt, find, mapped, pack, put, ranges, runs, shard_bits, unpack
 
@@ -36,7 +36,7 @@ MOST_GROUPS = 4096
 LEAF = 64
 #: Nodes of a key or of a cluster that a task holds at once; larger ones are dealt by pairs of blocks.
 BLOCK = 1024
-PART_BYTES = 8 << 20
+PART_BYTES = 4 << 20
 
 
 # --- sets and points -----------------------------------------------------------
@@ -205,7 +205,7 @@ def _frequent(texts: DataFrame, bits: int, folder: str) -> None:
 
         yield from batches_of(rows())
 
-    dealt(texts.mapInArrow(count, ROWS), bits).mapInArrow(total, ROWS).select("sums").collect()
+    dealt(texts.mapInArrow(tidied(count), ROWS), bits).mapInArrow(tidied(total), ROWS).select("sums").collect()
 
 
 def _is_frequent(folder: str, bits: int, held: dict, every: np.ndarray) -> np.ndarray:
@@ -328,7 +328,7 @@ def _meetings(texts: DataFrame, bits: int, folder: str) -> DataFrame:
                     yield SHARED, v, g, 0, b"", None
 
     schema = "kind byte, node long, key long, n int, point binary, doc_id long"
-    return materialize(dealt(texts.mapInArrow(send, ROWS), bits).mapInArrow(meet, schema), "join-meetings")
+    return materialize(dealt(texts.mapInArrow(tidied(send), ROWS), bits).mapInArrow(tidied(meet), schema), "join-meetings")
 
 
 def _grouped(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[dict[str, list]]:
@@ -395,7 +395,7 @@ def _write_members(members: DataFrame, bits: int, folder: str) -> None:
             yield pa.RecordBatch.from_arrays([pa.array([shard], pa.int32())], names=["shard"])
 
     top = F.shiftrightunsigned("row_key", 64 - bits).cast("int")
-    members.select(top.alias("shard"), "row_key", "node", "cluster", "size").repartition(1 << bits, "shard").mapInArrow(run, "shard int").count()
+    members.select(top.alias("shard"), "row_key", "node", "cluster", "size").repartition(1 << bits, "shard").mapInArrow(tidied(run), "shard int").count()
 
 
 def _sets(texts: DataFrame, bits: int, folder: str) -> DataFrame:
@@ -425,7 +425,7 @@ def _sets(texts: DataFrame, bits: int, folder: str) -> DataFrame:
 
         yield from batches_of(rows(), schema, 4)
 
-    return texts.mapInArrow(run, "group long, node long, n int, point binary, set binary")
+    return texts.mapInArrow(tidied(run), "group long, node long, n int, point binary, set binary")
 
 
 def linked_nodes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> tuple[DataFrame, DataFrame]:
@@ -438,13 +438,13 @@ def linked_nodes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
     nodes = met.filter(F.col("kind") == NODE).select("node", F.col("key").alias("row_key"), "n", "point")
     # Nodes that share a key meet as points.
     meeting = met.filter(F.col("kind") == SHARED).select("node", "key").join(nodes.select("node", "n", "point"), "node")
-    near = meeting.repartition(1 << bits, "key").sortWithinPartitions("key").mapInArrow(lambda b: _edges(_grouped(b, "key"), False), "u long, v long")
+    near = meeting.repartition(1 << bits, "key").sortWithinPartitions("key").mapInArrow(tidied(lambda b: _edges(_grouped(b, "key"), False)), "u long, v long")
     clusters = components(near)
     sized = clusters.join(clusters.groupBy("root").agg(F.count("*").alias("size")), "root").select("node", F.col("root").alias("cluster"), "size")
     _write_members(nodes.select("node", "row_key").join(sized, "node"), bits, folder)
     # Connected candidates are verified by their sets.
     sets = _sets(texts, bits, folder).repartition(1 << bits, "group").sortWithinPartitions("group")
-    linked = components(sets.mapInArrow(lambda b: _edges(_grouped(b, "group"), True), "u long, v long"))
+    linked = components(sets.mapInArrow(tidied(lambda b: _edges(_grouped(b, "group"), True)), "u long, v long"))
     return met.filter(F.col("kind") == DOCUMENT).select("doc_id", F.col("key").alias("row_key"), F.col("n").cast("long").alias("n_shingles"), "node"), linked
 
 

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tracelake.llm.common import map_texts, slices
+from tracelake.llm.common import map_texts, slices, tidied
 
 #: Base patterns; ASCII letters only fold in the keyword.
 ASSIGN = re.compile(r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.ASCII)
@@ -155,7 +155,7 @@ def mask(docs: DataFrame, text: str = "text", n_chars: str | None = "n_chars", r
                 made = [t if t is None else masked(t, reach) for t in part.column(at).to_pylist()]
                 yield part.set_column(at, text, pa.array(made, part.schema.field(at).type))
 
-    out = docs.mapInArrow(run, docs.schema)
+    out = docs.mapInArrow(tidied(run), docs.schema)
     if n_chars and n_chars in docs.columns:
         out = out.withColumn(n_chars, F.when(F.col(text).isNull(), F.col(n_chars)).otherwise(F.length(text).cast(docs.schema[n_chars].dataType)))
     return out

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tracelake.llm.common import map_texts, materialize, remainder, slices
+from tracelake.llm.common import map_texts, materialize, remainder, slices, tidied
 
 SIZES = (4, 5, 6)
 BITS = 20
@@ -106,11 +106,11 @@ def train(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch):
+            for part in slices(batch, most=SCORED_BYTES):
                 found = [features(t) for t in part.column("text").to_pylist()]
                 yield pa.RecordBatch.from_arrays([part.column("id"), part.column("y"), pa.array(found, pa.list_(pa.int32()))], names=["id", "y", "buckets"])
 
-    rows = materialize(texts.mapInArrow(run, "id long, y int, buckets array<int>"), "tox-rows")
+    rows = materialize(texts.mapInArrow(tidied(run), "id long, y int, buckets array<int>"), "tox-rows")
     counts = rows.select("y", F.explode("buckets").alias("bucket")).groupBy("bucket").agg(F.sum("y").alias("pos"), F.sum(1 - F.col("y")).alias("neg")).filter(F.col("pos") + F.col("neg") >= LEAST_ROWS)
     totals = rows.agg(F.coalesce(F.sum("y"), F.lit(0)).alias("p"), F.count("*").alias("n")).first()
     n_pos, n_neg = totals["p"], totals["n"] - totals["p"]
@@ -180,4 +180,4 @@ def reject(docs: DataFrame, model: Model, text: str = "text", threshold: float =
                 texts = [t or "" for t in part.column(at).to_pylist()]
                 yield part.filter(pa.array(1 / (1 + np.exp(-np.clip(logits(model, table, texts), -500, 500))) < threshold))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(tidied(run), docs.schema)
