@@ -25,9 +25,9 @@ from tracelake.llm.common import map_texts
 
 END = "</w>"
 #: Words, runs within words and pairs of tokens that a worker remembers; beyond them it starts anew.
-CACHED_WORDS = 300_000
-CACHED_RUNS = 250_000
-CACHED_PAIRS = 400_000
+CACHED_WORDS = 120_000
+CACHED_RUNS = 100_000
+CACHED_PAIRS = 200_000
 
 #: White space of the normaliser's `\s`.
 _SPACES = "\t\n\x0b\x0c\r \x85\xa0  -     　"
