@@ -68,7 +68,8 @@ def prefix(messages: DataFrame, key: str, pos: str, steps: int) -> DataFrame:
 
 
 def merge_ranges(ranges: DataFrame, key: str, start: str, end: str) -> DataFrame:
-    """Ranges that overlap or touch become one."""
+    """Ranges that overlap or touch become one. Repeated ranges go first, so that no two rows tie."""
+    ranges = ranges.select(key, start, end).distinct()
     by = Window.partitionBy(key).orderBy(start, end)
     reach = F.max(end).over(by.rowsBetween(Window.unboundedPreceding, -1))
     islands = ranges.withColumn("_new", F.coalesce((F.col(start) > reach + 1).cast("int"), F.lit(1))).withColumn("_i", F.sum("_new").over(by.rowsBetween(Window.unboundedPreceding, 0)))

@@ -130,7 +130,7 @@ def w16_prefix_cost(spark, sf_dir):
 
 
 @query("""
-WITH r AS (SELECT o_custkey, CAST(o_orderkey // 100 AS BIGINT) AS s, CAST(o_orderkey // 100 + 40 AS BIGINT) AS e FROM orders),
+WITH r AS (SELECT DISTINCT o_custkey, CAST(o_orderkey // 100 AS BIGINT) AS s, CAST(o_orderkey // 100 + 40 AS BIGINT) AS e FROM orders),
 m AS (SELECT *, max(e) OVER (PARTITION BY o_custkey ORDER BY s, e ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM r),
 i AS (SELECT *, sum(CASE WHEN reach IS NULL OR s > reach + 1 THEN 1 ELSE 0 END) OVER (PARTITION BY o_custkey ORDER BY s, e ROWS UNBOUNDED PRECEDING) AS i FROM m)
 SELECT o_custkey, min(s) AS s, max(e) AS e FROM i GROUP BY o_custkey, i""")
