@@ -6,6 +6,7 @@ import math
 import re
 from collections import Counter
 from collections.abc import Iterator
+from functools import lru_cache
 
 import pandas as pd
 from pyspark.sql import Column
@@ -75,6 +76,7 @@ def _replaced(w: str, rules: list[str]) -> str:
     return stem + new if _measure(stem) > 0 else w
 
 
+@lru_cache(maxsize=200_000)
 def stem(w: str) -> str:
     """Porter's stemmer."""
     if len(w) <= 2:

@@ -154,9 +154,10 @@ def m1_cosine(spark, sf_dir):
 @query()
 def m2_m3_bleu_rouge(spark, sf_dir):
     """Texts against that of the next id: published definitions, tested on hand-computed pairs."""
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))  # by number: scoring takes far longer than its bytes suggest, so partitions must not be merged
     d = _docs(spark, sf_dir).select("doc_id", "text")
-    n = d.select((F.col("doc_id") - 1).alias("doc_id"), F.col("text").alias("next"))
-    return d.join(n, "doc_id").select("doc_id", bleu_rouge(F.col("text"), F.col("next")).alias("s")).select("doc_id", "s.*")
+    n = d.select((F.col("doc_id") - 1).alias("doc_id"), F.col("text").alias("next")).repartition(parts, "doc_id")
+    return d.repartition(parts, "doc_id").join(n, "doc_id").select("doc_id", bleu_rouge(F.col("text"), F.col("next")).alias("s")).select("doc_id", "s.*")
 
 
 @query(r"""
