@@ -25,9 +25,9 @@ from tracelake.llm.common import map_texts
 
 END = "</w>"
 #: Words, runs within words and pairs of tokens that a worker remembers; beyond them it starts anew.
-CACHED_WORDS = 120_000
-CACHED_RUNS = 100_000
-CACHED_PAIRS = 200_000
+CACHED_WORDS = 200_000
+CACHED_RUNS = 150_000
+CACHED_PAIRS = 300_000
 
 #: White space of the normaliser's `\s`.
 _SPACES = "\t\n\x0b\x0c\r \x85\xa0  -     　"
@@ -248,14 +248,11 @@ class _Bounded(dict):
 
 SCHEMA = "doc_id long, n_tokens long, ids binary"
 DIGEST = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
-_LOADED: dict[str, Encoder] = {}
 
 
 def _encoder(path: str) -> Encoder:
-    """A worker's encoder for the vocabulary file."""
-    if path not in _LOADED:
-        _LOADED[path] = Encoder(path)
-    return _LOADED[path]
+    """A task's encoder for the vocabulary file. It goes with the task, so that workers do not hold it through other work."""
+    return Encoder(path)
 
 
 def encode(docs: DataFrame, path: str, doc_id: str = "doc_id", text: str = "text") -> DataFrame:

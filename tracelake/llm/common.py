@@ -38,6 +38,18 @@ def materialize(df: DataFrame, what: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Rows of whole texts that Spark hands to Python at once.
+BATCH_ROWS = 1000
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Bounds the session's Arrow batches: rows here are whole texts, and the default of 10,000 of them takes hundreds of megabytes a task."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    now = int(spark.conf.get(key, "10000"))
+    if now <= 0 or now > BATCH_ROWS:
+        spark.conf.set(key, str(BATCH_ROWS))
+
+
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
     """body(value) with value evaluated once a row, however often a lambda inside refers to it."""
     return F.transform(F.array(value), body)[0]
@@ -77,6 +89,7 @@ def tidied(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]])
 
 def map_texts(docs: DataFrame, work: Callable[[list, list], dict], schema: str, doc_id: str = "doc_id", text: str = "text", prepare: Callable[[], object] | None = None, most: int = SLICE_BYTES) -> DataFrame:
     """Applies work(ids, texts) -> columns to slices of whole texts. Only the id and the text are sent to Python; null texts come as ''. With prepare, work gets its result first."""
+    small_batches(docs.sparkSession)
     picked = docs.select(F.col(doc_id).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     out = StructType.fromDDL(schema)
 

@@ -26,10 +26,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tracelake.llm.common import hashed_words, mix, remainder, shared_dir, slices, tidied
+from tracelake.llm.common import hashed_words, mix, remainder, shared_dir, slices, small_batches, tidied
 
-#: Text bytes counted at once, as larger parts merge more pairs before the shuffle, and scored at once.
-PART_BYTES = 24 << 20
+#: Tokens counted at once: larger parts merge more pairs before the shuffle. Text bytes read and scored at once.
+PART_TOKENS = 4_000_000
 SCORED_BYTES = 6 << 20
 #: Word hashes have 56 bits: seven bytes in the shuffle.
 _WORD_BITS = 56
@@ -261,16 +261,27 @@ def _batches(rows: Iterator[tuple[int, bytes, list[int]]]) -> Iterator[pa.Record
 def train(docs: DataFrame, text: str = "text", shards: int | None = None) -> Model:
     """Counts every row of docs (null texts as empty) and writes the model to the shared folder. shards: a power of two, by default at least spark.sql.shuffle.partitions."""
     spark = docs.sparkSession
+    small_batches(spark)
     bits = max(4, (int(shards or spark.conf.get("spark.sql.shuffle.partitions")) - 1).bit_length())
     folder = f"{shared_dir(spark)}/lm-{uuid.uuid4().hex}"
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def rows():
+            held, size = [], 0
             for batch in batches:
-                for part in slices(batch, "text", PART_BYTES):
+                for part in slices(batch, "text", SCORED_BYTES):
                     token, begin = tokens(part.column("text").to_pylist())
-                    for shard, data in _pair_parts(contexts(token, begin), token, bits):
-                        yield shard, data, []
+                    held.append((contexts(token, begin), token))
+                    size += len(token)
+                    if size >= PART_TOKENS:
+                        yield from packed(held)
+                        held, size = [], 0
+            if held:
+                yield from packed(held)
+
+        def packed(held: list):
+            for shard, data in _pair_parts(*(np.concatenate(c) for c in zip(*held)), bits):
+                yield shard, data, []
 
         yield from _batches(rows())
 

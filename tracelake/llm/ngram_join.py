@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tracelake.llm.common import hashed_words, materialize, mix, shared_dir, slices, tidied
+from tracelake.llm.common import hashed_words, materialize, mix, shared_dir, slices, small_batches, tidied
 from tracelake.llm.components import components
 from tracelake.llm.packed import ROWS, batches_of, by_shard, dealt, find, mapped, pack, put, ranges, runs, shard_bits, unpack
 
@@ -430,6 +430,7 @@ def _sets(texts: DataFrame, bits: int, folder: str) -> DataFrame:
 
 def linked_nodes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> tuple[DataFrame, DataFrame]:
     """The documents (doc_id, row_key, n_shingles, node; node is null without words) and, of nodes that links connect, (node, root)."""
+    small_batches(docs.sparkSession)
     picked = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     texts = picked.select("doc_id", F.xxhash64(F.col("doc_id"), "text").alias("row_key"), "text")
     bits, folder = shard_bits(docs.sparkSession), _folder(docs)

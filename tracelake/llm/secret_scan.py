@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tracelake.llm.common import map_texts, slices, tidied
+from tracelake.llm.common import map_texts, slices, small_batches, tidied
 
 #: Base patterns; ASCII letters only fold in the keyword.
 ASSIGN = re.compile(r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.ASCII)
@@ -147,6 +147,7 @@ def masked(text: str, reach: int = REACH) -> str:
 def mask(docs: DataFrame, text: str = "text", n_chars: str | None = "n_chars", reach: int = REACH) -> DataFrame:
     """The rows of docs, all columns, with the text masked; a null text stays null. n_chars, if it is a column, gets the new length where the text is not null."""
 
+    small_batches(docs.sparkSession)
     at = docs.columns.index(text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tracelake.llm.common import map_texts, materialize, remainder, slices, tidied
+from tracelake.llm.common import map_texts, materialize, remainder, slices, small_batches, tidied
 
 SIZES = (4, 5, 6)
 BITS = 20
@@ -100,6 +100,7 @@ def fit(rows: list[np.ndarray], labels: np.ndarray, ratio: np.ndarray) -> tuple[
 
 def train(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", label: str = "toxic", sample: int = SAMPLE, folds: int = 5) -> Model:
     """Learns from labelled rows whose crc32(id) modulo folds is not 0. The sample is bounded, so its ids may be broadcast and its counts and rows collected. Null labels are left out; of repeated labels the larger holds."""
+    small_batches(docs.sparkSession)
     known = labels.select(F.col(doc_id).alias("id"), F.col(label).cast("int").alias("y")).filter(F.col("y").isNotNull() & F.col("id").isNotNull() & (remainder("id", folds) != 0))
     known = known.groupBy("id").agg(F.max("y").alias("y")).orderBy(F.xxhash64("id"), "id").limit(sample)
     texts = docs.select(F.col(doc_id).alias("id"), F.coalesce(F.col(text), F.lit("")).alias("text")).join(F.broadcast(known), "id")
@@ -171,6 +172,7 @@ def score(docs: DataFrame, model: Model, doc_id: str = "doc_id", text: str = "te
 def reject(docs: DataFrame, model: Model, text: str = "text", threshold: float = 0.5) -> DataFrame:
     """The rows of docs, all columns, whose score is below the threshold."""
 
+    small_batches(docs.sparkSession)
     at = docs.columns.index(text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
