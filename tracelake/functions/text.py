@@ -205,3 +205,9 @@ def redirected_paths(cmd: Column) -> Column:
 def numbered_line(n: Column, line: Column) -> Column:
     """A line of a snippet behind its number."""
     return F.format_string("%4d | %s", n, line)
+
+
+def block_kind(block: Column, first: Column, prompt: str = "Please provide your supervisor feedback now") -> Column:
+    """Feedback, prompt, task or trajectory, by a block's tag; `first` says whether no environment block came before."""
+    environment = F.startswith(block, F.lit("[USER/ENVIRONMENT]:"))
+    return F.when(F.startswith(block, F.lit("[PREVIOUS_FEEDBACK")), "feedback").when(environment & F.contains(block, F.lit(prompt)), "prompt").when(environment & first, "task").otherwise("trajectory")

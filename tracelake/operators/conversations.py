@@ -147,3 +147,16 @@ def deduplicated(feedback: DataFrame, key: str, pos: str, vector: str, limit: fl
 
     out = rows.select(key, F.explode(F.aggregate("rows", start, step)["done"]).alias("x"))
     return out.select(key, F.col("x.p").alias(pos), "x.similarity", "x.suppressed")
+
+
+def split_budget(blocks: DataFrame, key: str, pos: str, cat: str, size: str, room: int, ratio: float) -> DataFrame:
+    """Key, pos, cat, kept. Feedback may take int(room * ratio), trajectory the rest; what feedback leaves goes to the trajectory, else what that leaves goes to feedback; each side keeps its newest blocks."""
+    whole = Window.partitionBy(key)
+    total = lambda name: F.sum(F.when(F.col(cat) == name, F.col(size)).otherwise(0)).over(whole)
+    b = blocks.withColumn("_f", total("feedback")).withColumn("_t", total("trajectory"))
+    share = int(room * ratio)
+    feedback = F.when(F.col("_f") <= share, F.col("_f")).when(F.col("_t") <= room - share, room - F.col("_t")).otherwise(share)
+    trajectory = F.when(F.col("_f") <= share, room - F.col("_f")).when(F.col("_t") <= room - share, F.col("_t")).otherwise(room - share)
+    newest = Window.partitionBy(key, cat).orderBy(F.desc(pos)).rowsBetween(Window.unboundedPreceding, 0)
+    fits = F.sum(size).over(newest) <= F.when(F.col(cat) == "feedback", feedback).otherwise(trajectory)
+    return b.select(key, pos, cat, ((F.col("_f") + F.col("_t") <= room) | fits).alias("kept"))
