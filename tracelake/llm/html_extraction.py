@@ -125,7 +125,7 @@ def blocks(page: str) -> list[Block]:
 
 # --- vectors ------------------------------------------------------------------------
 
-PATHS, WORDS, EMBEDDED, MEASURES, HIDDEN = 1024, 2048, 12, 6, 16
+PATHS, WORDS, EMBEDDED, MEASURES, HIDDEN = 8192, 2048, 12, 6, 16
 _KEPT_PATH = 12
 
 
@@ -309,7 +309,7 @@ def compose(rng: random.Random) -> tuple[list[Block], list[int]]:
         plain = names.split()[0]
         style = rng.random()
         tag = _OWN_TAG.get(plain, rng.choice(["div", "section"])) if style < 0.7 else "div"
-        own = [tag] if style < 0.35 and tag != "div" else [tag, f".{name}", *([f".{rng.choice(['box', 'block', 'area', 'list', 'inner', 'main', 'content'])}"] if rng.random() < 0.3 else [])]
+        own = [tag] if style < 0.35 and tag != "div" else [tag, f".{name}", *([f".{rng.choice(['box', 'block', 'area', 'list', 'inner'])}"] if rng.random() < 0.3 else [])]
         said = PARTS[names].split()
         own_words = rng.random() < 0.5  # some parts hold prose like any other
         for _ in range(rng.randint(1, 7)):
@@ -323,18 +323,19 @@ def compose(rng: random.Random) -> tuple[list[Block], list[int]]:
         own = ["article"] if form < 0.4 else ["article", f".{rng.choice(MAIN)}"] if form < 0.5 else ["main"] if form < 0.6 else ["main", "article"] if form < 0.65 else ["div", f".{rng.choice(MAIN)}"] if form < 0.9 else []
         if rng.random() < 0.8:
             add([*path, *own, *(["header"] if own and rng.random() < 0.1 else []), rng.choice(["h1", "h1", "h1", "h2"])], prose(rng.randint(1, 10)), False, 1)
+        deep = [*own, *rng.choice([[], [], [], [], ["section"], ["div"]])]
         for _ in range(rng.choice([1, 2, 3, 5, 8, 12, 20])):
             kind = rng.random()
             if kind < 0.8:
-                add([*path, *own, "p"], prose(rng.choice([1, 1, 2, 4, 10, 30, 60, 120])), rng.random() < 0.02, 1)
+                add([*path, *deep, "p"], prose(rng.choice([1, 1, 2, 4, 10, 30, 60, 120])), rng.random() < 0.02, 1)
             elif kind < 0.86:
-                add([*path, *own, rng.choice(["h2", "h3", "h4"])], prose(rng.randint(1, 6)), False, 1)
+                add([*path, *deep, rng.choice(["h2", "h3", "h4"])], prose(rng.randint(1, 6)), False, 1)
             elif kind < 0.95:
                 for _ in range(rng.randint(1, 5)):
-                    add([*path, *own, rng.choice(["ul", "ol"]), "li"], prose(rng.choice([1, 3, 8, 20])), rng.random() < 0.05, 1)
+                    add([*path, *deep, rng.choice(["ul", "ol"]), "li"], prose(rng.choice([1, 3, 8, 20])), rng.random() < 0.05, 1)
             else:
                 add([*path, *own, *rng.choice([["blockquote"], ["blockquote", "p"], ["pre"], ["table", "tr", "td"], ["figure", "figcaption"], ["div"], ["section", "p"]])], prose(rng.choice([3, 10, 30])), False, 1)
-            if rng.random() < 0.05:  # what stands in an article without being of it
+            if rng.random() < 0.08:  # what stands in an article without being of it
                 part([*path, *own], rng.choice([*PARTS][3:]))
 
     for _ in range(rng.randint(0, 4)):
@@ -347,7 +348,7 @@ def compose(rng: random.Random) -> tuple[list[Block], list[int]]:
 
 
 @cache
-def trained(seed: int = 1, pages: int = 1500, epochs: int = 5, batch: int = 25) -> Net:
+def trained(seed: int = 1, pages: int = 1800, epochs: int = 5, batch: int = 25) -> Net:
     """A network trained on composed pages with Adam; the same for the same arguments."""
     rng = random.Random(seed)
     gen = np.random.default_rng(seed)
@@ -357,7 +358,7 @@ def trained(seed: int = 1, pages: int = 1500, epochs: int = 5, batch: int = 25)
     draw = lambda *shape, scale: (gen.standard_normal(shape) * scale).astype(np.float32)
     b = np.zeros((2, 4 * HIDDEN), np.float32)
     b[:, HIDDEN : 2 * HIDDEN] = 1
-    net = Net(draw(PATHS, EMBEDDED, scale=0.3), draw(WORDS, EMBEDDED, scale=0.05), draw(2, inputs, 4 * HIDDEN, scale=inputs**-0.5), draw(2, HIDDEN, 4 * HIDDEN, scale=HIDDEN**-0.5), b, draw(2 * HIDDEN + 1, scale=0.2))
+    net = Net(draw(PATHS, EMBEDDED, scale=0.02), draw(WORDS, EMBEDDED, scale=0.02), draw(2, inputs, 4 * HIDDEN, scale=inputs**-0.5), draw(2, HIDDEN, 4 * HIDDEN, scale=HIDDEN**-0.5), b, draw(2 * HIDDEN + 1, scale=0.2))
     one, two, k = [np.zeros_like(w) for w in net], [np.zeros_like(w) for w in net], 0
     for epoch in range(epochs):
         rng.shuffle(data)
