@@ -12,14 +12,9 @@ several times the size of the input text.
 
 from __future__ import annotations
 
-import mmap
-import os
-import struct
-import tempfile
 import uuid
 from collections.abc import Iterator
 from typing import NamedTuple
-from urllib.parse import urlparse
 
 import numpy as np
 import pyarrow as pa
@@ -27,6 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tracelake.llm.common import hashed_words, mix, remainder, shared_dir, slices, small_batches, tidied
+from tracelake.llm.packed import ROWS, batches_of, by_shard, dealt, find, mapped, pack, put, ranges, runs, shard_bits, unpack
 
 #: Tokens counted at once: larger parts merge more pairs before the shuffle. Text bytes read and scored at once.
 PART_TOKENS = 4_000_000
@@ -40,62 +36,6 @@ END, START = np.uint64(1), np.uint64(2)
 
 # --- shards in the shared folder ---------------------------------------------
 
-
-def _local(uri: str) -> str | None:
-    """The path of a folder that is mounted everywhere, None for other stores."""
-    parts = urlparse(uri)
-    return parts.path if parts.scheme in ("", "file") else None
-
-
-def _put(folder: str, name: str, data: bytes) -> None:
-    """Writes a whole file under its final name at once: a repeated task writes the same again."""
-    if (path := _local(folder)) is not None:
-        os.makedirs(path, exist_ok=True)
-        part = f"{path}/.{name}.{uuid.uuid4().hex}"
-        with open(part, "wb") as f:
-            f.write(data)
-        os.replace(part, f"{path}/{name}")
-        return
-    from pyarrow import fs
-
-    store, path = fs.FileSystem.from_uri(folder)
-    store.create_dir(path, recursive=True)
-    part = f"{path}/.{name}.{uuid.uuid4().hex}"
-    with store.open_output_stream(part) as f:
-        f.write(data)
-    store.move(part, f"{path}/{name}")
-
-
-def _map(folder: str, name: str) -> np.ndarray:
-    """A file's bytes, mapped. From a store that cannot be mapped it is copied to an unnamed local file first, which goes with the worker."""
-    if (path := _local(folder)) is not None:
-        with open(f"{path}/{name}", "rb") as f:
-            return np.frombuffer(mmap.mmap(f.fileno(), 0, access=mmap.ACCESS_READ), np.uint8)
-    from pyarrow import fs
-
-    store, path = fs.FileSystem.from_uri(folder)
-    with tempfile.TemporaryFile() as f, store.open_input_stream(f"{path}/{name}") as source:
-        while block := source.read(8 << 20):
-            f.write(block)
-        f.flush()
-        return np.frombuffer(mmap.mmap(f.fileno(), 0, access=mmap.ACCESS_READ), np.uint8)
-
-
-def _pack(*arrays: np.ndarray) -> bytes:
-    """Arrays behind a header of their lengths; wide types first, so that all are aligned."""
-    return b"".join([struct.pack(f"<{len(arrays)}q", *map(len, arrays)), *(np.ascontiguousarray(a).tobytes() for a in arrays)])
-
-
-def _unpack(data: np.ndarray, *types: str) -> list[np.ndarray]:
-    lengths = data[: 8 * len(types)].view("<i8")
-    at, out = 8 * len(types), []
-    for n, t in zip(lengths.tolist(), types):
-        size = n * np.dtype(t).itemsize
-        out.append(data[at : at + size].view(t))
-        at += size
-    return out
-
-
 #: Pairs: key; pairs counted over 254 times and their counts; contexts with total, n1, n2, n3+; the pair counts in a byte.
 PAIR_TYPES = ("<u8", "<u8", "<i8", "<u8", "<i8", "<i4", "<i4", "<i4", "u1")
 #: Words: hash, count, distinct predecessors.
@@ -131,14 +71,6 @@ def contexts(token: np.ndarray, begin: np.ndarray) -> np.ndarray:
     return before
 
 
-def _sums(order_sorted: tuple[np.ndarray, ...], n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Where runs of equal keys begin in sorted keys, and the runs' sums of n."""
-    new = np.ones(len(n), bool)
-    new[1:] = np.any([k[1:] != k[:-1] for k in order_sorted], axis=0)
-    at = np.flatnonzero(new)
-    return at, np.add.reduceat(n, at) if len(at) else n
-
-
 def _seven(a: np.ndarray) -> bytes:
     return a.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :7].tobytes()
 
@@ -153,28 +85,24 @@ def _pair_parts(context: np.ndarray, word: np.ndarray, bits: int) -> Iterator[tu
     """Distinct pairs with counts, packed by shard: contexts once with their number of pairs, words in seven bytes, counts."""
     order = np.lexsort((word, context))
     c, w = context[order], word[order]
-    at, n = _sums((c, w), np.ones(len(c), np.int64))
+    at, n = runs((c, w), np.ones(len(c), np.int64))
     c, w = c[at], w[at]
-    shard = (c >> np.uint64(_WORD_BITS - bits)).astype(np.int64)
-    ends = np.searchsorted(shard, np.arange((1 << bits) + 1))
-    for s in range(1 << bits):
-        a, b = ends[s], ends[s + 1]
-        if b > a:
-            heads, pairs = _sums((c[a:b],), np.ones(b - a, np.int64))
-            yield s, _pack(pairs.astype("<u4"), n[a:b].astype("<u4"), np.frombuffer(_seven(c[a:b][heads]), np.uint8), np.frombuffer(_seven(w[a:b]), np.uint8))
+    for s, x in ranges(c, bits, _WORD_BITS):
+        heads, pairs = runs((c[x],), np.ones(len(c[x]), np.int64))
+        yield s, pack(pairs.astype("<u4"), n[x].astype("<u4"), np.frombuffer(_seven(c[x][heads]), np.uint8), np.frombuffer(_seven(w[x]), np.uint8))
 
 
 def _merge_pairs(parts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     cs, ws, ns = [], [], []
     for p in parts:
-        pairs, n, heads, words = _unpack(np.frombuffer(p, np.uint8), "<u4", "<u4", "u1", "u1")
+        pairs, n, heads, words = unpack(np.frombuffer(p, np.uint8), "<u4", "<u4", "u1", "u1")
         cs.append(np.repeat(_from_seven(heads), pairs))
         ws.append(_from_seven(words))
         ns.append(n.astype(np.int64))
     c, w, n = map(np.concatenate, (cs, ws, ns))
     order = np.lexsort((w, c))
     c, w, n = c[order], w[order], n[order]
-    at, n = _sums((c, w), n)
+    at, n = runs((c, w), n)
     return c[at], w[at], n
 
 
@@ -186,23 +114,20 @@ def _of_counts(n: np.ndarray) -> list[int]:
 def _pair_shard(folder: str, shard: int, bits: int, parts: list[bytes]) -> Iterator[tuple[int, bytes, list[int]]]:
     """Writes a shard of pairs; gives the words' predecessors by word shard, and the sums of the shard."""
     c, w, n = _merge_pairs(parts)
-    heads, total = _sums((c,), n)
+    heads, total = runs((c,), n)
     kinds = [np.add.reduceat((n == k) if k < 3 else (n >= 3), heads, dtype=np.int32) for k in (1, 2, 3)]
     key = pair_key(c, w, bits)
     order = np.argsort(key)
     many = order[n[order] >= 255]
-    _put(folder, f"pairs-{shard}", _pack(key[order], key[many], n[many], c[heads], total, *kinds, np.minimum(n[order], 255).astype(np.uint8)))
+    put(folder, f"pairs-{shard}", pack(key[order], key[many], n[many], c[heads], total, *kinds, np.minimum(n[order], 255).astype(np.uint8)))
     yield shard, b"", _of_counts(n)
     order = np.argsort(w, kind="stable")
     w, n = w[order], n[order]
-    at, raw = _sums((w,), n)
-    _, before = _sums((w,), np.ones(len(w), np.int64))
+    at, raw = runs((w,), n)
+    _, before = runs((w,), np.ones(len(w), np.int64))
     w = w[at]
-    ends = np.searchsorted((w >> np.uint64(_WORD_BITS - bits)).astype(np.int64), np.arange((1 << bits) + 1))
-    for s in range(1 << bits):
-        a, b = ends[s], ends[s + 1]
-        if b > a:
-            yield s, _pack(raw[a:b], before[a:b].astype("<u4"), np.frombuffer(_seven(w[a:b]), np.uint8)), []
+    for s, x in ranges(w, bits, _WORD_BITS):
+        yield s, pack(raw[x], before[x].astype("<u4"), np.frombuffer(_seven(w[x]), np.uint8)), []
 
 
 class Model(NamedTuple):
@@ -224,45 +149,11 @@ def discounts(n1: int, n2: int, n3: int, n4: int) -> tuple[float, float, float]:
     return tuple(min(max(k - (k + 1) * y * b / a, 0.0), float(k)) for k, a, b in ((1, n1, n2), (2, n2, n3), (3, n3, n4)))
 
 
-def _by_shard(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[bytes], list[list[int]]]]:
-    """Groups of a partition sorted by shard, one at a time."""
-    now, parts, sums = None, [], []
-    for batch in batches:
-        for shard, part, x in zip(batch.column("shard").to_pylist(), batch.column("part").to_pylist(), batch.column("sums").to_pylist()):
-            if shard != now and now is not None:
-                yield now, parts, sums
-                parts, sums = [], []
-            now = shard
-            if part:
-                parts.append(part)
-            if x:
-                sums.append(x)
-    if now is not None:
-        yield now, parts, sums
-
-
-_ROWS = "shard int, part binary, sums array<long>"
-_ARROW = pa.schema([("shard", pa.int32()), ("part", pa.binary()), ("sums", pa.list_(pa.int64()))])
-
-
-def _batches(rows: Iterator[tuple[int, bytes, list[int]]]) -> Iterator[pa.RecordBatch]:
-    held: list[tuple] = []
-    size = 0
-    for r in rows:
-        held.append(r)
-        size += len(r[1])
-        if size > 8 << 20:
-            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*held), _ARROW)], schema=_ARROW)
-            held, size = [], 0
-    if held:
-        yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*held), _ARROW)], schema=_ARROW)
-
-
 def train(docs: DataFrame, text: str = "text", shards: int | None = None) -> Model:
     """Counts every row of docs (null texts as empty) and writes the model to the shared folder. shards: a power of two, by default at least spark.sql.shuffle.partitions."""
     spark = docs.sparkSession
     small_batches(spark)
-    bits = max(4, (int(shards or spark.conf.get("spark.sql.shuffle.partitions")) - 1).bit_length())
+    bits = shard_bits(spark, shards)
     folder = f"{shared_dir(spark)}/lm-{uuid.uuid4().hex}"
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -283,31 +174,30 @@ def train(docs: DataFrame, text: str = "text", shards: int | None = None) -> Mod
             for shard, data in _pair_parts(*(np.concatenate(c) for c in zip(*held)), bits):
                 yield shard, data, []
 
-        yield from _batches(rows())
+        yield from batches_of(rows())
 
     def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        yield from _batches(row for shard, parts, _ in _by_shard(batches) for row in _pair_shard(folder, shard, bits, parts))
+        yield from batches_of(row for shard, parts, _ in by_shard(batches) for row in _pair_shard(folder, shard, bits, parts))
 
     def words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def rows():
-            for shard, parts, sums in _by_shard(batches):
+            for shard, parts, sums in by_shard(batches):
                 for x in sums:
                     yield shard, b"", [0, *x]
                 if not parts:
                     continue
-                got = [_unpack(np.frombuffer(p, np.uint8), "<i8", "<u4", "u1") for p in parts]
+                got = [unpack(np.frombuffer(p, np.uint8), "<i8", "<u4", "u1") for p in parts]
                 raw, before, w = np.concatenate([g[0] for g in got]), np.concatenate([g[1] for g in got]).astype(np.int64), np.concatenate([_from_seven(g[2]) for g in got])
                 order = np.argsort(w, kind="stable")
-                at, raw = _sums((w[order],), raw[order])
-                _, before = _sums((w[order],), before[order])
-                _put(folder, f"words-{shard}", _pack(w[order][at], raw, before))
+                at, raw = runs((w[order],), raw[order])
+                _, before = runs((w[order],), before[order])
+                put(folder, f"words-{shard}", pack(w[order][at], raw, before))
                 yield shard, b"", [1, *_of_counts(before), len(at), int(raw.sum()), int(before.sum())]
 
-        yield from _batches(rows())
+        yield from batches_of(rows())
 
-    sent = docs.select(F.coalesce(F.col(text), F.lit("")).alias("text")).mapInArrow(tidied(count), _ROWS)
-    dealt = lambda df: df.repartition(1 << bits, "shard").sortWithinPartitions("shard")
-    sums = [r["sums"] for r in dealt(dealt(sent).mapInArrow(tidied(pairs), _ROWS)).mapInArrow(tidied(words), _ROWS).select("sums").collect()]
+    sent = docs.select(F.coalesce(F.col(text), F.lit("")).alias("text")).mapInArrow(tidied(count), ROWS)
+    sums = [r["sums"] for r in dealt(dealt(sent, bits).mapInArrow(tidied(pairs), ROWS), bits).mapInArrow(tidied(words), ROWS).select("sums").collect()]
     total = lambda kind, size: [sum(x) for x in zip([0] * size, *(s[1:] for s in sums if s[0] == kind))]
     *of_words, n_types, n_tokens, n_pairs = total(1, 7)
     word_d = discounts(*of_words)
@@ -327,32 +217,21 @@ class Shards:
 
     def _open(self, kind: str, shard: int) -> list[np.ndarray] | None:
         held, types = (self.pairs, PAIR_TYPES) if kind == "pairs" else (self.words, WORD_TYPES)
-        if shard not in held:
-            try:
-                held[shard] = _unpack(_map(self.model.folder, f"{kind}-{shard}"), *types)
-            except FileNotFoundError:  # no key fell into it
-                held[shard] = None
+        if shard not in held:  # None if no key fell into it
+            file = mapped(self.model.folder, f"{kind}-{shard}")
+            held[shard] = None if file is None else unpack(file, *types)
         return held[shard]
 
     def _each(self, kind: str, keys: np.ndarray, top: int) -> Iterator[tuple[slice, list[np.ndarray]]]:
         """Parts of sorted keys with their shards."""
-        bits = self.model.bits
-        ends = np.searchsorted((keys >> np.uint64(top - bits)).astype(np.int64), np.arange((1 << bits) + 1))
-        for s in range(1 << bits):
-            if ends[s + 1] > ends[s] and (shard := self._open(kind, s)) is not None:
-                yield slice(ends[s], ends[s + 1]), shard
-
-    @staticmethod
-    def _find(array: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Which keys are in a sorted array, and where."""
-        at = np.searchsorted(array, keys)
-        hit = array[np.minimum(at, len(array) - 1)] == keys if len(array) else np.zeros(len(keys), bool)
-        return hit, at[hit]
+        for s, part in ranges(keys, self.model.bits, top):
+            if (shard := self._open(kind, s)) is not None:
+                yield part, shard
 
     def pair_counts(self, keys: np.ndarray) -> np.ndarray:
         out = np.zeros(len(keys), np.int64)
         for part, shard in self._each("pairs", keys, 64):
-            hit, at = self._find(shard[0], keys[part])
+            hit, at = find(shard[0], keys[part])
             n = shard[8][at].astype(np.int64)
             if (many := n == 255).any():
                 n[many] = shard[2][np.searchsorted(shard[1], keys[part][hit][many])]
@@ -363,7 +242,7 @@ class Shards:
         """total, n1, n2, n3+ of each sorted context; zeros if it was not seen."""
         out = np.zeros((4, len(words)), np.int64)
         for part, shard in self._each("pairs", words, _WORD_BITS):
-            hit, at = self._find(shard[3], words[part])
+            hit, at = find(shard[3], words[part])
             for k in range(4):
                 out[k, part][hit] = shard[4 + k][at]
         return out
@@ -372,7 +251,7 @@ class Shards:
         """count and distinct predecessors of each sorted word."""
         out = np.zeros((2, len(words)), np.int64)
         for part, shard in self._each("words", words, _WORD_BITS):
-            hit, at = self._find(shard[0], words[part])
+            hit, at = find(shard[0], words[part])
             out[0, part][hit], out[1, part][hit] = shard[1][at], shard[2][at]
         return out
 
