@@ -24,10 +24,9 @@ from pyspark.sql import DataFrame
 from tracelake.llm.common import map_texts
 
 END = "</w>"
-#: Words, runs within words and pairs of tokens that a worker remembers; beyond them it starts anew.
-CACHED_WORDS = 200_000
-CACHED_RUNS = 150_000
-CACHED_PAIRS = 300_000
+#: Words that an encoder remembers (some 250 MB with runs and pairs); beyond it starts anew. An encoder
+#: that goes with its task remembers a third of it.
+CACHED_WORDS = 600_000
 
 #: White space of the normaliser's `\s`.
 _SPACES = "\t\n\x0b\x0c\r \x85\xa0  -     　"
@@ -47,7 +46,7 @@ def byte_chars() -> list[str]:
 class Encoder:
     """A word-end BPE vocabulary with its transducer. Text is NFC, white space parts words, letters are lower case; special tokens are found in the raw text."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, words: int = CACHED_WORDS):
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         self.vocab: dict[str, int] = spec["model"]["vocab"]
@@ -59,9 +58,9 @@ class Encoder:
         self._special = regex.compile("|".join(map(regex.escape, sorted(self.special, key=len, reverse=True)))) if self.special else None
         self._chars = byte_chars()
         self._stable: dict[str, dict[str, bool]] = {}  # by the first token of a pair
-        self._pairs = 0
-        self._words = _Bounded(lambda word: np.array(self.word_ids(word), "<u4").tobytes(), CACHED_WORDS)
-        self._runs = _Bounded(self.run_ids, CACHED_RUNS)
+        self._pairs, self._most_pairs = 0, words * 5 // 3
+        self._words = _Bounded(lambda word: np.array(self.word_ids(word), "<u4").tobytes(), words)
+        self._runs = _Bounded(self.run_ids, words * 5 // 6)
         #: The merge that makes each token; the longest token, in symbols, is the sufficient lookahead.
         self._made = {a + b: (a, b) for a, b in reversed(self.rank)}
         self._simple = len(self._made) == len(self.rank)
@@ -121,7 +120,7 @@ class Encoder:
 
     def _after(self, a: str) -> dict[str, bool]:
         """What is known of a's followers."""
-        if self._pairs >= CACHED_PAIRS:
+        if self._pairs >= self._most_pairs:
             self._stable.clear()
             self._pairs = 0
         if (after := self._stable.get(a)) is None:
@@ -248,21 +247,27 @@ class _Bounded(dict):
 
 SCHEMA = "doc_id long, n_tokens long, ids binary"
 DIGEST = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
+_LOADED: dict[str, Encoder] = {}
 
 
 def _encoder(path: str) -> Encoder:
-    """A task's encoder for the vocabulary file. It goes with the task, so that workers do not hold it through other work."""
-    return Encoder(path)
+    """A worker's encoder for the vocabulary file, kept for later tasks."""
+    if path not in _LOADED:
+        _LOADED[path] = Encoder(path)
+    return _LOADED[path]
 
 
 def encode(docs: DataFrame, path: str, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc_id, n_tokens and ids (little-endian unsigned 32-bit) of every row; a null text is empty and has no tokens. Repeated rows get equal results; extra columns are left out."""
+    """doc_id, n_tokens and ids (little-endian unsigned 32-bit) of every row; a null text is empty and has no tokens. Repeated rows get equal results; extra columns are left out.
+
+    An encoder goes with its task, so that a worker does not hold one through a pipeline's other stages.
+    """
 
     def work(encoder: Encoder, ids: list, texts: list) -> dict:
         got = [encoder.encode(t) for t in texts]
         return {"doc_id": ids, "n_tokens": [len(g) for g in got], "ids": [g.tobytes() for g in got]}
 
-    return map_texts(docs, work, SCHEMA, doc_id, text, prepare=lambda: _encoder(path))
+    return map_texts(docs, work, SCHEMA, doc_id, text, prepare=lambda: Encoder(path, CACHED_WORDS // 3))
 
 
 def digest(docs: DataFrame, path: str, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
