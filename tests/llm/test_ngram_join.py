@@ -73,3 +73,15 @@ def test_tree_search_is_the_bound():
         bound = np.minimum(points[:x], points[x]).sum(axis=1)
         want = np.flatnonzero((bound >= J.needed(int(sizes[x]), sizes[:x])) & (sizes[:x] * 100 >= 75 * sizes[x]))
         assert tree.search(points[x], int(sizes[x]), x).tolist() == want.tolist()
+
+
+def test_counts_past_a_byte_lose_no_link(monkeypatch):
+    monkeypatch.setattr(J, "MOST_GROUPS", 8)  # counts of 4,000 shingles are about 500, as those of a very long text would be
+    rng = np.random.default_rng(6)
+    sets = [np.unique(rng.integers(0, 1 << 63, n).astype(np.uint64)) for n in (4000, 4000, 600_000)]
+    sets = sorted((np.sort(np.concatenate([s[: len(s) - k], s[: len(s) // 50] + np.uint64(1)])) for s in sets for k in (0, 300)), key=len)
+    sizes = np.array([len(s) for s in sets])
+    points = [J.point(s) for s in sets]
+    assert [int(p.sum()) for p in points] == sizes.tolist()
+    same = {(x, y) for x in range(6) for y in range(x) if 100 * (o := len(np.intersect1d(sets[x], sets[y]))) >= 75 * (sizes[x] + sizes[y] - o)}
+    assert len(same) == 3 and set(J.link(points, sizes, sets)) == same

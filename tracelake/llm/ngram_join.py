@@ -88,10 +88,15 @@ def n_groups(n: int) -> int:
     return min(MOST_GROUPS, 1 << max(3, (n // PER_GROUP).bit_length()))
 
 
+def count_type(n: int) -> np.dtype:
+    """The smallest type that holds any count of a set of n, so that no count is cut."""
+    return np.dtype("u1" if n < 1 << 8 else "<u2" if n < 1 << 16 else "<u4")
+
+
 def point(s: np.ndarray) -> np.ndarray:
-    """Counts of a set's shingles by the first bits of their hashes; a count of 255 stands for any more."""
+    """Counts of a set's shingles by the first bits of their hashes."""
     bits = n_groups(len(s)).bit_length() - 1
-    return np.minimum(np.bincount((mix(s) >> np.uint64(64 - bits)).astype(np.int64), minlength=1 << bits), 255).astype(np.uint8)
+    return np.bincount((mix(s) >> np.uint64(64 - bits)).astype(np.int64), minlength=1 << bits).astype(count_type(len(s)))
 
 
 def folded(p: np.ndarray, groups: int) -> np.ndarray:
@@ -273,7 +278,7 @@ def _meetings(texts: DataFrame, bits: int, folder: str) -> DataFrame:
             every = np.concatenate([sets[k] for k in order])
             often = np.split(_is_frequent(folder, bits, held, every), np.cumsum(n[order])[:-1])
             keys = [np.concatenate([sets[k][~o], sets[k][o]])[: n_keys(len(o))] for k, o in zip(order, often)]
-            points = [point(sets[k]) for k in order]
+            points = [point(sets[k]).view(np.uint8) for k in order]
             for s, x in ranges(node, bits):
                 yield s, pack(node[x], row[order[x]], n[order[x]], np.concatenate(points[x])), [NODE]
             key, of = np.concatenate(keys), np.repeat(node, [len(k) for k in keys])
@@ -304,7 +309,7 @@ def _meetings(texts: DataFrame, bits: int, folder: str) -> DataFrame:
                     yield DOCUMENT, None if f & 2 else d, r, k, b"", None if f & 1 else i
             if nodes:
                 got = [unpack(p, "<u8", "<u8", "<u4", "u1") for p in nodes]
-                points = [x for g in got for x in np.split(g[3], np.cumsum([n_groups(k) for k in g[2].tolist()])[:-1])]
+                points = [x for g in got for x in np.split(g[3], np.cumsum([n_groups(k) * count_type(k).itemsize for k in g[2].tolist()])[:-1])]
                 node, row, n = (np.concatenate([g[k] for g in got]) for k in (0, 1, 2))
                 order = np.lexsort((row.view(np.int64), node))
                 at, _ = runs((node[order],), np.ones(len(order), np.int64))
@@ -372,7 +377,7 @@ def _edges(groups: Iterator[dict[str, list]], with_sets: bool) -> Iterator[pa.Re
                 seen.add(g["node"][k])
                 order.append(k)
         node = [g["node"][k] for k in order]
-        points = [np.frombuffer(g["point"][k], np.uint8) for k in order]
+        points = [np.frombuffer(g["point"][k], count_type(g["n"][k])) for k in order]
         sets = [np.frombuffer(g["set"][k], "<u8") for k in order] if with_sets else None
         done.update((node[a], node[b]) for a, b in link(points, np.array([g["n"][k] for k in order], np.int64), sets))
         if len(done) > 500_000:
