@@ -85,3 +85,22 @@ def test_counts_past_a_byte_lose_no_link(monkeypatch):
     assert [int(p.sum()) for p in points] == sizes.tolist()
     same = {(x, y) for x in range(6) for y in range(x) if 100 * (o := len(np.intersect1d(sets[x], sets[y]))) >= 75 * (sizes[x] + sizes[y] - o)}
     assert len(same) == 3 and set(J.link(points, sizes, sets)) == same
+
+
+@pytest.mark.parametrize("block", [5, 1024])
+def test_every_link_once(spark, monkeypatch, block):
+    monkeypatch.setattr(J, "BLOCK", block)
+    rows = near_copies(7, 4, 25)
+    rows += [(100 + r[0], *r[1:]) for r in rows[:9]]
+    sets = [shingles(r[1]) for r in rows]
+    alike = lambda a, b: 100 * len(a & b) >= 75 * len(a | b)
+    got, pairs = J.similar(frame(spark, rows))
+    want = {r[0]: sum(alike(s, o) for o in sets) - 1 for r, s in zip(rows, sets)}
+    assert {r["doc_id"]: r["n_links"] for r in got.collect()} == want and max(want.values()) > 5
+    firsts: dict = {}
+    for r, s in zip(rows, sets):
+        firsts.setdefault(frozenset(s), r[0])
+    nodes = sorted((i, s) for s, i in firsts.items())
+    same = sorted((i, j, len(s & o)) for i, s in nodes for j, o in nodes if i < j and alike(s, o))
+    assert sorted((*sorted((p["first_id"], p["second_id"])), p["n_shared"]) for p in pairs.collect()) == same
+    assert len(same) > len(nodes)

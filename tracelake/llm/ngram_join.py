@@ -6,14 +6,16 @@ meet by key; frequent shingles go last in that order, which keeps passages that
 share out of the keys. Nodes that meet are points: shingles are hashed into groups and the counts
 of the groups are the coordinates. The summed minima of two points' coordinates bound their overlap
 from above. An R-tree over the points of a key finds the pairs whose bound reaches what J needs.
-Connected candidates are then compared by their true sets, again through an R-tree, so that a pair
-is verified unless links already connect it.
+Connected candidates are then compared by their true sets, again through an R-tree: every pair whose
+bound suffices is verified once. Where only components are asked for (near_duplicates), a pair that
+links already connect is not.
 """
 
 from __future__ import annotations
 
 import uuid
 from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -146,9 +148,8 @@ class Groups:
         return a != b
 
 
-def link(points: list[np.ndarray], sizes: np.ndarray, sets: list[np.ndarray] | None) -> list[tuple[int, int]]:
-    """A forest that connects what links connect among nodes in order of size. Without sets, pairs whose bound suffices count as links."""
-    groups, out = Groups(len(points)), []
+def _candidates(points: list[np.ndarray], sizes: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+    """Of nodes in order of size, each with those before it whose bound suffices, if any."""
     # Partners have nearly as many shingles: nodes whose points have as many coordinates share a tree, folded to the fewest of a partner.
     dims = np.array([len(p) for p in points])
     trees: dict[int, tuple[int, RTree]] = {}
@@ -162,8 +163,15 @@ def link(points: list[np.ndarray], sizes: np.ndarray, sets: list[np.ndarray] | N
                 continue
             found.append(start + tree.search(folded(points[x], d), size, min(x - start, len(tree.sizes))))
         near = np.concatenate(found) if found else np.zeros(0, np.int64)
-        if not len(near):
-            continue
+        if len(near):
+            yield x, near
+
+
+def link(points: list[np.ndarray], sizes: np.ndarray, sets: list[np.ndarray] | None) -> list[tuple[int, int]]:
+    """A forest that connects what links connect among nodes in order of size. Without sets, pairs whose bound suffices count as links."""
+    groups, out = Groups(len(points)), []
+    for x, near in _candidates(points, sizes):
+        size = int(sizes[x])
         roots = np.array([groups.root(int(y)) for y in near])
         for r in np.unique(roots):
             if groups.root(int(r)) == groups.root(x):
@@ -176,6 +184,22 @@ def link(points: list[np.ndarray], sizes: np.ndarray, sets: list[np.ndarray] | N
     return out
 
 
+def links(points: list[np.ndarray], sizes: np.ndarray, sets: list[np.ndarray], block: np.ndarray) -> Iterator[tuple[int, int, int, bool]]:
+    """Every link among nodes in order of size, with the overlap and whether it joins what links before it do not. Nodes of one block, unless it is -1, meet elsewhere."""
+    groups = Groups(len(points))
+    names, at = np.unique(np.concatenate(sets), return_inverse=True)
+    at = np.split(at.astype(np.int32), np.cumsum(sizes)[:-1])
+    held = np.zeros(len(names), bool)
+    for x, near in _candidates(points, sizes):
+        near = near[(block[near] != block[x]) | (block[x] < 0)]
+        held[at[x]] = True
+        shared = np.array([np.count_nonzero(held[at[y]]) for y in near.tolist()], np.int64)
+        held[at[x]] = False
+        linked = 100 * shared >= LEAST * (sizes[x] + sizes[near] - shared)
+        for y, o in zip(near[linked].tolist(), shared[linked].tolist()):
+            yield x, y, o, groups.join(x, y)
+
+
 # --- tables ----------------------------------------------------------------------
 
 
@@ -232,12 +256,13 @@ def _long(a) -> list[int]:
     return np.asarray(a, np.uint64).view(np.int64).tolist()
 
 
-def _block_pairs(m: int, x: int, key: int) -> list[int]:
-    """The groups that node x of m goes to: the key itself, or a group for each block that its own block meets."""
-    blocks = -(-m // BLOCK)
+def _block_pairs(m: int, x: int, key: int, block: int | None = None) -> list[int]:
+    """The groups that node x of m goes to: the key itself, or a group for each block that its own block meets. Blocks have BLOCK nodes; tasks are told, as the driver's number holds."""
+    block = block or BLOCK
+    blocks = -(-m // block)
     if blocks <= 1:
         return [key]
-    mine = x // BLOCK
+    mine = x // block
     pairs = np.array([min(mine, j) * blocks + max(mine, j) for j in range(blocks)], np.uint64)
     return _long(mix(pairs + np.uint64(1) ^ mix(np.array([key], np.int64).view(np.uint64))))
 
@@ -248,6 +273,7 @@ SHARED, NODE, DOCUMENT = 0, 1, 2
 
 def _meetings(texts: DataFrame, bits: int, folder: str) -> DataFrame:
     """SHARED: node and group, for every set of nodes that share a key. NODE: node, key (the least row key of its documents), n and point. DOCUMENT: node (null without words), key (its row key), n and doc_id."""
+    block = BLOCK
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def rows():
@@ -329,7 +355,7 @@ def _meetings(texts: DataFrame, bits: int, folder: str) -> DataFrame:
         first = first[m[first] > 1]
         for a, k, group in zip(at[first].tolist(), m[first].tolist(), _long(name[first])):
             for x, v in enumerate(_long(node[a : a + k])):
-                for g in _block_pairs(k, x, group):
+                for g in _block_pairs(k, x, group, block):
                     yield SHARED, v, g, 0, b"", None
 
     schema = "kind byte, node long, key long, n int, point binary, doc_id long"
@@ -360,6 +386,20 @@ def _grouped(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[dict[str,
 _EDGES = pa.schema([("u", pa.int64()), ("v", pa.int64())])
 
 
+def _ordered(g: dict[str, list]) -> list[int]:
+    """Places of a group in order of size, a node once."""
+    order, seen = [], set()
+    for k in sorted(range(len(g["node"])), key=lambda k: (g["n"][k], g["node"][k])):
+        if g["node"][k] not in seen:
+            seen.add(g["node"][k])
+            order.append(k)
+    return order
+
+
+def _points(g: dict[str, list], order: list[int]) -> tuple[list[np.ndarray], np.ndarray]:
+    return [np.frombuffer(g["point"][k], count_type(g["n"][k])) for k in order], np.array([g["n"][k] for k in order], np.int64)
+
+
 def _edges(groups: Iterator[dict[str, list]], with_sets: bool) -> Iterator[pa.RecordBatch]:
     """Links of each group, each edge once a task."""
     done: set[tuple[int, int]] = set()
@@ -370,22 +410,34 @@ def _edges(groups: Iterator[dict[str, list]], with_sets: bool) -> Iterator[pa.Re
         return pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], schema=_EDGES)
 
     for g in groups:
-        # In order of size, a node once.
-        order, seen = [], set()
-        for k in sorted(range(len(g["node"])), key=lambda k: (g["n"][k], g["node"][k])):
-            if g["node"][k] not in seen:
-                seen.add(g["node"][k])
-                order.append(k)
+        order = _ordered(g)
         node = [g["node"][k] for k in order]
-        points = [np.frombuffer(g["point"][k], count_type(g["n"][k])) for k in order]
         sets = [np.frombuffer(g["set"][k], "<u8") for k in order] if with_sets else None
-        done.update((node[a], node[b]) for a, b in link(points, np.array([g["n"][k] for k in order], np.int64), sets))
+        done.update((node[a], node[b]) for a, b in link(*_points(g, order), sets))
         if len(done) > 500_000:
             yield flush()
     if done:
         yield flush()
 
 
+_LINKS = pa.schema([("u", pa.int64()), ("v", pa.int64()), ("n_shared", pa.int32()), ("joins", pa.bool_())])
+
+
+def _all_links(groups: Iterator[dict[str, list]]) -> Iterator[pa.RecordBatch]:
+    """Every link of each group once."""
+
+    def rows():
+        for g in groups:
+            order = _ordered(g)
+            node = [g["node"][k] for k in order]
+            for a, b, o, joins in links(*_points(g, order), [np.frombuffer(g["set"][k], "<u8") for k in order], np.array([g["block"][k] for k in order])):
+                yield node[a], node[b], o, joins
+
+    found = rows()
+    while some := list(islice(found, 100_000)):
+        yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*some), _LINKS)], schema=_LINKS)
+
+
 def _write_members(members: DataFrame, bits: int, folder: str) -> None:
     """Sorted arrays row key -> node, cluster for workers to look up."""
 
@@ -404,8 +456,9 @@ def _write_members(members: DataFrame, bits: int, folder: str) -> None:
 
 
 def _sets(texts: DataFrame, bits: int, folder: str) -> DataFrame:
-    """group, node, n, point and set of every node in a cluster, from the text of its first document."""
-    schema = pa.schema([("group", pa.int64()), ("node", pa.int64()), ("n", pa.int32()), ("point", pa.binary()), ("set", pa.binary())])
+    """group, node, n, point and set of every node in a cluster, from the text of its first document, and its block where the group is a pair of two blocks, else -1."""
+    block = BLOCK
+    schema = pa.schema([("group", pa.int64()), ("node", pa.int64()), ("n", pa.int32()), ("point", pa.binary()), ("set", pa.binary()), ("block", pa.int32())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def rows():
@@ -424,17 +477,17 @@ def _sets(texts: DataFrame, bits: int, folder: str) -> DataFrame:
                             hits += zip(order[x][hit].tolist(), *(held[shard][k][at].tolist() for k in (1, 2, 3)))
                     texts = part.column("text")
                     for (_, node, cluster, size), s in zip(hits, shingle_sets([texts[h[0]].as_py() for h in hits])):
-                        mine = int(np.uint64(node % (1 << 64)) % np.uint64(-(-size // BLOCK))) * BLOCK
-                        for group in _block_pairs(size, mine, cluster):
-                            yield group, node, len(s), point(s).tobytes(), s.astype("<u8").tobytes()
+                        mine = int(np.uint64(node % (1 << 64)) % np.uint64(-(-size // block))) * block
+                        for j, group in enumerate(_block_pairs(size, mine, cluster, block)):
+                            yield group, node, len(s), point(s).tobytes(), s.astype("<u8").tobytes(), -1 if j == mine // block else mine // block
 
         yield from batches_of(rows(), schema, 4)
 
-    return texts.mapInArrow(tidied(run), "group long, node long, n int, point binary, set binary")
+    return texts.mapInArrow(tidied(run), "group long, node long, n int, point binary, set binary, block int")
 
 
-def linked_nodes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> tuple[DataFrame, DataFrame]:
-    """The documents (doc_id, row_key, n_shingles, node; node is null without words) and, of nodes that links connect, (node, root)."""
+def _clustered(docs: DataFrame, doc_id: str, text: str) -> tuple[DataFrame, DataFrame]:
+    """The documents (doc_id, row_key, n_shingles, node; node is null without words) and the sets of nodes that candidates connect, by group."""
     small_batches(docs.sparkSession)
     picked = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     texts = picked.select("doc_id", F.xxhash64(F.col("doc_id"), "text").alias("row_key"), "text")
@@ -448,25 +501,46 @@ def linked_nodes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
     clusters = components(near)
     sized = clusters.join(clusters.groupBy("root").agg(F.count("*").alias("size")), "root").select("node", F.col("root").alias("cluster"), "size")
     _write_members(nodes.select("node", "row_key").join(sized, "node"), bits, folder)
-    # Connected candidates are verified by their sets.
     sets = _sets(texts, bits, folder).repartition(1 << bits, "group").sortWithinPartitions("group")
-    linked = components(sets.mapInArrow(tidied(lambda b: _edges(_grouped(b, "group"), True)), "u long, v long"))
-    return met.filter(F.col("kind") == DOCUMENT).select("doc_id", F.col("key").alias("row_key"), F.col("n").cast("long").alias("n_shingles"), "node"), linked
+    return met.filter(F.col("kind") == DOCUMENT).select("doc_id", F.col("key").alias("row_key"), F.col("n").cast("long").alias("n_shingles"), "node"), sets
 
 
-def join(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """One row per row of docs: doc_id, n_shingles, component_id (the least id that links reach).
+def linked_nodes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> tuple[DataFrame, DataFrame]:
+    """The documents (doc_id, row_key, n_shingles, node; node is null without words) and, of nodes that links connect, (node, root). Pairs that links connect already are not verified."""
+    rows, sets = _clustered(docs, doc_id, text)
+    return rows, components(sets.mapInArrow(tidied(lambda b: _edges(_grouped(b, "group"), True)), "u long, v long"))
+
+
+def similar(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> tuple[DataFrame, DataFrame]:
+    """The join: rows and pairs.
+
+    Rows: one per row of docs: doc_id, n_shingles, component_id (the least id that links reach) and
+    n_links (how many other rows are linked to it, those of equal sets among them).
+    Pairs: one per link of two different sets: first_id and second_id (the least ids that have these
+    sets), first_n, second_n (their shingles) and n_shared.
 
     A null or empty text has no shingles and no links; equal sets link; a null id takes part and is
     named only where it is alone; repeated rows get equal results; extra columns are left out.
     """
-    rows, linked = linked_nodes(docs, doc_id, text)
+    rows, sets = _clustered(docs, doc_id, text)
+    found = materialize(sets.mapInArrow(tidied(lambda b: _all_links(_grouped(b, "group"))), "u long, v long, n_shared int, joins boolean"), "join-links")
+    linked = components(found.filter("joins").select("u", "v"))
     # Only nodes with several documents or links need a look-up; their rows are salted, as one node may have a third of all.
-    firsts = rows.filter("node is not null").groupBy("node").agg(F.min("doc_id").alias("first"), F.count("*").alias("n"))
-    rooted = firsts.join(linked, "node", "left").filter("n > 1 or root is not null").select("node", F.coalesce("root", "node").alias("root"), "first")
+    firsts = rows.filter("node is not null").groupBy("node").agg(F.min("doc_id").alias("first"), F.count("*").alias("n"), F.first("n_shingles").alias("n_shingles"))
+    rooted = firsts.join(linked, "node", "left").filter("n > 1 or root is not null").select("node", F.coalesce("root", "node").alias("root"), "first", "n", "n_shingles")
     rooted = materialize(rooted, "join-nodes")
+    both = found.select("u", "v").union(found.select("v", "u"))
+    others = both.join(rooted.select(F.col("node").alias("v"), "n"), "v").groupBy("u").agg(F.sum("n").alias("others")).withColumnRenamed("u", "node")
     least = rooted.groupBy("root").agg(F.min("first").alias("component"))
     salts = 8
-    named = rooted.join(least, "root").select("node", "component", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("salt"))
+    counted = rooted.join(others, "node", "left").select("node", "root", (F.col("n") - 1 + F.coalesce("others", F.lit(0))).alias("links"))
+    named = counted.join(least, "root").select("node", "component", "links", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("salt"))
     salted = rows.withColumn("salt", F.when(F.col("node").isNotNull(), F.pmod(F.hash("row_key"), F.lit(salts))).otherwise(F.pmod(F.hash("row_key"), F.lit(1 << 20)) + salts))
-    return salted.join(named, ["node", "salt"], "left").select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
+    out = salted.join(named, ["node", "salt"], "left").select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"), F.coalesce("links", F.lit(0)).cast("long").alias("n_links"))
+    end = lambda c, name: rooted.select(F.col("node").alias(c), F.col("first").alias(f"{name}_id"), F.col("n_shingles").alias(f"{name}_n"))
+    return out, found.join(end("u", "first"), "u").join(end("v", "second"), "v").select("first_id", "second_id", "first_n", "second_n", "n_shared")
+
+
+def join(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """doc_id, n_shingles and component_id of the rows of similar()."""
+    return similar(docs, doc_id, text)[0].drop("n_links")

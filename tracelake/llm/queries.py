@@ -19,9 +19,9 @@ def op1_kneser_ney(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from tracelake.llm.ngram_join import join
+    from tracelake.llm.ngram_join import similar
 
-    return join(_documents(spark, sf_dir))
+    return similar(_documents(spark, sf_dir))[0]
 
 
 def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
