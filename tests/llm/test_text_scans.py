@@ -1,6 +1,7 @@
 import hashlib
 import random
 import re
+import re._parser as sre_parse
 import struct
 import zlib
 
@@ -65,6 +66,51 @@ def test_license_prefilter_and_suppression(seed):
         assert license_scan.detect(norm) == sorted(kept, key=lambda d: (d[0], d[1], d[2].label))
 
 
+def generated(node):
+    """Matches of a parsed regex: every branch and both ends of every repeat at least once."""
+    out = [""]
+    for op, arg in node:
+        name = str(op)
+        if name == "LITERAL":
+            some = [chr(arg)]
+        elif name == "IN":
+            some = [chr(x[1] if str(x[0]) == "LITERAL" else x[1][0]) if str(x[0]) != "NEGATE" else "w" for x in arg[:1]]
+        elif name == "NOT_LITERAL":
+            some = ["w"]
+        elif name == "BRANCH":
+            some = [g for b in arg[1] for g in generated(b)]
+        elif name == "SUBPATTERN":
+            some = generated(arg[3])
+        elif name in ("MAX_REPEAT", "MIN_REPEAT", "POSSESSIVE_REPEAT"):
+            inner = generated(arg[2])
+            some = [*([""] if not arg[0] else []), *(g * max(arg[0], 1) for g in inner), *(inner[:1] if arg[1] > 40 else [])]
+            some += [g * 40 for g in inner[:1] if arg[1] > 40]
+        else:
+            assert name == "ASSERT_NOT", name
+            some = [""]
+        out = [o + g for o in out for g in dict.fromkeys(some)]
+    return out
+
+
+def test_license_prefilter_drops_no_match():
+    rules, n = license_scan.rules(), 0
+    for r in rules:
+        made = generated(sre_parse.parse(r.pattern.pattern.decode()))
+        assert made
+        for text in made:
+            if r.pattern.search(text.encode()):
+                n += 1
+                assert any(k in text for k in r.keywords), (r.label, text)
+    assert n > 2000
+    label = lambda t: license_scan.scan_text(t)["detections"]
+    assert [d["label"] for d in label("governed by a BSD-style license")] == ["bsd"]
+    assert [d["label"] for d in label("WITHOUT WARRANTIES OR CONDITIONS")] == ["no-warranty"]
+    clause = lambda holder: f"Neither the name of {holder} may be used to endorse or promote products"
+    assert [d["label"] for d in label(clause("the long holder " * 50))] == ["bsd-3-clause"]
+    assert [(d["start"], d["label"]) for d in label("neither the name of x " + clause("y"))] == [(5, "bsd-3-clause")]
+    assert label(clause("x").replace(" x ", " ")) == [] and label("neither the name of x " * 20_000) == []
+
+
 # --- secrets
 
 

@@ -108,6 +108,9 @@ FRAMES = (
     (r"(?:the )?{name}(?: as published by the free software foundation)?", 50, 0.8),
 )
 
+#: What ends the clause on names; any number of words stands before it, up to the next such clause, so that a scan stays linear.
+_PROMOTE = "may be used to endorse or promote products"
+
 #: Signatures of license texts and clues: (label, priority, keyword, regex over words, confidence).
 TEXTS = (
     ("mit", 90, "permission is hereby granted", r"permission is hereby granted free of charge to any person obtaining a copy of this software", 0.99),
@@ -115,7 +118,7 @@ TEXTS = (
     ("mit", 100, "spdx license identifier", r"spdx license identifier mit(?! (?:0|no))", 1.0),
     ("isc", 90, "permission to use copy modify", r"permission to use copy modify and (?:or )?distribute this software for any purpose with or without fee is hereby granted", 0.99),
     ("bsd-2-clause", 85, "redistribution and use in source", r"redistribution and use in source and binary forms with or without modification are permitted", 0.9),
-    ("bsd-3-clause", 88, "neither the name", r"neither the names? of .{1,120}? may be used to endorse or promote products", 0.9),
+    ("bsd-3-clause", 88, "neither the name", rf"neither the names? of (?:(?!{_PROMOTE}(?![^ ])|neither the names? of )[^ ]++ )++{_PROMOTE}", 0.9),
     ("bsd-4-clause", 88, "all advertising materials", r"all advertising materials mentioning features or use of this software", 0.9),
     ("apache-2.0", 90, "you may not use this file except", r"you may not use this file except in compliance with the license", 0.9),
     ("apache-2.0", 92, "www apache org licenses", r"www apache org licenses license 2 0", 0.99),
@@ -133,8 +136,8 @@ TEXTS = (
     ("proprietary", 60, "proprietary and confidential", r"proprietary and confidential", 0.8),
     ("commercial", 50, "commercial license", r"commercial license(?: agreement)?", 0.6),
     ("eula", 60, "end user license agreement", r"end user license agreement", 0.8),
-    ("no-warranty", 30, "without warranty", r"without warrant(?:y|ies) (?:of any kind|or conditions)", 0.3),
-    ("bsd", 45, "bsd license", r"bsd (?:style )?license", 0.7),
+    ("no-warranty", 30, "without warrant", r"without warrant(?:y|ies) (?:of any kind|or conditions)", 0.3),
+    ("bsd", 45, "bsd", r"bsd (?:style )?license", 0.7),
     ("lgpl", 48, "lesser general public license", r"(?:gnu )?lesser general public license", 0.75),
     ("agpl", 48, "affero general public license", r"(?:gnu )?affero general public license", 0.75),
     ("cc", 45, "creative commons", r"creative commons(?: license)?", 0.6),
