@@ -152,6 +152,34 @@ def test_weak_candidates_need_their_complements():
     assert kinds("https://db.example.com/x password = hunter2hunter2") == []
 
 
+@pytest.mark.parametrize("reach", [None, 256, 20])
+def test_links_are_those_of_all_pairs_in_a_scope(reach):
+    rng, bits, found = random.Random(9), [r[1] for r in secretive()], 0
+    hexes = lambda n: "".join(rng.choices("0123456789abcdef", k=n))
+    for t in bits + [f"{b} token={hexes(32)}.{'x.' * rng.randint(0, 300)} {'word ' * rng.randint(0, 200)}\n{rng.choice(['user=bob', 'https://db.example.com/x'])}\n \n{b}" for b in bits]:
+        base = secret_scan.base_spans(t)
+        weak = [(m.start(), m.end(), k) for k, p in (("endpoint", secret_scan.ENDPOINT), ("user", secret_scan.USER), ("run", secret_scan.RUN)) for m in p.finditer(t)]
+        weak = [w for w in weak if w[2] != "run" or secret_scan._entropy(t[w[0] : w[1]]) >= 3.5 and re.search("[0-9]", t[w[0] : w[1]]) and re.search("[A-Za-z]", t[w[0] : w[1]])]
+        weak = [w for w in weak if not any(a < w[1] and b > w[0] for a, b, _ in base)]
+        cuts = [m.start() for m in secret_scan.SCOPE.finditer(t)]
+        scope = lambda x: sum(c < x for c in cuts)
+        near = lambda w, o: o != w and scope(w[0]) == scope(o[0]) and (reach is None or o[0] < w[1] + reach and o[1] > w[0] - reach)
+        has = lambda w, role: any(secret_scan.ROLE[o[2]] == role and o[:2] != w[:2] and near(w, o) for o in base + weak)
+        needs = {"secret": ["id"], "id": ["secret"], "endpoint": ["secret", "id"]}
+        want = [w for w in weak if all(has(w, role) for role in needs[secret_scan.ROLE[w[2]]])]
+        assert secret_scan.linked_spans(t, base, reach) == want
+        found += len(want)
+    assert found > 50
+
+
+def test_parts_of_one_scope_link_however_far(spark):
+    text = "token=" + "a1" * 16 + "." + "x" * 400 + "\nuser=bob"
+    assert [s[2] for s in secret_scan.linked_spans(text, secret_scan.base_spans(text))] == ["user"]
+    far = f"AKIA{'A' * 12} {'x ' * 400}wJalrXUtnFEMI/K7MDENG/bPxRfiCYEXAMPLEKEY7"
+    got = secret_scan.scan(frame(spark, [(1, far, "en", "a", 0, None, None, None, None)])).collect()
+    assert got[0]["n_linked"] == 1 and secret_scan.masked(far).endswith("x [run]")
+
+
 def test_masking(spark):
     rows = [(1, "a password = hunter2hunter2 b", "en", "a", 29, None, None, None, None), (2, None, "en", "a", 5, None, None, None, None)]
     got = rows_of(secret_scan.mask(frame(spark, rows)).select("doc_id", "text", "n_chars"))

@@ -1,9 +1,9 @@
-"""Secret scans: certain spans by pattern, weak candidates only where complementary parts stand near.
+"""Secret scans: certain spans by pattern, weak candidates only where complementary parts stand in their scope.
 
 A credential comes in parts: an access identifier, a secret and an endpoint. Certain spans (base)
 are reported alone. Weak candidates (a bare high-entropy run, an endpoint, an identifier
 assignment) are linked by an interval join inside each scope, a paragraph: one is reported when its
-span, widened by `reach`, meets a part of a complementary kind in the same scope.
+scope holds a part of a complementary kind; with a `reach`, when its span, widened by that, meets one.
 """
 
 from __future__ import annotations
@@ -14,6 +14,7 @@ import re
 from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -38,6 +39,7 @@ SCOPE = re.compile(r"\n[\t\r ]*\n")
 KINDS = ("assign", "access", "hex", "run", "endpoint", "user")
 #: The role of each kind's spans in a credential.
 ROLE = {"assign": "secret", "access": "id", "hex": "secret", "run": "secret", "endpoint": "endpoint", "user": "id"}
+#: A reach for callers that want near parts only; scan() and mask() take the whole scope unless told.
 REACH = 256
 #: Bits a character that a bare run needs at least.
 ENTROPY = 3.5
@@ -61,8 +63,8 @@ def base_spans(text: str) -> list[tuple[int, int, str]]:
 _ASCII_LOWER = {c: c + 32 for c in range(65, 91)}
 
 
-def linked_spans(text: str, base: list[tuple[int, int, str]], reach: int = REACH) -> list[tuple[int, int, str]]:
-    """Weak candidates that meet complementary parts in their scope."""
+def linked_spans(text: str, base: list[tuple[int, int, str]], reach: int | None = REACH) -> list[tuple[int, int, str]]:
+    """Weak candidates that meet complementary parts in their scope, or within the reach if there is one."""
     weak = []
     if "://" in text or ".amazonaws." in text:
         weak += [(m.start(), m.end(), "endpoint") for m in ENDPOINT.finditer(text)]
@@ -71,10 +73,11 @@ def linked_spans(text: str, base: list[tuple[int, int, str]], reach: int = REACH
         return []
     taken = sorted((a, b) for a, b, _ in base)
     firsts = [a for a, _ in taken]
+    furthest = list(accumulate((e for _, e in taken), max))
 
     def free(a: int, b: int) -> bool:
-        k = bisect_left(firsts, b)  # base spans of three kinds may overlap: look back while they can reach
-        return all(e <= a for _, e in taken[max(0, k - 8) : k])
+        k = bisect_left(firsts, b)
+        return not k or furthest[k - 1] <= a
 
     weak += [(m.start(), m.end(), "run") for m in RUN.finditer(text) if _entropy(m[0]) >= ENTROPY and re.search(r"[0-9]", m[0]) and re.search(r"[A-Za-z]", m[0])]
     weak = [w for w in weak if free(w[0], w[1])]
@@ -86,17 +89,18 @@ def linked_spans(text: str, base: list[tuple[int, int, str]], reach: int = REACH
         by_role[ROLE[kind]].append((a, b))
     for spans in by_role.values():
         spans.sort()
+    ends = {role: list(accumulate((b for _, b in spans), max)) for role, spans in by_role.items()}
 
     def near(a: int, b: int, role: str) -> bool:
-        """Whether a span of the role meets [a - reach, b + reach) cut to a's scope. The nearest neighbours by start are enough, as no role's spans are long against reach in one scope."""
+        """Whether a span of the role meets [a - reach, b + reach) cut to a's scope, or a's scope without a reach. Of those that start before, the furthest end counts, as spans may hold others."""
         k = bisect_left(borders, a)
-        low = max(a - reach, borders[k - 1] if k else 0)
-        high = min(b + reach, borders[k] if k < len(borders) else len(text))
+        low, high = borders[k - 1] if k else 0, borders[k] if k < len(borders) else len(text)
+        if reach is not None:
+            low, high = max(a - reach, low), min(b + reach, high)
         spans = by_role[role]
         at = bisect_left(spans, (a, a))
-        left = spans[at - 1] if at else None
         right = next((s for s in spans[at : at + 2] if s != (a, b)), None)
-        return bool(left and left[1] > low) or bool(right and right[0] < high)
+        return bool(at and ends[role][at - 1] > low) or bool(right and right[0] < high)
 
     others = {"secret": ("id",), "id": ("secret",), "endpoint": ("secret", "id")}
     # A secret needs an identifier, an identifier a secret; an endpoint needs both.
@@ -110,7 +114,7 @@ def _listed(spans: list[tuple[int, int, str]]) -> str:
 SCHEMA = "doc_id long, n_assign long, n_access long, n_hex long, n_linked long, base_sha256 string, spans string"
 
 
-def scan(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", reach: int = REACH) -> DataFrame:
+def scan(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", reach: int | None = None) -> DataFrame:
     """One row per row of docs with SCHEMA; spans lists kind:start:end in code points.
 
     A null or empty text has no spans; repeated rows get equal results; extra columns are left out.
@@ -130,7 +134,7 @@ def scan(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", reach: int
     return map_texts(docs, work, SCHEMA, doc_id, text)
 
 
-def masked(text: str, reach: int = REACH) -> str:
+def masked(text: str, reach: int | None = None) -> str:
     """The text with every span replaced by its kind in brackets; overlapping spans become one."""
     base = base_spans(text)
     spans = sorted(base + linked_spans(text, base, reach), key=lambda s: (s[0], KINDS.index(s[2]), s[1]))
@@ -144,7 +148,7 @@ def masked(text: str, reach: int = REACH) -> str:
     return "".join([*parts, text[at:]])
 
 
-def mask(docs: DataFrame, text: str = "text", n_chars: str | None = "n_chars", reach: int = REACH) -> DataFrame:
+def mask(docs: DataFrame, text: str = "text", n_chars: str | None = "n_chars", reach: int | None = None) -> DataFrame:
     """The rows of docs, all columns, with the text masked; a null text stays null. n_chars, if it is a column, gets the new length where the text is not null."""
 
     small_batches(docs.sparkSession)
