@@ -315,6 +315,25 @@ def test_labeller_on_composed_pages():
     assert right / n > 0.97
 
 
+def test_far_ancestors_reach_the_vectors():
+    deep = lambda n: "".join("<div class='flex mx-auto px-4 wp-block-group is-layout-flex has-text-color'><div>" for _ in range(n))
+    prose = "The river rose over night, and the town slept on. Nobody had thought of the bridge, which was old."
+    page = lambda tag, n: f"<html><body><article><h1>A flood</h1><p>{prose}</p><p>{prose}</p></article><{tag}>{deep(n)}<p>Another text stands here, of a few words.</p></body></html>"
+    paths = [html_extraction.blocks(page(tag, 4))[-1].path for tag in ("aside", "section")]
+    one, two = (html_extraction.vectors([html_extraction.Block(p, "x", 0)]).paths.tolist() for p in paths)
+    assert len(one) == len(paths[0]) > 40 and one != two
+
+
+def test_labeller_on_deep_pages():
+    net, rng, right, n = html_extraction.trained(), random.Random(78), 0, 0
+    for _ in range(200):
+        found, wanted = html_extraction.compose(rng)
+        if max(len(b.path) for b in found) > 30:
+            right += int(((html_extraction.label(net, [html_extraction.vectors(found)])[0] >= 0.5) == np.array(wanted)).sum())
+            n += len(wanted)
+    assert n > 500 and right / n > 0.95
+
+
 def test_gradient_by_differences():
     rng = random.Random(5)
     net = html_extraction.trained(seed=2, pages=4, epochs=1, batch=2)

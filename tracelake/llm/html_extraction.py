@@ -126,7 +126,6 @@ def blocks(page: str) -> list[Block]:
 # --- vectors ------------------------------------------------------------------------
 
 PATHS, WORDS, EMBEDDED, MEASURES, HIDDEN = 8192, 2048, 12, 6, 16
-_KEPT_PATH = 12
 
 
 class Net(NamedTuple):
@@ -148,7 +147,7 @@ class Page(NamedTuple):
 
 def vectors(found: list[Block]) -> Page:
     """Hashed path and words of a page's blocks, and measures of each block."""
-    paths = [[zlib.crc32(f"{w}/{min(d, 2)}".encode()) % PATHS for d, w in enumerate(reversed(b.path[-_KEPT_PATH:]))] or [0] for b in found]
+    paths = [[zlib.crc32(f"{w}/{min(d, 2)}".encode()) % PATHS for d, w in enumerate(reversed(b.path))] or [0] for b in found]
     h, first = hashed_words([b.text for b in found])
     size = np.array([len(b.text) for b in found], np.float32)
     count = np.diff(first)
@@ -286,6 +285,8 @@ PARTS = {
     "comments comment reply respond discussion disqus thread feedback": "reply says thanks great post i agree report ago wrote",
 }
 MAIN = "article main content post entry story text body page".split()
+#: Class words that say nothing of what an element is: utilities and layouts.
+NOISE = "flex grid row col md lg sm mx px py mt mb text size font bg color wp block group is layout constrained has link style align wide items center gap rounded border inner wrapper container elementor element widget w full max auto".split()
 _OWN_TAG = {"nav": "nav", "header": "header", "footer": "footer", "sidebar": "aside", "newsletter": "form", "search": "form", "related": "aside", "notice": "div", "ad": "div"}
 
 
@@ -299,8 +300,23 @@ def compose(rng: random.Random) -> tuple[list[Block], list[int]]:
     root = ["html", "body"][rng.choice([0, 0, 0, 1]) :]
     wrap = [f".{rng.choice(['wrap', 'container', 'site', 'page', 'layout'])}"] if rng.random() < 0.4 else []
     root += ["div", *wrap] if wrap else []
+    # Deep pages: wrappers around everything, and elements with many class words.
+    deep_page = rng.random() < 0.35
+    noise = lambda: [f".{rng.choice(NOISE)}" for _ in range(rng.randint(0, 7))]
+    if deep_page:
+        root += [w for _ in range(rng.randint(0, 6)) for w in ("div", *noise())]
+
+    def widened(path: list[str]) -> list[str]:
+        """The path below the root with class words at its elements and wrappers between them."""
+        wide: list[str] = []
+        for w in path:
+            if not w.startswith(".") and wide:
+                wide += [x for _ in range(rng.choice([0, 0, 1, 2])) for x in ("div", *noise())]
+            wide += [w, *noise()]
+        return wide
 
     def add(path: list[str], text: str, linked: bool, main: int) -> None:
+        path = [*root, *widened(path[len(root) :])] if deep_page else path
         out.append(Block(tuple(path), text, len(text) if linked else 0))
         wanted.append(main)
 
