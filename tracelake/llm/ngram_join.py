@@ -15,7 +15,6 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Iterator
-from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -184,9 +183,9 @@ def link(points: list[np.ndarray], sizes: np.ndarray, sets: list[np.ndarray] | N
     return out
 
 
-def links(points: list[np.ndarray], sizes: np.ndarray, sets: list[np.ndarray], block: np.ndarray) -> Iterator[tuple[int, int, int, bool]]:
-    """Every link among nodes in order of size, with the overlap and whether it joins what links before it do not. Nodes of one block, unless it is -1, meet elsewhere."""
-    groups = Groups(len(points))
+def links(points: list[np.ndarray], sizes: np.ndarray, sets: list[np.ndarray], block: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+    """Every link among nodes in order of size, by its later node: the earlier ones, overlaps, and whether a link joins what those before it do not. Nodes of one block, unless it is -1, meet elsewhere."""
+    group = np.arange(len(points))
     names, at = np.unique(np.concatenate(sets), return_inverse=True)
     at = np.split(at.astype(np.int32), np.cumsum(sizes)[:-1])
     held = np.zeros(len(names), bool)
@@ -196,8 +195,13 @@ def links(points: list[np.ndarray], sizes: np.ndarray, sets: list[np.ndarray], b
         shared = np.array([np.count_nonzero(held[at[y]]) for y in near.tolist()], np.int64)
         held[at[x]] = False
         linked = 100 * shared >= LEAST * (sizes[x] + sizes[near] - shared)
-        for y, o in zip(near[linked].tolist(), shared[linked].tolist()):
-            yield x, y, o, groups.join(x, y)
+        near, shared = near[linked], shared[linked]
+        if len(near):
+            met, first = np.unique(group[near], return_index=True)
+            joins = np.zeros(len(near), bool)
+            joins[first[met != group[x]]] = True
+            group[np.isin(group, met)] = group[x]
+            yield x, near, shared, joins
 
 
 # --- tables ----------------------------------------------------------------------
@@ -426,16 +430,25 @@ _LINKS = pa.schema([("u", pa.int64()), ("v", pa.int64()), ("n_shared", pa.int32(
 def _all_links(groups: Iterator[dict[str, list]]) -> Iterator[pa.RecordBatch]:
     """Every link of each group once."""
 
-    def rows():
-        for g in groups:
-            order = _ordered(g)
-            node = [g["node"][k] for k in order]
-            for a, b, o, joins in links(*_points(g, order), [np.frombuffer(g["set"][k], "<u8") for k in order], np.array([g["block"][k] for k in order])):
-                yield node[a], node[b], o, joins
+    held: list[tuple[np.ndarray, ...]] = []
+    n = 0
+
+    def flush() -> pa.RecordBatch:
+        columns = [np.concatenate(c) for c in zip(*held)]
+        held.clear()
+        return pa.RecordBatch.from_arrays([pa.array(c.astype(f.type.to_pandas_dtype()), f.type) for c, f in zip(columns, _LINKS)], schema=_LINKS)
 
-    found = rows()
-    while some := list(islice(found, 100_000)):
-        yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*some), _LINKS)], schema=_LINKS)
+    for g in groups:
+        order = _ordered(g)
+        node = np.array([g["node"][k] for k in order], np.int64)
+        for x, near, shared, joins in links(*_points(g, order), [np.frombuffer(g["set"][k], "<u8") for k in order], np.array([g["block"][k] for k in order])):
+            held.append((np.full(len(near), node[x]), node[near], shared, joins))
+            n += len(near)
+            if n > 100_000:
+                yield flush()
+                n = 0
+    if held:
+        yield flush()
 
 
 def _write_members(members: DataFrame, bits: int, folder: str) -> None:
