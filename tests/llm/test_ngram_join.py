@@ -56,14 +56,37 @@ def test_matches_brute_force(spark, rows):
     assert sorted(map(tuple, J.join(frame(spark, rows)).collect()), key=str) == brute(rows)
 
 
-def test_blocks_lose_no_link(spark, monkeypatch):
-    monkeypatch.setattr(J, "BLOCK", 5)
+@pytest.mark.parametrize("limits", [{"BLOCK": 5}, {"BLOCK_SHINGLES": 900}], ids=["nodes", "shingles"])
+def test_blocks_lose_no_link(spark, monkeypatch, limits):
+    for name, value in limits.items():
+        monkeypatch.setattr(J, name, value)
     rows = near_copies(4, 6, 40)
-    linked = J._block_pairs(12, 0, 7), J._block_pairs(12, 11, 7)
-    assert set(linked[0]) & set(linked[1])
     assert sorted(map(tuple, J.join(frame(spark, rows)).collect()), key=str) == brute(rows)
 
 
+def test_large_clusters_shuffle_every_set_once(spark, monkeypatch):
+    monkeypatch.setattr(J, "BLOCK", 16)
+    rng = random.Random(8)
+    base = [f"w{k}" for k in range(300)]
+    rows = [(i, " ".join(base[:k] + [f"x{i}"] + base[k + 1 :]), "en", "a", 0, None, None, None, None) for i in range(300) for k in [rng.randrange(300)]]
+    sent = []
+    own = J._met
+    monkeypatch.setattr(J, "_met", lambda blocks, *a: (sent.append(blocks), own(blocks, *a))[1])
+    got = J.similar(frame(spark, rows)).collect()
+    assert {(r["component_id"], r["n_links"]) for r in got} == {(0, 299)} and len(got) == 300
+    assert sent[-1].count() == 300 and sent[-1].filter("many").count() == 300
+
+
+def test_a_lost_file_is_an_error(spark, tmp_path):
+    from tracelake.llm.packed import Shards, pack, put
+
+    put(f"file://{tmp_path}", "keys-1", pack(np.arange(3, dtype="<u8")))
+    shards = Shards(f"file://{tmp_path}", "keys", frozenset([1, 2]), "<u8")
+    assert shards[0] is None and shards[1][0].tolist() == [0, 1, 2]
+    with pytest.raises(FileNotFoundError):
+        shards[2]
+
+
 def test_tree_search_is_the_bound():
     rng = np.random.default_rng(5)
     sizes = np.sort(rng.integers(60, 90, 9000))
@@ -84,7 +107,23 @@ def test_counts_past_a_byte_lose_no_link(monkeypatch):
     points = [J.point(s) for s in sets]
     assert [int(p.sum()) for p in points] == sizes.tolist()
     same = {(x, y) for x in range(6) for y in range(x) if 100 * (o := len(np.intersect1d(sets[x], sets[y]))) >= 75 * (sizes[x] + sizes[y] - o)}
-    assert len(same) == 3 and set(J.link(points, sizes, sets)) == same
+    block = J.Block(np.arange(6), sizes, np.ones(6, np.int64), points, sets)
+    side = np.zeros(6, np.int8)
+    assert len(same) == 3 and set(J.forest(block, side)) == same
+    assert J.links(block, side)[0].tolist() == [sum(k in e for e in same) for k in range(6)]
+    again = J.unpacked(np.frombuffer(block.packed(), np.uint8))
+    assert all(a.tolist() == b.tolist() for a, b in zip([*block.points, *block.sets], [*again.points, *again.sets]))
+
+
+def test_sets_of_over_a_million_shingles_link():
+    rng = np.random.default_rng(9)
+    one = np.unique(rng.integers(0, 1 << 63, 1_100_000).astype(np.uint64))
+    two = np.sort(np.concatenate([one[: len(one) - 100_000], one[:100_000] + np.uint64(1)]))
+    shared = len(np.intersect1d(one, two))
+    assert 0.8 < shared / (len(one) + len(two) - shared) < 0.87
+    sets = sorted([one, two], key=len)
+    block = J.Block(np.arange(2), np.array([len(s) for s in sets]), np.ones(2, np.int64), [J.point(s) for s in sets], sets)
+    assert J.links(block, np.zeros(2, np.int8))[0].tolist() == [1, 1]
 
 
 @pytest.mark.parametrize("block", [5, 1024])
@@ -94,13 +133,5 @@ def test_every_link_once(spark, monkeypatch, block):
     rows += [(100 + r[0], *r[1:]) for r in rows[:9]]
     sets = [shingles(r[1]) for r in rows]
     alike = lambda a, b: 100 * len(a & b) >= 75 * len(a | b)
-    got, pairs = J.similar(frame(spark, rows))
     want = {r[0]: sum(alike(s, o) for o in sets) - 1 for r, s in zip(rows, sets)}
-    assert {r["doc_id"]: r["n_links"] for r in got.collect()} == want and max(want.values()) > 5
-    firsts: dict = {}
-    for r, s in zip(rows, sets):
-        firsts.setdefault(frozenset(s), r[0])
-    nodes = sorted((i, s) for s, i in firsts.items())
-    same = sorted((i, j, len(s & o)) for i, s in nodes for j, o in nodes if i < j and alike(s, o))
-    assert sorted((*sorted((p["first_id"], p["second_id"])), p["n_shared"]) for p in pairs.collect()) == same
-    assert len(same) > len(nodes)
+    assert {r["doc_id"]: r["n_links"] for r in J.similar(frame(spark, rows)).collect()} == want and max(want.values()) > 5

@@ -8,13 +8,15 @@ of the groups are the coordinates. The summed minima of two points' coordinates
 from above. An R-tree over the points of a key finds the pairs whose bound reaches what J needs.
 Connected candidates are then compared by their true sets, again through an R-tree: every pair whose
 bound suffices is verified once. Where only components are asked for (near_duplicates), a pair that
-links already connect is not.
+links already connect is not. A group of many nodes is cut into blocks; each is written once to the
+shared folder, and a task compares two blocks by mapping them.
 """
 
 from __future__ import annotations
 
 import uuid
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -23,7 +25,7 @@ from pyspark.sql import functions as F
 
 from tracelake.llm.common import hashed_words, materialize, mix, shared_dir, slices, small_batches, tidied
 from tracelake.llm.components import components
-from tracelake.llm.packed import ROWS, batches_of, by_shard, dealt, find, mapped, pack, put, ranges, runs, shard_bits, unpack
+from tracelake.llm.packed import ROWS, Shards, batches_of, dealt, by_shard, find, mapped, pack, put, ranges, runs, shard_bits, unpack
 
 WIDTH = 5
 #: Similarity in hundredths.
@@ -35,8 +37,9 @@ PER_GROUP = 6
 MOST_GROUPS = 4096
 #: Points of a leaf, and children of an inner node.
 LEAF = 64
-#: Nodes of a key or of a cluster that a task holds at once; larger ones are dealt by pairs of blocks.
-BLOCK = 1024
+#: Nodes of a key or of a cluster that a task compares at once, and their shingles; larger ones are dealt by pairs of blocks.
+BLOCK = 512
+BLOCK_SHINGLES = 1 << 22
 PART_BYTES = 4 << 20
 
 
@@ -129,24 +132,6 @@ class RTree:
         return at[np.minimum(self.points[at], q).sum(axis=1) >= needed(size, self.sizes[at])]
 
 
-class Groups:
-    """Union-find over places."""
-
-    def __init__(self, n: int):
-        self.up = list(range(n))
-
-    def root(self, x: int) -> int:
-        while self.up[x] != x:
-            self.up[x] = self.up[self.up[x]]
-            x = self.up[x]
-        return x
-
-    def join(self, a: int, b: int) -> bool:
-        a, b = self.root(a), self.root(b)
-        self.up[max(a, b)] = min(a, b)
-        return a != b
-
-
 def _candidates(points: list[np.ndarray], sizes: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
     """Of nodes in order of size, each with those before it whose bound suffices, if any."""
     # Partners have nearly as many shingles: nodes whose points have as many coordinates share a tree, folded to the fewest of a partner.
@@ -166,42 +151,100 @@ def _candidates(points: list[np.ndarray], sizes: np.ndarray) -> Iterator[tuple[i
             yield x, near
 
 
-def link(points: list[np.ndarray], sizes: np.ndarray, sets: list[np.ndarray] | None) -> list[tuple[int, int]]:
-    """A forest that connects what links connect among nodes in order of size. Without sets, pairs whose bound suffices count as links."""
-    groups, out = Groups(len(points)), []
-    for x, near in _candidates(points, sizes):
-        size = int(sizes[x])
-        roots = np.array([groups.root(int(y)) for y in near])
-        for r in np.unique(roots):
-            if groups.root(int(r)) == groups.root(x):
-                continue
-            for y in near[roots == r].tolist():
-                if sets is None or 100 * (o := len(np.intersect1d(sets[x], sets[y], assume_unique=True))) >= LEAST * (size + int(sizes[y]) - o):
-                    groups.join(x, y)
-                    out.append((x, y))
-                    break
-    return out
+class Block(NamedTuple):
+    """Nodes in order of size: ids, sizes, how many documents each stands for, points and, where they are compared in full, sets."""
+
+    node: np.ndarray
+    n: np.ndarray
+    copies: np.ndarray
+    points: list[np.ndarray]
+    sets: list[np.ndarray] | None
+
+    def packed(self) -> bytes:
+        return pack(self.node, self.n, self.copies, np.concatenate(self.sets) if self.sets is not None else np.zeros(0, np.uint64), np.concatenate([p.view(np.uint8) for p in self.points]))
+
+
+def unpacked(data: np.ndarray) -> Block:
+    node, n, copies, sets, points = unpack(data, "<i8", "<i8", "<i8", "<u8", "u1")
+    sizes = [n_groups(k) * count_type(k).itemsize for k in n.tolist()]
+    points = [p.view(count_type(k)) for p, k in zip(np.split(points, np.cumsum(sizes)[:-1]), n.tolist())]
+    return Block(node, n, copies, points, np.split(sets, np.cumsum(n)[:-1]) if len(sets) else None)
 
 
-def links(points: list[np.ndarray], sizes: np.ndarray, sets: list[np.ndarray], block: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
-    """Every link among nodes in order of size, by its later node: the earlier ones, overlaps, and whether a link joins what those before it do not. Nodes of one block, unless it is -1, meet elsewhere."""
-    group = np.arange(len(points))
-    names, at = np.unique(np.concatenate(sets), return_inverse=True)
-    at = np.split(at.astype(np.int32), np.cumsum(sizes)[:-1])
-    held = np.zeros(len(names), bool)
-    for x, near in _candidates(points, sizes):
-        near = near[(block[near] != block[x]) | (block[x] < 0)]
-        held[at[x]] = True
-        shared = np.array([np.count_nonzero(held[at[y]]) for y in near.tolist()], np.int64)
-        held[at[x]] = False
-        linked = 100 * shared >= LEAST * (sizes[x] + sizes[near] - shared)
-        near, shared = near[linked], shared[linked]
+def together(a: Block, b: Block | None) -> tuple[Block, np.ndarray]:
+    """The nodes of one or two blocks in order of size, and which block each is of."""
+    if b is None:
+        return a, np.zeros(len(a.node), np.int8)
+    side = np.repeat(np.array([0, 1], np.int8), [len(a.node), len(b.node)])
+    node, n, copies = (np.concatenate(c) for c in zip(a[:3], b[:3]))
+    order = np.lexsort((node, n))
+    points, sets = [*a.points, *b.points], [*a.sets, *b.sets] if a.sets is not None else None
+    return Block(node[order], n[order], copies[order], [points[k] for k in order], None if sets is None else [sets[k] for k in order]), side[order]
+
+
+class Overlaps:
+    """Overlaps of sets, by flags of the shingles that one of them holds."""
+
+    def __init__(self, sets: list[np.ndarray]):
+        names, at = np.unique(np.concatenate(sets), return_inverse=True)
+        self.at = np.split(at.astype(np.int32), np.cumsum([len(s) for s in sets])[:-1])
+        self.held = np.zeros(len(names), np.int8)
+
+    def of(self, x: int, others: np.ndarray) -> np.ndarray:
+        self.held[self.at[x]] = 1
+        some = [self.at[y] for y in others.tolist()]
+        starts = np.cumsum([0, *map(len, some[:-1])])
+        shared = np.add.reduceat(self.held[np.concatenate(some)], starts, dtype=np.int32)
+        self.held[self.at[x]] = 0
+        return shared
+
+
+def _meeting(block: Block, side: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+    """Candidates of one block, or those of two blocks whose ends are in different ones."""
+    crossing = side.any()
+    for x, near in _candidates(block.points, block.n):
+        near = near[side[near] != side[x]] if crossing else near
         if len(near):
-            met, first = np.unique(group[near], return_index=True)
-            joins = np.zeros(len(near), bool)
-            joins[first[met != group[x]]] = True
-            group[np.isin(group, met)] = group[x]
-            yield x, near, shared, joins
+            yield x, near
+
+
+def forest(block: Block, side: np.ndarray, group: np.ndarray | None = None) -> list[tuple[int, int]]:
+    """A forest that connects what links connect (places of nodes), beyond what `group` connects already. Without sets, pairs whose bound suffices count as links."""
+    group = np.arange(len(block.node)) if group is None else group
+    out = []
+    overlaps = Overlaps(block.sets) if block.sets is not None else None
+    for x, near in _meeting(block, side):
+        near = near[group[near] != group[x]]
+        while len(near):  # the first of every component at a time: one link is enough
+            of, first = np.unique(group[near], return_index=True)
+            tried = near[first]
+            if overlaps is not None:
+                shared = overlaps.of(x, tried)
+                linked = 100 * shared >= LEAST * (block.n[x] + block.n[tried] - shared)
+                tried, of = tried[linked], of[linked]
+            out += [(x, int(y)) for y in tried]
+            near = np.delete(near, first)
+            if len(of):
+                near = near[~np.isin(group[near], of)]
+                group[np.isin(group, of)] = group[x]
+    return out
+
+
+def links(block: Block, side: np.ndarray) -> tuple[np.ndarray, list[tuple[int, int]]]:
+    """How many documents link to each node, every pair verified once, and a forest of these links."""
+    group, count, out = np.arange(len(block.node)), np.zeros(len(block.node), np.int64), []
+    overlaps = Overlaps(block.sets)
+    for x, near in _meeting(block, side):
+        shared = overlaps.of(x, near)
+        near = near[100 * shared >= LEAST * (block.n[x] + block.n[near] - shared)]
+        count[x] += block.copies[near].sum()
+        count[near] += block.copies[x]  # no node is in near twice
+        of, first = np.unique(group[near], return_index=True)
+        new = of != group[x]
+        if new.any():
+            out += [(x, int(y)) for y in near[first[new]]]
+            group[np.isin(group, of)] = group[x]
+    return count, out
 
 
 # --- tables ----------------------------------------------------------------------
@@ -211,8 +254,8 @@ def _folder(df: DataFrame) -> str:
     return f"{shared_dir(df.sparkSession)}/shingles-{uuid.uuid4().hex}"
 
 
-def _frequent(texts: DataFrame, bits: int, folder: str) -> None:
-    """Writes the shingles that are counted more than FREQUENT times, a sorted array a shard. Tasks send on what at least two of their documents hold: what is missed costs time, never links."""
+def _frequent(texts: DataFrame, bits: int, folder: str) -> frozenset[int]:
+    """Writes the shingles that are counted more than FREQUENT times, a sorted array a shard, and gives the shards that have one. Tasks send on what at least two of their documents hold: what is missed costs time, never links."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def rows():
@@ -234,22 +277,19 @@ def _frequent(texts: DataFrame, bits: int, folder: str) -> None:
                 order = np.argsort(key)
                 at, n = runs((key[order],), n[order].astype(np.int64))
                 put(folder, f"frequent-{shard}", pack(key[order][at][n > FREQUENT]))
-                yield shard, b"", [int((n > FREQUENT).sum())]
+                yield shard, b"", []
 
         yield from batches_of(rows())
 
-    dealt(texts.mapInArrow(tidied(count), ROWS), bits).mapInArrow(tidied(total), ROWS).select("sums").collect()
+    return frozenset(r["shard"] for r in dealt(texts.mapInArrow(tidied(count), ROWS), bits).mapInArrow(tidied(total), ROWS).select("shard").collect())
 
 
-def _is_frequent(folder: str, bits: int, held: dict, every: np.ndarray) -> np.ndarray:
+def _is_frequent(shards: Shards, bits: int, every: np.ndarray) -> np.ndarray:
     """Which shingles are frequent: sorted first, so that each shard is searched once."""
     out, order = np.zeros(len(every), bool), np.argsort(every)
     for shard, x in ranges(every[order], bits):
-        if shard not in held:
-            file = mapped(folder, f"frequent-{shard}")
-            held[shard] = unpack(file, "<u8")[0] if file is not None else np.zeros(0, np.uint64)
-        if len(held[shard]):
-            out[order[x]] = find(held[shard], every[order[x]])[0]
+        if (found := shards[shard]) is not None:
+            out[order[x]] = find(found[0], every[order[x]])[0]
     return out
 
 
@@ -260,33 +300,27 @@ def _long(a) -> list[int]:
     return np.asarray(a, np.uint64).view(np.int64).tolist()
 
 
-def _block_pairs(m: int, x: int, key: int, block: int | None = None) -> list[int]:
-    """The groups that node x of m goes to: the key itself, or a group for each block that its own block meets. Blocks have BLOCK nodes; tasks are told, as the driver's number holds."""
-    block = block or BLOCK
-    blocks = -(-m // block)
-    if blocks <= 1:
-        return [key]
-    mine = x // block
-    pairs = np.array([min(mine, j) * blocks + max(mine, j) for j in range(blocks)], np.uint64)
-    return _long(mix(pairs + np.uint64(1) ^ mix(np.array([key], np.int64).view(np.uint64))))
+def _block_key(group: int, block: np.ndarray) -> list[int]:
+    """The keys of blocks of a group."""
+    return _long(mix(block.astype(np.uint64) + np.uint64(1) ^ mix(np.array([group], np.int64).view(np.uint64))))
 
 
-#: Kinds of packed parts and of rows: keys that nodes share, nodes, documents.
-SHARED, NODE, DOCUMENT = 0, 1, 2
+#: Kinds of packed parts and of rows: keys that nodes share, nodes, documents, blocks of large groups.
+SHARED, NODE, DOCUMENT, BLOCKS = 0, 1, 2, 3
 
 
-def _meetings(texts: DataFrame, bits: int, folder: str) -> DataFrame:
-    """SHARED: node and group, for every set of nodes that share a key. NODE: node, key (the least row key of its documents), n and point. DOCUMENT: node (null without words), key (its row key), n and doc_id."""
+def _meetings(texts: DataFrame, bits: int, folder: str, frequent: frozenset[int]) -> DataFrame:
+    """SHARED: node and key, the block of a set of nodes that share a key of texts; n is 1 if the set has several blocks. BLOCKS: node (the set), key (a block's number) and n (its blocks), of sets of several blocks. NODE: node, key (the least row key of its documents), n and point. DOCUMENT: node (null without words), key (its row key), n and doc_id."""
     block = BLOCK
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def rows():
-            held: dict = {}
+            often = Shards(folder, "frequent", frequent, "<u8")
             for batch in batches:
                 for part in slices(batch, "text", PART_BYTES):
-                    yield from sent(held, part)
+                    yield from sent(often, part)
 
-        def sent(held: dict, part: pa.RecordBatch):
+        def sent(shards: Shards, part: pa.RecordBatch):
             sets = shingle_sets(part.column("text").to_pylist())
             n = np.array([len(s) for s in sets], "<u4")
             row, ids = part.column("row_key").to_numpy().view("<u8"), part.column("doc_id")
@@ -306,7 +340,7 @@ def _meetings(texts: DataFrame, bits: int, folder: str) -> DataFrame:
             order = order[at]
             node = digest[order]
             every = np.concatenate([sets[k] for k in order])
-            often = np.split(_is_frequent(folder, bits, held, every), np.cumsum(n[order])[:-1])
+            often = np.split(_is_frequent(shards, bits, every), np.cumsum(n[order])[:-1])
             keys = [np.concatenate([sets[k][~o], sets[k][o]])[: n_keys(len(o))] for k, o in zip(order, often)]
             points = [point(sets[k]).view(np.uint8) for k in order]
             for s, x in ranges(node, bits):
@@ -358,9 +392,12 @@ def _meetings(texts: DataFrame, bits: int, folder: str) -> DataFrame:
         _, first = np.unique(name, return_index=True)
         first = first[m[first] > 1]
         for a, k, group in zip(at[first].tolist(), m[first].tolist(), _long(name[first])):
-            for x, v in enumerate(_long(node[a : a + k])):
-                for g in _block_pairs(k, x, group, block):
-                    yield SHARED, v, g, 0, b"", None
+            own, many = _long(node[a : a + k]), k > block
+            keys = _block_key(group, np.arange(k) // block) if many else [group] * k
+            for v, g in zip(own, keys):
+                yield SHARED, v, g, int(many), b"", None
+            for x in range(-(-k // block) if many else 0):
+                yield BLOCKS, group, x, -(-k // block), b"", None
 
     schema = "kind byte, node long, key long, n int, point binary, doc_id long"
     return materialize(dealt(texts.mapInArrow(tidied(send), ROWS), bits).mapInArrow(tidied(meet), schema), "join-meetings")
@@ -387,173 +424,228 @@ def _grouped(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[dict[str,
         yield held
 
 
-_EDGES = pa.schema([("u", pa.int64()), ("v", pa.int64())])
+#: What blocks give: edges of a forest (u, v), and numbers of links (u, n; v is null).
+_FOUND = pa.schema([("u", pa.int64()), ("v", pa.int64()), ("n", pa.int64())])
+_FOUND_DDL = "u long, v long, n long"
 
 
-def _ordered(g: dict[str, list]) -> list[int]:
-    """Places of a group in order of size, a node once."""
+def _block(g: dict[str, list], with_sets: bool) -> Block:
+    """A block's rows in order of size, a node once."""
     order, seen = [], set()
     for k in sorted(range(len(g["node"])), key=lambda k: (g["n"][k], g["node"][k])):
         if g["node"][k] not in seen:
             seen.add(g["node"][k])
             order.append(k)
-    return order
-
+    take = lambda name: np.array([g[name][k] for k in order], np.int64)
+    points = [np.frombuffer(g["point"][k], count_type(g["n"][k])) for k in order]
+    sets = [np.frombuffer(g["set"][k], "<u8") for k in order] if with_sets else None
+    return Block(take("node"), take("n"), take("copies") if with_sets else np.ones(len(order), np.int64), points, sets)
 
-def _points(g: dict[str, list], order: list[int]) -> tuple[list[np.ndarray], np.ndarray]:
-    return [np.frombuffer(g["point"][k], count_type(g["n"][k])) for k in order], np.array([g["n"][k] for k in order], np.int64)
 
+class Known:
+    """What a task has connected so far, so that groups of the same nodes cost no more than one. It starts anew when it is large."""
 
-def _edges(groups: Iterator[dict[str, list]], with_sets: bool) -> Iterator[pa.RecordBatch]:
-    """Links of each group, each edge once a task."""
-    done: set[tuple[int, int]] = set()
-
-    def flush() -> pa.RecordBatch:
-        u, v = zip(*done)
-        done.clear()
-        return pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], schema=_EDGES)
-
-    for g in groups:
-        order = _ordered(g)
-        node = [g["node"][k] for k in order]
-        sets = [np.frombuffer(g["set"][k], "<u8") for k in order] if with_sets else None
-        done.update((node[a], node[b]) for a, b in link(*_points(g, order), sets))
-        if len(done) > 500_000:
-            yield flush()
-    if done:
-        yield flush()
+    def __init__(self):
+        self.up: dict[int, int] = {}
 
+    def root(self, x: int) -> int:
+        up = self.up
+        while (y := up.get(x, x)) != x:
+            up[x] = x = up.get(y, y)
+        return x
 
-_LINKS = pa.schema([("u", pa.int64()), ("v", pa.int64()), ("n_shared", pa.int32()), ("joins", pa.bool_())])
+    def groups(self, node: np.ndarray) -> np.ndarray:
+        if len(self.up) > 2_000_000:
+            self.up.clear()
+        return np.unique(np.array([self.root(x) for x in node.tolist()], np.int64), return_inverse=True)[1]
 
+    def join(self, a: int, b: int) -> None:
+        a, b = self.root(a), self.root(b)
+        if a != b:
+            self.up[max(a, b)] = min(a, b)
 
-def _all_links(groups: Iterator[dict[str, list]]) -> Iterator[pa.RecordBatch]:
-    """Every link of each group once."""
 
-    held: list[tuple[np.ndarray, ...]] = []
-    n = 0
+def _compared(met: Iterator[tuple[Block, Block | None]], counted: bool) -> Iterator[pa.RecordBatch]:
+    """Edges, and where links are counted their numbers, of blocks by themselves or of pairs of blocks."""
+    known, held, size = Known(), [], 0
 
     def flush() -> pa.RecordBatch:
         columns = [np.concatenate(c) for c in zip(*held)]
         held.clear()
-        return pa.RecordBatch.from_arrays([pa.array(c.astype(f.type.to_pandas_dtype()), f.type) for c, f in zip(columns, _LINKS)], schema=_LINKS)
-
-    for g in groups:
-        order = _ordered(g)
-        node = np.array([g["node"][k] for k in order], np.int64)
-        for x, near, shared, joins in links(*_points(g, order), [np.frombuffer(g["set"][k], "<u8") for k in order], np.array([g["block"][k] for k in order])):
-            held.append((np.full(len(near), node[x]), node[near], shared, joins))
-            n += len(near)
-            if n > 100_000:
-                yield flush()
-                n = 0
+        return pa.RecordBatch.from_arrays([pa.array(columns[0]), pa.array(columns[1], mask=columns[3]), pa.array(columns[2])], schema=_FOUND)
+
+    for a, b in met:
+        block, side = together(a, b)
+        if counted:
+            count, edges = links(block, side)
+            some = np.flatnonzero(count)
+            held.append((block.node[some], block.node[some], count[some], np.ones(len(some), bool)))
+        else:
+            group = known.groups(block.node)
+            edges = forest(block, side, group) if group.any() else []  # all are one already
+        u, v = (block.node[[e[k] for e in edges]] if edges else np.zeros(0, np.int64) for k in (0, 1))
+        if not counted:
+            for x, y in zip(u.tolist(), v.tolist()):
+                known.join(x, y)
+        held.append((u, v, np.zeros(len(u), np.int64), np.zeros(len(u), bool)))
+        size += sum(len(h[0]) for h in held[-2:])
+        if size > 500_000:
+            yield flush()
+            size = 0
     if held:
         yield flush()
 
 
-def _write_members(members: DataFrame, bits: int, folder: str) -> None:
-    """Sorted arrays row key -> node, cluster for workers to look up."""
+def _met(blocks: DataFrame, pairs: DataFrame, bits: int, folder: str, name: str, with_sets: bool, counted: bool) -> DataFrame:
+    """_FOUND of all blocks (rows by `key`; `many` if the group has others) and of all pairs of blocks (keys `a` and `b`).
+
+    A block of a group that has others is also written to the shared folder, once, and tasks of
+    pairs map the two that they compare: what is shuffled grows with the nodes, whatever a group's size.
+    """
+
+    def own(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def each():
+            for g in _grouped(batches, "key"):
+                block = _block(g, with_sets)
+                if g["many"][0]:
+                    put(folder, f"{name}-{g['key'][0]}", block.packed())
+                yield block, None
+
+        return _compared(each(), counted)
+
+    def both(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def each():
+            last, block = None, None
+            for batch in batches:
+                for a, b in zip(batch.column("a").to_pylist(), batch.column("b").to_pylist()):
+                    if a != last:
+                        last, block = a, unpacked(mapped(folder, f"{name}-{a}"))
+                    yield block, unpacked(mapped(folder, f"{name}-{b}"))
+
+        return _compared(each(), counted)
+
+    first = blocks.repartition(1 << bits, "key").sortWithinPartitions("key").mapInArrow(tidied(own), _FOUND_DDL)
+    first = materialize(first, f"join-{name}")
+    return first.union(pairs.repartition(1 << bits, "a", "b").sortWithinPartitions("a").mapInArrow(tidied(both), _FOUND_DDL))
+
+
+def _write_members(members: DataFrame, bits: int, folder: str) -> frozenset[int]:
+    """Sorted arrays row key -> node, cluster, blocks, copies for workers to look up; gives the shards that have one."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows: dict[int, list] = {}
         for batch in batches:
-            for shard, *x in zip(*(batch.column(c).to_pylist() for c in ("shard", "row_key", "node", "cluster", "size"))):
-                rows.setdefault(shard, []).append(x)
+            columns = [batch.column(c).to_numpy() for c in ("row_key", "node", "cluster", "blocks", "copies")]
+            shards = batch.column("shard").to_numpy()
+            for shard in np.unique(shards).tolist():
+                rows.setdefault(shard, []).append([c[shards == shard] for c in columns])
         for shard, found in rows.items():
-            found.sort()
-            put(folder, f"members-{shard}", pack(*(np.array(c, np.int64) for c in zip(*found))))
+            columns = [np.concatenate(c) for c in zip(*found)]
+            order = np.argsort(columns[0].view(np.uint64))
+            put(folder, f"members-{shard}", pack(*(c[order] for c in columns)))
             yield pa.RecordBatch.from_arrays([pa.array([shard], pa.int32())], names=["shard"])
 
     top = F.shiftrightunsigned("row_key", 64 - bits).cast("int")
-    members.select(top.alias("shard"), "row_key", "node", "cluster", "size").repartition(1 << bits, "shard").mapInArrow(tidied(run), "shard int").count()
+    kept = members.select(top.alias("shard"), "row_key", "node", "cluster", F.col("blocks").cast("long").alias("blocks"), "copies")
+    return frozenset(r["shard"] for r in kept.repartition(1 << bits, "shard").mapInArrow(tidied(run), "shard int").collect())
 
 
-def _sets(texts: DataFrame, bits: int, folder: str) -> DataFrame:
-    """group, node, n, point and set of every node in a cluster, from the text of its first document, and its block where the group is a pair of two blocks, else -1."""
-    block = BLOCK
-    schema = pa.schema([("group", pa.int64()), ("node", pa.int64()), ("n", pa.int32()), ("point", pa.binary()), ("set", pa.binary()), ("block", pa.int32())])
+def _block_of(cluster: np.uint64 | int, block: int) -> int:
+    return _block_key(cluster, np.array([block]))[0]
+
+
+def _sets(texts: DataFrame, bits: int, folder: str, written: frozenset[int]) -> DataFrame:
+    """key (of its block), many, node, n, copies, point and set of every node in a cluster, once, from the text of its first document."""
+    schema = pa.schema([("key", pa.int64()), ("many", pa.bool_()), ("node", pa.int64()), ("n", pa.int32()), ("copies", pa.int64()), ("point", pa.binary()), ("set", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def rows():
-            held: dict = {}
+            members = Shards(folder, "members", written, *["<i8"] * 5)
             for batch in batches:
                 for part in slices(batch, "text", PART_BYTES):
                     keys = part.column("row_key").to_numpy().view(np.uint64)
                     order = np.argsort(keys)
                     hits = []
                     for shard, x in ranges(keys[order], bits):
-                        if shard not in held:
-                            file = mapped(folder, f"members-{shard}")
-                            held[shard] = unpack(file, *["<i8"] * 4) if file is not None else None
-                        if held[shard] is not None:
-                            hit, at = find(held[shard][0].view("<u8"), keys[order][x])
-                            hits += zip(order[x][hit].tolist(), *(held[shard][k][at].tolist() for k in (1, 2, 3)))
+                        if (found := members[shard]) is not None:
+                            hit, at = find(found[0].view("<u8"), keys[order][x])
+                            hits += zip(order[x][hit].tolist(), *(found[k][at].tolist() for k in (1, 2, 3, 4)))
                     texts = part.column("text")
-                    for (_, node, cluster, size), s in zip(hits, shingle_sets([texts[h[0]].as_py() for h in hits])):
-                        mine = int(np.uint64(node % (1 << 64)) % np.uint64(-(-size // block))) * block
-                        for j, group in enumerate(_block_pairs(size, mine, cluster, block)):
-                            yield group, node, len(s), point(s).tobytes(), s.astype("<u8").tobytes(), -1 if j == mine // block else mine // block
+                    for (_, node, cluster, blocks, copies), s in zip(hits, shingle_sets([texts[h[0]].as_py() for h in hits])):
+                        yield _block_of(cluster, node % (1 << 64) % blocks), blocks > 1, node, len(s), copies, point(s).tobytes(), s.astype("<u8").tobytes()
+
+        yield from batches_of(rows(), schema, 6)
+
+    return texts.mapInArrow(tidied(run), "key long, many boolean, node long, n int, copies long, point binary, set binary")
+
 
-        yield from batches_of(rows(), schema, 4)
+def _all_pairs(blocks: DataFrame) -> DataFrame:
+    """(group, block, blocks) -> the keys of every two blocks of a group."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ends = [[_block_of(g, x) for g, x in zip(batch.column("group").to_pylist(), batch.column(c).to_pylist())] for c in ("block", "other")]
+            yield pa.RecordBatch.from_arrays([pa.array(e, pa.int64()) for e in ends], names=["a", "b"])
 
-    return texts.mapInArrow(tidied(run), "group long, node long, n int, point binary, set binary, block int")
+    others = F.sequence(F.col("block") + 1, F.col("blocks") - 1)
+    return blocks.filter("block + 1 < blocks").repartition("group", "block").select("group", "block", F.explode(others).alias("other")).mapInArrow(run, "a long, b long")
 
 
-def _clustered(docs: DataFrame, doc_id: str, text: str) -> tuple[DataFrame, DataFrame]:
-    """The documents (doc_id, row_key, n_shingles, node; node is null without words) and the sets of nodes that candidates connect, by group."""
+def _clustered(docs: DataFrame, doc_id: str, text: str, counted: bool) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The documents (doc_id, row_key, n_shingles, node; node is null without words), how many documents have each node, and _FOUND of the clusters that candidates connect."""
     small_batches(docs.sparkSession)
     picked = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     texts = picked.select("doc_id", F.xxhash64(F.col("doc_id"), "text").alias("row_key"), "text")
     bits, folder = shard_bits(docs.sparkSession), _folder(docs)
-    _frequent(texts.select("text"), bits, folder)
-    met = _meetings(texts, bits, folder)
+    met = _meetings(texts, bits, folder, _frequent(texts.select("text"), bits, folder))
+    rows = met.filter(F.col("kind") == DOCUMENT).select("doc_id", F.col("key").alias("row_key"), F.col("n").cast("long").alias("n_shingles"), "node")
     nodes = met.filter(F.col("kind") == NODE).select("node", F.col("key").alias("row_key"), "n", "point")
     # Nodes that share a key meet as points.
-    meeting = met.filter(F.col("kind") == SHARED).select("node", "key").join(nodes.select("node", "n", "point"), "node")
-    near = meeting.repartition(1 << bits, "key").sortWithinPartitions("key").mapInArrow(tidied(lambda b: _edges(_grouped(b, "key"), False)), "u long, v long")
-    clusters = components(near)
-    sized = clusters.join(clusters.groupBy("root").agg(F.count("*").alias("size")), "root").select("node", F.col("root").alias("cluster"), "size")
-    _write_members(nodes.select("node", "row_key").join(sized, "node"), bits, folder)
-    sets = _sets(texts, bits, folder).repartition(1 << bits, "group").sortWithinPartitions("group")
-    return met.filter(F.col("kind") == DOCUMENT).select("doc_id", F.col("key").alias("row_key"), F.col("n").cast("long").alias("n_shingles"), "node"), sets
+    shared = met.filter(F.col("kind") == SHARED).select("node", "key", (F.col("n") > 0).alias("many"))
+    blocks = met.filter(F.col("kind") == BLOCKS).select(F.col("node").alias("group"), F.col("key").cast("int").alias("block"), F.col("n").alias("blocks"))
+    near = _met(shared.join(nodes.select("node", "n", "point"), "node"), _all_pairs(blocks), bits, folder, "points", False, False)
+    # Nodes that candidates connect meet as sets. Blocks are bounded by their nodes and by their shingles.
+    clusters = components(near.select("u", "v"))
+    sized = clusters.join(nodes.select("node", "n"), "node").groupBy("root").agg(F.count("*").alias("size"), F.sum("n").alias("shingles"))
+    sized = sized.select("root", F.greatest(F.ceil(F.col("size") / BLOCK), F.ceil(F.col("shingles") / BLOCK_SHINGLES)).cast("int").alias("blocks"))
+    copies = rows.filter("node is not null").groupBy("node").agg(F.count("*").alias("copies"))
+    members = nodes.select("node", "row_key").join(clusters, "node").join(sized, "root").join(copies, "node").withColumnRenamed("root", "cluster")
+    sets = _sets(texts, bits, folder, _write_members(members, bits, folder))
+    blocks = sized.filter("blocks > 1").select(F.col("root").alias("group"), "blocks", F.explode(F.sequence(F.lit(0), F.col("blocks") - 2)).alias("block"))
+    return rows, copies, _met(sets, _all_pairs(blocks), bits, folder, "sets", True, counted)
 
 
 def linked_nodes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> tuple[DataFrame, DataFrame]:
     """The documents (doc_id, row_key, n_shingles, node; node is null without words) and, of nodes that links connect, (node, root). Pairs that links connect already are not verified."""
-    rows, sets = _clustered(docs, doc_id, text)
-    return rows, components(sets.mapInArrow(tidied(lambda b: _edges(_grouped(b, "group"), True)), "u long, v long"))
+    rows, _, found = _clustered(docs, doc_id, text, counted=False)
+    return rows, components(found.select("u", "v"))
 
 
-def similar(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> tuple[DataFrame, DataFrame]:
-    """The join: rows and pairs.
+def similar(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """The join, one row per row of docs: doc_id, n_shingles, component_id (the least id that links reach) and n_links (how many other rows are linked to it, those of equal sets among them).
 
-    Rows: one per row of docs: doc_id, n_shingles, component_id (the least id that links reach) and
-    n_links (how many other rows are linked to it, those of equal sets among them).
-    Pairs: one per link of two different sets: first_id and second_id (the least ids that have these
-    sets), first_n, second_n (their shingles) and n_shared.
+    Every pair of different sets whose bound suffices is verified, but pairs are not written: a task
+    sends each node's number of links in its blocks, and a forest of the links.
 
     A null or empty text has no shingles and no links; equal sets link; a null id takes part and is
-    named only where it is alone; repeated rows get equal results; extra columns are left out.
+    named only where it is alone; repeated rows get equal results; extra columns are left out; an
+    empty table gives an empty one.
     """
-    rows, sets = _clustered(docs, doc_id, text)
-    found = materialize(sets.mapInArrow(tidied(lambda b: _all_links(_grouped(b, "group"))), "u long, v long, n_shared int, joins boolean"), "join-links")
-    linked = components(found.filter("joins").select("u", "v"))
-    # Only nodes with several documents or links need a look-up; their rows are salted, as one node may have a third of all.
-    firsts = rows.filter("node is not null").groupBy("node").agg(F.min("doc_id").alias("first"), F.count("*").alias("n"), F.first("n_shingles").alias("n_shingles"))
-    rooted = firsts.join(linked, "node", "left").filter("n > 1 or root is not null").select("node", F.coalesce("root", "node").alias("root"), "first", "n", "n_shingles")
-    rooted = materialize(rooted, "join-nodes")
-    both = found.select("u", "v").union(found.select("v", "u"))
-    others = both.join(rooted.select(F.col("node").alias("v"), "n"), "v").groupBy("u").agg(F.sum("n").alias("others")).withColumnRenamed("u", "node")
+    rows, copies, found = _clustered(docs, doc_id, text, counted=True)
+    found = materialize(found, "join-links")
+    linked = components(found.filter("v is not null").select("u", "v"))
+    others = found.filter("v is null").groupBy(F.col("u").alias("node")).agg(F.sum("n").alias("others"))
+    # Only nodes with several documents or links need a look-up. A node may have a third of all rows: such a join is left to the skew join of the adaptive plan, which splits by size, not by a fixed number.
+    wordless = rows.filter("node is null").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"), F.lit(0).cast("long").alias("n_links"))
+    worded = rows.filter("node is not null")
+    firsts = worded.groupBy("node").agg(F.min("doc_id").alias("first"), F.count("*").alias("n"))
+    rooted = materialize(firsts.join(linked, "node", "left").filter("n > 1 or root is not null").select("node", F.coalesce("root", "node").alias("root"), "first", "n"), "join-nodes")
     least = rooted.groupBy("root").agg(F.min("first").alias("component"))
-    salts = 8
-    counted = rooted.join(others, "node", "left").select("node", "root", (F.col("n") - 1 + F.coalesce("others", F.lit(0))).alias("links"))
-    named = counted.join(least, "root").select("node", "component", "links", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("salt"))
-    salted = rows.withColumn("salt", F.when(F.col("node").isNotNull(), F.pmod(F.hash("row_key"), F.lit(salts))).otherwise(F.pmod(F.hash("row_key"), F.lit(1 << 20)) + salts))
-    out = salted.join(named, ["node", "salt"], "left").select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"), F.coalesce("links", F.lit(0)).cast("long").alias("n_links"))
-    end = lambda c, name: rooted.select(F.col("node").alias(c), F.col("first").alias(f"{name}_id"), F.col("n_shingles").alias(f"{name}_n"))
-    return out, found.join(end("u", "first"), "u").join(end("v", "second"), "v").select("first_id", "second_id", "first_n", "second_n", "n_shared")
+    named = rooted.join(others, "node", "left").join(least, "root").select("node", "component", (F.col("n") - 1 + F.coalesce("others", F.lit(0))).alias("links"))
+    out = worded.join(materialize(named, "join-named"), "node", "left").select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"), F.coalesce("links", F.lit(0)).cast("long").alias("n_links"))
+    return out.union(wordless)
 
 
 def join(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc_id, n_shingles and component_id of the rows of similar()."""
-    return similar(docs, doc_id, text)[0].drop("n_links")
+    """doc_id, n_shingles and component_id of similar()."""
+    return similar(docs, doc_id, text).drop("n_links")

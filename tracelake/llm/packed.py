@@ -43,22 +43,34 @@ def put(folder: str, name: str, data: bytes) -> None:
     store.move(part, f"{path}/{name}")
 
 
-def mapped(folder: str, name: str) -> np.ndarray | None:
-    """A file's bytes, mapped; None if there is no such file. From a store that cannot be mapped it is copied to an unnamed local file first, which goes with the worker."""
-    try:
-        if (path := _local(folder)) is not None:
-            with open(f"{path}/{name}", "rb") as f:
-                return np.frombuffer(mmap.mmap(f.fileno(), 0, access=mmap.ACCESS_READ), np.uint8)
-        from pyarrow import fs
-
-        store, path = fs.FileSystem.from_uri(folder)
-        with tempfile.TemporaryFile() as f, store.open_input_stream(f"{path}/{name}") as source:
-            while block := source.read(8 << 20):
-                f.write(block)
-            f.flush()
+def mapped(folder: str, name: str) -> np.ndarray:
+    """A file's bytes, mapped. A file that was written and is not there raises, as without it results would be incomplete: which shards have one is known to those that look (`Shards`). From a store that cannot be mapped it is copied to an unnamed local file first, which goes with the worker."""
+    if (path := _local(folder)) is not None:
+        with open(f"{path}/{name}", "rb") as f:
             return np.frombuffer(mmap.mmap(f.fileno(), 0, access=mmap.ACCESS_READ), np.uint8)
-    except FileNotFoundError:
-        return None
+    from pyarrow import fs
+
+    store, path = fs.FileSystem.from_uri(folder)
+    with tempfile.TemporaryFile() as f, store.open_input_stream(f"{path}/{name}") as source:
+        while block := source.read(8 << 20):
+            f.write(block)
+        f.flush()
+        return np.frombuffer(mmap.mmap(f.fileno(), 0, access=mmap.ACCESS_READ), np.uint8)
+
+
+class Shards:
+    """The files `name-shard` of a folder, mapped as they are needed. `written` tells which shards have one; the others have no key."""
+
+    def __init__(self, folder: str, name: str, written: frozenset[int], *types: str):
+        self.folder, self.name, self.written, self.types = folder, name, written, types
+        self._open: dict[int, list[np.ndarray]] = {}
+
+    def __getitem__(self, shard: int) -> list[np.ndarray] | None:
+        if shard not in self.written:
+            return None
+        if shard not in self._open:
+            self._open[shard] = unpack(mapped(self.folder, f"{self.name}-{shard}"), *self.types)
+        return self._open[shard]
 
 
 def pack(*arrays: np.ndarray) -> bytes:

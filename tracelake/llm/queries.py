@@ -21,7 +21,7 @@ def op1_kneser_ney(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op2_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tracelake.llm.ngram_join import similar
 
-    return similar(_documents(spark, sf_dir))[0]
+    return similar(_documents(spark, sf_dir))
 
 
 def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
