@@ -92,15 +92,23 @@ def n_groups(n: int) -> int:
     return min(MOST_GROUPS, 1 << max(3, (n // PER_GROUP).bit_length()))
 
 
-def count_type(n: int) -> np.dtype:
-    """The smallest type that holds any count of a set of n, so that no count is cut."""
-    return np.dtype("u1" if n < 1 << 8 else "<u2" if n < 1 << 16 else "<u4")
-
-
 def point(s: np.ndarray) -> np.ndarray:
-    """Counts of a set's shingles by the first bits of their hashes."""
+    """Counts of a set's shingles by the first bits of their hashes, in the smallest type that holds the largest: no count is cut."""
     bits = n_groups(len(s)).bit_length() - 1
-    return np.bincount((mix(s) >> np.uint64(64 - bits)).astype(np.int64), minlength=1 << bits).astype(count_type(len(s)))
+    counts = np.bincount((mix(s) >> np.uint64(64 - bits)).astype(np.int64), minlength=1 << bits)
+    most = int(counts.max())
+    return counts.astype("u1" if most < 1 << 8 else "<u2" if most < 1 << 16 else "<u4")
+
+
+def as_point(data: bytes | np.ndarray, n: int) -> np.ndarray:
+    """A point from its bytes; their number tells the type."""
+    return np.frombuffer(data, f"<u{len(data) // n_groups(n)}")
+
+
+def as_points(data: np.ndarray, n: np.ndarray, wide: np.ndarray) -> list[np.ndarray]:
+    """Points from their bytes in a row; wide has the bytes of a count of each."""
+    ends = np.cumsum([n_groups(k) * w for k, w in zip(n.tolist(), wide.tolist())])
+    return [as_point(p, k) for p, k in zip(np.split(data, ends[:-1]), n.tolist())]
 
 
 def folded(p: np.ndarray, groups: int) -> np.ndarray:
@@ -151,6 +159,10 @@ def _candidates(points: list[np.ndarray], sizes: np.ndarray) -> Iterator[tuple[i
             yield x, near
 
 
+def _widths(points: list[np.ndarray]) -> np.ndarray:
+    return np.array([p.itemsize for p in points], np.uint8)
+
+
 class Block(NamedTuple):
     """Nodes in order of size: ids, sizes, how many documents each stands for, points and, where they are compared in full, sets."""
 
@@ -161,14 +173,12 @@ class Block(NamedTuple):
     sets: list[np.ndarray] | None
 
     def packed(self) -> bytes:
-        return pack(self.node, self.n, self.copies, np.concatenate(self.sets) if self.sets is not None else np.zeros(0, np.uint64), np.concatenate([p.view(np.uint8) for p in self.points]))
+        return pack(self.node, self.n, self.copies, np.concatenate(self.sets) if self.sets is not None else np.zeros(0, np.uint64), _widths(self.points), np.concatenate([p.view(np.uint8) for p in self.points]))
 
 
 def unpacked(data: np.ndarray) -> Block:
-    node, n, copies, sets, points = unpack(data, "<i8", "<i8", "<i8", "<u8", "u1")
-    sizes = [n_groups(k) * count_type(k).itemsize for k in n.tolist()]
-    points = [p.view(count_type(k)) for p, k in zip(np.split(points, np.cumsum(sizes)[:-1]), n.tolist())]
-    return Block(node, n, copies, points, np.split(sets, np.cumsum(n)[:-1]) if len(sets) else None)
+    node, n, copies, sets, wide, points = unpack(data, "<i8", "<i8", "<i8", "<u8", "u1", "u1")
+    return Block(node, n, copies, as_points(points, n, wide), np.split(sets, np.cumsum(n)[:-1]) if len(sets) else None)
 
 
 def together(a: Block, b: Block | None) -> tuple[Block, np.ndarray]:
@@ -215,18 +225,19 @@ def forest(block: Block, side: np.ndarray, group: np.ndarray | None = None) -> l
     overlaps = Overlaps(block.sets) if block.sets is not None else None
     for x, near in _meeting(block, side):
         near = near[group[near] != group[x]]
-        while len(near):  # the first of every component at a time: one link is enough
-            of, first = np.unique(group[near], return_index=True)
-            tried = near[first]
+        for first_only in (True, False):  # the first of every component, as one link is enough; then what is left
+            if not len(near):
+                break
+            tried = near[np.unique(group[near], return_index=True)[1]] if first_only else near
             if overlaps is not None:
                 shared = overlaps.of(x, tried)
-                linked = 100 * shared >= LEAST * (block.n[x] + block.n[tried] - shared)
-                tried, of = tried[linked], of[linked]
-            out += [(x, int(y)) for y in tried]
-            near = np.delete(near, first)
-            if len(of):
-                near = near[~np.isin(group[near], of)]
-                group[np.isin(group, of)] = group[x]
+                tried = tried[100 * shared >= LEAST * (block.n[x] + block.n[tried] - shared)]
+            if len(tried):
+                tried = tried[np.unique(group[tried], return_index=True)[1]]
+                out += [(x, int(y)) for y in tried]
+                joined = np.isin(group, group[tried])
+                near = near[~joined[near]]
+                group[joined] = group[x]
     return out
 
 
@@ -342,9 +353,9 @@ def _meetings(texts: DataFrame, bits: int, folder: str, frequent: frozenset[int]
             every = np.concatenate([sets[k] for k in order])
             often = np.split(_is_frequent(shards, bits, every), np.cumsum(n[order])[:-1])
             keys = [np.concatenate([sets[k][~o], sets[k][o]])[: n_keys(len(o))] for k, o in zip(order, often)]
-            points = [point(sets[k]).view(np.uint8) for k in order]
+            points = [point(sets[k]) for k in order]
             for s, x in ranges(node, bits):
-                yield s, pack(node[x], row[order[x]], n[order[x]], np.concatenate(points[x])), [NODE]
+                yield s, pack(node[x], row[order[x]], n[order[x]], _widths(points[x]), np.concatenate([p.view(np.uint8) for p in points[x]])), [NODE]
             key, of = np.concatenate(keys), np.repeat(node, [len(k) for k in keys])
             place = mix(key)
             by = np.argsort(place)
@@ -372,8 +383,8 @@ def _meetings(texts: DataFrame, bits: int, folder: str, frequent: frozenset[int]
                 for r, d, i, k, f in zip(_long(row), _long(node), ids.tolist(), n.tolist(), flags.tolist()):
                     yield DOCUMENT, None if f & 2 else d, r, k, b"", None if f & 1 else i
             if nodes:
-                got = [unpack(p, "<u8", "<u8", "<u4", "u1") for p in nodes]
-                points = [x for g in got for x in np.split(g[3], np.cumsum([n_groups(k) * count_type(k).itemsize for k in g[2].tolist()])[:-1])]
+                got = [unpack(p, "<u8", "<u8", "<u4", "u1", "u1") for p in nodes]
+                points = [x for g in got for x in as_points(g[4], g[2], g[3])]
                 node, row, n = (np.concatenate([g[k] for g in got]) for k in (0, 1, 2))
                 order = np.lexsort((row.view(np.int64), node))
                 at, _ = runs((node[order],), np.ones(len(order), np.int64))
@@ -437,7 +448,7 @@ def _block(g: dict[str, list], with_sets: bool) -> Block:
             seen.add(g["node"][k])
             order.append(k)
     take = lambda name: np.array([g[name][k] for k in order], np.int64)
-    points = [np.frombuffer(g["point"][k], count_type(g["n"][k])) for k in order]
+    points = [as_point(g["point"][k], g["n"][k]) for k in order]
     sets = [np.frombuffer(g["set"][k], "<u8") for k in order] if with_sets else None
     return Block(take("node"), take("n"), take("copies") if with_sets else np.ones(len(order), np.int64), points, sets)
 
