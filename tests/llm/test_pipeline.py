@@ -1,3 +1,4 @@
+import heapq
 import random
 import re
 import zlib
@@ -74,6 +75,39 @@ def test_mix(spark, rows):
     assert all(any(t is not None and t.startswith(r["text"]) for t in texts[r["doc_id"]]) for r in sent)
 
 
+@pytest.mark.parametrize("rows", [corpus(), skewed(), near_copies(5)], ids=["all", "skewed", "copies"])
+def test_taken_is_that_of_a_plain_queue(spark, rows):
+    """A heap of packets by finish time, one source's packets in its shuffled order, until the budget is spent."""
+    flows, budget, want = defaultdict(list), 0, defaultdict(int)
+    for r in source_mixing.schedule(frame(spark, rows)).collect():
+        flows[r["source"]].append((r["before"], r["order_key"], r["doc_id"], r["size"], r["target"]))
+        budget = r["budget"]
+    packets = []
+    for flow in flows.values():
+        sent, whole = 0, sum(f[3] for f in flow)
+        for _ in range(3):
+            ahead = 0
+            for before, key, doc, n, target in sorted(flow, key=lambda f: (f[0], f[3])):
+                assert before == ahead
+                ahead += n
+                for k in range(0, n, source_mixing.PACKET):
+                    words_ = min(source_mixing.PACKET, n - k)
+                    sent += words_
+                    if target > 0:
+                        packets.append((sent / target, key, doc, words_))
+        assert sent == 3 * whole
+    left = int(budget)
+    heapq.heapify(packets)
+    while packets and left > 0:
+        _, key, doc, n = heapq.heappop(packets)
+        want[key] += min(n, left)
+        left -= min(n, left)
+    got = defaultdict(int)
+    for r in source_mixing.mix(frame(spark, rows), keep_key=True).collect():
+        got[r["order_key"]] += r["taken"]
+    assert {k: n for k, n in got.items() if n} == dict(want)
+
+
 def quality_brute(rows):
     lines_of = lambda t: [x for x in (t or "").split("\n") if size(x)]
     normal = lambda x: re.sub(r"[ \t-\r]+", " ", re.sub("[0-9]", "0", x.lower())).strip(" ")
@@ -98,6 +132,8 @@ def boilerplate():
     rng = random.Random(9)
     menu = "Home About Contact 2024 " * 6
     rows = [(i, f"{menu}\n{words(rng, rng.choice([5, 60]))}\n{'x y z # ' * rng.choice([0, 12])}", "en", rng.choice(["a", None]), 0, None, None, None, None) for i in range(90)]
+    rows += [*rows[3:6], *rows[3:5]]  # whole rows again: each is a document, and loses its words once
+    rows += [(r[0], r[1], "en", "b" if r[3] else "a", 0, None, None, None, None) for r in rows[7:9]]  # the same id and text under another host
     return [*rows, (91, words(rng, 30) + "\n" + words(rng, 30), "en", "a", 0, None, None, None, None)]
 
 

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tracelake.llm.common import WORD, let
+from tracelake.llm.common import WORD, let, materialize
 
 #: Characters that count as symbols.
 SYMBOLS = "#*$%&|<>"
@@ -19,17 +19,19 @@ WINDOW = 8
 LINE_LIMIT = 25
 #: A document is depleted if less than this share of its words is left.
 LEAST_KEPT = 0.5
-#: Parts into which each line's rows are dealt when removed lines are looked up.
-SALTS = 16
-
-
-def _words(text: Column) -> Column:
-    return F.regexp_extract_all(text, F.lit(WORD), F.lit(0))
+#: White space other than the line feed.
+_BLANKS = r"[\x20\x09\x0B-\x0D]+"
 
 
 def _lines(text: Column) -> Column:
     """The \\n-split lines that have a word."""
-    return F.filter(F.split(text, "\n"), lambda x: x.rlike(WORD))
+    return F.filter(F.split(text, "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
+
+
+def _normal_lines(text: Column) -> Column:
+    """Those lines in lower case, digits as 0, words parted by single spaces."""
+    normal = F.regexp_replace(F.translate(F.lower(text), "123456789", "0" * 9), _BLANKS, " ")
+    return F.filter(F.transform(F.split(normal, "\n"), lambda x: F.trim(x)), lambda x: x != "")
 
 
 def _covered(windows: Column) -> Column:
@@ -48,50 +50,49 @@ def _covered(windows: Column) -> Column:
     return F.when(F.size(F.array_distinct(windows)) == F.size(windows), F.lit(0)).otherwise(let(F.sort_array(pairs), repeated))
 
 
-def n_repeat_words(text: Column) -> Column:
-    """Words in 8-word windows that the text holds twice or more, the first included."""
+def _windows(words: Column) -> Column:
+    """Hashes of all windows of WINDOW words, from hashes of one, two and four words each."""
+
+    def doubled(hashes: Column, k: int) -> Column:
+        return let(hashes, lambda h: F.transform(F.slice(h, F.lit(1), F.greatest(F.size(h) - k, F.lit(0))), lambda x, i: F.xxhash64(x, F.get(h, i + k))))
+
+    return doubled(doubled(doubled(F.transform(words, lambda w: F.xxhash64(w)), 1), 2), 4)
 
-    def of(words: Column) -> Column:
-        places = F.when(F.size(words) >= WINDOW, F.sequence(F.lit(1), F.size(words) - (WINDOW - 1))).otherwise(F.array().cast("array<int>"))
-        return let(F.transform(places, lambda i: F.xxhash64(F.slice(words, i, F.lit(WINDOW)))), _covered)
 
-    return let(_words(text), of).cast("long")
+def _of_words(words: Column) -> Column:
+    """n_words, word_chars and n_repeat_words (words in windows that the text holds twice or more, the first included)."""
+    chars = F.aggregate(words, F.lit(0).cast("long"), lambda a, w: a + F.length(w))
+    return F.struct(F.size(words).cast("long").alias("n_words"), chars.alias("word_chars"), let(_windows(words), _covered).cast("long").alias("n_repeat_words"))
 
 
 def quality(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", host: str = "source", line_limit: int = LINE_LIMIT, least_kept: float = LEAST_KEPT) -> DataFrame:
     """One row per row of docs: doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, removed_words, kept.
 
     A null text counts as empty (base_failed, as it has under 20 words); a null host is a host of
-    its own; rows that repeat an id count as documents of their own. Very long texts stay within
-    their row's arrays. Extra columns are left out, so their names cannot clash.
+    its own; every row, also one that repeats an id or a whole row, counts as a document of its own
+    and has its own words removed. Very long texts stay within their row's arrays. Extra columns are
+    left out, so their names cannot clash; an empty table gives an empty one.
     """
     picked = docs.select(F.col(doc_id).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("t"), F.col(host).alias("host"))
-    picked = picked.withColumn("row_key", F.xxhash64("doc_id", "t"))
     t = F.col("t")
-    n_words = F.regexp_count(t, F.lit(WORD)).cast("long")
-    lines = _lines(t)
+    hashed = F.transform(_normal_lines(t), lambda x: F.struct(F.xxhash64(F.col("host"), x).alias("line"), (F.length(x) - F.length(F.replace(x, F.lit(" "), F.lit(""))) + 1).alias("words")))
+    # One scan of the texts; what follows reads this narrow table. The row number is written with it, so it is the same whatever is computed again.
     base = picked.select(
-        "doc_id", "row_key",
-        n_words.alias("n_words"),
-        F.length(F.regexp_replace(t, r"[\x20\x09-\x0D]+", "")).cast("long").alias("word_chars"),
-        (F.length(t) - F.length(F.translate(t, SYMBOLS, ""))).cast("long").alias("n_symbols"),
-        let(lines, lambda x: F.size(x) - F.size(F.array_distinct(x))).cast("long").alias("n_dup_lines"),
-        n_repeat_words(t).alias("n_repeat_words"),
+        "doc_id",
+        F.monotonically_increasing_id().alias("row"),
+        let(F.regexp_extract_all(t, F.lit(WORD), F.lit(0)), _of_words).alias("w"),
+        F.regexp_count(t, F.lit(f"[{SYMBOLS}]")).cast("long").alias("n_symbols"),
+        let(_lines(t), lambda x: F.size(x) - F.size(F.array_distinct(x))).cast("long").alias("n_dup_lines"),
+        hashed.alias("lines"),
     )
-    # Each distinct line of a document once, with the words of all its places.
-    normal = lambda x: F.trim(F.regexp_replace(F.regexp_replace(F.lower(x), r"[0-9]", "0"), r"[\x20\x09-\x0D]+", " "))
-    hashed = F.transform(lines, lambda x: F.struct(F.xxhash64(F.col("host"), normal(x)).alias("line"), F.regexp_count(x, F.lit(WORD)).alias("words")))
-    each = picked.select("doc_id", "row_key", hashed.alias("lines"))
-    counts = each.select(F.explode(F.array_distinct(F.transform("lines", lambda x: x["line"]))).alias("line")).groupBy("line").count()
-    frequent = counts.filter(F.col("count") > line_limit).select("line", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
-    rows = each.select("doc_id", "row_key", F.explode("lines").alias("x")).select("doc_id", "row_key", "x.line", "x.words", F.pmod("row_key", F.lit(SALTS)).cast("int").alias("salt"))
-    gone = rows.join(frequent, ["line", "salt"]).groupBy("doc_id", "row_key").agg(F.sum("words").alias("gone"))
-    # Rows that repeat an id and a text share one key: the words gone are theirs together.
-    twins = gone.withColumnRenamed("doc_id", "gone_id")
-    joined = base.join(twins.withColumnRenamed("row_key", "gone_key"), (F.col("row_key") == F.col("gone_key")) & F.col("doc_id").eqNullSafe(F.col("gone_id")), "left")
-    removed = F.least(F.coalesce(F.col("gone"), F.lit(0)), F.col("n_words")).cast("long")
+    base = materialize(base.select("doc_id", "row", "w.*", "n_symbols", "n_dup_lines", "lines"), "quality-lines")
+    counts = base.select(F.explode(F.array_distinct(F.transform("lines", lambda x: x["line"]))).alias("line")).groupBy("line").count()
+    frequent = counts.filter(F.col("count") > line_limit).select("line")
+    # A line may stand in a third of all rows: the adaptive plan broadcasts the few frequent lines or splits the join where it is skewed.
+    gone = base.select("row", F.explode("lines").alias("x")).select("row", "x.line", "x.words").join(frequent, "line").groupBy("row").agg(F.sum("words").alias("gone"))
+    removed = F.coalesce(F.col("gone"), F.lit(0)).cast("long")
     failed = (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words"))
-    return joined.select(
+    return base.drop("lines").join(gone, "row", "left").select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
         failed.alias("base_failed"), removed.alias("removed_words"),
         (~failed & (F.col("n_words") - removed >= least_kept * F.col("n_words"))).alias("kept"),
@@ -99,17 +100,17 @@ def quality(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", host: s
 
 
 ORACLE = rf"""
-WITH d AS (SELECT doc_id, coalesce(text, '') AS t, source FROM documents),
-w AS (SELECT doc_id, t, regexp_extract_all(t, '[^\x20\x09-\x0D]+') AS ws, list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS ls FROM d),
-win AS (SELECT doc_id, i, array_to_string(ws[i:i + {WINDOW - 1}], ' ') AS h FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - {WINDOW - 2})) AS i FROM w WHERE len(ws) >= {WINDOW})),
-rep AS (SELECT doc_id, i FROM (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, h) AS c FROM win) WHERE c > 1),
-cov AS (SELECT doc_id, count(DISTINCT i + k) AS n FROM rep, range(0, {WINDOW}) AS r(k) GROUP BY doc_id),
-lines AS (SELECT w.doc_id, d.source, trim(regexp_replace(regexp_replace(lower(l), '[0-9]', '0', 'g'), '[\x20\x09-\x0D]+', ' ', 'g')) AS n, len(regexp_extract_all(l, '[^\x20\x09-\x0D]+')) AS k FROM (SELECT doc_id, unnest(ls) AS l FROM w) w JOIN d USING (doc_id)),
-freq AS (SELECT source, n FROM lines GROUP BY source, n HAVING count(DISTINCT doc_id) > {LINE_LIMIT}),
-gone AS (SELECT doc_id, sum(k) AS g FROM lines JOIN freq ON lines.n = freq.n AND lines.source IS NOT DISTINCT FROM freq.source GROUP BY doc_id),
-m AS (SELECT w.doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(length(regexp_replace(t, '[\x20\x09-\x0D]+', '', 'g')) AS BIGINT) AS word_chars,
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t, source FROM documents),
+w AS MATERIALIZED (SELECT r, doc_id, t, source, regexp_extract_all(t, '[^\x20\x09-\x0D]+') AS ws, list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS ls FROM d),
+win AS (SELECT r, i, array_to_string(ws[i:i + {WINDOW - 1}], ' ') AS h FROM (SELECT r, ws, unnest(range(1, len(ws) - {WINDOW - 2})) AS i FROM w WHERE len(ws) >= {WINDOW})),
+rep AS (SELECT r, i FROM (SELECT r, i, count(*) OVER (PARTITION BY r, h) AS c FROM win) WHERE c > 1),
+cov AS (SELECT r, count(DISTINCT i + k) AS n FROM rep, range(0, {WINDOW}) AS x(k) GROUP BY r),
+lines AS (SELECT r, source, trim(regexp_replace(regexp_replace(lower(l), '[0-9]', '0', 'g'), '[\x20\x09-\x0D]+', ' ', 'g')) AS n, len(regexp_extract_all(l, '[^\x20\x09-\x0D]+')) AS k FROM (SELECT r, source, unnest(ls) AS l FROM w)),
+freq AS (SELECT source, n FROM lines GROUP BY source, n HAVING count(DISTINCT r) > {LINE_LIMIT}),
+gone AS (SELECT r, sum(k) AS g FROM lines JOIN freq ON lines.n = freq.n AND lines.source IS NOT DISTINCT FROM freq.source GROUP BY r),
+m AS (SELECT doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(length(regexp_replace(t, '[\x20\x09-\x0D]+', '', 'g')) AS BIGINT) AS word_chars,
   CAST(length(t) - length(translate(t, '{SYMBOLS}', '')) AS BIGINT) AS n_symbols, CAST(len(ls) - len(list_distinct(ls)) AS BIGINT) AS n_dup_lines,
-  CAST(coalesce(cov.n, 0) AS BIGINT) AS n_repeat_words, CAST(coalesce(gone.g, 0) AS BIGINT) AS removed_words FROM w LEFT JOIN cov USING (doc_id) LEFT JOIN gone USING (doc_id))
+  CAST(coalesce(cov.n, 0) AS BIGINT) AS n_repeat_words, CAST(coalesce(gone.g, 0) AS BIGINT) AS removed_words FROM w LEFT JOIN cov USING (r) LEFT JOIN gone USING (r))
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed, removed_words,
   NOT (n_words < 20 OR 100 * n_repeat_words > 30 * n_words) AND n_words - removed_words >= {LEAST_KEPT} * n_words AS kept FROM m
 """

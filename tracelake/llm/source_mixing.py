@@ -58,10 +58,15 @@ def _all_packets() -> Column:
     return F.flatten(F.transform(F.sequence(F.lit(0), F.lit(REPEATS - 1)), _packets))
 
 
+def _order_key(seed: int, doc_id: str, text: str, source: str) -> Column:
+    """Places a row in its source's shuffled order; equal for rows of equal id, text and source only (but by chance)."""
+    return F.xxhash64(F.lit(seed), F.col(doc_id), F.col(text), F.col(source), F.col(text).isNull(), F.col(source).isNull())
+
+
 def schedule(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source", seed: int = 17) -> DataFrame:
     """doc_id, source, size, order_key, source_size, target, budget, before (the source's words ahead of it in one repetition)."""
     slim = docs.select(
-        F.col(doc_id).alias("doc_id"), F.col(source).alias("source"), F.regexp_count(F.coalesce(F.col(text), F.lit("")), F.lit(WORD)).cast("long").alias("size"), F.xxhash64(F.lit(seed), F.col(doc_id), F.col(text)).alias("order_key")
+        F.col(doc_id).alias("doc_id"), F.col(source).alias("source"), F.regexp_count(F.coalesce(F.col(text), F.lit("")), F.lit(WORD)).cast("long").alias("size"), _order_key(seed, doc_id, text, source).alias("order_key")
     )
     slim = materialize(slim.withColumn("bucket", F.pmod("order_key", F.lit(BUCKETS)).cast("int")), "mix-slim")
     buckets = slim.groupBy("source", "bucket").agg(F.sum("size").alias("bucket_size"))
@@ -122,11 +127,13 @@ def _first_words(text: Column, n: Column) -> Column:
 
 
 def mixed_rows(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source", n_chars: str = "n_chars", seed: int = 17) -> DataFrame:
-    """The mix with all columns of docs: a row for each time a document is sent, the last one cut to the words that the budget leaves it (n_chars, if it is a column, follows). Rows that are not taken are left out."""
+    """The mix with all columns of docs: a row for each time a document is sent, the last one cut to the words that the budget leaves it (n_chars, if it is a column, follows).
+
+    Rows that are not taken are left out. Rows of equal id, text and source are interchangeable: each gets an equal whole number of the words that they take together, so fewer words than there are such rows may be lost. An empty table gives an empty mix.
+    """
     # Equal rows have one key; each gets an equal part of what they take together.
     taken = mix(docs, doc_id, text, source, seed, keep_key=True).groupBy("order_key").agg(F.floor(F.sum("taken") / F.count("*")).alias("mix_taken"), F.max("size").alias("mix_size")).filter("mix_taken > 0")
-    key = F.xxhash64(F.lit(seed), F.col(doc_id), F.col(text))
-    sent = docs.withColumn("mix_key", key).join(taken.withColumnRenamed("order_key", "mix_key"), "mix_key")
+    sent = docs.withColumn("mix_key", _order_key(seed, doc_id, text, source)).join(taken.withColumnRenamed("order_key", "mix_key"), "mix_key")
     sent = sent.withColumn("mix_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.ceil(F.col("mix_taken") / F.col("mix_size")))))
     whole = F.col("mix_copy") * F.col("mix_size") <= F.col("mix_taken")
     cut = F.when(whole, F.col(text)).otherwise(_first_words(F.col(text), F.col("mix_taken") - (F.col("mix_copy") - 1) * F.col("mix_size")))
