@@ -1,4 +1,5 @@
 import hashlib
+import math
 import random
 import re
 import re._parser as sre_parse
@@ -255,8 +256,22 @@ def test_bpe_odd_texts(vocabulary):
     odd += ["".join(rng.choices("abcdeinorst' 'é1!̀", k=400)) for _ in range(200)]
     for t in odd:
         ids = ref.encode(t, add_special_tokens=False).ids
-        assert own.encode(t).tolist() == ids and own.joined(own.encode(t)) == ref.decode(ids, skip_special_tokens=False)
-    assert "".join(own.decode(own.encode("Naïve cafés, 2 of them"))).split() == "naïve cafés , 2 of them".split()
+        assert own.encode(t).tolist() == ids and "".join(own.decode(own.encode(t).tolist(), spelled=True)) == ref.decode(ids, skip_special_tokens=False)
+    assert "".join(own.decode(own.encode("Naïve cafés, 2 of them").tolist())).split() == "naïve cafés , 2 of them".split()
+
+
+def test_decoder_needs_no_whole_text(spark, vocabulary, monkeypatch):
+    own, rng = bpe.Encoder(vocabulary), random.Random(2)
+    texts = ["naïve cafés 日本語 🎉 x" * 3, "🎉" * 50, "", " ", "<unk> a", "e\u0301\u0327 " * 9]
+    ids = [own.encode(t).tolist() for t in texts] + [[rng.randrange(len(own.tokens)) for _ in range(300)] for _ in range(20)]  # ids in any order: characters may stay unfinished
+    whole = [["".join(own.decode(i, spelled)) for i in ids] for spelled in (False, True)]
+    for n in (1, 2, 7):
+        monkeypatch.setattr(bpe, "DECODED_AT_ONCE", n)
+        assert [["".join(own.decode(i, spelled)) for i in ids] for spelled in (False, True)] == whole
+    tokens = spark.createDataFrame([(k, np.array(i, "<u4").tobytes(), 5) for k, i in enumerate(ids[:6])] + [(9, None, 5)], "doc_id long, ids binary, text int").withColumnRenamed("text", "other")
+    assert [r["text"] for r in bpe.decode(tokens, vocabulary).orderBy("doc_id").collect()] == [*whole[0][:6], None]
+    got = {r["doc_id"]: r["decoded_sha256"] for r in bpe.encode(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), vocabulary).collect()}
+    assert got == {k: hashlib.sha256(t.encode()).hexdigest() for k, t in enumerate(whole[0][:6])}
 
 
 @pytest.mark.parametrize("seed", range(6))
@@ -293,6 +308,25 @@ def test_toxicity_holds_out(spark):
     assert all((got[i] >= 0.5) == (i % 4 == 0) for i in range(600) if zlib.crc32(str(i).encode()) % 5 == 0)
     assert len({got[1000], got[1001], got[1002]}) == 1 and got[1000] < 0.5  # null, empty and blank
     assert {r["doc_id"] for r in toxicity.reject(docs, model).select("doc_id").collect()} == {i for i, s in got.items() if s < 0.5}
+    # Ratios and the fit by plain counting, on what the sample holds.
+    sample = {i: int(i % 4 == 0) for i in range(600) if zlib.crc32(str(i).encode()) % 5}
+    seen = {i: set(toxicity.features(rows[i][1]).tolist()) for i in sample}
+    held = {y: sum(v == y for v in sample.values()) for y in (0, 1)}
+    of = lambda b, y: sum(b in seen[i] for i, v in sample.items() if v == y)
+    ratio = np.array([math.log((of(b, 1) + 0.5) / (held[1] + 1)) - math.log((of(b, 0) + 0.5) / (held[0] + 1)) for b in model.buckets.tolist()])
+    places = [np.array([k for k, b in enumerate(model.buckets.tolist()) if b in seen[i]], np.int64) for i in sorted(sample)]
+    y = np.array([sample[i] for i in sorted(sample)], float)
+    w, bias = toxicity.fit(places, y, ratio)
+    assert np.allclose(model.weights, w * ratio) and model.bias == pytest.approx(bias)
+    loss = lambda w, b: sum(c * math.log1p(math.exp(-(2 * t - 1) * (ratio[p] @ w[p] + b))) for c, t, p in zip(cost, y, places)) / len(y) + toxicity.L2 * (w @ w) / 2 / len(y)
+    cost = np.where(y == 1, math.sqrt(0.5 / y.mean()), math.sqrt(0.5 / (1 - y.mean())))
+    cost *= len(y) / cost.sum()
+    least = loss(w, bias)
+    for _ in range(30):
+        step = np.random.default_rng(len(y)).standard_normal(len(w)) * 0.02
+        assert loss(w + step, bias) > least - 1e-6 and loss(w - step, bias) > least - 1e-6
+    few = toxicity.train(docs, labels, kept=7, least_rows=(50, 50))
+    assert len(few.buckets) == 7 and all(of(b, 0) + of(b, 1) >= 50 for b in few.buckets.tolist())
     nothing = toxicity.train(docs, labels.limit(0))
     assert {r["score"] for r in toxicity.score(docs, nothing).collect()} == {0.5}
 

@@ -16,6 +16,8 @@ import hashlib
 import json
 import unicodedata
 from collections.abc import Callable, Iterable, Iterator
+from functools import cached_property
+from itertools import islice
 
 import numpy as np
 import regex
@@ -24,6 +26,8 @@ from pyspark.sql import DataFrame
 from tracelake.llm.common import map_texts
 
 END = "</w>"
+#: Ids that the decoder turns into text at once.
+DECODED_AT_ONCE = 8192
 #: Words that an encoder remembers (some 250 MB with runs and pairs); beyond it starts anew. An encoder
 #: that goes with its task remembers a third of it.
 CACHED_WORDS = 600_000
@@ -208,26 +212,49 @@ class Encoder:
             got = b"".join([*parts, self._plain(text[at:])])
         return np.frombuffer(got, "<u4")
 
-    def joined(self, ids: np.ndarray) -> str:
-        """Tokens parted by spaces: what a tokenizer without a decoder gives."""
-        return " ".join(map(self.tokens.__getitem__, ids.tolist()))
-
-    def decode(self, ids: Iterable[int]) -> Iterator[str]:
-        """Readable text piece by piece: bytes go through an incremental UTF-8 machine, a word end gives a space, special tokens stand as they are."""
-        byte = {c: b for b, c in enumerate(self._chars)}
-        machine = codecs.getincrementaldecoder("utf-8")("replace")
-        special = set(self.special.values())
-        for i in ids:
-            token = self.tokens[i]
-            if i in special:
-                yield machine.decode(b"", True) + token
-                machine.reset()
-                continue
-            ends = token.endswith(END)
-            piece = machine.decode(bytes(byte[c] for c in (token[: -len(END)] if ends else token)), ends)
-            if ends:
-                machine.reset()
-            yield piece + " " * ends
+    @cached_property
+    def spelled(self) -> list[bytes]:
+        """Every token as it is spelled in the vocabulary, in UTF-8."""
+        return [t.encode("utf-8", "surrogatepass") for t in self.tokens]
+
+    @cached_property
+    def readable(self) -> list[bytes]:
+        """The bytes that every token stands for; a word end gives a space, special tokens stand as they are."""
+        byte, special = {c: b for b, c in enumerate(self._chars)}, set(self.special.values())
+
+        def of(token: str) -> bytes:
+            body = token.removesuffix(END)
+            return bytes(byte[c] for c in body) + b" " * (body != token)
+
+        return [self.spelled[i] if i in special else of(t) for i, t in enumerate(self.tokens)]
+
+    def decode(self, ids: Iterable[int], spelled: bool = False) -> Iterator[str]:
+        """The text of ids, piece by piece: readable, or as a tokenizer without a decoder gives it, tokens parted by spaces."""
+        machine = Decoder(self.spelled, b" ") if spelled else Decoder(self.readable)
+        ids = iter(ids)
+        while some := list(islice(ids, DECODED_AT_ONCE)):
+            yield machine.feed(some)
+        yield machine.end()
+
+
+class Decoder:
+    """An incremental byte-to-text machine. Ids come in parts of any size and text leaves as soon as its bytes are whole; the state is an unfinished character's bytes, three at most, and whether a separator is due. Bytes that are no UTF-8 become U+FFFD."""
+
+    def __init__(self, table: list[bytes], separator: bytes = b""):
+        self.table, self.separator = table, separator
+        self.machine, self.began = codecs.getincrementaldecoder("utf-8")("replace"), False
+
+    def feed(self, ids: list[int]) -> str:
+        if not ids:
+            return ""
+        data = self.separator.join(map(self.table.__getitem__, ids))
+        data = self.separator + data if self.began else data
+        self.began = True
+        return self.machine.decode(data)
+
+    def end(self) -> str:
+        self.began = False
+        return self.machine.decode(b"", True)
 
 
 class _Bounded(dict):
@@ -245,7 +272,7 @@ class _Bounded(dict):
         return got
 
 
-SCHEMA = "doc_id long, n_tokens long, ids binary"
+SCHEMA = "doc_id long, n_tokens long, ids binary, decoded_sha256 string"
 DIGEST = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
 _LOADED: dict[str, Encoder] = {}
 
@@ -257,21 +284,52 @@ def _encoder(path: str) -> Encoder:
     return _LOADED[path]
 
 
+def _sha256(pieces: Iterable[str]) -> str:
+    """Digest of a text that comes piece by piece."""
+    total = hashlib.sha256()
+    for p in pieces:
+        total.update(p.encode())
+    return total.hexdigest()
+
+
 def encode(docs: DataFrame, path: str, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc_id, n_tokens and ids (little-endian unsigned 32-bit) of every row; a null text is empty and has no tokens. Repeated rows get equal results; extra columns are left out.
+    """doc_id, n_tokens, ids (little-endian unsigned 32-bit) and the digest of the readable text decoded from them, of every row.
 
-    An encoder goes with its task, so that a worker does not hold one through a pipeline's other stages.
+    A null text is empty and has no tokens; repeated rows get equal results; extra columns are left
+    out; an empty table gives an empty one. An encoder goes with its task, so that a worker does not
+    hold one through a pipeline's other stages.
     """
 
     def work(encoder: Encoder, ids: list, texts: list) -> dict:
         got = [encoder.encode(t) for t in texts]
-        return {"doc_id": ids, "n_tokens": [len(g) for g in got], "ids": [g.tobytes() for g in got]}
+        return {"doc_id": ids, "n_tokens": [len(g) for g in got], "ids": [g.tobytes() for g in got], "decoded_sha256": [_sha256(encoder.decode(g.tolist())) for g in got]}
 
     return map_texts(docs, work, SCHEMA, doc_id, text, prepare=lambda: Encoder(path, CACHED_WORDS // 3))
 
 
+def decode(tokens: DataFrame, path: str, ids: str = "ids") -> DataFrame:
+    """tokens with `text` in place of ids (little-endian unsigned 32-bit): the readable text, null where the ids are null."""
+    import pyarrow as pa
+    from pyspark.sql.types import StringType, StructField, StructType
+
+    at = tokens.columns.index(ids)
+    fields = [StructField("text", StringType()) if f.name == ids else f for f in tokens.schema.fields]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encoder = Encoder(path, 0)
+        for batch in batches:
+            made = [None if x is None else "".join(encoder.decode(np.frombuffer(x, "<u4").tolist())) for x in batch.column(at).to_pylist()]
+            yield batch.set_column(at, "text", pa.array(made, pa.string()))
+
+    return tokens.mapInArrow(run, StructType(fields))
+
+
 def digest(docs: DataFrame, path: str, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc_id, n_tokens and digests of the ids and of the text decoded from them."""
+    """doc_id, n_tokens and digests of the ids and of the text decoded from them, tokens parted by spaces, as it leaves the machine.
+
+    A null or empty text has no tokens and the digests of nothing; repeated rows get equal results;
+    extra columns are left out; an empty table gives an empty one.
+    """
 
     def work(encoder: Encoder, ids: list, texts: list) -> dict:
         out: dict[str, list] = {"doc_id": ids, "n_tokens": [], "ids_sha256": [], "decoded_sha256": []}
@@ -279,7 +337,7 @@ def digest(docs: DataFrame, path: str, doc_id: str = "doc_id", text: str = "text
             got = encoder.encode(t)
             out["n_tokens"].append(len(got))
             out["ids_sha256"].append(hashlib.sha256(got.tobytes()).hexdigest())
-            out["decoded_sha256"].append(hashlib.sha256(encoder.joined(got).encode()).hexdigest())
+            out["decoded_sha256"].append(_sha256(encoder.decode(got.tolist(), spelled=True)))
         return out
 
     return map_texts(docs, work, DIGEST, doc_id, text, prepare=lambda: _encoder(path))

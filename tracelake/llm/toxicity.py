@@ -1,8 +1,8 @@
 """Toxicity: a linear classifier over character n-grams scaled by naive Bayes log-count ratios.
 
 A text's features are the distinct n-grams of its lower-case letters, hashed into buckets. On a
-bounded sample of labelled rows, each bucket's ratio r = log((pos + a) / sum pos) - log((neg + a) /
-sum neg) is counted in Spark; the buckets that tell the classes apart best are kept, and a logistic
+bounded sample of labelled rows, each bucket's ratio r = log((pos + a) / (P + 2 a)) - log((neg + a) /
+(N + 2 a)) is counted in Spark, pos and neg the toxic and other rows that hold it of P and N; the buckets that tell the classes apart best are kept, and a logistic
 regression is fitted on presence * r. Scoring looks every n-gram of a whole text up in one table.
 """
 
@@ -24,8 +24,8 @@ BITS = 20
 #: At most so many labelled rows are learned from (the rows of smallest id hash), and so many buckets kept.
 SAMPLE = 16_000
 KEPT = 4_000
-#: A bucket is kept only if so many rows of the sample hold it.
-LEAST_ROWS = 6
+#: A bucket is kept only if so many rows of the sample hold it: this share of its toxic rows, within these bounds.
+LEAST_SHARE, LEAST_ROWS = 0.02, (2, 6)
 ALPHA = 0.5
 L2 = 0.2
 ROUNDS = 300
@@ -98,8 +98,15 @@ def fit(rows: list[np.ndarray], labels: np.ndarray, ratio: np.ndarray) -> tuple[
     return w, float(b)
 
 
-def train(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", label: str = "toxic", sample: int = SAMPLE, folds: int = 5) -> Model:
-    """Learns from labelled rows whose crc32(id) modulo folds is not 0. The sample is bounded, so its ids may be broadcast and its counts and rows collected. Null labels are left out; of repeated labels the larger holds."""
+def train(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", label: str = "toxic", sample: int = SAMPLE, kept: int = KEPT, least_rows: tuple[int, int] = LEAST_ROWS, folds: int = 5) -> Model:
+    """Learns from labelled rows whose crc32(id) modulo folds is not 0.
+
+    sample: rows learned from at most, those of smallest id hash; so its ids may be broadcast and
+    its counts and rows collected. kept: buckets that the model keeps at most, those that tell the
+    classes apart best; of equals those of smaller number. least_rows: bounds of the rows that must
+    hold a kept bucket, which follow the sample's toxic rows (LEAST_SHARE) between them. Null labels
+    are left out; of repeated labels the larger holds; without labelled rows every score is 0.5.
+    """
     small_batches(docs.sparkSession)
     known = labels.select(F.col(doc_id).alias("id"), F.col(label).cast("int").alias("y")).filter(F.col("y").isNotNull() & F.col("id").isNotNull() & (remainder("id", folds) != 0))
     known = known.groupBy("id").agg(F.max("y").alias("y")).orderBy(F.xxhash64("id"), "id").limit(sample)
@@ -112,14 +119,15 @@ def train(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str
                 yield pa.RecordBatch.from_arrays([part.column("id"), part.column("y"), pa.array(found, pa.list_(pa.int32()))], names=["id", "y", "buckets"])
 
     rows = materialize(texts.mapInArrow(tidied(run), "id long, y int, buckets array<int>"), "tox-rows")
-    counts = rows.select("y", F.explode("buckets").alias("bucket")).groupBy("bucket").agg(F.sum("y").alias("pos"), F.sum(1 - F.col("y")).alias("neg")).filter(F.col("pos") + F.col("neg") >= LEAST_ROWS)
+    counts = rows.select("y", F.explode("buckets").alias("bucket")).groupBy("bucket").agg(F.sum("y").alias("pos"), F.sum(1 - F.col("y")).alias("neg"))
     totals = rows.agg(F.coalesce(F.sum("y"), F.lit(0)).alias("p"), F.count("*").alias("n")).first()
     n_pos, n_neg = totals["p"], totals["n"] - totals["p"]
+    counts = counts.filter(F.col("pos") + F.col("neg") >= min(max(round(LEAST_SHARE * n_pos), least_rows[0]), least_rows[1]))
     # By the log likelihood of the row counts: how much better two rates tell the rows than one.
     pos, neg = F.col("pos"), F.col("neg")
     part = lambda k, of: F.when(k > 0, k * F.ln(k / of)).otherwise(F.lit(0.0))
     gain = part(pos, (pos + neg) * float(max(n_pos, 1)) / max(n_pos + n_neg, 1)) + part(neg, (pos + neg) * float(max(n_neg, 1)) / max(n_pos + n_neg, 1))
-    best_rows = materialize(counts.select("bucket", "pos", "neg", gain.alias("gain")).orderBy(F.desc("gain"), "bucket").limit(KEPT), "tox-kept")
+    best_rows = materialize(counts.select("bucket", "pos", "neg", gain.alias("gain")).orderBy(F.desc("gain"), "bucket").limit(kept), "tox-kept")
     best = best_rows.toPandas().sort_values("bucket")
     buckets = best["bucket"].to_numpy(np.int32)
     if not len(buckets):
@@ -127,8 +135,8 @@ def train(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str
     ratio = np.log((best["pos"].to_numpy() + ALPHA) / (n_pos + 2 * ALPHA)) - np.log((best["neg"].to_numpy() + ALPHA) / (n_neg + 2 * ALPHA))
 
     # Each row's kept buckets, picked before they leave Spark.
-    kept = best_rows.agg(F.collect_list("bucket").alias("kept"))
-    got = rows.crossJoin(F.broadcast(kept)).select("id", "y", F.array_intersect("buckets", "kept").alias("found")).toArrow().sort_by("id")
+    known = best_rows.agg(F.collect_list("bucket").alias("kept"))
+    got = rows.crossJoin(F.broadcast(known)).select("id", "y", F.array_intersect("buckets", "kept").alias("found")).toArrow().sort_by("id")
     places = [np.searchsorted(buckets, np.array(b, np.int32)) for b in got.column("found").to_pylist()]
     w, bias = fit(places, got.column("y").to_numpy().astype(float), ratio)
     return Model(buckets, w * ratio, bias)
@@ -170,7 +178,7 @@ def score(docs: DataFrame, model: Model, doc_id: str = "doc_id", text: str = "te
 
 
 def reject(docs: DataFrame, model: Model, text: str = "text", threshold: float = 0.5) -> DataFrame:
-    """The rows of docs, all columns, whose score is below the threshold."""
+    """The rows of docs, all columns, whose score is below the threshold. A null or empty text has the score of the bias; an empty table gives an empty one."""
 
     small_batches(docs.sparkSession)
     at = docs.columns.index(text)
