@@ -35,7 +35,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def encode_bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, n_tokens and ids (little-endian unsigned 32-bit) of each row."""
+    """doc_id, n_tokens, ids (little-endian unsigned 32-bit) of each row, and the digest of the text decoded from them."""
     return bpe.encode(docs, VOCABULARY)
 
 
