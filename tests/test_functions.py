@@ -3,7 +3,7 @@ from pyspark.sql import functions as F
 
 from tracelake.functions import similarity as S
 from tracelake.functions import text as T
-from tracelake.operators import conversations as C
+from tracelake.operators import conversations as C, sequential
 
 
 def one(spark, column, **values):
@@ -82,7 +82,7 @@ def test_similarity(spark):
 
 def test_dedup_keeps_its_reference(spark):
     rows = [(1, 0, [1.0, 0.0]), (1, 1, [0.95, 0.31]), (1, 2, [0.8, 0.6]), (1, 3, [0.81, 0.59])]
-    got = C.deduplicated(spark.createDataFrame(rows, "k int, p int, v array<double>"), "k", "p", "v", 0.93).orderBy("p").collect()
+    got = sequential.deduplicated(spark.createDataFrame(rows, "k int, p int, v array<double>"), "k", "p", "v", 0.93).orderBy("p").collect()
     assert [r["suppressed"] for r in got] == [False, True, False, True]  # the third is compared with the first
 
 

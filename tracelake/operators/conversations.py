@@ -76,34 +76,84 @@ def merge_ranges(ranges: DataFrame, key: str, start: str, end: str) -> DataFrame
     return islands.groupBy(key, "_i").agg(F.min(start).alias(start), F.max(end).alias(end)).drop("_i")
 
 
+_MESSAGES = "array<struct<role:string,content:string>>"
+
+
+def _message(role: str, content: Column) -> Column:
+    return F.struct(F.lit(role).alias("role"), content.alias("content"))
+
+
 def samples(messages: DataFrame, key: str, pos: str, role: str, content: str, is_supervisor: Column, valid: Column, prompt: str, last: int = 5) -> DataFrame:
-    """A training sample per valid supervisor message: the messages before it without supervisors', then history and prompt as a user turn, then the feedback; neighbours of one role merged.
+    """A training sample per valid supervisor message: the messages before it without supervisors', then history and prompt as a user turn, then the feedback; neighbours of one role merged.
 
-    The messages of a key are gathered once; each sample filters them by position.
+    The messages of a key are merged once; a sample takes the runs of one role that end before it, and
+    cuts the one that it falls into.
     """
     every = messages.withColumn("_sup", F.coalesce(is_supervisor, F.lit(False)))
     numbered = invocations(every, key, pos, F.col("_sup")).filter(valid)
     held = with_history(numbered.select(key, pos, content, "invocation"), key, pos, content, last)
-    context = every.filter(~F.col("_sup")).groupBy(key).agg(F.array_sort(F.collect_list(F.struct(F.col(pos).alias("pos"), F.col(role).alias("role"), F.col(content).alias("content")))).alias("_all"))
+    by = Window.partitionBy(key).orderBy(pos)
+    own = every.filter(~F.col("_sup"))
+    starts = F.coalesce((F.col(role) != F.lag(role).over(by)) | (F.col(role) == "system"), F.lit(True)).cast("int")
+    own = own.select(key, pos, role, content, starts.alias("_s")).withColumn("_run", F.sum("_s").over(by.rowsBetween(Window.unboundedPreceding, 0)))
+    parts = F.array_sort(F.collect_list(F.struct(F.col(pos).alias("pos"), F.col(content).alias("content"))))
+    runs = own.groupBy(key, "_run").agg(F.min(pos).alias("first"), F.max(pos).alias("last"), F.first(role).alias("role"), parts.alias("parts"))
+    runs = runs.select(key, F.struct("first", "last", "role", F.array_join(F.transform("parts", lambda x: x["content"]), "\n\n").alias("content"), F.when(F.size("parts") > 1, F.col("parts")).alias("parts")).alias("_r"))
+    context = runs.groupBy(key).agg(F.array_sort(F.collect_list("_r"), lambda a, b: F.when(a["first"] < b["first"], -1).otherwise(1)).alias("_all"))
+    at = F.col(pos)
+    whole = F.transform(F.filter("_all", lambda r: r["last"] < at), lambda r: F.struct(r["role"].alias("role"), r["content"].alias("content")))
+    cut = F.transform(F.filter("_all", lambda r: (r["first"] < at) & (r["last"] >= at)), lambda r: F.struct(r["role"].alias("role"), F.array_join(F.transform(F.filter(r["parts"], lambda x: x["pos"] < at), lambda x: x["content"]), "\n\n").alias("content")))
     shown = F.array_join(F.transform("history", lambda h: F.concat(F.lit("\n### Feedback #"), h["n"].cast("string"), F.lit(":\n"), h["content"], F.lit("\n"))), "")
     asked = F.concat(F.when(F.size("history") > 0, F.concat(F.lit("\n\n## Previous Supervisor Feedback History:\n"), shown)).otherwise(""), F.lit("\n\n" + prompt))
-    msg = lambda r, c: F.struct(F.lit(r).alias("role"), c.alias("content"))
-    before = F.transform(F.filter("_all", lambda m: m["pos"] < F.col(pos)), lambda m: F.struct(m["role"], m["content"]))
-    raw = held.join(context, key, "left").select(key, "invocation", F.concat(F.coalesce(before, F.array().cast("array<struct<role:string,content:string>>")), F.array(msg("user", asked), msg("assistant", F.col(content)))).alias("messages"))
-    return raw.withColumn("messages", merged_array(F.col("messages")))
+    raw = held.join(context, key, "left").select(key, "invocation", content, asked.alias("_asked"), F.coalesce(F.concat(whole, cut), F.array().cast(_MESSAGES)).alias("_before"))
+    tail = F.get("_before", F.size("_before") - 1)
+    joined = F.concat(F.slice("_before", F.lit(1), F.size("_before") - 1), F.array(_message("user", F.concat(tail["content"], F.lit("\n\n"), F.col("_asked")))))
+    asked_last = F.when(F.coalesce(tail["role"] == "user", F.lit(False)), joined).otherwise(F.concat("_before", F.array(_message("user", F.col("_asked")))))
+    return raw.select(key, "invocation", F.concat(asked_last, F.array(_message("assistant", F.col(content)))).alias("messages"))
 
 
 def merged_array(messages: Column) -> Column:
-    """W5 over an array of (role, content): a fold."""
-    kind = "array<struct<role:string,content:string>>"
+    """W5 over an array of (role, content): where a run of one role starts, and the join of what lies between two starts."""
+    at = F.sequence(F.lit(1), F.size(messages))
+    new = lambda i: (i == 1) | (F.element_at(messages, i)["role"] != F.get(messages, i - 2)["role"]) | (F.element_at(messages, i)["role"] == "system")
+    starts = F.filter(at, lambda i: F.coalesce(new(i), F.lit(True)))
+
+    def joined(starts: Column) -> Column:
+        until = lambda k: F.coalesce(F.get(starts, k + 1), F.size(messages) + 1)
+        return F.transform(starts, lambda s, k: F.struct(F.element_at(messages, s)["role"].alias("role"), F.array_join(F.transform(F.slice(messages, s, until(k) - s), lambda m: m["content"]), "\n\n").alias("content")))
+
+    return F.when(F.size(messages) > 0, F.transform(F.array(starts), joined)[0]).otherwise(F.array().cast(_MESSAGES))
 
-    def step(acc: Column, m: Column) -> Column:
-        top = F.element_at(acc, -1)
-        joined = F.struct(top["role"].alias("role"), F.concat(top["content"], F.lit("\n\n"), m["content"]).alias("content"))
-        same = (F.size(acc) > 0) & (F.get(acc, F.size(acc) - 1)["role"] == m["role"]) & (m["role"] != "system")
-        return F.when(same, F.concat(F.slice(acc, 1, F.size(acc) - 1), F.array(joined))).otherwise(F.concat(acc, F.array(m)))
 
-    return F.aggregate(messages, F.array().cast(kind), step)
+def multiturn(messages: Column) -> Column:
+    """C4: system ('' without one), the turns between merged by role, and the response by itself."""
+    system = F.when(F.get(messages, 0)["role"] == "system", F.get(messages, 0)["content"]).otherwise("")
+    inner = F.slice(messages, 2, F.greatest(F.size(messages) - 2, F.lit(0)))
+    return F.concat(F.array(_message("system", system)), merged_array(inner), F.array(_message("assistant", F.element_at(messages, -1)["content"])))
+
+
+def rebuilt(blocks: DataFrame, key: str, pos: str, cat: str, text: str, kept: str) -> DataFrame:
+    """The user message of each key from its blocks: task, trajectory, feedback, prompt, each in order, behind a note of how many of a kind were left out."""
+    note = lambda name, what: F.when(F.count_if((F.col(cat) == name) & ~F.col(kept)) > 0, F.concat(F.lit("[..."), F.count_if((F.col(cat) == name) & ~F.col(kept)).cast("string"), F.lit(f" earlier {what}(s) omitted...]")))
+    order = lambda name: F.transform(F.array_sort(F.collect_list(F.when((F.col(cat) == name) & F.col(kept), F.struct(F.col(pos).alias("p"), F.col(text).alias("t"))))), lambda x: x["t"])
+    parts = F.concat(order("task"), F.array(note("trajectory", "trajectory step")), order("trajectory"), F.array(note("feedback", "supervisor feedback")), order("feedback"), order("prompt"))
+    return blocks.groupBy(key).agg(F.array_join(parts, "\n\n").alias("content"))
+
+
+def visible(messages: DataFrame, is_supervisor: str, is_active: str, shown: Column, content: str = "content") -> DataFrame:
+    """Messages as the model sees them: supervisors' that are not active go, the active one is replaced by `shown`."""
+    sup, active = F.coalesce(is_supervisor, F.lit(False)), F.coalesce(is_active, F.lit(False))
+    return messages.filter(~sup | active).withColumn(content, F.when(sup, shown).otherwise(F.col(content)))
+
+
+def stage_counters(found: DataFrame, resolved: DataFrame | None, key: str, is_corrupt: str, n_log: str, n_valid: str) -> DataFrame:
+    """One row: errors (unreadable), filtered (not resolved), skipped (no valid feedback), denoised (log entries less valid ones, of the rest) and samples."""
+    t = found if resolved is None else found.join(resolved.select(key).distinct().withColumn("_ok", F.lit(True)), key, "left")
+    bad = F.coalesce(is_corrupt, F.lit(False))
+    ok = F.lit(True) if resolved is None else F.coalesce("_ok", F.lit(False))
+    used = ~bad & ok & (F.coalesce(n_valid, F.lit(0)) > 0)
+    total = lambda x: F.coalesce(F.sum(x), F.lit(0)).cast("long")
+    return t.agg(F.count_if(bad).alias("errors"), F.count_if(~bad & ~ok).alias("filtered"), F.count_if(~bad & ok & ~used).alias("skipped"), total(F.when(used, F.coalesce(n_log, F.lit(0)) - F.col(n_valid))).alias("denoised"), total(F.when(used, F.col(n_valid))).alias("samples"))
 
 
 def flattened(messages: Column) -> Column:
@@ -131,24 +181,6 @@ def truncate_pairs(messages: DataFrame, key: str, pos: str, role: str, content:
     return m.select(key, pos, role, content, "kept", F.size(F.collect_set(F.when(~kept, F.col("_pair"))).over(whole)).alias("dropped_pairs"), F.sum((~kept).cast("int")).over(whole).alias("dropped_messages"))
 
 
-def deduplicated(feedback: DataFrame, key: str, pos: str, vector: str, limit: float = 0.93) -> DataFrame:
-    """Each feedback against the last that was delivered; a suppressed one never becomes the reference. A fold over each key's vectors in order."""
-    from tracelake.functions.similarity import cosine
-
-    rows = feedback.groupBy(key).agg(F.array_sort(F.collect_list(F.struct(F.col(pos).alias("p"), F.col(vector).cast("array<double>").alias("v")))).alias("rows"))
-    kind = f"struct<last:array<double>,done:array<struct<p:{feedback.schema[pos].dataType.simpleString()},similarity:double,suppressed:boolean>>>"
-    start = F.struct(F.lit(None).cast("array<double>").alias("last"), F.array().alias("done")).cast(kind)
-
-    def step(acc: Column, r: Column) -> Column:
-        s = F.when(acc["last"].isNotNull(), cosine(acc["last"], r["v"]))
-        gone = F.coalesce(s >= limit, F.lit(False))
-        done = F.concat(acc["done"], F.array(F.struct(r["p"].alias("p"), s.alias("similarity"), gone.alias("suppressed"))))
-        return F.struct(F.when(gone, acc["last"]).otherwise(r["v"]).alias("last"), done.alias("done")).cast(kind)
-
-    out = rows.select(key, F.explode(F.aggregate("rows", start, step)["done"]).alias("x"))
-    return out.select(key, F.col("x.p").alias(pos), "x.similarity", "x.suppressed")
-
-
 def split_budget(blocks: DataFrame, key: str, pos: str, cat: str, size: str, room: int, ratio: float) -> DataFrame:
     """Key, pos, cat, kept. Feedback may take int(room * ratio), trajectory the rest; what feedback leaves goes to the trajectory, else what that leaves goes to feedback; each side keeps its newest blocks."""
     whole = Window.partitionBy(key)

@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tracelake.operators.ranking import ranked
+from tracelake.operators.runs import small
+
 
 def rate(a: Column, b: Column) -> Column:
     """A5: a / b, 0 where b is 0."""
@@ -30,9 +33,10 @@ def with_rates(counts: DataFrame) -> DataFrame:
 
 def macro(rates: DataFrame, categories: DataFrame, by: list[str], category: str) -> DataFrame:
     """Means over all categories; one without support counts as 0."""
-    groups = rates.select(*by).distinct()
-    full = groups.join(F.broadcast(categories.select(category))).join(rates, [*by, category], "left")
-    return full.groupBy(*by).agg(*[F.avg(F.coalesce(m, F.lit(0.0))).alias(f"macro_{m}") for m in ("precision", "recall", "f1", "fpr")])
+    n = categories.select(category).distinct().count()
+    known = rates.join(categories.select(category), category, "left_semi")
+    means = [(F.coalesce(F.sum(m), F.lit(0.0)) / n).alias(f"macro_{m}") for m in ("precision", "recall", "f1", "fpr")]
+    return rates.select(*by).distinct().join(known, by, "left").groupBy(*by).agg(*means)
 
 
 def normalized_matrix(pairs: DataFrame, truth: str, predicted: str, codes: tuple[int, ...] = (0, 1, 2)) -> DataFrame:
@@ -69,7 +73,12 @@ def nearest_ranks(rows: DataFrame, by: list[str], x: str, ranks: dict[str, tuple
 def bucketed(rows: DataFrame, x: str, edges: DataFrame) -> DataFrame:
     """Rows with the bucket (label, lo, hi) that holds x, lo <= x < hi, null edges open. The edges are a small dimension."""
     inside = (F.col("lo").isNull() | (F.col(x) >= F.col("lo"))) & (F.col("hi").isNull() | (F.col(x) < F.col("hi")))
-    return rows.join(F.broadcast(edges), inside)
+    return rows.join(small(edges), inside)
+
+
+def bucket_means(rows: DataFrame, x: str, edges: DataFrame, values: list[str]) -> DataFrame:
+    """Rows and means of the values in each bucket that has rows."""
+    return bucketed(rows, x, edges).groupBy("label").agg(F.count("*").alias("n"), *[F.avg(v).alias(f"avg_{v}") for v in values])
 
 
 def win_rates(rows: DataFrame, by: list[str], winner: str, a: str, b: str) -> DataFrame:
@@ -92,6 +101,8 @@ def longer_agreement(rows: DataFrame, winner: str, a: str, b: str, len_a: str, l
 
 
 def rank_sums(rows: DataFrame, name: str, higher: list[str], lower: list[str]) -> DataFrame:
-    """Sum of each row's ranks over metrics."""
-    ranks = [F.rank().over(Window.orderBy(F.desc(m))) for m in higher] + [F.rank().over(Window.orderBy(m)) for m in lower]
-    return rows.select(name, sum(ranks, F.lit(0)).cast("long").alias("rank_sum"))
+    """Sum of each row's ranks over metrics. Ranks come from range partitions, so any number of rows will do."""
+    names = [(m, f"_rank{k}", k < len(higher)) for k, m in enumerate([*higher, *lower])]
+    for m, rank, falling in names:
+        rows = ranked(rows, m, rank, falling)
+    return rows.select(name, sum((F.col(rank) for _, rank, _ in names), F.lit(0)).cast("long").alias("rank_sum"))

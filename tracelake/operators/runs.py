@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tracelake.functions.text import files_in_patch, strip
+from tracelake.operators.ranking import numbered
+
 SUBMITTED = "Submitted"
 #: A dimension side is broadcast up to so many rows, which the caller's table has been counted for.
 SMALL_ROWS = 100_000
@@ -22,6 +25,44 @@ def priced(calls: DataFrame, prices: DataFrame, run: str, model: str, tokens_in:
     return c.groupBy(run).agg(F.bool_or(F.col("rate_in").isNotNull()).alias("is_priced"), F.sum(spent).alias("_spent"), F.max(stored).alias("_stored")).select(run, "is_priced", F.when(F.col("is_priced"), F.coalesce("_spent", F.lit(0.0))).otherwise(F.coalesce("_stored", F.lit(0.0))).alias("cost"))
 
 
+def critic_priced(runs: DataFrame, entries: DataFrame, prices: DataFrame, run: str) -> DataFrame:
+    """A critic's cost per run. runs: (run, model, stored); entries: (run, usage) with usage a struct of prompt_tokens and completion_tokens, null or without either where nothing was recorded; prices: (model, rate_in, rate_out).
+
+    Without a rate, or without usage in any entry, the stored cost holds (0 if null).
+    """
+    u_in, u_out = F.col("usage.prompt_tokens"), F.col("usage.completion_tokens")
+    used = entries.groupBy(run).agg(F.bool_or(u_in.isNotNull() | u_out.isNotNull()).alias("_used"), F.coalesce(F.sum(u_in), F.lit(0)).alias("_in"), F.coalesce(F.sum(u_out), F.lit(0)).alias("_out"))
+    j = runs.join(small(prices), "model", "left").join(used, run, "left")
+    recomputed = F.col("rate_in").isNotNull() & F.coalesce("_used", F.lit(False))
+    cost = F.when(recomputed, F.col("_in") * F.col("rate_in") + F.col("_out") * F.col("rate_out")).otherwise(F.coalesce("stored", F.lit(0.0)))
+    return j.select(run, recomputed.alias("is_priced"), cost.alias("cost"))
+
+
+def selection_cost(results: DataFrame, rate_in: float, rate_out: float, out_per_call: int = 500) -> DataFrame:
+    """S18's one row with what choosing among runs costs, answers taken as out_per_call tokens each."""
+    return results.withColumn("cost", F.col("tokens_in") * rate_in + F.col("n_calls") * out_per_call * rate_out)
+
+
+def localization(predictions: DataFrame, gold: DataFrame, by: list[str]) -> DataFrame:
+    """Of predictions (instance_id, model_patch) with a patch and a known gold patch (instance_id, gold_patch), how many touch a gold file."""
+    p = predictions.filter(strip(F.coalesce("model_patch", F.lit(""))) != "").join(gold.filter("gold_patch is not null"), "instance_id")
+    hit = F.arrays_overlap(files_in_patch(F.col("model_patch")), files_in_patch(F.col("gold_patch")))
+    return p.groupBy(*by).agg(F.count_if(hit).alias("localized"), F.count("*").alias("n"))
+
+
+def combined_predictions(critic: DataFrame, base: DataFrame, statuses: DataFrame) -> DataFrame:
+    """The critic's prediction of runs that it submitted, else the base's. statuses: (instance_id, exit_status) of the critic's runs."""
+    submitted = F.col("exit_status") == SUBMITTED
+    own = critic.join(statuses.filter(submitted), "instance_id", "left_semi")
+    return own.unionByName(base.join(statuses.filter(~submitted | F.col("exit_status").isNull()), "instance_id", "left_semi"))
+
+
+def points(runs: DataFrame, agent: str, setting: str, base: str) -> DataFrame:
+    """A point per agent and setting with totals; agents without a run of the base setting are left out."""
+    p = runs.groupBy(agent, setting).agg(F.count("*").alias("n"), F.count_if("resolved").alias("resolved"), F.sum("cost").alias("cost"))
+    return p.join(p.filter(F.col(setting) == base).select(agent), agent, "left_semi")
+
+
 def with_fallback(critic: DataFrame, base: DataFrame, mode: str = "full") -> DataFrame:
     """Critic runs with the base run's result where they did not submit. Both sides: instance, exit_status, resolved, steps, cost.
 
@@ -82,29 +123,50 @@ def at_thresholds(rows: DataFrame, by: str, x: str, thresholds: tuple[int, ...])
 
 
 def group_split(rows: DataFrame, key: str, ratio: float) -> DataFrame:
-    """Rows with is_train: the first floor(n * ratio) of the sorted distinct keys train. Ranks come from range-partitioned counts, not from one task."""
-    keys = rows.select(key).distinct()
+    """Rows with is_train: the first floor(n * ratio) of the sorted distinct keys train."""
+    keys = numbered(rows.select(key).distinct(), [F.asc_nulls_last(key)], "_at")
     n = keys.count()
-    ordered = keys.repartitionByRange(key).sortWithinPartitions(key).withColumn("_p", F.spark_partition_id())
-    counts = ordered.groupBy("_p").agg(F.count("*").alias("_c"))
-    before = counts.withColumn("_before", F.sum("_c").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, 0)) - F.col("_c")).drop("_c")
-    rank = F.col("_before") + F.row_number().over(Window.partitionBy("_p").orderBy(key))
-    ranked = ordered.join(F.broadcast(before), "_p").select(key, (rank <= int(n * ratio)).alias("is_train"))
-    return rows.join(ranked, key)
+    return rows.join(keys.select(F.col(key).alias("_key"), (F.col("_at") < int(n * ratio)).alias("is_train")), F.col(key).eqNullSafe(F.col("_key"))).drop("_key")
 
 
 def python_slice(rows: DataFrame, order: str, start: int | None, stop: int | None, step: int = 1) -> DataFrame:
-    """O2: rows[start:stop:step] in order, negatives from the end, for positive steps."""
-    at = F.row_number().over(Window.orderBy(order)) - 1
-    n = F.count("*").over(Window.partitionBy())
-    edge = lambda e, default: default if e is None else F.greatest(n + e, F.lit(0)) if e < 0 else F.lit(e)
-    r = rows.withColumn("_at", at).withColumn("_from", edge(start, F.lit(0))).withColumn("_to", edge(stop, n))
-    return r.filter((F.col("_at") >= F.col("_from")) & (F.col("_at") < F.col("_to")) & ((F.col("_at") - F.col("_from")) % step == 0)).drop("_at", "_from", "_to")
+    """O2: rows[start:stop:step] in order of a unique column, negatives from the end, for positive steps."""
+    keys = numbered(rows.select(order), [F.asc(order)], "_at")
+    n = keys.count()
+    at = range(n)[slice(start, stop, step)]
+    chosen = keys.filter((F.col("_at") >= at.start) & (F.col("_at") < at.stop) & ((F.col("_at") - at.start) % step == 0))
+    return rows.join(chosen.select(order), order, "left_semi")
+
+
+def first_rows(rows: DataFrame, order: str, n: int) -> DataFrame:
+    """The first n rows in order."""
+    return rows.orderBy(order).limit(n)
+
+
+def selected(rows: DataFrame, key: str, spec: str) -> DataFrame:
+    """The row at a place (a spec of digits) in order of the key, else the rows of that key."""
+    if not spec.isnumeric():
+        return rows.filter(F.col(key) == spec)
+    return rows.join(numbered(rows.select(key).distinct(), [F.asc(key)], "_at").filter(F.col("_at") == int(spec)), key, "left_semi")
+
+
+def looked_up(rows: DataFrame, labels: dict[str, Column], order: str, values: list[str]) -> DataFrame:
+    """For each label the first row (in order) that its predicate holds for, in one pass; without any its values are null."""
+    picked = F.struct(*values)
+    found = rows.agg(*[F.min_by(F.when(p, picked), F.when(p, F.col(order))).alias(f"l{k}") for k, p in enumerate(labels.values())])
+    rows_ = F.array(*[F.struct(F.lit(name).alias("label"), F.col(f"l{k}").alias("v")) for k, name in enumerate(labels)])
+    return found.select(F.explode(rows_).alias("x")).select("x.label", *[F.col(f"x.v.{v}").alias(v) for v in values])
 
 
 def shuffled(rows: DataFrame, key: str, seed: int = 42) -> DataFrame:
-    """O3: a reproducible order by hash of the key; another permutation than a Mersenne shuffle gives."""
-    return rows.orderBy(F.xxhash64(F.lit(seed), key), key)
+    """O3: rows with their place in a reproducible shuffle by unique key: in order of the digest of seed and key, another permutation than a Mersenne shuffle gives."""
+    keys = rows.select(key, F.md5(F.concat_ws(":", F.lit(seed), F.col(key)).cast("binary")).alias("_digest"))
+    return rows.join(numbered(keys, [F.asc("_digest"), F.asc(key)], "place").drop("_digest"), key)
+
+
+def choice(key: Column, n: int, seed: int = 0) -> Column:
+    """A number from 0 to n - 1 for each call, the same on every run."""
+    return F.pmod(F.conv(F.left(F.md5(F.concat_ws(":", F.lit(seed), key).cast("binary")), F.lit(8)), 16, 10).cast("long"), F.lit(n)).cast("int")
 
 
 def shortest(candidates: DataFrame, by: str, content: str, pos: str) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tracelake.operators import conversations as C
+from tracelake.operators.ranking import numbered
 from tracelake.operators import runs as R
 from tracelake.plans.registry import query, table
 
@@ -92,12 +93,6 @@ def w11_active_supervisor(spark, sf_dir):
     return _messages(spark, sf_dir).filter("role = 'assistant'").groupBy("conv_id").agg(F.max("turn").alias("active_turn"))
 
 
-@query()
-def w12_dedup(spark, sf_dir):
-    """A fold with state: rows of a label against the last that was not suppressed."""
-    return C.deduplicated(table(spark, sf_dir, "embeddings"), "label", "vec_id", "embedding", 0.3)
-
-
 @query("SELECT conv_id, turn, role = 'user' AND r <= 2 AS tagged FROM (SELECT conv_id, turn, role, row_number() OVER (PARTITION BY conv_id, role ORDER BY turn DESC) AS r FROM conversations)")
 def w13_tag_last_users(spark, sf_dir):
     return C.tag_last_users(_messages(spark, sf_dir), "conv_id", "turn").select("conv_id", "turn", "tagged")
@@ -112,11 +107,9 @@ def w14_cyclic_schedule(spark, sf_dir):
 @query("""
 SELECT user_id, CAST((dense_rank() OVER (ORDER BY first, user_id) - 1) % 7 AS INTEGER) AS key_no FROM (SELECT user_id, min(event_id) AS first FROM events GROUP BY user_id)""")
 def w15_rotating_key(spark, sf_dir):
-    """Keys dealt to workers in the order in which they are first seen; one row a worker, so its window is small."""
-    from pyspark.sql import Window
-
+    """Keys dealt to workers in the order in which they are first seen; any number of workers will do."""
     first = _events(spark, sf_dir).groupBy("user_id").agg(F.min("event_id").alias("first"))
-    return first.select("user_id", F.pmod(F.dense_rank().over(Window.orderBy("first", "user_id")) - 1, F.lit(7)).cast("int").alias("key_no"))
+    return numbered(first, [F.asc("first"), F.asc("user_id")], "n").select("user_id", F.pmod("n", F.lit(7)).cast("int").alias("key_no"))
 
 
 @query("""

@@ -114,11 +114,6 @@ def o2_slice(spark, sf_dir):
     return R.python_slice(table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey"), "c_custkey", -60, -10, 7)
 
 
-@query()
-def o3_seeded_shuffle(spark, sf_dir):
-    return R.shuffled(table(spark, sf_dir, "part").select("p_partkey", "p_brand"), "p_partkey")
-
-
 @query("SELECT 'customer' AS src, c_nationkey AS nation, count(*) AS n FROM customer GROUP BY ALL UNION ALL SELECT 'supplier', s_nationkey, count(*) FROM supplier GROUP BY ALL")
 def u1_union(spark, sf_dir):
     c = table(spark, sf_dir, "customer").select(F.lit("customer").alias("src"), F.col("c_nationkey").alias("nation"))

@@ -124,18 +124,6 @@ def t22_elide(spark, sf_dir):
     return _docs(spark, sf_dir).select("doc_id", T.elide(F.col("text")).alias("shown"))
 
 
-@query("SELECT conv_id, turn, CASE WHEN turn % 2 = 0 THEN text || chr(10) END AS submission FROM conversations")
-def t21_submission(spark, sf_dir):
-    head = F.when(F.col("turn") % 2 == 0, f"\n {T.SUBMIT_MARKERS[0]} \n").otherwise("echo\n")
-    return table(spark, sf_dir, "conversations").select("conv_id", "turn", T.submission(F.concat(head, "text", F.lit("\n"))).alias("submission"))
-
-
-@query("SELECT p_partkey, CASE WHEN p_partkey % 2 = 0 THEN p_brand ELSE '-' END AS config FROM part")
-def j14_suffix_lookup(spark, sf_dir):
-    run = F.when(F.col("p_partkey") % 2 == 0, F.concat(F.lit("run_cwm_prm_"), "p_brand")).otherwise(F.col("p_brand"))
-    return table(spark, sf_dir, "part").select("p_partkey", T.config_suffix(run).alias("config"))
-
-
 @query("""
 SELECT doc_id, text LIKE '%|%' AS has_bar, regexp_matches(text, '[0-9]') AS has_digit, length(text) > 8000 AS is_long FROM documents""")
 def p19_quality_flags(spark, sf_dir):

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -89,24 +91,29 @@ def predictions(spark: SparkSession, path: str) -> DataFrame:
     return m.select(F.col("k").alias("instance_id"), F.col("v.model_name_or_path").alias("model_name"), "v.model_patch")
 
 
-def samples(spark: SparkSession, path: str) -> DataFrame:
-    """Idx (line number within the file) and messages of a JSONL file; reading fails on samples that are not system, user, assistant.
+def lines(spark: SparkSession, path: str) -> DataFrame:
+    """path, line_no (from 0 within its file) and line of text files of any size: lines are numbered within the splits in which they are read, then by the counts of the splits before."""
+    split = ["path", "_start"]
+    read = spark.read.text(path).select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("_start"), F.monotonically_increasing_id().alias("_at"), F.col("value").alias("line"))
+    within = read.withColumn("_no", F.row_number().over(Window.partitionBy(*split).orderBy("_at")) - 1)
+    counts = spark.read.text(path).groupBy(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("_start")).agg(F.count("*").alias("_n"))
+    ahead = F.sum("_n").over(Window.partitionBy("path").orderBy("_start").rowsBetween(Window.unboundedPreceding, 0)) - F.col("_n")
+    return within.join(counts.select(*split, ahead.alias("_ahead")), split).select("path", (F.col("_ahead") + F.col("_no")).alias("line_no"), "line")
 
-    A line's number is its place in its file, so the file is read whole by one task; write idx to keep it.
-    """
-    lines = spark.read.text(path, wholetext=True).select(F.posexplode(F.split(F.regexp_replace("value", r"\n\z", ""), "\n")).alias("idx", "line"))
-    s = lines.select(F.col("idx").cast("long").alias("idx"), F.from_json("line", schemas.SAMPLE).alias("s")).select("idx", "s.messages")
+
+def samples(spark: SparkSession, path: str) -> DataFrame:
+    """Idx (line number within the file) and messages of a JSONL file; reading fails on samples that are not system, user, assistant."""
+    s = lines(spark, path).select(F.col("line_no").alias("idx"), F.from_json("line", schemas.SAMPLE).alias("s")).select("idx", "s.messages")
     return s.filter(F.assert_true((F.size("messages") == 3) & (F.get("messages", 0)["role"] == "system"), "a sample is not three messages from system on").isNull())
 
 
 def responses(spark: SparkSession, path: str) -> DataFrame:
-    """One row per idx; of repeated ones the last line holds. Keyed by idx, never by position."""
+    """One row per idx; of repeated ones the last line of the last file (by path) holds. Keyed by idx, never by position."""
     if not _exists(spark, path):
         raise FileNotFoundError(path)
-    lines = spark.read.text(path, wholetext=True).select(F.posexplode(F.split("value", "\n")).alias("line_no", "line"))
-    r = lines.select("line_no", F.from_json("line", schemas.RESPONSE).alias("r")).filter("r.idx is not null").select("line_no", "r.*")
-    last = F.row_number().over(Window.partitionBy("idx").orderBy(F.desc("line_no")))
-    return r.withColumn("_r", last).filter("_r = 1").drop("_r", "line_no")
+    r = lines(spark, path).select("path", "line_no", F.from_json("line", schemas.RESPONSE).alias("r")).filter("r.idx is not null").select("path", "line_no", "r.*")
+    last = F.row_number().over(Window.partitionBy("idx").orderBy(F.desc("path"), F.desc("line_no")))
+    return r.withColumn("_r", last).filter("_r = 1").drop("_r", "path", "line_no")
 
 
 def judgements(spark: SparkSession, path: str) -> DataFrame:
@@ -125,3 +132,39 @@ def stats_table(spark: SparkSession, path: str, numbers: list[str]) -> DataFrame
     blank = lambda c: F.when(F.trim(c).isin("", "N/A"), None).otherwise(c)
     t = t.select([blank(F.col(f"`{c}`")).alias(c) for c in t.columns])
     return t.withColumns({c: F.expr(f"try_cast(`{c}` as double)") if c in t.columns else F.lit(None).cast("double") for c in numbers})
+
+
+def prices(spark: SparkSession, path: str) -> DataFrame:
+    """Model, rate_in and rate_out (per token) of a JSON map by model; a missing file gives none."""
+    if not _exists(spark, path):
+        return spark.createDataFrame([], "model string, rate_in double, rate_out double")
+    m = spark.read.text(path, wholetext=True).select(F.explode(F.from_json("value", "map<string,struct<input:double,output:double>>")).alias("model", "v"))
+    return m.select("model", F.col("v.input").alias("rate_in"), F.col("v.output").alias("rate_out"))
+
+
+def critic_results(spark: SparkSession, path: str) -> DataFrame:
+    """One row with n_calls and tokens_in of a JSON list of a critic's calls; a missing file counts as none."""
+    none = spark.range(1).select(F.lit(0).cast("long").alias("n_calls"), F.lit(0).cast("long").alias("tokens_in"))
+    if not _exists(spark, path):
+        return none
+    calls = spark.read.text(path, wholetext=True).select(F.explode(F.from_json("value", "array<struct<formatted_tokens:long>>")).alias("c"))
+    return calls.agg(F.count("*").alias("n_calls"), F.coalesce(F.sum("c.formatted_tokens"), F.lit(0)).alias("tokens_in"))
+
+
+def files(spark: SparkSession, path: str, name: str) -> DataFrame:
+    """Paths below a folder of files whose name fits a glob; contents are not read."""
+    return spark.read.format("binaryFile").option("pathGlobFilter", name).option("recursiveFileLookup", True).load(path).select("path")
+
+
+def runs_at_hand(spark: SparkSession, registry: DataFrame, root: str, run: str = "run", report: str = "report.json") -> DataFrame:
+    """The registered runs whose folder below root has a report."""
+    found = files(spark, root, report).select(F.regexp_extract("path", r"([^/]+)/[^/]+$", 1).alias(run)).distinct()
+    return registry.join(found, run, "left_semi")
+
+
+def universe(spark: SparkSession, run_dir: str, gold: DataFrame | None = None) -> DataFrame:
+    """Distinct instance_id of the dataset where there is one, else the names of a reference run's folders."""
+    if gold is not None:
+        return gold.select("instance_id").distinct()
+    below = F.regexp_extract("path", re.escape(run_dir.rstrip("/").rsplit("/", 1)[-1]) + r"/([^/]+)/[^/]+$", 1)
+    return files(spark, run_dir, "*").select(below.alias("instance_id")).filter("instance_id <> ''").distinct()

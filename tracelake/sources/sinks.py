@@ -3,21 +3,28 @@
 from __future__ import annotations
 
 import json
+import uuid
+from collections.abc import Iterator
 
+import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
 def write_text(spark: SparkSession, path: str, text: str) -> None:
-    """A small file from the driver, through the file system of its path; it appears whole."""
+    """A small file from the driver, through the file system of its path; it replaces an older one at once, so that readers find either."""
     jvm = spark._jvm
-    target, part = jvm.org.apache.hadoop.fs.Path(path), jvm.org.apache.hadoop.fs.Path(f"{path}.part")
-    fs = target.getFileSystem(spark._jsc.hadoopConfiguration())
-    out = fs.create(part, True)
+    target, part = jvm.org.apache.hadoop.fs.Path(path), jvm.org.apache.hadoop.fs.Path(f"{path}.{uuid.uuid4().hex}")
+    conf = spark._jsc.hadoopConfiguration()
+    out = target.getFileSystem(conf).create(part, True)
     out.write(bytearray(text.encode()))
     out.close()
-    fs.delete(target, False)
-    fs.rename(part, target)
+    rename = getattr(jvm.org.apache.hadoop.fs, "Options$Rename")
+    how = spark.sparkContext._gateway.new_array(rename, 1)
+    how[0] = rename.OVERWRITE
+    target_uri = target.getFileSystem(conf).makeQualified(target)
+    jvm.org.apache.hadoop.fs.FileContext.getFileContext(target_uri.toUri(), conf).rename(target.getFileSystem(conf).makeQualified(part), target_uri, how)
 
 
 def sample_set(samples: DataFrame, path: str, order: list[str], split: str = "is_train") -> dict[str, int]:
@@ -59,8 +66,62 @@ def by_exit_status(runs: DataFrame) -> DataFrame:
     return runs.select("exit_status", "instance_id").orderBy("exit_status", "instance_id")
 
 
-def trajectories(messages: DataFrame, path: str) -> None:
-    """A JSON document per instance with its messages in order."""
+def documents(messages: DataFrame) -> DataFrame:
+    """run_id, instance_id and messages (role, content in order) of message rows."""
     m = F.struct("pos", "role", "content")
-    docs = messages.groupBy("run_id", "instance_id").agg(F.transform(F.array_sort(F.collect_list(m)), lambda x: F.struct(x["role"], x["content"])).alias("messages"))
-    docs.write.mode("overwrite").partitionBy("run_id").json(path)
+    return messages.groupBy("run_id", "instance_id").agg(F.transform(F.array_sort(F.collect_list(m)), lambda x: F.struct(x["role"], x["content"])).alias("messages"))
+
+
+def trajectories(messages: DataFrame, path: str) -> None:
+    """A JSON document per instance with its messages in order, many to a file, by run."""
+    documents(messages).write.mode("overwrite").partitionBy("run_id").json(path)
+
+
+def trajectory_files(texts: DataFrame, path: str) -> int:
+    """K12, one file an instance: (name, text) rows as path/name/name.traj.json, each whole under its name at once; a task that is run again writes the same. Returns how many."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        store, root = fs.FileSystem.from_uri(path)
+        for batch in batches:
+            for name, text in zip(batch.column("name").to_pylist(), batch.column("text").to_pylist()):
+                at = f"{root}/{name}"
+                store.create_dir(at, recursive=True)
+                part = f"{at}/.{uuid.uuid4().hex}"
+                with store.open_output_stream(part) as out:
+                    out.write(text.encode())
+                store.move(part, f"{at}/{name.rsplit('/', 1)[-1]}.traj.json")
+            yield pa.RecordBatch.from_arrays([pa.array([batch.num_rows], pa.int64())], names=["n"])
+
+    return texts.select(F.col("name").cast("string").alias("name"), "text").mapInArrow(run, "n long").agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first()["n"]
+
+
+def checkpoint(rows: DataFrame, path: str, order: str, keep: DataFrame | None = None) -> None:
+    """K4: results so far as JSON lines in order, with those of an earlier checkpoint; the commit of the write makes the new folder whole before it is read, and a `latest` file names it."""
+    every = rows if keep is None else keep.join(rows.select(order), order, "left_anti").unionByName(rows)
+    name = f"part-{uuid.uuid4().hex}"
+    every.repartitionByRange(order).sortWithinPartitions(order).write.json(f"{path}/{name}")
+    write_text(rows.sparkSession, f"{path}/latest", name)
+
+
+def from_checkpoint(spark: SparkSession, path: str, schema: str) -> DataFrame | None:
+    """The rows of the last whole checkpoint, None before the first."""
+    from tracelake.sources.readers import _exists
+
+    if not _exists(spark, f"{path}/latest"):
+        return None
+    name = spark.read.text(f"{path}/latest").first()[0]
+    return spark.read.schema(schema).json(f"{path}/{name}")
+
+
+def markdown(table: DataFrame, title: str, order: list[str], most: int = 1000) -> str:
+    """A small result as a Markdown table; a larger one is an error, as it would pass through the driver."""
+    rows = table.orderBy(*order).limit(most + 1).collect()
+    if len(rows) > most:
+        raise ValueError(f"a report of over {most} rows")
+    line = lambda cells: f"| {' | '.join(str(c).replace('|', chr(92) + '|') for c in cells)} |"
+    return "\n".join([f"## {title}", "", line(table.columns), line(["---"] * len(table.columns)), *map(line, rows), ""])
+
+
+def json_rows(table: DataFrame) -> DataFrame:
+    """Each row as one JSON text."""
+    return table.select(F.to_json(F.struct("*")).alias("json"))
