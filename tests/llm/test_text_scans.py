@@ -202,8 +202,30 @@ def test_audio_round_trip(spark, rows):
     by_text = {}
     for g in got:
         assert by_text.setdefault(g["payload_sha256"], (g["media_sha256"], g["feature"])) == (g["media_sha256"], g["feature"])
-    pcm = telephony_audio.pcm16k(telephony_audio.store(frame(spark, rows))).collect()
+    stored = telephony_audio.store(frame(spark, rows))
+    pcm = telephony_audio.pcm(stored).collect()
     assert sorted(len(x["pcm"]) for x in pcm) == sorted(4 * g["payload_bytes"] for g in got)
+    heard = {r["doc_id"]: r["pcm"] for r in telephony_audio.pcm(stored, telephony_audio.STORED_RATE).collect() if r["doc_id"] is not None}
+    for g in got:
+        if g["doc_id"] in heard:
+            p = heard[g["doc_id"]]
+            assert f"pcm={zlib.crc32(p):08x};samples={len(p) // 2};" in g["feature"] and len(p) // 2 == -(-g["payload_bytes"] * 3 // 4)
+
+
+def test_resampling():
+    rng = np.random.default_rng(4)
+    x = rng.integers(-32768, 32768, 577).astype(np.int16)
+    for rate in (16_000, 6_000, 8_000, 11_025, 48_000):
+        got = telephony_audio.resampled(x, rate)
+        at = np.arange(len(got)) * 8000 / rate
+        assert len(got) == math.ceil(len(x) * rate / 8000) and np.abs(got - np.interp(at, np.arange(len(x)), x)).max() < 1
+    assert telephony_audio.resampled(x, 8000).tolist() == x.tolist()
+
+
+def test_pcm_of_odd_files(spark):
+    assert telephony_audio.pcm(spark.createDataFrame([(1, None)], telephony_audio.MEDIA.replace("n_bytes long, ", ""))).first()["pcm"] is None
+    with pytest.raises(Exception, match="not a WAVE file"):
+        telephony_audio.pcm(spark.createDataFrame([(1, b"RIFX")], "doc_id long, media binary")).collect()
 
 
 def test_companding_and_adpcm():
