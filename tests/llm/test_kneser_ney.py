@@ -64,3 +64,49 @@ def test_counts_over_a_byte(spark):
     got = sorted((tuple(r)[:7] for r in K.train_and_score(frame(spark, rows)).collect()), key=key)
     for g, w in zip(got, sorted(brute(rows)[0], key=key), strict=True):
         assert g == pytest.approx(w, rel=1e-9)
+
+
+def brute_of(rows, order):
+    """The score of every row by a model of any order, by the recursive definition."""
+    held = lambda i: i is not None and zlib.crc32(str(i).encode()) % 7 == 2
+    grams = [None, *(Counter() for _ in range(order))]
+    padded = lambda t: ["<s>"] * (order - 1) + words_of(t)
+    for r in rows:
+        if not held(r[0]):
+            t = padded(r[1])
+            grams[order].update(tuple(t[i - order + 1 : i + 1]) for i in range(order - 1, len(t)))
+    for k in range(order - 1, 0, -1):
+        grams[k] = Counter(g[1:] for g in grams[k + 1])
+    d = [None, *(K.discounts(*(sum(n == x for n in grams[k].values()) for x in (1, 2, 3, 4))) for k in range(1, order + 1))]
+    follow = [None, *(defaultdict(list) for _ in range(order))]
+    for k in range(1, order + 1):
+        for g, n in grams[k].items():
+            follow[k][g[:-1]].append(n)
+    cut = lambda k, n: [0, *d[k]][min(n, 3)]
+
+    def p(g):
+        k = len(g)
+        lower = p(g[1:]) if k > 1 else 1 / (len(grams[1]) + 1)
+        seen = follow[k][g[:-1]] if g[:-1] in follow[k] else None
+        if not seen:
+            return lower
+        return (grams[k][g] - cut(k, grams[k][g]) + sum(cut(k, n) for n in seen) * lower) / sum(seen)
+
+    scores = []
+    for r in rows:
+        t = padded(r[1])
+        scores.append((r[0], sum(math.log10(p(tuple(t[i - order + 1 : i + 1]))) for i in range(order - 1, len(t)))))
+    return scores, p, [g[0] for g in grams[1]]
+
+
+@pytest.mark.parametrize("order", [2, 3, 4])
+def test_longer_grams(spark, order):
+    rows = corpus(60, 11)
+    scores, p, vocabulary = brute_of(rows, order)
+    got = sorted(((r["doc_id"], r["score"]) for r in K.train_and_score(frame(spark, rows), order=order).collect()), key=lambda r: (r[0] is None, r[0] or 0, r[1]))
+    for g, w in zip(got, sorted(scores, key=lambda r: (r[0] is None, r[0] or 0, r[1])), strict=True):
+        assert g[0] == w[0] and g[1] == pytest.approx(w[1], rel=1e-9)
+    context = ("<s>",) * (order - 2) + ("the",)
+    assert sum(p((*context, w)) for w in vocabulary) + p((*context, "never seen")) == pytest.approx(1)
+    with pytest.raises(ValueError):
+        K.train(frame(spark, rows), order=1)

@@ -1,19 +1,20 @@
-"""LM scoring: an interpolated modified Kneser-Ney model of word pairs, counted in Spark.
+"""LM scoring: an interpolated modified Kneser-Ney model of n-grams of words, counted in Spark.
 
-Training: each task counts the pairs of its texts and sends them, packed, to the shard of their
-context's hash range. A shard's task merges its parts, counts each context's followers, and writes
-sorted hash arrays to the shared folder; each word's number of distinct predecessors goes on to
-the word shards in the same way. Nothing is gathered on the driver but a few sums a shard.
+Training: each task counts the longest grams of its texts and sends them, packed, to the shard of
+their context's hash range. A shard's task merges its parts, counts each context's followers, and
+writes sorted hash arrays to the shared folder; the numbers of distinct predecessors of the grams of
+one word less go on to their shards in the same way, down to the words. Nothing is gathered on the
+driver but a few sums a shard.
 
 Scoring: workers map the shards' files into memory (pages are shared and read as needed) and look
-sorted batches of hashes up. The order is two: for longer n-grams the counts alone would be
-several times the size of the input text.
+sorted batches of hashes up. The default order is two: of three words the counts alone are several
+times the size of the input text.
 """
 
 from __future__ import annotations
 
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from typing import NamedTuple
 
 import numpy as np
@@ -22,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tracelake.llm.common import hashed_words, mix, remainder, shared_dir, slices, small_batches, tidied
-from tracelake.llm.packed import ROWS, batches_of, by_shard, dealt, find, mapped, pack, put, ranges, runs, shard_bits, unpack
+from tracelake.llm.packed import ROWS, Shards, batches_of, by_shard, dealt, find, pack, put, ranges, runs, shard_bits, unpack
 
 #: Tokens counted at once: larger parts merge more pairs before the shuffle. Text bytes read and scored at once.
 PART_TOKENS = 4_000_000
@@ -36,8 +37,8 @@ END, START = np.uint64(1), np.uint64(2)
 
 # --- shards in the shared folder ---------------------------------------------
 
-#: Pairs: key; pairs counted over 254 times and their counts; contexts with total, n1, n2, n3+; the pair counts in a byte.
-PAIR_TYPES = ("<u8", "<u8", "<i8", "<u8", "<i8", "<i4", "<i4", "<i4", "u1")
+#: Grams of two words and more: key; grams counted over 254 times and their counts; contexts with total, n1, n2, n3+; the counts in a byte.
+GRAM_TYPES = ("<u8", "<u8", "<i8", "<u8", "<i8", "<i4", "<i4", "<i4", "u1")
 #: Words: hash, count, distinct predecessors.
 WORD_TYPES = ("<u8", "<i8", "<i8")
 
@@ -45,8 +46,8 @@ WORD_TYPES = ("<u8", "<i8", "<i8")
 # --- counting -----------------------------------------------------------------
 
 
-def pair_key(context: np.ndarray, word: np.ndarray, bits: int) -> np.ndarray:
-    """64-bit key of a pair whose top bits are its context's, so that keys in order are shards in order."""
+def gram_key(context: np.ndarray, word: np.ndarray, bits: int) -> np.ndarray:
+    """64-bit key of a gram whose top bits are its context's, so that keys in order are shards in order."""
     top = np.uint64(64 - bits)
     return (context << _HASH >> top << top) | (mix(context * np.uint64(0x9E3779B97F4A7C15) ^ mix(word)) >> np.uint64(bits))
 
@@ -64,11 +65,16 @@ def tokens(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return out, begin
 
 
-def contexts(token: np.ndarray, begin: np.ndarray) -> np.ndarray:
-    before = np.empty_like(token)
-    before[1:] = token[:-1]
-    before[begin[:-1]] = START
-    return before
+def contexts(token: np.ndarray, begin: np.ndarray, order: int = 2) -> list[np.ndarray]:
+    """The hashes of the 1, 2, ..., order - 1 words before each token; before a text stand start marks."""
+    out, before = [], token
+    for _ in range(order - 1):
+        moved = np.empty_like(before)
+        moved[1:] = before[:-1]
+        moved[begin[:-1]] = START
+        before = moved
+        out.append(before if not out else mix(out[-1] * np.uint64(0x9E3779B97F4A7C15) ^ mix(before)) >> _HASH)
+    return out
 
 
 def _seven(a: np.ndarray) -> bytes:
@@ -81,29 +87,28 @@ def _from_seven(b: np.ndarray) -> np.ndarray:
     return wide.view("<u8")[:, 0]
 
 
-def _pair_parts(context: np.ndarray, word: np.ndarray, bits: int) -> Iterator[tuple[int, bytes]]:
-    """Distinct pairs with counts, packed by shard: contexts once with their number of pairs, words in seven bytes, counts."""
-    order = np.lexsort((word, context))
-    c, w = context[order], word[order]
-    at, n = runs((c, w), np.ones(len(c), np.int64))
-    c, w = c[at], w[at]
-    for s, x in ranges(c, bits, _WORD_BITS):
-        heads, pairs = runs((c[x],), np.ones(len(c[x]), np.int64))
-        yield s, pack(pairs.astype("<u4"), n[x].astype("<u4"), np.frombuffer(_seven(c[x][heads]), np.uint8), np.frombuffer(_seven(w[x]), np.uint8))
+def _parts(chain: list[np.ndarray], word: np.ndarray, raw: np.ndarray, n: np.ndarray | None, bits: int) -> Iterator[tuple[int, bytes]]:
+    """Distinct grams in order of their context (chain[0]), packed by its shard: contexts once, with the shorter ones that end them (the rest of the chain) and their number of grams; words in seven bytes; counts, and numbers of predecessors if they are others."""
+    for s, x in ranges(chain[0], bits, _WORD_BITS):
+        heads, grams = runs((chain[0][x],), np.ones(len(word[x]), np.int64))
+        seven = [np.frombuffer(_seven(c[x][heads]), np.uint8) for c in chain] + [np.frombuffer(_seven(word[x]), np.uint8)]
+        counts = [raw[x].astype("<u4")] if n is None else [raw[x].astype("<u4"), n[x].astype("<u4")]
+        yield s, pack(grams.astype("<u4"), *counts, *seven)
 
 
-def _merge_pairs(parts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    cs, ws, ns = [], [], []
+def _merged(parts: list[bytes], length: int, counted: bool) -> tuple[list[np.ndarray], np.ndarray, np.ndarray, np.ndarray]:
+    """The grams of a shard's parts, each once: chain, word, count and, unless they are the same, number of predecessors."""
+    got = []
     for p in parts:
-        pairs, n, heads, words = unpack(np.frombuffer(p, np.uint8), "<u4", "<u4", "u1", "u1")
-        cs.append(np.repeat(_from_seven(heads), pairs))
-        ws.append(_from_seven(words))
-        ns.append(n.astype(np.int64))
-    c, w, n = map(np.concatenate, (cs, ws, ns))
-    order = np.lexsort((w, c))
-    c, w, n = c[order], w[order], n[order]
-    at, n = runs((c, w), n)
-    return c[at], w[at], n
+        grams, *counts = unpack(np.frombuffer(p, np.uint8), "<u4", "<u4", *([] if counted else ["<u4"]), *["u1"] * (length + 1))
+        numbers, seven = counts[: 1 if counted else 2], counts[1 if counted else 2 :]
+        got.append([*(np.repeat(_from_seven(c), grams) for c in seven[:-1]), _from_seven(seven[-1]), *(c.astype(np.int64) for c in numbers)])
+    columns = [np.concatenate(c) for c in zip(*got)]
+    order = np.lexsort((columns[length], columns[0]))
+    columns = [c[order] for c in columns]
+    at, raw = runs((columns[0], columns[length]), columns[length + 1])
+    n = raw if counted else np.add.reduceat(columns[length + 2], at)
+    return [c[at] for c in columns[:length]], columns[length][at], raw, n
 
 
 def _of_counts(n: np.ndarray) -> list[int]:
@@ -111,21 +116,26 @@ def _of_counts(n: np.ndarray) -> list[int]:
     return [int(np.count_nonzero(n == k)) for k in (1, 2, 3, 4)]
 
 
-def _pair_shard(folder: str, shard: int, bits: int, parts: list[bytes]) -> Iterator[tuple[int, bytes, list[int]]]:
-    """Writes a shard of pairs; gives the words' predecessors by word shard, and the sums of the shard."""
-    c, w, n = _merge_pairs(parts)
+def _gram_shard(folder: str, level: int, top: bool, shard: int, bits: int, parts: list[bytes]) -> Iterator[tuple[int, bytes, list[int]]]:
+    """Writes a shard of grams of `level` words; gives the grams of one word less, with their predecessors, by their shards, and the sums of this one."""
+    chain, w, raw, n = _merged(parts, level - 1, top)
+    c = chain[0]
     heads, total = runs((c,), n)
     kinds = [np.add.reduceat((n == k) if k < 3 else (n >= 3), heads, dtype=np.int32) for k in (1, 2, 3)]
-    key = pair_key(c, w, bits)
+    key = gram_key(c, w, bits)
     order = np.argsort(key)
     many = order[n[order] >= 255]
-    put(folder, f"pairs-{shard}", pack(key[order], key[many], n[many], c[heads], total, *kinds, np.minimum(n[order], 255).astype(np.uint8)))
-    yield shard, b"", _of_counts(n)
-    order = np.argsort(w, kind="stable")
-    w, n = w[order], n[order]
-    at, raw = runs((w,), n)
-    _, before = runs((w,), np.ones(len(w), np.int64))
-    w = w[at]
+    put(folder, f"grams{level}-{shard}", pack(key[order], key[many], n[many], c[heads], total, *kinds, np.minimum(n[order], 255).astype(np.uint8)))
+    yield shard, b"", [level, *_of_counts(n)]
+    order = np.argsort(w, kind="stable") if level == 2 else np.lexsort((w, chain[1]))
+    by = (w[order],) if level == 2 else (chain[1][order], w[order])
+    at, raw = runs(by, raw[order])
+    _, before = runs(by, np.ones(len(order), np.int64))
+    w = w[order][at]
+    if level > 2:
+        for s, data in _parts([x[order][at] for x in chain[1:]], w, raw, before, bits):
+            yield s, data, []
+        return
     for s, x in ranges(w, bits, _WORD_BITS):
         yield s, pack(raw[x], before[x].astype("<u4"), np.frombuffer(_seven(w[x]), np.uint8)), []
 
@@ -133,12 +143,14 @@ def _pair_shard(folder: str, shard: int, bits: int, parts: list[bytes]) -> Itera
 class Model(NamedTuple):
     folder: str
     bits: int
+    order: int
     n_tokens: int
     n_types: int
     n_pairs: int
-    pair_discounts: tuple[float, float, float]
+    gram_discounts: tuple[tuple[float, float, float], ...]  # of two words, three, ...
     word_discounts: tuple[float, float, float]
     word_backoff: float  # share of the uniform distribution
+    written: tuple[frozenset[int], ...]  # shards that have a file: words, grams of two words, ...
 
 
 def discounts(n1: int, n2: int, n3: int, n4: int) -> tuple[float, float, float]:
@@ -149,8 +161,15 @@ def discounts(n1: int, n2: int, n3: int, n4: int) -> tuple[float, float, float]:
     return tuple(min(max(k - (k + 1) * y * b / a, 0.0), float(k)) for k, a, b in ((1, n1, n2), (2, n2, n3), (3, n3, n4)))
 
 
-def train(docs: DataFrame, text: str = "text", shards: int | None = None) -> Model:
-    """Counts every row of docs (null texts as empty) and writes the model to the shared folder. shards: a power of two, by default at least spark.sql.shuffle.partitions."""
+def train(docs: DataFrame, text: str = "text", shards: int | None = None, order: int = 2) -> Model:
+    """Counts every row of docs (null texts as empty) and writes the model to the shared folder.
+
+    shards: a power of two, by default at least spark.sql.shuffle.partitions. order: words of the
+    longest grams, 2 or more; each word more multiplies what is shuffled and stored. Grams of fewer
+    words are counted by their distinct predecessors, start marks among them.
+    """
+    if order < 2:
+        raise ValueError("order is at least 2")
     spark = docs.sparkSession
     small_batches(spark)
     bits = shard_bits(spark, shards)
@@ -162,8 +181,8 @@ def train(docs: DataFrame, text: str = "text", shards: int | None = None) -> Mod
             for batch in batches:
                 for part in slices(batch, "text", SCORED_BYTES):
                     token, begin = tokens(part.column("text").to_pylist())
-                    held.append((contexts(token, begin), token))
-                    size += len(token)
+                    held.append((*contexts(token, begin, order)[::-1], token))
+                    size += len(token) * (order - 1)
                     if size >= PART_TOKENS:
                         yield from packed(held)
                         held, size = [], 0
@@ -171,19 +190,32 @@ def train(docs: DataFrame, text: str = "text", shards: int | None = None) -> Mod
                 yield from packed(held)
 
         def packed(held: list):
-            for shard, data in _pair_parts(*(np.concatenate(c) for c in zip(*held)), bits):
+            *chain, w = (np.concatenate(c) for c in zip(*held))
+            by = np.lexsort((w, chain[0]))
+            at, n = runs((chain[0][by], w[by]), np.ones(len(w), np.int64))
+            for shard, data in _parts([c[by][at] for c in chain], w[by][at], n, None, bits):
                 yield shard, data, []
 
         yield from batches_of(rows())
 
-    def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        yield from batches_of(row for shard, parts, _ in by_shard(batches) for row in _pair_shard(folder, shard, bits, parts))
+    def grams(level: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            def rows():
+                for shard, parts, sums in by_shard(batches):
+                    for x in sums:
+                        yield shard, b"", x
+                    if parts:
+                        yield from _gram_shard(folder, level, level == order, shard, bits, parts)
+
+            yield from batches_of(rows())
+
+        return run
 
     def words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def rows():
             for shard, parts, sums in by_shard(batches):
                 for x in sums:
-                    yield shard, b"", [0, *x]
+                    yield shard, b"", x
                 if not parts:
                     continue
                 got = [unpack(np.frombuffer(p, np.uint8), "<i8", "<u4", "u1") for p in parts]
@@ -196,41 +228,40 @@ def train(docs: DataFrame, text: str = "text", shards: int | None = None) -> Mod
 
         yield from batches_of(rows())
 
-    sent = docs.select(F.coalesce(F.col(text), F.lit("")).alias("text")).mapInArrow(tidied(count), ROWS)
-    sums = [r["sums"] for r in dealt(dealt(sent, bits).mapInArrow(tidied(pairs), ROWS), bits).mapInArrow(tidied(words), ROWS).select("sums").collect()]
-    total = lambda kind, size: [sum(x) for x in zip([0] * size, *(s[1:] for s in sums if s[0] == kind))]
+    stage = docs.select(F.coalesce(F.col(text), F.lit("")).alias("text")).mapInArrow(tidied(count), ROWS)
+    for level in range(order, 1, -1):
+        stage = dealt(stage, bits).mapInArrow(tidied(grams(level)), ROWS)
+    rows = dealt(stage, bits).mapInArrow(tidied(words), ROWS).select("shard", "sums").collect()
+    of = lambda level: [r for r in rows if r["sums"][0] == level]
+    total = lambda level, size: [sum(x) for x in zip([0] * size, *(r["sums"][1:] for r in of(level)))]
     *of_words, n_types, n_tokens, n_pairs = total(1, 7)
     word_d = discounts(*of_words)
     n1, n2 = of_words[:2]
     mass = word_d[0] * n1 + word_d[1] * n2 + word_d[2] * (n_types - n1 - n2)
-    return Model(folder, bits, n_tokens, n_types, n_pairs, discounts(*total(0, 4)), word_d, mass / n_pairs if n_pairs else 1.0)
+    written = tuple(frozenset(r["shard"] for r in of(level)) for level in range(1, order + 1))
+    return Model(folder, bits, order, n_tokens, n_types, n_pairs, tuple(discounts(*total(level, 4)) for level in range(2, order + 1)), word_d, mass / n_pairs if n_pairs else 1.0, written)
 
 
 # --- scoring --------------------------------------------------------------------
 
 
-class Shards:
+class Files:
     """The mapped files of a model, opened as they are needed."""
 
     def __init__(self, model: Model):
-        self.model, self.pairs, self.words = model, {}, {}
-
-    def _open(self, kind: str, shard: int) -> list[np.ndarray] | None:
-        held, types = (self.pairs, PAIR_TYPES) if kind == "pairs" else (self.words, WORD_TYPES)
-        if shard not in held:  # None if no key fell into it
-            file = mapped(self.model.folder, f"{kind}-{shard}")
-            held[shard] = None if file is None else unpack(file, *types)
-        return held[shard]
+        self.model = model
+        self.words = Shards(model.folder, "words", model.written[0], *WORD_TYPES)
+        self.grams = [Shards(model.folder, f"grams{k}", w, *GRAM_TYPES) for k, w in enumerate(model.written[1:], 2)]
 
-    def _each(self, kind: str, keys: np.ndarray, top: int) -> Iterator[tuple[slice, list[np.ndarray]]]:
+    def _each(self, shards: Shards, keys: np.ndarray, top: int) -> Iterator[tuple[slice, list[np.ndarray]]]:
         """Parts of sorted keys with their shards."""
         for s, part in ranges(keys, self.model.bits, top):
-            if (shard := self._open(kind, s)) is not None:
+            if (shard := shards[s]) is not None:
                 yield part, shard
 
-    def pair_counts(self, keys: np.ndarray) -> np.ndarray:
+    def gram_counts(self, level: int, keys: np.ndarray) -> np.ndarray:
         out = np.zeros(len(keys), np.int64)
-        for part, shard in self._each("pairs", keys, 64):
+        for part, shard in self._each(self.grams[level - 2], keys, 64):
             hit, at = find(shard[0], keys[part])
             n = shard[8][at].astype(np.int64)
             if (many := n == 255).any():
@@ -238,11 +269,11 @@ class Shards:
             out[part][hit] = n
         return out
 
-    def context_stats(self, words: np.ndarray) -> np.ndarray:
-        """total, n1, n2, n3+ of each sorted context; zeros if it was not seen."""
-        out = np.zeros((4, len(words)), np.int64)
-        for part, shard in self._each("pairs", words, _WORD_BITS):
-            hit, at = find(shard[3], words[part])
+    def context_stats(self, level: int, contexts: np.ndarray) -> np.ndarray:
+        """total, n1, n2, n3+ of each sorted context of grams of `level` words; zeros if it was not seen."""
+        out = np.zeros((4, len(contexts)), np.int64)
+        for part, shard in self._each(self.grams[level - 2], contexts, _WORD_BITS):
+            hit, at = find(shard[3], contexts[part])
             for k in range(4):
                 out[k, part][hit] = shard[4 + k][at]
         return out
@@ -250,7 +281,7 @@ class Shards:
     def word_stats(self, words: np.ndarray) -> np.ndarray:
         """count and distinct predecessors of each sorted word."""
         out = np.zeros((2, len(words)), np.int64)
-        for part, shard in self._each("words", words, _WORD_BITS):
+        for part, shard in self._each(self.words, words, _WORD_BITS):
             hit, at = find(shard[0], words[part])
             out[0, part][hit], out[1, part][hit] = shard[1][at], shard[2][at]
         return out
@@ -260,28 +291,24 @@ def _discount(n: np.ndarray, d: tuple[float, float, float]) -> np.ndarray:
     return np.array([0.0, *d])[np.minimum(n, 3)]
 
 
-def score_texts(shards: Shards, texts: list[str]) -> dict:
+def score_texts(files: Files, texts: list[str]) -> dict:
     """n_tokens, n_known, base_score and score of each text."""
-    m = shards.model
+    m = files.model
     token, begin = tokens(texts)
-    before = contexts(token, begin)
-    types, inverse = np.unique(np.concatenate([token, [START]]), return_inverse=True)
-    raw, preceding = shards.word_stats(types)
-    ctx = shards.context_stats(types)
-    p_word = (preceding - _discount(preceding, m.word_discounts)) / max(m.n_pairs, 1) + m.word_backoff / (m.n_types + 1)
-    total = np.maximum(ctx[0], 1)
-    backoff = np.where(ctx[0] > 0, sum(d * k for d, k in zip(m.pair_discounts, ctx[1:])) / total, 1.0)
-    word_at = inverse[:-1]
-    before_at = np.empty_like(word_at)
-    before_at[1:] = word_at[:-1]
-    before_at[begin[:-1]] = inverse[-1]
-    keys, first, pair_at = np.unique(pair_key(before, token, m.bits), return_index=True, return_inverse=True)
-    n = shards.pair_counts(keys)
-    w, c = word_at[first], before_at[first]
-    log_p = np.log10((n - _discount(n, m.pair_discounts)) / total[c] + backoff[c] * p_word[w])[pair_at]
+    types, word_at = np.unique(token, return_inverse=True)
+    raw, preceding = files.word_stats(types)
+    p = ((preceding - _discount(preceding, m.word_discounts)) / max(m.n_pairs, 1) + m.word_backoff / (m.n_types + 1))[word_at]
+    for level, (context, d) in enumerate(zip(contexts(token, begin, m.order), m.gram_discounts), 2):
+        known, at = np.unique(context, return_inverse=True)
+        stats = files.context_stats(level, known)
+        total = np.maximum(stats[0], 1)
+        backoff = np.where(stats[0] > 0, sum(x * k for x, k in zip(d, stats[1:])) / total, 1.0)
+        keys, gram_at = np.unique(gram_key(context, token, m.bits), return_inverse=True)
+        n = files.gram_counts(level, keys)
+        p = (n - _discount(n, d))[gram_at] / total[at] + backoff[at] * p
     base = np.log10((raw + 1) / (m.n_tokens + m.n_types + 1))[word_at]
     sums = lambda x: np.add.reduceat(x, begin[:-1])  # noqa: E731  no text is without its end
-    return {"n_tokens": np.diff(begin), "n_known": sums((raw > 0).astype(np.int64)[word_at]), "base_score": sums(base), "score": sums(log_p)}
+    return {"n_tokens": np.diff(begin), "n_known": sums((raw > 0).astype(np.int64)[word_at]), "base_score": sums(base), "score": sums(np.log10(p))}
 
 
 SCHEMA = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, perplexity double"
@@ -296,10 +323,10 @@ def score(docs: DataFrame, model: Model, doc_id: str = "doc_id", text: str = "te
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         to = to_arrow_schema(out)
-        shards = Shards(model)
+        files = Files(model)
         for batch in batches:
             for part in slices(batch, "text", SCORED_BYTES):
-                got = score_texts(shards, part.column("text").to_pylist())
+                got = score_texts(files, part.column("text").to_pylist())
                 got |= {"train_tokens": np.full(part.num_rows, model.n_tokens), "perplexity": 10 ** np.minimum(-got["score"] / got["n_tokens"], 300)}
                 yield pa.RecordBatch.from_arrays([part.column(f.name) if f.name in ("doc_id", "held_out") else pa.array(got[f.name], f.type) for f in to], schema=to)
 
@@ -307,6 +334,6 @@ def score(docs: DataFrame, model: Model, doc_id: str = "doc_id", text: str = "te
     return picked.mapInArrow(tidied(run), out)
 
 
-def train_and_score(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", folds: int = 7, fold: int = 2) -> DataFrame:
+def train_and_score(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", folds: int = 7, fold: int = 2, order: int = 2) -> DataFrame:
     """Learns from the rows that are not held out and scores all."""
-    return score(docs, train(docs.filter(remainder(doc_id, folds) != fold), text), doc_id, text, folds, fold)
+    return score(docs, train(docs.filter(remainder(doc_id, folds) != fold), text, order=order), doc_id, text, folds, fold)
