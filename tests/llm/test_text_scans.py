@@ -9,6 +9,7 @@ import zlib
 import numpy as np
 import pytest
 
+from tests.llm.pages import PAGES
 from tests.llm.corpus import corpus, frame, words
 from tracelake.llm import bpe, html_extraction, license_scan, secret_scan, telephony_audio, toxicity
 
@@ -362,6 +363,27 @@ def test_pages(spark):
     assert rows_of(html_extraction.extract(spark.createDataFrame([], "page_id long, url string, html string"))) == []
 
 
+def test_hand_labelled_pages():
+    """Block precision and recall on pages that the generator knows nothing of."""
+    net, hit, found, wanted = html_extraction.trained(), 0, 0, 0
+    for page in PAGES.values():
+        main = [b.text.startswith("§") for b in html_extraction.blocks(page)]
+        got = html_extraction.label(net, [html_extraction.vectors(html_extraction.blocks(page.replace("§", "")))])[0] >= 0.5
+        hit, found, wanted = hit + int((got & main).sum()), found + int(got.sum()), wanted + sum(main)
+    assert hit / found > 0.92 and hit / wanted > 0.95
+    pages = list(PAGES.values())
+    texts = html_extraction.main_texts(net, [p.replace("§", "") for p in pages])
+    assert texts[list(PAGES).index("bare")] == "\n\n".join(b.text.lstrip("§") for b in html_extraction.blocks(PAGES["bare"]))
+
+
+def test_network_is_kept(spark, monkeypatch):
+    options = {"pages": 30, "epochs": 1}
+    made = html_extraction.network(spark, **options)
+    monkeypatch.setattr(html_extraction, "trained", None)  # not trained again
+    kept = html_extraction.network(spark, **options)
+    assert all(a.shape == b.shape and (a == b).all() for a, b in zip(made, kept))
+
+
 def test_labeller_on_composed_pages():
     net, rng, right, n = html_extraction.trained(), random.Random(77), 0, 0
     for _ in range(100):

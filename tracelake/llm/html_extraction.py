@@ -9,18 +9,22 @@ input is needed, and training takes seconds.
 
 from __future__ import annotations
 
+import hashlib
 import html as entities
+import math
 import random
 import re
 import zlib
 from functools import cache
+from pathlib import Path
 from typing import NamedTuple
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracelake.llm.common import hashed_words, map_texts
+from tracelake.llm.common import hashed_words, map_texts, shared_dir
+from tracelake.llm.packed import mapped, put
 
 #: Tags that start and end blocks.
 BLOCKS = frozenset(
@@ -302,6 +306,8 @@ def compose(rng: random.Random) -> tuple[list[Block], list[int]]:
     root += ["div", *wrap] if wrap else []
     # Deep pages: wrappers around everything, and elements with many class words.
     deep_page = rng.random() < 0.35
+    # Old pages: cells of tables in place of sections.
+    cells = rng.random() < 0.1
     noise = lambda: [f".{rng.choice(NOISE)}" for _ in range(rng.randint(0, 7))]
     if deep_page:
         root += [w for _ in range(rng.randint(0, 6)) for w in ("div", *noise())]
@@ -325,18 +331,19 @@ def compose(rng: random.Random) -> tuple[list[Block], list[int]]:
         plain = names.split()[0]
         style = rng.random()
         tag = _OWN_TAG.get(plain, rng.choice(["div", "section"])) if style < 0.7 else "div"
-        own = [tag] if style < 0.35 and tag != "div" else [tag, f".{name}", *([f".{rng.choice(['box', 'block', 'area', 'list', 'inner'])}"] if rng.random() < 0.3 else [])]
+        second = [f".{rng.choice(names.split())}"] if rng.random() < 0.25 else []
+        own = ["table", "tr", "td", *([f".{name}"] if rng.random() < 0.7 else [])] if cells else [tag] if style < 0.35 and tag != "div" else [tag, f".{name}", *second, *([f".{rng.choice(['box', 'block', 'area', 'list', 'inner'])}"] if rng.random() < 0.3 else [])]
         said = PARTS[names].split()
         own_words = rng.random() < 0.5  # some parts hold prose like any other
         for _ in range(rng.randint(1, 7)):
-            inner = rng.choice([[], ["ul", "li"], ["p"], ["div"], ["h3"], ["ul", "li"], ["span"], ["p"], ["label"], ["li"]])
+            inner = rng.choice([[], ["ul", "li"], ["p"], ["div"], ["h3"], ["ul", "li"], ["span"], ["p"], ["label"], ["li"], ["h2"], ["h4"], ["h1"] if plain in ("header", "nav") else ["h2"]])
             n = rng.choice([1, 1, 2, 3, 5, 8, 15, 40])
             text = " ".join(rng.choice(said) for _ in range(min(n, 8))) if own_words and rng.random() < 0.8 else prose(n)
             add([*path, *own, *[t for t in inner if t != "span"]], text, plain in ("nav", "related", "sidebar") and rng.random() < 0.8, 0)
 
     def main(path: list[str]) -> None:
         form = rng.random()
-        own = ["article"] if form < 0.4 else ["article", f".{rng.choice(MAIN)}"] if form < 0.5 else ["main"] if form < 0.6 else ["main", "article"] if form < 0.65 else ["div", f".{rng.choice(MAIN)}"] if form < 0.9 else []
+        own = ["table", "tr", "td", *([f".{rng.choice(MAIN)}"] if form < 0.7 else [])] if cells else ["article"] if form < 0.4 else ["article", f".{rng.choice(MAIN)}"] if form < 0.5 else ["main"] if form < 0.6 else ["main", "article"] if form < 0.65 else ["div", f".{rng.choice(MAIN)}"] if form < 0.9 else []
         if rng.random() < 0.8:
             add([*path, *own, *(["header"] if own and rng.random() < 0.1 else []), rng.choice(["h1", "h1", "h1", "h2"])], prose(rng.randint(1, 10)), False, 1)
         deep = [*own, *rng.choice([[], [], [], [], ["section"], ["div"]])]
@@ -364,7 +371,7 @@ def compose(rng: random.Random) -> tuple[list[Block], list[int]]:
 
 
 @cache
-def trained(seed: int = 1, pages: int = 1800, epochs: int = 5, batch: int = 25) -> Net:
+def trained(seed: int = 1, pages: int = 2600, epochs: int = 5, batch: int = 25) -> Net:
     """A network trained on composed pages with Adam; the same for the same arguments."""
     rng = random.Random(seed)
     gen = np.random.default_rng(seed)
@@ -390,6 +397,22 @@ def trained(seed: int = 1, pages: int = 1800, epochs: int = 5, batch: int = 25)
     return net
 
 
+def network(spark: SparkSession, **options: int) -> Net:
+    """trained(), kept in the shared folder by its arguments and this code, so that another driver reads it."""
+    code = hashlib.sha256(Path(__file__).read_bytes() + repr(sorted(options.items())).encode()).hexdigest()[:16]
+    folder, name = shared_dir(spark), f"html-net-{code}"
+    try:
+        flat = mapped(folder, name).view("<f4")
+    except FileNotFoundError:
+        net = trained(**options)
+        put(folder, name, np.concatenate([w.ravel() for w in net]).astype("<f4").tobytes())
+        return net
+    inputs = 2 * EMBEDDED + MEASURES
+    shapes = ((PATHS, EMBEDDED), (WORDS, EMBEDDED), (2, inputs, 4 * HIDDEN), (2, HIDDEN, 4 * HIDDEN), (2, 4 * HIDDEN), (2 * HIDDEN + 1,))
+    ends = np.cumsum([math.prod(x) for x in shapes])
+    return Net(*(w.reshape(x) for w, x in zip(np.split(flat, ends[:-1]), shapes)))
+
+
 # --- pages ------------------------------------------------------------------------------
 
 
@@ -412,8 +435,8 @@ def main_texts(net: Net, pages: list[str], threshold: float = 0.5) -> list[str]:
 
 
 def extract(pages: DataFrame, page_id: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:
-    """page_id, url, text and n_chars of every row. A null or empty page, and one without main text, gives ''; repeated rows get equal results; extra columns are left out."""
-    net = trained()
+    """page_id, url, text and n_chars of every row. A null or empty page, and one without main text, gives ''; repeated rows get equal results; extra columns are left out; an empty table gives an empty one."""
+    net = network(pages.sparkSession)
 
     def work(ids: list, texts: list) -> dict:
         got = main_texts(net, texts)
