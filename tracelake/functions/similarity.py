@@ -58,14 +58,27 @@ def _has_vowel(w: str) -> bool:
 
 
 def _cvc(w: str) -> bool:
+    if len(w) == 2:  # an extension: so short words keep their e
+        return _is_vowel(w, 0) and not _is_vowel(w, 1)
     return len(w) >= 3 and not _is_vowel(w, len(w) - 1) and _is_vowel(w, len(w) - 2) and not _is_vowel(w, len(w) - 3) and w[-1] not in "wxy"
 
 
-# The suffix rules of Porter's published algorithm, steps 2 to 4.
-_STEP2 = "ational:ate tional:tion enci:ence anci:ance izer:ize abli:able alli:al entli:ent eli:e ousli:ous ization:ize ation:ate ator:ate alism:al iveness:ive fulness:ful ousness:ous aliti:al iviti:ive biliti:ble".split()
+# The suffix rules of Porter's published algorithm, steps 2 to 4, with the extensions in common use, and the words that go by none.
+_STEP2 = "ational:ate tional:tion enci:ence anci:ance izer:ize bli:ble fulli:ful alli:al entli:ent eli:e ousli:ous ization:ize ation:ate ator:ate alism:al iveness:ive fulness:ful ousness:ous aliti:al iviti:ive biliti:ble".split()
 _STEP3 = "icate:ic ative: alize:al iciti:ic ical:ic ful: ness:".split()
 _STEP4 = "al ance ence er ic able ible ant ement ment ent ion ou ism ate iti ous ive ize".split()
 
+IRREGULAR = {"skies": "sky", "sky": "sky", "dying": "die", "lying": "lie", "tying": "tie", "news": "news", "innings": "inning", "inning": "inning", "outings": "outing", "outing": "outing", "cannings": "canning", "canning": "canning", "howe": "howe", "proceed": "proceed", "exceed": "exceed", "succeed": "succeed"}
+
+
+def _step2(w: str) -> str:
+    """Suffixes of step 2; alli gives way first, as often as it is there, and logi keeps its l with the stem."""
+    while w.endswith("alli") and _measure(w[:-4]) > 0:
+        w = w[:-2]
+    if w.endswith("logi"):
+        return w[:-1] if _measure(w[:-3]) > 0 else w
+    return _replaced(w, _STEP2)
+
 
 def _replaced(w: str, rules: list[str]) -> str:
     found = max((r for r in rules if w.endswith(r.split(":")[0])), key=lambda r: len(r.split(":")[0]), default=None)
@@ -78,14 +91,20 @@ def _replaced(w: str, rules: list[str]) -> str:
 
 @lru_cache(maxsize=200_000)
 def stem(w: str) -> str:
-    """Porter's stemmer."""
+    """Porter's stemmer with the extensions that scorers of summaries use: irregular words, short -ies and -ied, y after consonants."""
+    if w in IRREGULAR:
+        return IRREGULAR[w]
     if len(w) <= 2:
         return w
-    if w.endswith("sses") or w.endswith("ies"):
+    if w.endswith("ies"):
+        w = w[:-1] if len(w) == 4 else w[:-2]
+    elif w.endswith("sses"):
         w = w[:-2]
     elif w.endswith("s") and not w.endswith("ss"):
         w = w[:-1]
-    if w.endswith("eed"):
+    if w.endswith("ied"):
+        w = w[:-1] if len(w) == 4 else w[:-2]
+    elif w.endswith("eed"):
         w = w[:-1] if _measure(w[:-3]) > 0 else w
     else:
         for end in ("ed", "ing"):
@@ -98,9 +117,9 @@ def stem(w: str) -> str:
                 elif _measure(w) == 1 and _cvc(w):
                     w += "e"
                 break
-    if w.endswith("y") and _has_vowel(w[:-1]):
+    if w.endswith("y") and len(w) > 2 and not _is_vowel(w, len(w) - 2):
         w = w[:-1] + "i"
-    w = _replaced(_replaced(w, _STEP2), _STEP3)
+    w = _replaced(_step2(w), _STEP3)
     end = max((e for e in _STEP4 if w.endswith(e)), key=len, default=None)
     if end:
         s = w[: len(w) - len(end)]
