@@ -52,7 +52,9 @@ FULL = "1. Task Specification Violations: DETECTED: Yes\n3. **Step Repetition:**
     (T.clean_diff, "no sections", "no sections"),
     (T.submission, "\n COMPLETE_TASK_AND_SUBMIT_FINAL_OUTPUT \na\nb", "a\nb"),
     (T.submission, "echo\nCOMPLETE_TASK_AND_SUBMIT_FINAL_OUTPUT", None),
-    (T.redirected_paths, "echo a > 'x.py' && cat y >> ./testbed/z 2>&1", ["x.py", "z"]),
+    (T.touched_paths, "echo a > 'x.py' && cat y >> ./testbed/z 2>&1; ls 2>>/testbed/log", ["x.py", "testbed/z", "log"]),
+    (T.touched_paths, """sed -i 's/a b/c/' x.py "/testbed/y z.py" | tee t; sed -i.bak -e s/a/b/ ./w && sed '3s/q/r/' /dev/null v""", ["x.py", "y z.py", "w", "v"]),
+    (T.touched_paths, "grep -rn used file > /dev/null", []),
 ])
 def test_text(spark, f, text, want):
     assert one(spark, f(F.col("t")), t=text) == want

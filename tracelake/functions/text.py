@@ -198,10 +198,38 @@ def config_suffix(run: Column, marker: str = "_cwm_prm_") -> Column:
     return F.when(at > 0, F.substr(run, at + len(marker))).otherwise("-")
 
 
-def redirected_paths(cmd: Column) -> Column:
-    """Targets of > and >> in a shell command, unquoted and relative to the repository."""
-    found = F.regexp_extract_all(cmd, F.lit(r"""(?<![0-9&>])>>?\s*(["']?)([^\s"'<>|;&]+)\1"""), F.lit(2))
-    return F.array_distinct(F.transform(found, repo_path))
+# Where a redirection names its file, and what tells a substitution script from a file.
+REDIRECTION = r"(?:^|\s)(?:>>?|2>>?|&>>?)\s*([^\s;&|]+)"
+SUBSTITUTION = r"^(?:\d+(?:,\d+)?)?\s*s[^A-Za-z0-9]\S.*"
+
+
+def _sed_operands(part: Column) -> Column:
+    """Files that the sed calls of one command name: a state for each word tells options and their arguments, the script, and files up to a pipe."""
+    kind = "struct<mode:int,skip:boolean,files:array<string>>"
+    words = F.regexp_extract_all(part, F.lit(r"""(?:'[^']*'|"[^"]*"|[^\s'"])+"""), F.lit(0))
+    words = F.transform(words, lambda w: F.regexp_replace(w, r"""'([^']*)'|"([^"]*)\"""", "$1$2"))
+    outside, options, files = 0, 1, 2
+
+    def step(state: Column, w: Column) -> Column:
+        inside, is_option = state["mode"] == options, F.startswith(w, F.lit("-"))
+        goes_on = inside & (is_option | state["skip"])  # an option, or the argument of one
+        first = inside & ~is_option & ~state["skip"]
+        mode = F.when((w == "sed") & ~goes_on, options).when(goes_on, options).when(first | (state["mode"] == files), F.when(w == "|", outside).otherwise(files)).otherwise(state["mode"])
+        named = ((first & ~w.rlike(SUBSTITUTION)) | (state["mode"] == files)) & ~w.isin("", "|", "/dev/null", "sed")
+        return F.struct(mode.alias("mode"), (inside & is_option & w.isin("-i", "-e", "-f")).alias("skip"), F.concat(state["files"], F.when(named, F.array(w)).otherwise(F.array().cast("array<string>"))).alias("files")).cast(kind)
+
+    start = F.struct(F.lit(outside).alias("mode"), F.lit(False).alias("skip"), F.array().cast("array<string>").alias("files")).cast(kind)
+    return F.aggregate(words, start, step, lambda s: s["files"])
+
+
+def touched_paths(cmd: Column, cwd: str = "/testbed") -> Column:
+    """Files that a shell command may edit, each once: targets of redirections and operands of sed in its parts, without quotes, relative to the working folder."""
+    parts = F.split(cmd, r"\s*(?:&&|\|\||;)\s*")
+    plain = lambda p: F.regexp_replace(p, r"""^'(.*)'$|^"(.*)"$""", "$1$2")
+    found = F.flatten(F.transform(parts, lambda c: F.concat(F.filter(F.transform(F.regexp_extract_all(c, F.lit(REDIRECTION), F.lit(1)), plain), lambda p: p != "/dev/null"), _sed_operands(c))))
+    base = cwd.rstrip("/") + "/"
+    relative = lambda p: F.when(F.startswith(p, F.lit(base)), F.substr(p, F.lit(len(base) + 1))).otherwise(p)
+    return F.array_distinct(F.filter(F.transform(found, lambda p: F.regexp_replace(relative(p), r"^\./", "")), lambda p: p != ""))
 
 
 def numbered_line(n: Column, line: Column) -> Column:

@@ -208,14 +208,17 @@ def t17_clean_contents(spark, sf_dir):
 
 
 @query(r"""WITH w AS (SELECT doc_id, list_filter(regexp_extract_all(coalesce(text, ''), '[A-Za-z]+'), lambda x: len(x) > 3)[1:4] AS w FROM documents)
-SELECT doc_id, list_distinct(w[1:2]) AS paths FROM w WHERE len(w) = 4 AND w[1] <> w[2] ORDER BY 1""".replace("list_distinct(w[1:2])", "w[1] || ',' || w[2]"))
-def t23_redirected_paths(spark, sf_dir):
-    """Targets of redirections, quoted and with prefixes; descriptors and comparisons are none."""
+SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN w[1] || ',' || w[2] || ',err' WHEN 1 THEN w[1] || '.py,' || w[2] || '.py' WHEN 2 THEN '10,20p,' || w[1] ELSE '' END AS paths FROM w WHERE len(w) = 4 AND len(list_distinct(w)) = 4""")
+def t23_touched_paths(spark, sf_dir):
+    """Redirections, quoted, absolute and of descriptors; sed with options, scripts and several files; commands that edit nothing."""
     w = F.slice(F.filter(F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit("[A-Za-z]+"), F.lit(0)), lambda x: F.length(x) > 3), 1, 4)
-    d = table(spark, sf_dir, "documents").withColumn("w", w).filter((F.size("w") == 4) & (F.get("w", 0) != F.get("w", 1)))
-    x = lambda k: F.get("w", k)
-    cmd = F.concat(F.lit("cat "), x(2), F.lit(' > "./testbed/'), x(0), F.lit('" 2>&1 && echo '), x(3), F.lit(" >> ./"), x(1), F.lit("; ls 2>err >"), x(0))
-    return d.select("doc_id", F.array_join(T.redirected_paths(cmd), ",").alias("paths"))
+    d = table(spark, sf_dir, "documents").withColumn("w", w).filter((F.size("w") == 4) & (F.size(F.array_distinct("w")) == 4))
+    x, k = lambda i: F.get("w", i), F.col("doc_id") % 4
+    echo = F.concat(F.lit("cat "), x(2), F.lit(' > "/testbed/'), x(0), F.lit('" 2>&1 && echo '), x(3), F.lit(" >> ./"), x(1), F.lit("; ls 2> err > /dev/null"))
+    edit = F.concat(F.lit("cd /x && sed -i -e 's/"), x(2), F.lit("/a b c/g' ./"), x(0), F.lit(".py '/testbed/"), x(1), F.lit(".py' | sort"))
+    shown = F.concat(F.lit("sed -n 10,20p "), x(0), F.lit(" | grep "), x(2))
+    cmd = F.when(k == 0, echo).when(k == 1, edit).when(k == 2, shown).otherwise(F.concat(F.lit("grep -rn a "), x(0)))
+    return d.select("doc_id", F.array_join(T.touched_paths(cmd), ",").alias("paths"))
 
 
 @query(r"""WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, unnest(range(1, len(string_split(text, chr(10))) + 1)) AS n FROM documents)
