@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tracelake.llm.common import WORD, materialize
+from tracelake.operators.ranking import numbered
 
 WEIGHTS = (1, 2, 3)
 #: Times that a document may be repeated.
@@ -25,26 +26,32 @@ RANGES = 1024
 
 
 def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, repeats: int = REPEATS) -> DataFrame:
-    """sizes (source, source_size), one row per source -> with weight and target.
+    """sizes (source, source_size), one row per source -> with weight, budget and target.
 
     Water filling in closed form: with sources sorted by repeats * size / weight, those below the
-    level are full and the rest share what is left by weight.
+    level are full and the rest share what is left by weight. Places and running sums come from range
+    partitions, so sources may be as many as hosts are; only a row a range meets in one task.
     """
-    by_source = Window.orderBy(F.col("source").asc_nulls_last())
-    w = F.element_at(F.array(*map(F.lit, weights)), ((F.row_number().over(by_source) - 1) % len(weights)) + 1)
-    t = sizes.withColumn("weight", w.cast("double")).withColumn("full", (repeats * F.col("source_size")).cast("double")).withColumn("ratio", F.col("full") / F.col("weight"))
-    everything = Window.partitionBy()
-    up = Window.orderBy("ratio", F.col("source").asc_nulls_last())
-    t = t.select(
-        "*",
-        F.sum("source_size").over(everything).cast("double").alias("budget"),
-        (F.sum("full").over(up.rowsBetween(Window.unboundedPreceding, 0)) - F.col("full")).alias("below"),
-        F.sum("weight").over(up.rowsBetween(0, Window.unboundedFollowing)).alias("left"),
-    )
+    places = numbered(sizes, [F.col("source").asc_nulls_last()], "place")
+    w = F.element_at(F.array(*map(F.lit, weights)), (F.pmod("place", F.lit(len(weights))) + 1).cast("int"))
+    t = places.withColumn("weight", w.cast("double")).withColumn("full", (repeats * F.col("source_size")).cast("double")).withColumn("ratio", F.col("full") / F.col("weight"))
+    order = [F.col("ratio"), F.col("source").asc_nulls_last()]
+    ranges = materialize(t.repartitionByRange(*order).withColumn("range", F.spark_partition_id()), "mix-sources")
+    # Sums of the ranges, and of those before and after each.
+    every = Window.orderBy("range")
+    sums = ranges.groupBy("range").agg(F.sum("full").alias("fulls"), F.sum("weight").alias("weights"), F.sum("source_size").alias("sizes"))
+    before, after = every.rowsBetween(Window.unboundedPreceding, -1), every.rowsBetween(1, Window.unboundedFollowing)
+    none = F.lit(0.0)
+    sums = sums.select("range", F.coalesce(F.sum("fulls").over(before), none).alias("fulls_before"), F.coalesce(F.sum("weights").over(after), none).alias("weights_after"), F.sum("sizes").over(Window.partitionBy()).cast("double").alias("budget"))
+    inside = Window.partitionBy("range").orderBy(*order)
+    t = ranges.join(F.broadcast(sums), "range")
+    t = t.withColumn("below", F.col("fulls_before") + F.coalesce(F.sum("full").over(inside.rowsBetween(Window.unboundedPreceding, -1)), none))
+    t = t.withColumn("left", F.col("weights_after") + F.sum("weight").over(inside.rowsBetween(0, Window.unboundedFollowing)))
     t = t.withColumn("level", (F.col("budget") - F.col("below")) / F.col("left"))
     # The first source that its share would not overfill sets the level.
-    level = F.min(F.when(F.col("level") <= F.col("ratio"), F.struct("ratio", F.col("level").alias("l")))).over(everything)["l"]
-    return t.select("source", "source_size", "weight", "budget", F.least("full", F.coalesce(F.col("weight") * level, F.col("full"))).alias("target"))
+    level = t.agg(F.min(F.when(F.col("level") <= F.col("ratio"), F.struct("ratio", F.col("level").alias("l")))).alias("x")).select(F.col("x.l").alias("water"))
+    t = t.crossJoin(F.broadcast(level))
+    return t.select("source", "source_size", "weight", "budget", F.least("full", F.coalesce(F.col("weight") * F.col("water"), F.col("full"))).alias("target"))
 
 
 def _packets(repeat: Column) -> Column:
