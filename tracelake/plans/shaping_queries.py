@@ -135,10 +135,11 @@ def j13_gold_patches(spark, sf_dir):
 
 
 @query("""WITH d AS (SELECT *, CASE WHEN n_chars < 500 THEN 'short' WHEN n_chars < 2000 THEN 'mid' ELSE 'long' END AS label FROM documents WHERE n_chars >= 20)
-SELECT label, count(*) AS n, avg(doc_id) AS avg_doc_id, avg(n_chars) AS avg_n_chars FROM d GROUP BY label""")
+SELECT label, count(*) AS n, round(avg(doc_id), 6) AS avg_doc_id, round(avg(n_chars), 6) AS avg_n_chars FROM d GROUP BY label""")
 def a19_bucket_means(spark, sf_dir):
     edges = spark.createDataFrame([("short", 20, 500), ("mid", 500, 2000), ("long", 2000, None), ("empty", -5, -1)], "label string, lo long, hi long")
-    return M.bucket_means(table(spark, sf_dir, "documents").select("doc_id", "n_chars"), "n_chars", edges, ["doc_id", "n_chars"])
+    m = M.bucket_means(table(spark, sf_dir, "documents").select("doc_id", "n_chars"), "n_chars", edges, ["doc_id", "n_chars"])
+    return m.withColumns({c: F.round(c, 6) for c in ("avg_doc_id", "avg_n_chars")})
 
 
 @query("""WITH t AS (SELECT conv_id, conv_id % 13 = 5 AS bad, conv_id % 4 <> 1 AS ok, count(*) FILTER (role = 'assistant') AS logged, count(*) FILTER (role = 'assistant' AND length(text) > 120) AS valid FROM conversations GROUP BY conv_id)

@@ -142,13 +142,42 @@ def m1_cosine(spark, sf_dir):
 @query()
 def m2_m3_bleu_rouge(spark, sf_dir):
     """Texts against that of the next id: published definitions, tested on hand-computed pairs."""
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))  # by number: scoring takes far longer than its bytes suggest, so partitions must not be merged
-    d = _docs(spark, sf_dir).select("doc_id", "text")
-    n = d.select((F.col("doc_id") - 1).alias("doc_id"), F.col("text").alias("next")).repartition(parts, "doc_id")
-    return d.repartition(parts, "doc_id").join(n, "doc_id").select("doc_id", bleu_rouge(F.col("text"), F.col("next")).alias("s")).select("doc_id", "s.*")
+    return _pairs(spark, sf_dir, F.col("text")).select("doc_id", "s.*")
 
 
 @query(r"""
 SELECT doc_id, CAST(length(regexp_replace(text, '^\s+|\s+$', '', 'g')) AS INTEGER) AS n_stripped, CAST(len(list_filter(regexp_split_to_array(text, '\s+'), lambda x: x <> '')) AS INTEGER) AS n_tokens FROM documents""")
 def t1_t2_strip_and_tokens(spark, sf_dir):
     return _docs(spark, sf_dir).select("doc_id", F.length(T.strip(F.col("text"))).alias("n_stripped"), F.size(T.tokens(F.col("text"))).alias("n_tokens"))
+
+
+#: SQL of the n-grams that a text shares with the next one's, counted as often as both have them; {words} gives a text's tokens.
+_GRAMS = r"""WITH d AS (SELECT doc_id, {words} AS w FROM documents), k AS (SELECT unnest([1, 2, 3, 4]) AS n),
+g AS (SELECT doc_id, n, array_to_string(w[i:i + n - 1], ' ') AS g, count(*) AS c FROM (SELECT doc_id, w, n, unnest(range(1, len(w) - n + 2)) AS i FROM d, k WHERE len(w) >= n) GROUP BY ALL),
+h AS (SELECT a.doc_id, a.n, sum(least(a.c, b.c)) AS hit FROM g a JOIN g b ON b.doc_id = a.doc_id + 1 AND b.n = a.n AND b.g = a.g GROUP BY ALL),
+f AS (SELECT p.doc_id, len(p.w) AS la, len(q.w) AS lb, k.n, coalesce(hit, 0) AS hit FROM d p JOIN d q ON q.doc_id = p.doc_id + 1 CROSS JOIN k LEFT JOIN h ON h.doc_id = p.doc_id AND h.n = k.n)"""
+
+
+def _pairs(spark, sf_dir, text):
+    """Each text beside that of the next id, dealt by number, as scoring takes far longer than its bytes suggest."""
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    d = _docs(spark, sf_dir).select("doc_id", text.alias("text"))
+    n = d.select((F.col("doc_id") - 1).alias("doc_id"), F.col("text").alias("next")).repartition(parts, "doc_id")
+    return d.repartition(parts, "doc_id").join(n, "doc_id").select("doc_id", bleu_rouge(F.col("text"), F.col("next")).alias("s"))
+
+
+@query(_GRAMS.format(words=r"list_filter(regexp_split_to_array(coalesce(text, ''), '\s+'), lambda x: x <> '')") + """,
+s AS (SELECT doc_id, la, lb, sum(hit) FILTER (n = 1) AS one, ln(greatest(sum(hit) FILTER (n = 1), 0.1) / any_value(lb)) AS l1, sum(ln(greatest(hit, 0.1) / greatest(1, lb - n + 1))) FILTER (n <= 2) AS l2, sum(ln(greatest(hit, 0.1) / greatest(1, lb - n + 1))) AS l4 FROM f WHERE la > 0 AND lb > 0 GROUP BY ALL)
+SELECT doc_id, round(CASE WHEN one > 0 THEN least(1, exp(1 - la / lb)) * exp(l1) ELSE 0 END, 6) AS bleu1, round(CASE WHEN one > 0 THEN least(1, exp(1 - la / lb)) * exp(l2 / 2) ELSE 0 END, 6) AS bleu2, round(CASE WHEN one > 0 THEN least(1, exp(1 - la / lb)) * exp(l4 / 4) ELSE 0 END, 6) AS bleu4 FROM s
+UNION ALL SELECT DISTINCT doc_id, 0, 0, 0 FROM f WHERE la = 0 OR lb = 0""")
+def m2_bleu(spark, sf_dir):
+    """Sentence BLEU of neighbours."""
+    return _pairs(spark, sf_dir, F.col("text")).select("doc_id", *[F.round(f"s.{b}", 6).alias(b) for b in ("bleu1", "bleu2", "bleu4")])
+
+
+@query(_GRAMS.format(words="list_transform(regexp_extract_all(lower(coalesce(text, '')), '[a-z0-9]+'), lambda x: left(x, 3))") + """
+SELECT doc_id, round(coalesce(max(2 * hit / nullif(la + lb, 0)) FILTER (n = 1), 0), 6) AS rouge1, round(coalesce(max(2 * hit / nullif(greatest(la - 1, 0) + greatest(lb - 1, 0), 0)) FILTER (n = 2), 0), 6) AS rouge2 FROM f GROUP BY doc_id""")
+def m3_rouge(spark, sf_dir):
+    """ROUGE-1 and ROUGE-2 of neighbours, words cut to three letters, which no stemmer changes."""
+    short = F.array_join(F.transform(F.regexp_extract_all(F.lower(F.coalesce("text", F.lit(""))), F.lit("[a-z0-9]+"), F.lit(0)), lambda x: F.left(x, F.lit(3))), " ")
+    return _pairs(spark, sf_dir, short).select("doc_id", *[F.round(f"s.{r}", 6).alias(r) for r in ("rouge1", "rouge2")])
