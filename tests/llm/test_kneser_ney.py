@@ -3,6 +3,7 @@ import re
 import zlib
 from collections import Counter, defaultdict
 
+import numpy as np
 import pytest
 
 from tests.llm.corpus import corpus, frame
@@ -110,3 +111,14 @@ def test_longer_grams(spark, order):
     assert sum(p((*context, w)) for w in vocabulary) + p((*context, "never seen")) == pytest.approx(1)
     with pytest.raises(ValueError):
         K.train(frame(spark, rows), order=1)
+
+
+def test_a_frequent_context_is_dealt_over_shards(spark):
+    rows = [(i, " ".join(f"the w{i}x{k}" for k in range(60)), "en", "a", 0, None, None, None, None) for i in range(30)]
+    model = K.train(frame(spark, rows))
+    files = K.Files(model)
+    the, begin = K.tokens(["the"])
+    held = [s for s in model.written[1] if (files.grams[0][s] is not None and len(files.grams[0][s][0]) > 20)]
+    assert len(held) >= 1 << K.follower_bits(model.bits) and sum(len(files.grams[0][s][0]) for s in model.written[1]) == model.n_pairs
+    total, one, two, more = files.context_stats(2, np.sort(the[:1]))[:, 0].tolist()
+    assert (total, one, two, more) == (1800, 1800, 0, 0)

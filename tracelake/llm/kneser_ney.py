@@ -1,9 +1,10 @@
 """LM scoring: an interpolated modified Kneser-Ney model of n-grams of words, counted in Spark.
 
-Training: each task counts the longest grams of its texts and sends them, packed, to the shard of
-their context's hash range. A shard's task merges its parts, counts each context's followers, and
-writes sorted hash arrays to the shared folder; the numbers of distinct predecessors of the grams of
-one word less go on to their shards in the same way, down to the words. Nothing is gathered on the
+Training: each task counts the longest grams of its texts and sends them, packed, to shards by hash
+ranges of their context and of their last word, so that a frequent context is dealt over many. A
+shard's task merges its parts and writes sorted hash arrays to the shared folder; its counts of each
+context's followers go on to the contexts' shards, which add them up, and the numbers of distinct
+predecessors of the grams of one word less to theirs, down to the words. Nothing is gathered on the
 driver but a few sums a shard.
 
 Scoring: workers map the shards' files into memory (pages are shared and read as needed) and look
@@ -37,8 +38,10 @@ END, START = np.uint64(1), np.uint64(2)
 
 # --- shards in the shared folder ---------------------------------------------
 
-#: Grams of two words and more: key; grams counted over 254 times and their counts; contexts with total, n1, n2, n3+; the counts in a byte.
-GRAM_TYPES = ("<u8", "<u8", "<i8", "<u8", "<i8", "<i4", "<i4", "<i4", "u1")
+#: Grams of two words and more: key; grams counted over 254 times and their counts; the counts in a byte.
+GRAM_TYPES = ("<u8", "<u8", "<i8", "u1")
+#: Contexts: hash, total, and how many followers were counted once, twice and more often.
+CONTEXT_TYPES = ("<u8", "<i8", "<i8", "<i8", "<i8")
 #: Words: hash, count, distinct predecessors.
 WORD_TYPES = ("<u8", "<i8", "<i8")
 
@@ -46,10 +49,22 @@ WORD_TYPES = ("<u8", "<i8", "<i8")
 # --- counting -----------------------------------------------------------------
 
 
+def follower_bits(bits: int) -> int:
+    """How many of a shard's bits are the follower's: a context's followers are dealt over as many shards, so that a frequent one is no task's alone."""
+    return min(8, bits // 2)
+
+
+def placed(context: np.ndarray, word: np.ndarray, bits: int) -> np.ndarray:
+    """56 bits of the context with those of the follower behind the shard's part of them: grams in this order are shards in order, and contexts within."""
+    f = follower_bits(bits)
+    low = np.uint64(_WORD_BITS - (bits - f))
+    return (context >> low << low + np.uint64(f)) | (mix(word) >> np.uint64(64 - f) << low) | (context & (np.uint64(1) << low) - np.uint64(1))
+
+
 def gram_key(context: np.ndarray, word: np.ndarray, bits: int) -> np.ndarray:
-    """64-bit key of a gram whose top bits are its context's, so that keys in order are shards in order."""
-    top = np.uint64(64 - bits)
-    return (context << _HASH >> top << top) | (mix(context * np.uint64(0x9E3779B97F4A7C15) ^ mix(word)) >> np.uint64(bits))
+    """64-bit key of a gram whose top bits are its shard's, so that keys in order are shards in order."""
+    shard = placed(context, word, bits) >> np.uint64(_WORD_BITS + follower_bits(bits) - bits)
+    return shard << np.uint64(64 - bits) | (mix(context * np.uint64(0x9E3779B97F4A7C15) ^ mix(word)) >> np.uint64(bits))
 
 
 def tokens(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -88,20 +103,22 @@ def _from_seven(b: np.ndarray) -> np.ndarray:
 
 
 def _parts(chain: list[np.ndarray], word: np.ndarray, raw: np.ndarray, n: np.ndarray | None, bits: int) -> Iterator[tuple[int, bytes]]:
-    """Distinct grams in order of their context (chain[0]), packed by its shard: contexts once, with the shorter ones that end them (the rest of the chain) and their number of grams; words in seven bytes; counts, and numbers of predecessors if they are others."""
-    for s, x in ranges(chain[0], bits, _WORD_BITS):
+    """Distinct grams as placed() orders them, packed by shard: contexts (chain[0]) once, with the shorter ones that end them (the rest of the chain) and their number of grams; words in seven bytes; counts, and numbers of predecessors if they are others."""
+    for s, x in ranges(placed(chain[0], word, bits), bits, _WORD_BITS + follower_bits(bits)):
         heads, grams = runs((chain[0][x],), np.ones(len(word[x]), np.int64))
         seven = [np.frombuffer(_seven(c[x][heads]), np.uint8) for c in chain] + [np.frombuffer(_seven(word[x]), np.uint8)]
-        counts = [raw[x].astype("<u4")] if n is None else [raw[x].astype("<u4"), n[x].astype("<u4")]
-        yield s, pack(grams.astype("<u4"), *counts, *seven)
+        counts = [raw[x].astype("<u4"), grams.astype("<u4")] if n is None else [raw[x].astype("<i8"), n[x].astype("<u4"), grams.astype("<u4")]
+        yield s, _GRAMS + pack(*counts, *seven)
 
 
 def _merged(parts: list[bytes], length: int, counted: bool) -> tuple[list[np.ndarray], np.ndarray, np.ndarray, np.ndarray]:
     """The grams of a shard's parts, each once: chain, word, count and, unless they are the same, number of predecessors."""
     got = []
     for p in parts:
-        grams, *counts = unpack(np.frombuffer(p, np.uint8), "<u4", "<u4", *([] if counted else ["<u4"]), *["u1"] * (length + 1))
-        numbers, seven = counts[: 1 if counted else 2], counts[1 if counted else 2 :]
+        types = ["<u4", "<u4"] if counted else ["<i8", "<u4", "<u4"]
+        columns = unpack(np.frombuffer(p, np.uint8)[8:], *types, *["u1"] * (length + 1))
+        *numbers, grams = columns[: len(types)]
+        seven = columns[len(types) :]
         got.append([*(np.repeat(_from_seven(c), grams) for c in seven[:-1]), _from_seven(seven[-1]), *(c.astype(np.int64) for c in numbers)])
     columns = [np.concatenate(c) for c in zip(*got)]
     order = np.lexsort((columns[length], columns[0]))
@@ -117,17 +134,19 @@ def _of_counts(n: np.ndarray) -> list[int]:
 
 
 def _gram_shard(folder: str, level: int, top: bool, shard: int, bits: int, parts: list[bytes]) -> Iterator[tuple[int, bytes, list[int]]]:
-    """Writes a shard of grams of `level` words; gives the grams of one word less, with their predecessors, by their shards, and the sums of this one."""
+    """Writes a shard of grams of `level` words; gives its contexts' counts by their shards, the grams of one word less, with their predecessors, by theirs, and the sums of this one."""
     chain, w, raw, n = _merged(parts, level - 1, top)
     c = chain[0]
     heads, total = runs((c,), n)
-    kinds = [np.add.reduceat((n == k) if k < 3 else (n >= 3), heads, dtype=np.int32) for k in (1, 2, 3)]
+    kinds = [np.add.reduceat((n == k) if k < 3 else (n >= 3), heads, dtype=np.int64).astype("<u4") for k in (1, 2, 3)]
+    for s, x in ranges(c[heads], bits, _WORD_BITS):
+        yield s, _CONTEXTS + pack(total[x], *(k[x] for k in kinds), np.frombuffer(_seven(c[heads][x]), np.uint8)), []
     key = gram_key(c, w, bits)
     order = np.argsort(key)
     many = order[n[order] >= 255]
-    put(folder, f"grams{level}-{shard}", pack(key[order], key[many], n[many], c[heads], total, *kinds, np.minimum(n[order], 255).astype(np.uint8)))
+    put(folder, f"grams{level}-{shard}", pack(key[order], key[many], n[many], np.minimum(n[order], 255).astype(np.uint8)))
     yield shard, b"", [level, *_of_counts(n)]
-    order = np.argsort(w, kind="stable") if level == 2 else np.lexsort((w, chain[1]))
+    order = np.argsort(w, kind="stable") if level == 2 else np.lexsort((w, placed(chain[1], w, bits)))
     by = (w[order],) if level == 2 else (chain[1][order], w[order])
     at, raw = runs(by, raw[order])
     _, before = runs(by, np.ones(len(order), np.int64))
@@ -137,7 +156,22 @@ def _gram_shard(folder: str, level: int, top: bool, shard: int, bits: int, parts
             yield s, data, []
         return
     for s, x in ranges(w, bits, _WORD_BITS):
-        yield s, pack(raw[x], before[x].astype("<u4"), np.frombuffer(_seven(w[x]), np.uint8)), []
+        yield s, _GRAMS + pack(raw[x], before[x].astype("<u4"), np.frombuffer(_seven(w[x]), np.uint8)), []
+
+
+def _context_shard(folder: str, level: int, shard: int, parts: list[bytes]) -> list[int]:
+    """Writes the contexts of a shard, their counts added up over the shards of their followers."""
+    got = [unpack(np.frombuffer(p, np.uint8)[8:], "<i8", "<u4", "<u4", "<u4", "u1") for p in parts]
+    c = np.concatenate([_from_seven(g[4]) for g in got])
+    order = np.argsort(c, kind="stable")
+    at, _ = runs((c[order],), np.ones(len(c), np.int64))
+    sums = [np.add.reduceat(np.concatenate([g[k] for g in got]).astype(np.int64)[order], at) for k in range(4)]
+    put(folder, f"contexts{level}-{shard}", pack(c[order][at], *sums))
+    return [-level]
+
+
+#: What a part holds, in its first eight bytes, so that what follows is aligned.
+_GRAMS, _CONTEXTS = b"grams\0\0\0", b"contexts"
 
 
 class Model(NamedTuple):
@@ -151,6 +185,7 @@ class Model(NamedTuple):
     word_discounts: tuple[float, float, float]
     word_backoff: float  # share of the uniform distribution
     written: tuple[frozenset[int], ...]  # shards that have a file: words, grams of two words, ...
+    contexts: tuple[frozenset[int], ...]  # and contexts of grams of two words, ...
 
 
 def discounts(n1: int, n2: int, n3: int, n4: int) -> tuple[float, float, float]:
@@ -191,7 +226,7 @@ def train(docs: DataFrame, text: str = "text", shards: int | None = None, order:
 
         def packed(held: list):
             *chain, w = (np.concatenate(c) for c in zip(*held))
-            by = np.lexsort((w, chain[0]))
+            by = np.lexsort((w, placed(chain[0], w, bits)))
             at, n = runs((chain[0][by], w[by]), np.ones(len(w), np.int64))
             for shard, data in _parts([c[by][at] for c in chain], w[by][at], n, None, bits):
                 yield shard, data, []
@@ -204,8 +239,10 @@ def train(docs: DataFrame, text: str = "text", shards: int | None = None, order:
                 for shard, parts, sums in by_shard(batches):
                     for x in sums:
                         yield shard, b"", x
-                    if parts:
-                        yield from _gram_shard(folder, level, level == order, shard, bits, parts)
+                    if own := [p for p in parts if p[:8] == _CONTEXTS]:
+                        yield shard, b"", _context_shard(folder, level + 1, shard, own)
+                    if own := [p for p in parts if p[:8] == _GRAMS]:
+                        yield from _gram_shard(folder, level, level == order, shard, bits, own)
 
             yield from batches_of(rows())
 
@@ -216,9 +253,12 @@ def train(docs: DataFrame, text: str = "text", shards: int | None = None, order:
             for shard, parts, sums in by_shard(batches):
                 for x in sums:
                     yield shard, b"", x
+                if own := [p for p in parts if p[:8] == _CONTEXTS]:
+                    yield shard, b"", _context_shard(folder, 2, shard, own)
+                parts = [p for p in parts if p[:8] == _GRAMS]
                 if not parts:
                     continue
-                got = [unpack(np.frombuffer(p, np.uint8), "<i8", "<u4", "u1") for p in parts]
+                got = [unpack(np.frombuffer(p, np.uint8)[8:], "<i8", "<u4", "u1") for p in parts]
                 raw, before, w = np.concatenate([g[0] for g in got]), np.concatenate([g[1] for g in got]).astype(np.int64), np.concatenate([_from_seven(g[2]) for g in got])
                 order = np.argsort(w, kind="stable")
                 at, raw = runs((w[order],), raw[order])
@@ -238,8 +278,9 @@ def train(docs: DataFrame, text: str = "text", shards: int | None = None, order:
     word_d = discounts(*of_words)
     n1, n2 = of_words[:2]
     mass = word_d[0] * n1 + word_d[1] * n2 + word_d[2] * (n_types - n1 - n2)
-    written = tuple(frozenset(r["shard"] for r in of(level)) for level in range(1, order + 1))
-    return Model(folder, bits, order, n_tokens, n_types, n_pairs, tuple(discounts(*total(level, 4)) for level in range(2, order + 1)), word_d, mass / n_pairs if n_pairs else 1.0, written)
+    files = lambda level: frozenset(r["shard"] for r in of(level))
+    levels = range(2, order + 1)
+    return Model(folder, bits, order, n_tokens, n_types, n_pairs, tuple(discounts(*total(level, 4)) for level in levels), word_d, mass / n_pairs if n_pairs else 1.0, tuple(map(files, (1, *levels))), tuple(files(-level) for level in levels))
 
 
 # --- scoring --------------------------------------------------------------------
@@ -252,6 +293,7 @@ class Files:
         self.model = model
         self.words = Shards(model.folder, "words", model.written[0], *WORD_TYPES)
         self.grams = [Shards(model.folder, f"grams{k}", w, *GRAM_TYPES) for k, w in enumerate(model.written[1:], 2)]
+        self.contexts = [Shards(model.folder, f"contexts{k}", w, *CONTEXT_TYPES) for k, w in enumerate(model.contexts, 2)]
 
     def _each(self, shards: Shards, keys: np.ndarray, top: int) -> Iterator[tuple[slice, list[np.ndarray]]]:
         """Parts of sorted keys with their shards."""
@@ -263,7 +305,7 @@ class Files:
         out = np.zeros(len(keys), np.int64)
         for part, shard in self._each(self.grams[level - 2], keys, 64):
             hit, at = find(shard[0], keys[part])
-            n = shard[8][at].astype(np.int64)
+            n = shard[3][at].astype(np.int64)
             if (many := n == 255).any():
                 n[many] = shard[2][np.searchsorted(shard[1], keys[part][hit][many])]
             out[part][hit] = n
@@ -272,10 +314,10 @@ class Files:
     def context_stats(self, level: int, contexts: np.ndarray) -> np.ndarray:
         """total, n1, n2, n3+ of each sorted context of grams of `level` words; zeros if it was not seen."""
         out = np.zeros((4, len(contexts)), np.int64)
-        for part, shard in self._each(self.grams[level - 2], contexts, _WORD_BITS):
-            hit, at = find(shard[3], contexts[part])
+        for part, shard in self._each(self.contexts[level - 2], contexts, _WORD_BITS):
+            hit, at = find(shard[0], contexts[part])
             for k in range(4):
-                out[k, part][hit] = shard[4 + k][at]
+                out[k, part][hit] = shard[1 + k][at]
         return out
 
     def word_stats(self, words: np.ndarray) -> np.ndarray:

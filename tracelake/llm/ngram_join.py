@@ -466,7 +466,7 @@ class Known:
         return x
 
     def groups(self, node: np.ndarray) -> np.ndarray:
-        if len(self.up) > 2_000_000:
+        if len(self.up) > 500_000:
             self.up.clear()
         return np.unique(np.array([self.root(x) for x in node.tolist()], np.int64), return_inverse=True)[1]
 
