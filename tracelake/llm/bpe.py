@@ -29,8 +29,8 @@ END = "</w>"
 #: Ids that the decoder turns into text at once.
 DECODED_AT_ONCE = 8192
 #: Words that an encoder remembers (some 250 MB with runs and pairs); beyond it starts anew. An encoder
-#: that goes with its task remembers a third of it.
-CACHED_WORDS = 600_000
+#: that goes with its task, where memory is short, remembers an eighth of it.
+CACHED_WORDS, CACHED_BY_TASK = 600_000, 75_000
 
 #: White space of the normaliser's `\s`.
 _SPACES = "\t\n\x0b\x0c\r \x85\xa0  -     　"
@@ -304,7 +304,7 @@ def encode(docs: DataFrame, path: str, doc_id: str = "doc_id", text: str = "text
         got = [encoder.encode(t) for t in texts]
         return {"doc_id": ids, "n_tokens": [len(g) for g in got], "ids": [g.tobytes() for g in got], "decoded_sha256": [_sha256(encoder.decode(g.tolist())) for g in got]}
 
-    return map_texts(docs, work, SCHEMA, doc_id, text, prepare=lambda: Encoder(path, CACHED_WORDS // 3))
+    return map_texts(docs, work, SCHEMA, doc_id, text, prepare=lambda: Encoder(path, CACHED_BY_TASK))
 
 
 def decode(tokens: DataFrame, path: str, ids: str = "ids") -> DataFrame:

@@ -30,7 +30,7 @@ ALPHA = 0.5
 L2 = 0.2
 ROUNDS = 300
 #: Bytes of text scored at once: the arrays of n-grams take some forty times as much.
-SCORED_BYTES = 1 << 20
+SCORED_BYTES = 1 << 19
 
 #: Lower case for A-Z; other ASCII that is no letter becomes a space.
 _LETTERS = bytes(c + 32 if 65 <= c <= 90 else c if 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
