@@ -116,7 +116,7 @@ def k1_sample_set(spark, sf_dir):
     return out
 
 
-@query("SELECT count(*) AS n, CAST(sum(toxic) AS BIGINT) AS toxic, string_agg(CAST(doc_id AS VARCHAR), ',' ORDER BY doc_id) AS first_ids FROM (SELECT *, (SELECT count(*) FROM labels) AS c FROM labels ORDER BY doc_id LIMIT 5)".replace("count(*) AS n, CAST(sum(toxic) AS BIGINT)", "any_value(c) AS n, (SELECT CAST(sum(toxic) AS BIGINT) FROM labels)"))
+@query("SELECT (SELECT count(*) FROM labels) AS n, (SELECT CAST(sum(toxic) AS BIGINT) FROM labels) AS toxic, string_agg(CAST(doc_id AS VARCHAR), ',' ORDER BY doc_id) AS first_ids FROM (SELECT doc_id FROM labels ORDER BY doc_id LIMIT 5)")
 def k3_metadata(spark, sf_dir):
     """K3, K5, K6: counters and the first sorted ids in a sidecar, which a second one replaces."""
     path = f"{scratch.folder(spark, 'meta')}/metadata.json"
