@@ -76,11 +76,32 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality(_documents(spark, sf_dir))
 
 
+def op11_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+    from tracelake.llm.chat_format import digest
+
+    rows, said = spark.read.parquet(f"{sf_dir}/conversations.parquet").select("conv_id", "turn", "role", "text"), "</s>[INST] ok [/INST]"
+    control = spark.createDataFrame([(-1, 0, "user", said), (-1, 1, "assistant", said)], rows.schema)
+    return digest(rows.union(control), public_tokenizers.path("byte_bpe_50k.json"))
+
+
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tracelake.llm.whitening import components
+
+    return components(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
+def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tracelake.llm.filter_audit import interactions
+
+    return interactions(_documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_kneser_ney, op2_ngram_join, op3_license_scan, op4_toxicity, op5_secret_scan, op6_telephony_audio, op7_bpe, op8_source_mixing, op9_html_extraction, op10_quality_rules)}
+    return {f.__name__: f for f in (op1_kneser_ney, op2_ngram_join, op3_license_scan, op4_toxicity, op5_secret_scan, op6_telephony_audio, op7_bpe, op8_source_mixing, op9_html_extraction, op10_quality_rules, op11_chat_format, op12_whitening, op13_filter_audit)}
 
 
 def oracle_sql() -> dict[str, str]:
-    from tracelake.llm import quality_rules
+    from tracelake.llm import filter_audit, quality_rules
 
-    return {"op10_quality_rules": quality_rules.ORACLE}
+    return {"op10_quality_rules": quality_rules.ORACLE, "op13_filter_audit": filter_audit.ORACLE}
