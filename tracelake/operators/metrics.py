@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tracelake.operators.ranking import ranked
+from tracelake.operators.ranking import quantiles, ranked
 from tracelake.operators.runs import small
 
 
@@ -56,18 +56,20 @@ def alignment(pairs: DataFrame, by: list[str], truth: str, predicted: str) -> Da
 
 
 def length_stats(rows: DataFrame, by: list[str], x: str) -> DataFrame:
-    """Mean, interpolated quartiles, population deviation and range."""
-    q = lambda p: F.percentile(x, F.lit(p))
-    return rows.groupBy(*by).agg(F.count(x).alias("n"), F.avg(x).alias("mean"), q(0.5).alias("median"), F.stddev_pop(x).alias("std"), F.min(x).alias("min"), F.max(x).alias("max"), q(0.25).alias("p25"), q(0.75).alias("p75"))
+    """Mean, interpolated quartiles, population deviation and range of each group, or of all rows without `by`. Exact for groups of any size."""
+    plain = rows.groupBy(*by).agg(F.count(x).alias("n"), F.avg(x).alias("mean"), F.stddev_pop(x).alias("std"), F.min(x).alias("min"), F.max(x).alias("max"))
+    q = quantiles(rows, by, x, interpolated={"median": (1, 2), "p25": (1, 4), "p75": (3, 4)}).drop("n")
+    for c in by:
+        q = q.withColumnRenamed(c, f"_{c}_")
+    on = F.lit(True)
+    for c in by:
+        on = on & plain[c].eqNullSafe(q[f"_{c}_"])
+    return plain.join(q, on, "left").select(*by, "n", "mean", "median", "std", "min", "max", "p25", "p75")
 
 
 def nearest_ranks(rows: DataFrame, by: list[str], x: str, ranks: dict[str, tuple[int, int]]) -> DataFrame:
-    """A10: the value at place n * a div b of the sorted values, for each name: (a, b). Values are counted before they are sorted, so a group's window holds its distinct values only."""
-    counts = rows.filter(F.col(x).isNotNull()).groupBy(*by, x).agg(F.count("*").alias("_c"))
-    w = Window.partitionBy(*by)
-    counts = counts.withColumn("_upto", F.sum("_c").over(w.orderBy(x).rowsBetween(Window.unboundedPreceding, 0))).withColumn("_n", F.sum("_c").over(w))
-    place = lambda a, b: F.expr(f"_n * {a} div {b}")
-    return counts.groupBy(*by).agg(*[F.min(F.when(F.col("_upto") > place(a, b), F.col(x))).alias(name) for name, (a, b) in ranks.items()])
+    """A10: the value at place n * a div b of the sorted values, for each name: (a, b). Exact for groups of any size."""
+    return quantiles(rows, by, x, nearest=ranks).select(*by, *ranks)
 
 
 def bucketed(rows: DataFrame, x: str, edges: DataFrame) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tracelake.functions.text import files_in_patch, strip
-from tracelake.operators.ranking import numbered
+from tracelake.operators.ranking import numbered, running
 
 SUBMITTED = "Submitted"
 #: A dimension side is broadcast up to so many rows, which the caller's table has been counted for.
@@ -95,10 +95,25 @@ def best_of_n(runs: DataFrame, by: list[str]) -> DataFrame:
 
 
 def pareto(points: DataFrame, group: str | None, name: str, cost: str, value: str) -> DataFrame:
-    """Points that no cheaper one reaches; of equal costs the better, then the first name, goes first."""
-    w = (Window.partitionBy(group) if group else Window.partitionBy()).orderBy(cost, F.desc(value), name)
-    best = F.max(value).over(w.rowsBetween(Window.unboundedPreceding, -1))
-    return points.withColumn("_best", best).filter(F.col("_best").isNull() | (F.col(value) > F.col("_best"))).drop("_best")
+    """Points that no cheaper one reaches, within each group or among all; of equal costs the better, then the first name, goes first. A point without a value is on no frontier."""
+    best = running(points, [F.asc(cost), F.desc(value), F.asc(name)], {"_best": F.col(value)}, F.max, [group] if group else None, inclusive=False)
+    return best.filter(F.col("_best").isNull() & F.col(value).isNotNull() | (F.col(value) > F.col("_best"))).drop("_best")
+
+
+def budgeted(calls: DataFrame, order: list[Column], cost: str, cost_limit: float | int | None = None, call_limit: int | None = None) -> DataFrame:
+    """Every call with what all calls up to it have spent (`spent`), how many there were (`n_calls`) and whether it raises (`exceeded`).
+
+    One account for all calls in order, which must not leave ties. A call is added first and checked
+    then: it raises where more than cost_limit is spent, or where as many calls as call_limit are made.
+    A limit of None or 0 is none; a null cost adds nothing.
+    """
+    total = running(calls, order, {"spent": F.coalesce(F.col(cost), F.lit(0)), "n_calls": F.lit(1)})
+    exceeded = F.lit(False)
+    if cost_limit:
+        exceeded = exceeded | (F.col("spent") > cost_limit)
+    if call_limit:
+        exceeded = exceeded | (F.col("n_calls") >= call_limit)
+    return total.withColumn("exceeded", exceeded)
 
 
 def best_variant(points: DataFrame, by: str, value: str, cost: str, name: str) -> DataFrame:

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from tracelake.operators import runs as R
 from tracelake.plans.registry import query, table
 from tracelake.sources import readers, scratch, sinks
+from tracelake.sources.keyed import KeyedTable
 from tracelake.streaming import incremental
 
 #: SQL of a conversation's messages as the run folder has them: supervisors are every fourth assistant turn; every third content is a list of parts.
@@ -294,19 +295,13 @@ def x2_missing(spark, sf_dir):
 
 @query("SELECT doc_id, CAST(max(v) AS BIGINT) AS v FROM (SELECT doc_id, quality AS v FROM labels UNION ALL SELECT doc_id, toxic + 10 FROM labels WHERE doc_id % 2 = 0) GROUP BY doc_id")
 def x3_growing_folder(spark, sf_dir):
-    """A folder that grows between two runs of a stream: each takes the new files only and upserts them; a third finds nothing."""
+    """A folder that grows between two runs of a stream: each takes the new files only and upserts them into a table, whose versions say what is current; a third finds nothing."""
     root = scratch.folder(spark, "grow")
-    l, state, batches = table(spark, sf_dir, "labels"), [None], []
-
-    def merge(batch: DataFrame, _: int) -> None:
-        new = batch.withColumn("o", F.lit(0))
-        now = R.upsert(state[0], new, "doc_id", "o") if state[0] is not None else new.drop("o")
-        state[0] = scratch.written(now, "state")
-        batches.append(batch.count())
-
+    l = table(spark, sf_dir, "labels")
+    held = KeyedTable(spark, f"{root}/table", "doc_id long, v long", "doc_id", buckets=8)
     for part in (l.select("doc_id", F.col("quality").cast("long").alias("v")), l.filter("doc_id % 2 = 0").select("doc_id", (F.col("toxic") + 10).cast("long").alias("v")), None):
         if part is not None:
             part.write.mode("append").json(f"{root}/in")
-        incremental.upsert_each(incremental.growing(spark, f"{root}/in", "doc_id long, v long"), merge, f"{root}/progress").awaitTermination()
-    assert len(batches) == 2
-    return state[0].select("doc_id", "v")
+        incremental.upsert_each(incremental.growing(spark, f"{root}/in", "doc_id long, v long"), incremental.into(held, "grow"), f"{root}/progress").awaitTermination()
+    assert len(held.versions()) == 2
+    return held.rows()

@@ -74,6 +74,22 @@ def a10_nearest_rank(spark, sf_dir):
     return M.nearest_ranks(table(spark, sf_dir, "documents"), ["lang"], "n_chars", {"median": (1, 2), "p25": (1, 4), "p75": (3, 4), "p90": (9, 10), "p95": (19, 20)})
 
 
+@query("""SELECT count(x) AS n, round(avg(x), 6) AS mean, quantile_cont(x, 0.5) AS median, round(stddev_pop(x), 6) AS std, min(x) AS min, max(x) AS max, quantile_cont(x, 0.25) AS p25, quantile_cont(x, 0.75) AS p75
+FROM (SELECT CAST(round(l_extendedprice * 100) AS BIGINT) AS x FROM lineitem)""")
+def a9_whole_table(spark, sf_dir):
+    """All rows are one group, with nearly as many values as rows."""
+    x = F.round(F.col("l_extendedprice") * 100).cast("long").alias("x")
+    s = M.length_stats(table(spark, sf_dir, "lineitem").select(x), [], "x")
+    return s.withColumns({"mean": F.round("mean", 6), "std": F.round("std", 6)})
+
+
+@query("""WITH s AS (SELECT list_sort(list(CAST(round(l_extendedprice * 100) AS BIGINT))) AS x FROM lineitem)
+SELECT x[len(x) // 2 + 1] AS median, x[len(x) // 4 + 1] AS p25, x[3 * len(x) // 4 + 1] AS p75, x[len(x) * 9 // 10 + 1] AS p90, x[len(x) * 19 // 20 + 1] AS p95 FROM s""")
+def a10_whole_table(spark, sf_dir):
+    x = F.round(F.col("l_extendedprice") * 100).cast("long").alias("x")
+    return M.nearest_ranks(table(spark, sf_dir, "lineitem").select(x), [], "x", {"median": (1, 2), "p25": (1, 4), "p75": (3, 4), "p90": (9, 10), "p95": (19, 20)})
+
+
 @query("SELECT lang, round(avg(CASE WHEN q > 0 THEN n_chars / q ELSE 0 END), 6) AS mean_ratio FROM (SELECT lang, n_chars, doc_id % 50 AS q FROM documents) GROUP BY lang")
 def a15_mean_of_ratios(spark, sf_dir):
     d = table(spark, sf_dir, "documents").withColumn("q", F.col("doc_id") % 50)

@@ -87,6 +87,19 @@ def w8_pareto_frontier(spark, sf_dir):
     return R.pareto(_points(spark, sf_dir), "agent", "instance", "cost", "resolved").select("agent", "instance", "cost", "resolved")
 
 
+@query(f"""WITH {_POINTS} SELECT agent, instance, cost, resolved FROM (SELECT *, max(resolved) OVER (ORDER BY cost, resolved DESC, instance ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS best FROM points) WHERE best IS NULL OR resolved > best""")
+def w8_global_frontier(spark, sf_dir):
+    """All agents' points on one frontier."""
+    return R.pareto(_points(spark, sf_dir), None, "instance", "cost", "resolved").select("agent", "instance", "cost", "resolved")
+
+
+@query(f"""WITH {_RUNS}, r AS (SELECT run, cost, CAST(sum(cost) OVER w AS BIGINT) AS spent, count(*) OVER w AS n_calls FROM runs WINDOW w AS (ORDER BY run ROWS UNBOUNDED PRECEDING))
+SELECT run, cost, spent, n_calls, spent > 2000000000 OR n_calls >= 12000 AS exceeded FROM r""")
+def a37_global_limits(spark, sf_dir):
+    """One account for all runs in order of key: a limit of cost and one of calls, checked after each is added."""
+    return R.budgeted(_runs(spark, sf_dir).select("run", "cost"), [F.asc("run")], "cost", 2_000_000_000, 12_000)
+
+
 @query(f"WITH {_POINTS} SELECT agent, instance, resolved, cost FROM (SELECT *, row_number() OVER (PARTITION BY agent ORDER BY resolved DESC, cost, instance DESC) AS r FROM points) WHERE r = 1")
 def a32_best_variant(spark, sf_dir):
     return R.best_variant(_points(spark, sf_dir), "agent", "resolved", "cost", "instance")

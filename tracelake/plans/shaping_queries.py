@@ -13,6 +13,7 @@ from tracelake.operators import conversations as C
 from tracelake.operators import metrics as M
 from tracelake.operators import ranking, sequential
 from tracelake.operators import runs as R
+from tracelake.operators import snippets as S
 from tracelake.plans.conversation_queries import _SAMPLES, PROMPT, _messages
 from tracelake.plans.registry import query, table
 from tracelake.plans.run_queries import _RUNS, _runs
@@ -229,6 +230,28 @@ def t25_numbered_lines(spark, sf_dir):
     return d.select("doc_id", (F.col("n") + 1).cast("long").alias("line_no"), T.numbered_line(F.col("n") + 1, F.col("line")).alias("shown"))
 
 
+_LINE_ENDS = r"\r\n|[\n\r\x0b\x0c\x1c\x1d\x1e\x{85}\x{2028}\x{2029}]"
+
+
+@query(rf"""WITH f AS (SELECT doc_id, n_chars, string_split_regex(regexp_replace(text, '(?:{_LINE_ENDS})\z', ''), '{_LINE_ENDS}') AS ls FROM documents WHERE text <> ''),
+r AS (SELECT doc_id, len(ls) AS n, n_chars % len(ls) + 1 AS a, n_chars % len(ls) + doc_id % 4 AS b FROM f UNION ALL SELECT doc_id, len(ls), doc_id % len(ls) + 1, doc_id % len(ls) + 1 FROM f),
+w AS (SELECT DISTINCT doc_id, a, b, greatest(1, a - 2) AS s, least(n, b + 2) AS e FROM r),
+m AS (SELECT *, max(e) OVER (PARTITION BY doc_id ORDER BY a, b ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM w),
+i AS (SELECT *, sum(CASE WHEN reach IS NULL OR s > reach + 1 THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY a, b ROWS UNBOUNDED PRECEDING) AS i FROM m),
+g AS (SELECT doc_id, min(s) AS s, max(e) AS e FROM i GROUP BY doc_id, i), k AS (SELECT *, count(*) OVER (PARTITION BY doc_id) AS k FROM g),
+t AS (SELECT doc_id, s, CASE WHEN k > 1 THEN chr(10) || '--- Lines ' || s || '-' || e || ' ---' || chr(10) ELSE '' END || array_to_string(list_transform(range(s, e + 1), lambda j: lpad(CAST(j AS VARCHAR), CAST(greatest(4, length(CAST(j AS VARCHAR))) AS INTEGER), ' ') || ' | ' || ls[j]), chr(10)) AS t FROM k JOIN f USING (doc_id))
+SELECT doc_id, '=== File: src/main.txt ===' || chr(10) || string_agg(t, chr(10) ORDER BY s) AS shown FROM t GROUP BY doc_id""")
+def w19_edited_snippets(spark, sf_dir):
+    """Patches with two hunks each, at places that follow from the document, and the documents as the files after them; a second file of the patch is gone."""
+    d = table(spark, sf_dir, "documents").select("doc_id", "n_chars", "text")
+    n = S.file_lines(d.withColumn("path", F.lit("src/main.txt")), "doc_id", "path", "text").groupBy("doc_id").agg(F.max("line_no").alias("n"))
+    hunk = F.format_string("@@ -1 +%d,%d @@\n-x\n@@ -7,2 +%d @@ def f():\n+y\n", (F.col("n_chars") % F.col("n")).cast("int") + 1, (F.col("doc_id") % 4).cast("int"), (F.col("doc_id") % F.col("n")).cast("int") + 1)
+    header = lambda p: F.lit(f"diff --git a/{p} b/{p}\n--- a/{p}\n+++ b/{p}\n")
+    patch = F.concat(header("src/gone.txt"), F.lit("@@ -1,3 +1,3 @@\n"), header("src/main.txt"), hunk)
+    patches = d.join(n, "doc_id").select("doc_id", patch.alias("patch"))
+    return S.snippets(patches, d.withColumn("path", F.lit("src/main.txt")), "doc_id", "patch", "path", "text", 2)
+
+
 @query("SELECT doc_id, CASE WHEN doc_id % 4 = 0 THEN 'flattened' WHEN doc_id % 4 = 1 THEN 'multiturn' WHEN doc_id % 3 = 0 THEN 'flattened' ELSE 'multiturn' END AS format FROM documents")
 def t27_prompt_format(spark, sf_dir):
     k = F.col("doc_id")

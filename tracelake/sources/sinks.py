@@ -7,24 +7,32 @@ import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
+from py4j.protocol import Py4JJavaError
 from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-def write_text(spark: SparkSession, path: str, text: str) -> None:
-    """A small file from the driver, through the file system of its path; it replaces an older one at once, so that readers find either."""
+def write_text(spark: SparkSession, path: str, text: str, replace: bool = True) -> None:
+    """A small file from the driver, through the file system of its path. It replaces an older one at once, so that readers find either; without replace one that is there raises FileExistsError."""
     jvm = spark._jvm
     target, part = jvm.org.apache.hadoop.fs.Path(path), jvm.org.apache.hadoop.fs.Path(f"{path}.{uuid.uuid4().hex}")
     conf = spark._jsc.hadoopConfiguration()
-    out = target.getFileSystem(conf).create(part, True)
+    files = target.getFileSystem(conf)
+    out = files.create(part, True)
     out.write(bytearray(text.encode()))
     out.close()
     rename = getattr(jvm.org.apache.hadoop.fs, "Options$Rename")
     how = spark.sparkContext._gateway.new_array(rename, 1)
-    how[0] = rename.OVERWRITE
-    target_uri = target.getFileSystem(conf).makeQualified(target)
-    jvm.org.apache.hadoop.fs.FileContext.getFileContext(target_uri.toUri(), conf).rename(target.getFileSystem(conf).makeQualified(part), target_uri, how)
+    how[0] = rename.OVERWRITE if replace else rename.NONE
+    target_uri = files.makeQualified(target)
+    try:
+        jvm.org.apache.hadoop.fs.FileContext.getFileContext(target_uri.toUri(), conf).rename(files.makeQualified(part), target_uri, how)
+    except Py4JJavaError as e:
+        files.delete(part, False)
+        if not replace and files.exists(target):
+            raise FileExistsError(path) from e
+        raise
 
 
 def sample_set(samples: DataFrame, path: str, order: list[str], split: str = "is_train") -> dict[str, int]:
