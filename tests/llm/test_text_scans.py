@@ -297,24 +297,119 @@ def test_decoder_needs_no_whole_text(spark, vocabulary, monkeypatch):
     assert got == {k: hashlib.sha256(t.encode()).hexdigest() for k, t in enumerate(whole[0][:6])}
 
 
-@pytest.mark.parametrize("seed", range(6))
-def test_transducer_streams_random_merge_lists(seed, tmp_path):
-    """Against plain merging, on runs far longer than the lookahead; the state stays within three lookaheads."""
+def merge_list(tmp_path, merges, letters):
+    """An encoder of a list of merges."""
     import json
 
-    rng = random.Random(seed)
-    symbols, merges = [*"abc", *[c + bpe.END for c in "abc"]], []
-    for _ in range(40):
+    symbols = dict.fromkeys([*letters, *[c + bpe.END for c in letters], *[a + b for a, b in merges]])
+    path = tmp_path / "v.json"
+    path.write_text(json.dumps({"model": {"vocab": {s: i for i, s in enumerate(symbols)}, "merges": [list(m) for m in merges]}, "added_tokens": []}))
+    return bpe.Encoder(str(path))
+
+
+def random_merges(rng, letters, n, most):
+    symbols, merges = [*letters, *[c + bpe.END for c in letters]], []
+    while len(merges) < n:
         a, b = rng.choice([s for s in symbols if not s.endswith(bpe.END)]), rng.choice(symbols)
-        if a + b not in symbols and len(a + b) < 12:
-            merges.append([a, b])
+        if a + b not in symbols and len(a + b) < most:
+            merges.append((a, b))
             symbols.append(a + b)
-    path = tmp_path / "v.json"
-    path.write_text(json.dumps({"model": {"vocab": {s: i for i, s in enumerate(symbols)}, "merges": merges}, "added_tokens": []}))
-    own = bpe.Encoder(str(path))
+    return merges
+
+
+def ended(run):
+    return [*run[:-1], run[-1] + bpe.END]
+
+
+@pytest.mark.parametrize("seed", range(12))
+@pytest.mark.parametrize("letters", ["abc", "abcdefghijklmnopqrst"])
+def test_transducer_streams_random_merge_lists(seed, letters, tmp_path):
+    """Against plain merging, on runs far longer than the lookahead, and what is out of a prefix's tokens by the lookahead is out for good."""
+    rng = random.Random(seed)
+    own = merge_list(tmp_path, random_merges(rng, letters, 40 if letters == "abc" else 200, 12), letters)
     for n in (1, 2, 5, 30, 700):
-        run = [rng.choice("abc") for _ in range(n - 1)] + [rng.choice("abc") + bpe.END]
+        run = ended(rng.choices(letters, k=n))
         assert [*own.transduce(run)] == own._merge(run)
+    for _ in range(30):
+        run = rng.choices(letters, k=rng.randint(1, 60))
+        whole = own._merge(run)
+        for n in range(1, len(run)):
+            at = same = 0
+            for token in own._merge(run[:n]):
+                at += len(own._symbols(token))
+                if at > n - own.lookahead:
+                    break
+                assert token == whole[same]
+                same += 1
+
+
+def names(n):
+    return [chr(0x4E00 + k) for k in range(n)]
+
+
+@pytest.mark.parametrize("n", [3, 16, 26, 100, 301])
+def test_transducer_where_the_end_decides_the_beginning(n, tmp_path):
+    """Merges (y, z), (x, y), ..., (a, b): which pairs merge follows from where the run ends, at any distance, though no token has more than two symbols."""
+    letters = names(n)
+    own = merge_list(tmp_path, [(letters[k], letters[k + 1]) for k in range(n - 2, -1, -1)], letters)
+    assert own.longest == 2 and n - 1 <= own.lookahead <= n + 1
+    for run in (letters, letters[:-1], letters[1:], letters * 3, letters[:-1] * 2 + letters):
+        assert [*own.transduce(run)] == own._merge(run)
+        assert [*own.transduce(ended(run))] == own._merge(ended(run))
+
+
+def test_transducer_holds_the_lookahead_only(tmp_path):
+    """Symbols are taken from a stream, and tokens leave it while it runs."""
+    letters, rng = names(40), random.Random(1)
+    chain = merge_list(tmp_path, [(letters[k], letters[k + 1]) for k in range(38, -1, -1)], letters)
+    taken, held = 0, 0
+
+    def source():
+        nonlocal taken
+        for k in range(40_000):
+            taken += 1
+            yield letters[k % 40] if k % 7 else rng.choice(letters)
+
+    out = 0
+    for token in chain.transduce(source()):
+        out += len(token)
+        held = max(held, taken - out)
+    assert out == 40_000 and held <= 2 * chain.lookahead + 10 * chain.longest
+
+
+def test_a_run_of_megabytes_needs_no_memory_of_its_own(vocabulary):
+    import tracemalloc
+
+    own, rng = bpe.Encoder(vocabulary, 1000), random.Random(3)
+    text = "".join(rng.choices("etaoinshrdluwxyz", k=1_500_000))
+    part = text[:3000]
+    from tokenizers import Tokenizer
+
+    assert list(own.word_ids(part)) == Tokenizer.from_file(vocabulary).encode(part, add_special_tokens=False).ids
+    tracemalloc.start()
+    n = sum(1 for _ in own.run_ids(text))
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert n > 100_000 and most < 4_000_000
+
+
+def test_library_on_long_runs(vocabulary):
+    from tokenizers import Tokenizer
+
+    ref, own, rng = Tokenizer.from_file(vocabulary), bpe.Encoder(vocabulary), random.Random(5)
+    for letters in ("ab", "aeiou", "thern", "abcdefghijklmnopqrstuvwxyz", "éüñ", "日本語中文", "!?.,-=", "ha", "l"):
+        for n in (60, 130, 400, 3000):
+            t = "".join(rng.choices(letters, k=n))
+            assert own.encode(t).tolist() == ref.encode(t, add_special_tokens=False).ids
+
+
+def test_decode_of_empty_and_repeated_rows(spark, vocabulary):
+    own = bpe.Encoder(vocabulary)
+    ids = own.encode("one two").tobytes()
+    schema = "doc_id long, ids binary, n_tokens long"
+    rows = spark.createDataFrame([(1, bytearray(ids), 7), (1, bytearray(ids), 7), (2, bytearray(), 0), (3, None, 0)], schema)
+    assert sorted(map(tuple, bpe.decode(rows, vocabulary).collect()), key=str) == [(1, "one two ", 7), (1, "one two ", 7), (2, "", 0), (3, None, 0)]
+    assert bpe.decode(spark.createDataFrame([], schema), vocabulary).collect() == []
 
 
 # --- toxicity and pages

@@ -2,11 +2,12 @@
 
 The encoding of a word is the one chain of tokens in which every adjacent pair is stable: encoding
 the two tokens' text gives the same two tokens. So the last token of each prefix follows from the
-last tokens of shorter prefixes, one symbol at a time, and what comes later can start no further
-back than the longest token of the merge list: that is the sufficient lookahead. Once the chains
-of all prefixes within the lookahead agree on a token, it is final and is emitted; a run of any
-length needs memory for the lookahead only. Decoding goes token by token through a byte-to-text
-state machine.
+last tokens of shorter prefixes, one symbol at a time, and a later token can start no further back than
+the longest token of the merge list. Once the chains of all prefixes within that reach agree on a
+token, it is final and is emitted. How long that can take is the sufficient lookahead, computed from
+the merge list's chains of merges; the window grows to it where chains disagree, and no further, so a
+run of any length comes as a stream and needs memory for the lookahead only. Decoding goes token by
+token through a byte-to-text state machine.
 """
 
 from __future__ import annotations
@@ -23,9 +24,11 @@ import numpy as np
 import regex
 from pyspark.sql import DataFrame
 
-from tracelake.llm.common import map_texts
+from tracelake.llm.common import map_texts, slices, small_batches, tidied
 
 END = "</w>"
+#: Words and runs of more characters are encoded anew each time.
+KEPT_CHARS = 64
 #: Ids that the decoder turns into text at once.
 DECODED_AT_ONCE = 8192
 #: Words that an encoder remembers (some 250 MB with runs and pairs); beyond it starts anew. An encoder
@@ -63,13 +66,13 @@ class Encoder:
         self._chars = byte_chars()
         self._stable: dict[str, dict[str, bool]] = {}  # by the first token of a pair
         self._pairs, self._most_pairs = 0, words * 5 // 3
-        self._words = _Bounded(lambda word: np.array(self.word_ids(word), "<u4").tobytes(), words)
-        self._runs = _Bounded(self.run_ids, words * 5 // 6)
-        #: The merge that makes each token; the longest token, in symbols, is the sufficient lookahead.
+        self._words = _Bounded(lambda word: np.fromiter(self.word_ids(word), "<u4").tobytes(), words)
+        self._runs = _Bounded(lambda part: tuple(self.run_ids(part)), words * 5 // 6)
+        #: The merge that makes each token, and the longest token in symbols: a later token starts no further back.
         self._made = {a + b: (a, b) for a, b in reversed(self.rank)}
         self._simple = len(self._made) == len(self.rank)
         symbols = {t: self._symbols(t) for t in self._made}
-        self.lookahead = max(map(len, symbols.values()), default=1)
+        self.longest = max(map(len, symbols.values()), default=1)
         self.by_prefix: dict[str, bool] = {}  # every prefix of a token, in whole symbols -> whether it is a token that its own text gives
         for t, s in symbols.items():
             for k in range(2, len(s)):
@@ -131,41 +134,91 @@ class Encoder:
             after = self._stable[a] = {}
         return after
 
-    def transduce(self, symbols: list[str]) -> Iterator[str]:
-        """Tokens of one run of symbols (the last has END), each as soon as it is stable. State: three lookaheads of last tokens, by the prefix's end."""
-        prefix, stable = self.by_prefix.get, self.stable
-        n = len(symbols)
-        most = 3 * self.lookahead
-        size = min(n, most + self.lookahead) + 1
-        last, begin = [None] * size, [0] * size  # each prefix's last token and its start
-        last[0] = ""
-        first = 0  # place of last[0] in the stream
-        for start in range(n):
-            here = start - first
+    @cached_property
+    def lookahead(self) -> int:
+        """The sufficient lookahead: symbols behind a token after which nothing changes it.
+
+        What comes later can change a merge (u, v) next to it. Whether that merge takes place tells,
+        further left, only merges of later rank: those whose second part begins where u begins, so is
+        a beginning of u or begins with it. Each step so goes left by one first part and on to a
+        later rank; the longest such chain of merges, and the longest token once more for the one that
+        is still open, bound how far a change goes. Merges are taken from the last rank to the first, with the reach of
+        second parts kept in a trie: at its end for beginnings of u, and over all below for those that begin with u.
+        """
+        follow: list[dict[str, int]] = [{}]
+        ends, below, most = [0], [0], 0
+        for u, v in reversed(self.rank):
+            node, reach = 0, 0
+            for c in self._symbols(u):
+                node = follow[node].get(c, -1)
+                if node < 0:
+                    break
+                reach = max(reach, ends[node])
+            first = self._symbols(u)
+            reach = len(first) + max(reach, below[node] if node >= 0 else 0)
+            most = max(most, reach)
+            path = [0]
+            for c in self._symbols(v):
+                if (step := follow[path[-1]].get(c)) is None:
+                    step = follow[path[-1]][c] = len(follow)
+                    follow.append({})
+                    ends.append(0)
+                    below.append(0)
+                path.append(step)
+            ends[path[-1]] = max(ends[path[-1]], reach)
+            for step in path:
+                below[step] = max(below[step], reach)
+        return most + self.longest
+
+    def transduce(self, symbols: Iterable[str]) -> Iterator[str]:
+        """Tokens of one run of symbols (the last has END), each as soon as it is stable. State: the symbols whose tokens are not out yet, and the last token of the prefix that ends at each."""
+        prefix, stable, longest = self.by_prefix.get, self.stable, self.longest
+        source, ended = iter(symbols), False
+        window: list[str] = []
+        last: list[str | None] = [""]
+        begin = [0]  # of each prefix's last token, counted from the run's start
+        first = here = 0  # the window's start in the run; how many of its symbols are done
+        due = 3 * longest  # symbols done after which chains are compared
+        while True:
+            if not ended and len(window) < here + longest:
+                some = list(islice(source, 4 * longest))
+                ended = not some
+                window += some
+                last += [None] * len(some)
+                begin += [0] * len(some)
+            n = len(window)
+            if here == n:
+                break
             before = last[here]
             known = self._after(before).get
-            text, end = symbols[start], here
-            token = True
+            text, end = window[here], here
+            token: bool | None = True
             while True:
                 end += 1
                 if token and last[end] is None:
                     ok = known(text)
                     if ok or (ok is None and stable(before, text)):
-                        last[end], begin[end] = text, start
-                if first + end >= n:
+                        last[end], begin[end] = text, first + here
+                if end == n:
                     break
-                text += symbols[first + end]
+                text += window[end]
                 token = prefix(text)
                 if token is None:
                     break
-            if here >= most and start + 1 < n:
-                done, keep = self._agreed(last, begin, first, start + 1)
+            here += 1
+            if here >= due and here < n:
+                done, keep = self._agreed(last, begin, first, first + here)
                 if done:
                     yield from done
-                    first += keep
-                    last, begin = last[keep:] + [None] * keep, begin[keep:] + [0] * keep
+                    first, here = first + keep, here - keep
+                    del window[:keep], last[:keep], begin[:keep]
                     last[0] = done[-1]
-        chain, at = [], n
+                    due = max(here + longest, 3 * longest)
+                else:  # not before the window has grown by a half, but as soon as the lookahead suffices
+                    due = here + max(longest, here // 2)
+                    if here < self.lookahead + longest < due:
+                        due = self.lookahead + longest
+        chain, at = [], first + len(window)
         while at > first:
             chain.append(last[at - first])
             at = begin[at - first]
@@ -174,7 +227,7 @@ class Encoder:
     def _agreed(self, last: list, begin: list, first: int, place: int) -> tuple[list[str], int]:
         """Tokens on which the chains of all prefixes that a later token can follow agree, and their symbols."""
         chains = []
-        for at in range(max(first + 1, place - self.lookahead), place + 1):
+        for at in range(max(first + 1, place - self.longest), place + 1):
             chain = []
             while at > first:
                 chain.append((last[at - first], begin[at - first]))
@@ -185,16 +238,27 @@ class Encoder:
             n += 1
         return [t for t, _ in chains[0][:n]], chains[0][n][1] - first
 
-    def word_ids(self, word: str) -> list[int]:
-        """Ids of a run without white space."""
+    def word_ids(self, word: str) -> Iterator[int]:
+        """Ids of a run without white space, as they come."""
         word = unicodedata.normalize("NFC", word).replace("Σ", "σ").lower()
-        return [i for part in _WORD.findall(word) for i in self._runs[part]]
-
-    def run_ids(self, part: str) -> tuple[int, ...]:
-        """Ids of one run that the pre-tokenizer found."""
-        symbols = [self._chars[b] for b in part.encode("utf-8", "surrogatepass")]
-        symbols[-1] += END
-        return tuple([self.vocab[t] for t in self.transduce(symbols)])
+        for m in _WORD.finditer(word):
+            part = m[0]
+            yield from self._runs[part] if len(part) <= KEPT_CHARS else self.run_ids(part)
+
+    def run_ids(self, part: str) -> Iterator[int]:
+        """Ids of one run that the pre-tokenizer found, as they come."""
+        return map(self.vocab.__getitem__, self.transduce(self._bytes(part)))
+
+    def _bytes(self, part: str) -> Iterator[str]:
+        """The symbols of a run, a piece of it at a time; the last one ends the word."""
+        held = None
+        for k in range(0, len(part), 65536):
+            for b in part[k : k + 65536].encode("utf-8", "surrogatepass"):
+                if held is not None:
+                    yield held
+                held = self._chars[b]
+        if held is not None:
+            yield held + END
 
     def _plain(self, text: str) -> bytes:
         words = text.split() if not _ODD.search(text) else _SPLIT.findall(text)
@@ -265,7 +329,7 @@ class _Bounded(dict):
 
     def __missing__(self, word: str):
         got = self.make(word)
-        if len(word) <= 64:
+        if len(word) <= KEPT_CHARS:
             if len(self) >= self.most:
                 self.clear()
             self[word] = got
@@ -308,20 +372,25 @@ def encode(docs: DataFrame, path: str, doc_id: str = "doc_id", text: str = "text
 
 
 def decode(tokens: DataFrame, path: str, ids: str = "ids") -> DataFrame:
-    """tokens with `text` in place of ids (little-endian unsigned 32-bit): the readable text, null where the ids are null."""
+    """tokens with `text` in place of ids (little-endian unsigned 32-bit): the readable text, null where the ids are null, empty where there are none.
+
+    All other columns stay; repeated rows get equal texts; an empty table gives an empty one.
+    """
     import pyarrow as pa
     from pyspark.sql.types import StringType, StructField, StructType
 
+    small_batches(tokens.sparkSession)
     at = tokens.columns.index(ids)
     fields = [StructField("text", StringType()) if f.name == ids else f for f in tokens.schema.fields]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = Encoder(path, 0)
         for batch in batches:
-            made = [None if x is None else "".join(encoder.decode(np.frombuffer(x, "<u4").tolist())) for x in batch.column(at).to_pylist()]
-            yield batch.set_column(at, "text", pa.array(made, pa.string()))
+            for part in slices(batch, ids):
+                made = [None if x is None else "".join(encoder.decode(np.frombuffer(x, "<u4").tolist())) for x in part.column(at).to_pylist()]
+                yield part.set_column(at, "text", pa.array(made, pa.string()))
 
-    return tokens.mapInArrow(run, StructType(fields))
+    return tokens.mapInArrow(tidied(run), StructType(fields))
 
 
 def digest(docs: DataFrame, path: str, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
