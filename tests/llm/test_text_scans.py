@@ -154,6 +154,15 @@ def test_weak_candidates_need_their_complements():
     assert kinds("https://db.example.com/x password = hunter2hunter2") == []
 
 
+def test_a_candidate_within_another_is_no_part():
+    found = lambda t: sorted(k for _, _, k in secret_scan.linked_spans(t, secret_scan.base_spans(t), None))
+    assert found("docs at https://example.com/guides/2024/getting-started-with-widgets-page-17 and user: bob wrote it") == []
+    assert found("client_id = wJalrXUtnFEMI0K7MDENG0bPxRfiCYEXAMPLE and https://db.example.com/x") == []
+    assert found(f"AKIA{'A' * 12} used by\nhttps://api.example.com/v1?token=abcd1234efgh5678") == ["endpoint"]
+    assert found("https://api.example.com/v1?token=abcd1234efgh5678") == []
+    assert secret_scan.masked(f"AKIA{'A' * 12} at https://api.example.com/v1?token=abcd1234efgh5678 now") == "[access] at [endpoint] now"
+
+
 @pytest.mark.parametrize("reach", [None, 256, 20])
 def test_links_are_those_of_all_pairs_in_a_scope(reach):
     rng, bits, found = random.Random(9), [r[1] for r in secretive()], 0
@@ -162,11 +171,12 @@ def test_links_are_those_of_all_pairs_in_a_scope(reach):
         base = secret_scan.base_spans(t)
         weak = [(m.start(), m.end(), k) for k, p in (("endpoint", secret_scan.ENDPOINT), ("user", secret_scan.USER), ("run", secret_scan.RUN)) for m in p.finditer(t)]
         weak = [w for w in weak if w[2] != "run" or secret_scan._entropy(t[w[0] : w[1]]) >= 3.5 and re.search("[0-9]", t[w[0] : w[1]]) and re.search("[A-Za-z]", t[w[0] : w[1]])]
-        weak = [w for w in weak if not any(a < w[1] and b > w[0] for a, b, _ in base)]
+        weak = [w for w in weak if not any((a <= w[0] and b >= w[1]) if w[2] == "endpoint" else (a < w[1] and b > w[0]) for a, b, _ in base)]
+        weak = [w for w in weak if not any(o[0] <= w[0] and o[1] >= w[1] and o[:2] != w[:2] for o in weak)]
         cuts = [m.start() for m in secret_scan.SCOPE.finditer(t)]
         scope = lambda x: sum(c < x for c in cuts)
         near = lambda w, o: o != w and scope(w[0]) == scope(o[0]) and (reach is None or o[0] < w[1] + reach and o[1] > w[0] - reach)
-        has = lambda w, role: any(secret_scan.ROLE[o[2]] == role and o[:2] != w[:2] and near(w, o) for o in base + weak)
+        has = lambda w, role: any(secret_scan.ROLE[o[2]] == role and near(w, o) and (o in base or o[0] >= w[1] or o[1] <= w[0]) for o in base + weak)
         needs = {"secret": ["id"], "id": ["secret"], "endpoint": ["secret", "id"]}
         want = [w for w in weak if all(has(w, role) for role in needs[secret_scan.ROLE[w[2]]])]
         assert secret_scan.linked_spans(t, base, reach) == want

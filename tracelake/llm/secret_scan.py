@@ -4,6 +4,8 @@ A credential comes in parts: an access identifier, a secret and an endpoint. Cer
 are reported alone. Weak candidates (a bare high-entropy run, an endpoint, an identifier
 assignment) are linked by an interval join inside each scope, a paragraph: one is reported when its
 scope holds a part of a complementary kind; with a `reach`, when its span, widened by that, meets one.
+A candidate within another one is no part of its own (a link's path is no secret), and candidates that
+overlap do not complement one another; a certain span does, also within an endpoint, as in a link with a token.
 """
 
 from __future__ import annotations
@@ -11,7 +13,7 @@ from __future__ import annotations
 import hashlib
 import math
 import re
-from bisect import bisect_left
+from bisect import bisect_left, bisect_right
 from collections import Counter
 from collections.abc import Iterator
 from itertools import accumulate
@@ -75,38 +77,53 @@ def linked_spans(text: str, base: list[tuple[int, int, str]], reach: int | None
     firsts = [a for a, _ in taken]
     furthest = list(accumulate((e for _, e in taken), max))
 
-    def free(a: int, b: int) -> bool:
-        k = bisect_left(firsts, b)
-        return not k or furthest[k - 1] <= a
+    def free(a: int, b: int, kind: str) -> bool:
+        """Not over a certain span; an endpoint may hold some, but not lie in one."""
+        k = bisect_left(firsts, a + 1 if kind == "endpoint" else b)
+        return not k or furthest[k - 1] < (b if kind == "endpoint" else a + 1)
 
     weak += [(m.start(), m.end(), "run") for m in RUN.finditer(text) if _entropy(m[0]) >= ENTROPY and re.search(r"[0-9]", m[0]) and re.search(r"[A-Za-z]", m[0])]
-    weak = [w for w in weak if free(w[0], w[1])]
+    weak = _outermost([w for w in weak if free(*w)])
     if not weak:
         return []
     borders = [m.start() for m in SCOPE.finditer(text)]
-    by_role: dict[str, list[tuple[int, int]]] = {"secret": [], "id": [], "endpoint": []}
-    for a, b, kind in [*base, *weak]:
-        by_role[ROLE[kind]].append((a, b))
-    for spans in by_role.values():
-        spans.sort()
-    ends = {role: list(accumulate((b for _, b in spans), max)) for role, spans in by_role.items()}
+    roles = ("secret", "id", "endpoint")
+    certain = {r: sorted((a, b) for a, b, kind in base if ROLE[kind] == r) for r in roles}
+    reached = {r: list(accumulate((b for _, b in spans), max)) for r, spans in certain.items()}
+    begins = {r: sorted(a for a, _, kind in weak if ROLE[kind] == r) for r in roles}
+    ends = {r: sorted(b for _, b, kind in weak if ROLE[kind] == r) for r in roles}
 
     def near(a: int, b: int, role: str) -> bool:
-        """Whether a span of the role meets [a - reach, b + reach) cut to a's scope, or a's scope without a reach. Of those that start before, the furthest end counts, as spans may hold others."""
+        """Whether a's scope, cut to [a - reach, b + reach) if there is a reach, has a part of the role: a certain span, or a candidate that ends before a or begins behind b."""
         k = bisect_left(borders, a)
         low, high = borders[k - 1] if k else 0, borders[k] if k < len(borders) else len(text)
         if reach is not None:
             low, high = max(a - reach, low), min(b + reach, high)
-        spans = by_role[role]
-        at = bisect_left(spans, (a, a))
-        right = next((s for s in spans[at : at + 2] if s != (a, b)), None)
-        return bool(at and ends[role][at - 1] > low) or bool(right and right[0] < high)
+        spans = certain[role]
+        at = bisect_left(spans, (high, 0))
+        if at and reached[role][at - 1] > low:
+            return True
+        at = bisect_left(begins[role], b)
+        if at < len(begins[role]) and begins[role][at] < high:
+            return True
+        at = bisect_right(ends[role], a)
+        return bool(at and ends[role][at - 1] > low)
 
     others = {"secret": ("id",), "id": ("secret",), "endpoint": ("secret", "id")}
     # A secret needs an identifier, an identifier a secret; an endpoint needs both.
     return [w for w in weak if all(near(w[0], w[1], role) for role in others[ROLE[w[2]]])]
 
 
+def _outermost(spans: list[tuple[int, int, str]]) -> list[tuple[int, int, str]]:
+    """Spans that lie in no other, in their order; of equal ones the first."""
+    kept, end = set(), -1
+    for k in sorted(range(len(spans)), key=lambda k: (spans[k][0], -spans[k][1], k)):
+        if spans[k][1] > end:
+            kept.add(k)
+            end = spans[k][1]
+    return [s for k, s in enumerate(spans) if k in kept]
+
+
 def _listed(spans: list[tuple[int, int, str]]) -> str:
     return ",".join(f"{kind}:{a}:{b}" for a, b, kind in sorted(spans, key=lambda s: (s[0], KINDS.index(s[2]), s[1])))
 
@@ -117,7 +134,8 @@ SCHEMA = "doc_id long, n_assign long, n_access long, n_hex long, n_linked long,
 def scan(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", reach: int | None = None) -> DataFrame:
     """One row per row of docs with SCHEMA; spans lists kind:start:end in code points.
 
-    A null or empty text has no spans; repeated rows get equal results; extra columns are left out.
+    A null or empty text has no spans; repeated rows get equal results; extra columns are left out; an
+    empty table gives an empty one.
     """
 
     def work(ids: list, texts: list) -> dict:
@@ -149,8 +167,7 @@ def masked(text: str, reach: int | None = None) -> str:
 
 
 def mask(docs: DataFrame, text: str = "text", n_chars: str | None = "n_chars", reach: int | None = None) -> DataFrame:
-    """The rows of docs, all columns, with the text masked; a null text stays null. n_chars, if it is a column, gets the new length where the text is not null."""
-
+    """The rows of docs, all columns, with the text masked; a null text stays null. n_chars, if it is a column, gets the new length where the text is not null. Repeated rows get equal texts; an empty table gives an empty one."""
     small_batches(docs.sparkSession)
     at = docs.columns.index(text)
 
