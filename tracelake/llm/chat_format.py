@@ -12,6 +12,7 @@ sorted offsets of its tokens by binary search: what is kept as the mask are rang
 
 from __future__ import annotations
 
+import functools
 import hashlib
 import os
 import re
@@ -128,6 +129,12 @@ class Encoder:
         return self.tokenizer.decode(ids, skip_special_tokens=False)
 
 
+@functools.cache
+def _encoder(path: str) -> Encoder:
+    """A worker's encoder for the vocabulary file, kept for later tasks."""
+    return Encoder(path)
+
+
 def _schema(conv: StructField) -> StructType:
     span = StructType([StructField("first", IntegerType()), StructField("last", IntegerType())])
     return StructType([
@@ -151,7 +158,7 @@ def formatted(rows: DataFrame, vocabulary: str, conv_id: str = "conv_id", turn:
     out = _schema(picked.schema["conv_id"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        to, encoder = to_arrow_schema(out), Encoder(vocabulary)
+        to, encoder = to_arrow_schema(out), _encoder(vocabulary)
 
         def batch_of(parts: list[tuple]) -> pa.RecordBatch:
             columns = [list(c) for c in zip(*parts)]
@@ -201,7 +208,7 @@ def read_back(parts: DataFrame, vocabulary: str) -> DataFrame:
     out = StructType([parts.schema["conv_id"], *StructType.fromDDL("n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        to, encoder = to_arrow_schema(out), Encoder(vocabulary)
+        to, encoder = to_arrow_schema(out), _encoder(vocabulary)
         template = encoder.template
         for batch in batches:
             rows: list[tuple] = []
