@@ -136,14 +136,22 @@ def _first_words(text: Column, n: Column) -> Column:
 def mixed_rows(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source", n_chars: str = "n_chars", seed: int = 17) -> DataFrame:
     """The mix with all columns of docs: a row for each time a document is sent, the last one cut to the words that the budget leaves it (n_chars, if it is a column, follows).
 
-    Rows that are not taken are left out. Rows of equal id, text and source are interchangeable: each gets an equal whole number of the words that they take together, so fewer words than there are such rows may be lost. An empty table gives an empty mix.
+    Rows that are not taken are left out. Rows of equal id, text and source are interchangeable: what they
+    take together is sent as one of them, as often as it takes, so no word is lost. Columns of any
+    name stay as they are. An empty table gives an empty mix.
     """
-    # Equal rows have one key; each gets an equal part of what they take together.
-    taken = mix(docs, doc_id, text, source, seed, keep_key=True).groupBy("order_key").agg(F.floor(F.sum("taken") / F.count("*")).alias("mix_taken"), F.max("size").alias("mix_size")).filter("mix_taken > 0")
-    sent = docs.withColumn("mix_key", _order_key(seed, doc_id, text, source)).join(taken.withColumnRenamed("order_key", "mix_key"), "mix_key")
-    sent = sent.withColumn("mix_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.ceil(F.col("mix_taken") / F.col("mix_size")))))
-    whole = F.col("mix_copy") * F.col("mix_size") <= F.col("mix_taken")
-    cut = F.when(whole, F.col(text)).otherwise(_first_words(F.col(text), F.col("mix_taken") - (F.col("mix_copy") - 1) * F.col("mix_size")))
+    name = lambda x: next(c for c in (x, *(f"{x}_{k}" for k in range(len(docs.columns) + 1))) if c not in docs.columns)
+    key, words, rows, size, copy = map(name, ("mix_key", "mix_taken", "mix_rows", "mix_size", "mix_copy"))
+    # Equal rows have one key.
+    taken = mix(docs, doc_id, text, source, seed, keep_key=True).groupBy(F.col("order_key").alias(key)).agg(F.sum("taken").alias(words), F.count("*").alias(rows), F.max("size").alias(size)).filter(F.col(words) > 0)
+    taken = materialize(taken, "mix-taken")
+    keyed = docs.withColumn(key, _order_key(seed, doc_id, text, source))
+    single = keyed.join(taken.filter(F.col(rows) == 1), key)
+    # Of rows that are equal any one is kept, by partial aggregates, however many there are.
+    several = keyed.join(taken.filter(F.col(rows) > 1).select(key), key, "left_semi").groupBy(key).agg(F.any_value(F.struct(*docs.columns)).alias(copy)).select(key, f"{copy}.*").join(taken, key)
+    sent = single.unionByName(several).withColumn(copy, F.explode(F.sequence(F.lit(1).cast("long"), F.ceil(F.col(words) / F.col(size)))))
+    whole = F.col(copy) * F.col(size) <= F.col(words)
+    cut = F.when(whole, F.col(text)).otherwise(_first_words(F.col(text), F.col(words) - (F.col(copy) - 1) * F.col(size)))
     out = sent.withColumn(text, cut)
     if n_chars in docs.columns:
         out = out.withColumn(n_chars, F.when(whole, F.col(n_chars)).otherwise(F.length(text).cast(docs.schema[n_chars].dataType)))
