@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from tracelake.llm import bpe, near_duplicates, secret_scan, source_mixing, toxicity
 from tracelake.llm.common import materialize
 
-#: Vocabulary of the last stage.
-VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
+#: Vocabulary of the last stage, a file of the public tokenizers.
+VOCABULARY = "word_bpe_49k.json"
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
@@ -36,7 +35,9 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def encode_bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, n_tokens, ids (little-endian unsigned 32-bit) of each row, and the digest of the text decoded from them."""
-    return bpe.encode(docs, VOCABULARY)
+    import public_tokenizers
+
+    return bpe.encode(docs, public_tokenizers.path(VOCABULARY))
 
 
 STAGES = [
