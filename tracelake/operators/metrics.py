@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tracelake.functions.text import strip
 from tracelake.operators.ranking import quantiles, ranked
 from tracelake.operators.runs import small
 
@@ -72,6 +73,15 @@ def nearest_ranks(rows: DataFrame, by: list[str], x: str, ranks: dict[str, tuple
     return quantiles(rows, by, x, nearest=ranks).select(*by, *ranks)
 
 
+def corpus_means(scored: DataFrame, by: list[str], scores: list[str], response: str, blank: str = "counted") -> DataFrame:
+    """Rows and mean of each score over a corpus, or over each group of it. A blank response counts as 0, or with blank="skipped" not at all; a group of none has means of 0. A null score counts as 0."""
+    if blank not in ("counted", "skipped"):
+        raise ValueError("blank responses are counted or skipped")
+    is_blank = strip(F.coalesce(response, F.lit(""))) == ""
+    mean = lambda c: F.coalesce(F.avg(F.when(~is_blank, F.coalesce(c, F.lit(0.0))).otherwise(F.lit(0.0) if blank == "counted" else F.lit(None))), F.lit(0.0))
+    return scored.groupBy(*by).agg((F.count("*") if blank == "counted" else F.count_if(~is_blank)).alias("n"), *[mean(c).alias(c) for c in scores])
+
+
 def bucketed(rows: DataFrame, x: str, edges: DataFrame) -> DataFrame:
     """Rows with the bucket (label, lo, hi) that holds x, lo <= x < hi, null edges open. The edges are a small dimension."""
     inside = (F.col("lo").isNull() | (F.col(x) >= F.col("lo"))) & (F.col("hi").isNull() | (F.col(x) < F.col("hi")))

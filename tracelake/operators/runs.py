@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -50,6 +52,19 @@ def localization(predictions: DataFrame, gold: DataFrame, by: list[str]) -> Data
     return p.groupBy(*by).agg(F.count_if(hit).alias("localized"), F.count("*").alias("n"))
 
 
+def localization_rates(predictions: DataFrame, gold: DataFrame, by: list[str]) -> DataFrame:
+    """Localized, n and pct for every group of predictions. Without gold patches n is 0 and pct null: not available."""
+    found = localization(predictions, gold, by)
+    groups = predictions.select(*by).distinct()
+    for c in by:
+        found = found.withColumnRenamed(c, f"_{c}_")
+    on = F.lit(True)
+    for c in by:
+        on = on & groups[c].eqNullSafe(found[f"_{c}_"])
+    zero = lambda c: F.coalesce(c, F.lit(0).cast("long")).alias(c)
+    return groups.join(found, on, "left").select(*by, zero("localized"), zero("n"), F.try_divide(100 * F.col("localized").cast("double"), F.col("n")).alias("pct"))
+
+
 def combined_predictions(critic: DataFrame, base: DataFrame, statuses: DataFrame) -> DataFrame:
     """The critic's prediction of runs that it submitted, else the base's. statuses: (instance_id, exit_status) of the critic's runs."""
     submitted = F.col("exit_status") == SUBMITTED
@@ -116,6 +131,38 @@ def budgeted(calls: DataFrame, order: list[Column], cost: str, cost_limit: float
     return total.withColumn("exceeded", exceeded)
 
 
+def stacked(parts: list[tuple[str, str, DataFrame]], totals: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """Summary rows of (label, kind, runs) parts under one another, with label, kind and their place `at` in the list: sorted by it they are in registry order. Columns that a part lacks are null."""
+    out = None
+    for at, (label, kind, runs) in enumerate(parts):
+        one = totals(runs).select(F.lit(at).alias("at"), F.lit(label).alias("label"), F.lit(kind).alias("kind"), "*")
+        out = one if out is None else out.unionByName(one, allowMissingColumns=True)
+    return out
+
+
+def paired(rows: DataFrame, label: str, kind: str, plain: str, combined: str, values: list[str]) -> DataFrame:
+    """A row a label with the plain row's values, those of its row with fallback (`value combined`), and what each gained; labels without a plain row are left out, and one without fallback has nulls."""
+    pick = lambda k, v: F.max(F.when(F.col(kind) == k, F.col(v)))
+    wide = rows.groupBy(label).agg(F.bool_or(F.col(kind) == plain).alias("_plain"), *[pick(plain, v).alias(v) for v in values], *[pick(combined, v).alias(f"{v}_combined") for v in values]).filter("_plain")
+    return wide.select(label, *values, *[f"{v}_combined" for v in values], *[(F.col(f"{v}_combined") - F.col(v)).alias(f"{v}_gain") for v in values])
+
+
+def matrix(rows: DataFrame, row: str, column: str, columns: list, value: str) -> DataFrame:
+    """A row for each prompt and a column for each of the given settings, null where there is no point."""
+    return rows.groupBy(row).pivot(column, columns).agg(F.max(value))
+
+
+def interval(files: DataFrame, steps: DataFrame, key: str, step: str, most: int = 10) -> DataFrame:
+    """One row, step_interval: of the first `most` files in order of key the first one with steps gives the difference of its two least, or its only one; null if none has any."""
+    first = files.select(key).distinct().orderBy(F.asc_nulls_last(key)).limit(most)
+    least = steps.join(first, key, "left_semi").groupBy(key, step).agg(F.count("*").alias("_n"))
+    # The two least with their repeats: a file that has its least step twice has an interval of 0.
+    two = least.groupBy(key).agg(F.min(step).alias("_a"), F.count("*").alias("_distinct"), F.sum("_n").alias("_all"), F.min_by("_n", step).alias("_times"))
+    second = least.join(two.select(F.col(key).alias("_k"), "_a"), F.col(key) == F.col("_k")).filter(F.col(step) > F.col("_a")).groupBy(key).agg(F.min(step).alias("_b"))
+    found = F.when(F.col("_all") == 1, F.col("_a")).when(F.col("_times") > 1, F.col("_a") - F.col("_a")).otherwise(F.col("_b") - F.col("_a"))
+    return two.join(second, key, "left").agg(F.min_by(found, key).alias("step_interval"))
+
+
 def best_variant(points: DataFrame, by: str, value: str, cost: str, name: str) -> DataFrame:
     """The variant of most value, then least cost, then greatest name."""
     top = F.max_by(F.struct(F.col(name).alias("n"), F.col(value).alias("v"), F.col(cost).alias("c")), F.struct(F.col(value), -F.col(cost), F.col(name)))

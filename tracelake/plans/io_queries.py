@@ -285,6 +285,19 @@ def k15_json_rows(spark, sf_dir):
     return sinks.json_rows(table(spark, sf_dir, "customer").select("c_custkey", "c_mktsegment"))
 
 
+@query("""SELECT 'at hand' AS copy, page_id % 2 AS model, count(*) FILTER (page_id % 3 = 0) AS localized, count(*) AS n, round(100 * count(*) FILTER (page_id % 3 = 0) / count(*), 6) AS pct FROM pages WHERE page_id % 5 <> 0 GROUP BY page_id % 2
+UNION ALL SELECT DISTINCT 'missing', page_id % 2, 0, 0, NULL FROM pages""")
+def s12_gold_patches(spark, sf_dir):
+    """Patches that touch the gold file for every third page, of which four fifths have gold patches; and the same where the data set's copy is missing."""
+    path, p = scratch.folder(spark, "gold"), table(spark, sf_dir, "pages")
+    diff = lambda f: F.concat(F.lit("diff --git a/"), f, F.lit(" b/"), f, F.lit("\n"))
+    file = F.concat(F.lit("src/f"), F.col("page_id").cast("string"), F.lit(".py"))
+    p.filter("page_id % 5 <> 0").select(F.col("page_id").cast("string").alias("instance_id"), diff(file).alias("patch"), "url").write.parquet(path)
+    made = p.select(F.col("page_id").cast("string").alias("instance_id"), (F.col("page_id") % 2).alias("model"), F.when(F.col("page_id") % 3 == 0, diff(file)).otherwise(diff(F.concat(file, F.lit("x")))).alias("model_patch"))
+    rates = lambda name, at: R.localization_rates(made, readers.gold_patches(spark, at), ["model"]).select(F.lit(name).alias("copy"), "model", "localized", "n", F.round("pct", 6).alias("pct"))
+    return rates("at hand", path).unionByName(rates("missing", f"{path}-none"))
+
+
 @query("SELECT doc_id, quality FROM labels WHERE doc_id % 3 <> 0")
 def x2_missing(spark, sf_dir):
     """What a first part has not done."""

@@ -28,7 +28,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def _load() -> None:
-    from tracelake.plans import conversation_queries, io_queries, metric_queries, run_queries, shaping_queries, state_queries, summary_queries, text_queries  # noqa: F401
+    from tracelake.plans import conversation_queries, io_queries, metric_queries, prompt_queries, run_queries, shaping_queries, state_queries, summary_queries, text_queries  # noqa: F401
 
 
 def queries() -> dict[str, Query]:

@@ -76,6 +76,48 @@ def a37_limit_reached(spark, sf_dir):
     return r.filter((F.col("spent") > 50_000_000) & (F.col("spent") - F.col("cost") <= 50_000_000)).select("instance", "run", "spent")
 
 
+_BOTH = f"""{_COMBINED.rsplit("SELECT instance,", 1)[0]}, c AS (SELECT instance,{_COMBINED.rsplit("SELECT instance,", 1)[1]}), parts AS (SELECT instance, resolved, steps, cost, 'critic' AS kind FROM j UNION ALL SELECT instance, resolved, steps, cost, 'critic + base' FROM c)"""
+
+
+def _parts(spark, sf_dir):
+    """Runs by tens of instances in the order of a registry: each its own, then with the base run's result."""
+    critic, base = _sides(spark, sf_dir)
+    both = {"critic": critic, "critic + base": R.with_fallback(critic, base)}
+    return [(f"setting {k}", kind, rows.filter(F.col("instance") % 3 == k)) for k in (2, 0, 1) for kind, rows in both.items()]
+
+
+def _totals(runs):
+    return runs.agg(F.count_if("resolved").alias("resolved"), F.sum("steps").alias("steps"), F.sum("cost").alias("cost"))
+
+
+@query(f"""WITH {_BOTH} SELECT CAST(CASE instance % 3 WHEN 2 THEN 0 WHEN 0 THEN 2 ELSE 4 END + CASE WHEN kind = 'critic' THEN 0 ELSE 1 END AS INTEGER) AS at, 'setting ' || instance % 3 AS label, kind, count(*) FILTER (resolved) AS resolved, CAST(sum(steps) AS BIGINT) AS steps, CAST(sum(cost) AS BIGINT) AS cost FROM parts GROUP BY ALL""")
+def u5_registry_order(spark, sf_dir):
+    """Plain rows and rows with fallback of each setting, with their places in the registry."""
+    return R.stacked(_parts(spark, sf_dir), _totals)
+
+
+@query(f"""WITH {_BOTH}, t AS (SELECT 'setting ' || instance % 3 AS label, kind, count(*) FILTER (resolved) AS resolved, CAST(sum(cost) AS BIGINT) AS cost FROM parts GROUP BY ALL)
+SELECT a.label, a.resolved, a.cost, b.resolved AS resolved_combined, b.cost AS cost_combined, b.resolved - a.resolved AS resolved_gain, b.cost - a.cost AS cost_gain FROM t a JOIN t b ON b.label = a.label AND a.kind = 'critic' AND b.kind <> 'critic'""")
+def j21_paired_rows(spark, sf_dir):
+    return R.paired(R.stacked(_parts(spark, sf_dir), _totals), "label", "kind", "critic", "critic + base", ["resolved", "cost"])
+
+
+@query(f"""WITH {_RUNS} SELECT exit_status AS prompt, NULL AS "0", count(*) FILTER (resolved AND run % 3 = 1) AS "1", count(*) FILTER (resolved AND run % 3 = 2) AS "2" FROM runs WHERE exit_status = 'Submitted' GROUP BY exit_status
+UNION ALL SELECT exit_status, count(*) FILTER (resolved AND run % 3 = 0), NULL, NULL FROM runs WHERE exit_status <> 'Submitted' GROUP BY exit_status""")
+def j21_matrix(spark, sf_dir):
+    """Prompts by settings; runs that reached their limit are all of one setting."""
+    points = _runs(spark, sf_dir).groupBy(F.col("exit_status").alias("prompt"), (F.col("run") % 3).alias("k")).agg(F.count_if("resolved").alias("resolved"))
+    return R.matrix(points, "prompt", "k", [0, 1, 2], "resolved")
+
+
+@query("""WITH f AS (SELECT DISTINCT user_id FROM events ORDER BY user_id LIMIT 10), s AS (SELECT user_id, list_sort(list(event_id)) AS x FROM events WHERE user_id % 4 = 3 AND user_id IN (SELECT user_id FROM f) GROUP BY user_id)
+SELECT CASE WHEN len(x) > 1 THEN x[2] - x[1] ELSE x[1] END AS step_interval FROM s ORDER BY user_id LIMIT 1""")
+def a36_first_files(spark, sf_dir):
+    """The first of ten files that has steps tells the interval; three of four have none."""
+    e = table(spark, sf_dir, "events")
+    return R.interval(e.select("user_id"), e.filter("user_id % 4 = 3").select("user_id", "event_id"), "user_id", "event_id")
+
+
 @query("SELECT user_id, CASE WHEN len(x) > 1 THEN x[2] - x[1] ELSE x[1] END AS step_interval FROM (SELECT user_id, list_sort(list(DISTINCT event_id)) AS x FROM events GROUP BY user_id)")
 def a36_interval(spark, sf_dir):
     """Difference of the two least steps, or the only one: two minima, not a sorted list."""

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from tracelake.functions import text as T
 from tracelake.functions.similarity import bleu_rouge, cosine
+from tracelake.operators import metrics as M
 from tracelake.plans.registry import query, table
 
 _STRIP = r"regexp_replace({x}, '^\s+|\s+$', '', 'g')"
@@ -181,3 +182,21 @@ def m3_rouge(spark, sf_dir):
     """ROUGE-1 and ROUGE-2 of neighbours, words cut to three letters, which no stemmer changes."""
     short = F.array_join(F.transform(F.regexp_extract_all(F.lower(F.coalesce("text", F.lit(""))), F.lit("[a-z0-9]+"), F.lit(0)), lambda x: F.left(x, F.lit(3))), " ")
     return _pairs(spark, sf_dir, short).select("doc_id", *[F.round(f"s.{r}", 6).alias(r) for r in ("rouge1", "rouge2")])
+
+
+_MEANS = _GRAMS.format(words=r"list_filter(regexp_split_to_array(CASE WHEN doc_id % 6 = 1 THEN '  ' ELSE coalesce(text, '') END, '\s+'), lambda x: x <> '')") + """,
+s AS (SELECT doc_id, la, lb, sum(hit) FILTER (n = 1) AS one, ln(greatest(sum(hit) FILTER (n = 1), 0.1) / any_value(lb)) AS l1, sum(ln(greatest(hit, 0.1) / greatest(1, lb - n + 1))) AS l4 FROM f WHERE la > 0 AND lb > 0 GROUP BY ALL),
+b AS (SELECT doc_id, CASE WHEN one > 0 THEN least(1, exp(1 - la / lb)) * exp(l1) ELSE 0 END AS bleu1, CASE WHEN one > 0 THEN least(1, exp(1 - la / lb)) * exp(l4 / 4) ELSE 0 END AS bleu4 FROM s),
+p AS (SELECT doc_id, any_value(lb) = 0 AS blank FROM f GROUP BY doc_id),
+j AS (SELECT blank, coalesce(bleu1, 0) AS bleu1, coalesce(bleu4, 0) AS bleu4 FROM p LEFT JOIN b USING (doc_id))"""
+
+
+@query(_MEANS + """ SELECT 'counted' AS blank, count(*) AS n, round(avg(bleu1), 6) AS bleu1, round(avg(bleu4), 6) AS bleu4 FROM j UNION ALL SELECT 'skipped', count(*), round(avg(bleu1), 6), round(avg(bleu4), 6) FROM j WHERE NOT blank""")
+def a22_corpus_means(spark, sf_dir):
+    """Mean BLEU of neighbours, every sixth of which is blank: counted as 0, and left out."""
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    d = _docs(spark, sf_dir).select("doc_id", F.when(F.col("doc_id") % 6 == 1, "  ").otherwise(F.col("text")).alias("text"))
+    n = d.select((F.col("doc_id") - 1).alias("doc_id"), F.col("text").alias("next")).repartition(parts, "doc_id")
+    scored = d.repartition(parts, "doc_id").join(n, "doc_id").select("next", bleu_rouge(F.col("text"), F.col("next")).alias("s")).select("next", "s.bleu1", "s.bleu4")
+    means = [M.corpus_means(scored, [], ["bleu1", "bleu4"], "next", how).withColumn("blank", F.lit(how)) for how in ("counted", "skipped")]
+    return means[0].unionByName(means[1]).select("blank", "n", *[F.round(c, 6).alias(c) for c in ("bleu1", "bleu4")])

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -91,6 +92,20 @@ def predictions(spark: SparkSession, path: str) -> DataFrame:
     return m.select(F.col("k").alias("instance_id"), F.col("v.model_name_or_path").alias("model_name"), "v.model_patch")
 
 
+def gold_patches(spark: SparkSession, path: str, key: str = "instance_id", patch: str = "patch") -> DataFrame:
+    """instance_id and gold_patch of a data set's local copy in Parquet, one row an instance. A copy that is missing, is no Parquet or has no such columns gives no rows, so that what is measured by it is not available instead of wrong."""
+    none = spark.createDataFrame([], "instance_id string, gold_patch string")
+    if not _exists(spark, path):
+        return none
+    try:
+        rows = spark.read.parquet(path)
+    except AnalysisException:
+        return none
+    if not {key, patch} <= set(rows.columns):
+        return none
+    return rows.filter(F.col(key).isNotNull()).groupBy(F.col(key).cast("string").alias("instance_id")).agg(F.max(patch).alias("gold_patch"))
+
+
 def lines(spark: SparkSession, path: str) -> DataFrame:
     """path, line_no (from 0 within its file) and line of text files of any size: lines are numbered within the splits in which they are read, then by the counts of the splits before."""
     split = ["path", "_start"]
