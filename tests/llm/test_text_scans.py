@@ -226,13 +226,35 @@ def test_audio_round_trip(spark, rows):
 def test_resampling():
     rng = np.random.default_rng(4)
     x = rng.integers(-32768, 32768, 577).astype(np.int16)
-    for rate in (16_000, 6_000, 8_000, 11_025, 48_000):
-        got = telephony_audio.resampled(x, rate)
+    for rate in (16_000, 8_000, 11_025, 48_000, 6_000, 4_000):
+        got, of = telephony_audio.resampled(x, rate), telephony_audio.lowpassed(x, rate / 8000) if rate < 8000 else x
         at = np.arange(len(got)) * 8000 / rate
-        assert len(got) == math.ceil(len(x) * rate / 8000) and np.abs(got - np.interp(at, np.arange(len(x)), x)).max() < 1
+        assert len(got) == math.ceil(len(x) * rate / 8000) and np.abs(got - np.interp(at, np.arange(len(x)), of)).max() < 1
     assert telephony_audio.resampled(x, 8000).tolist() == x.tolist()
 
 
+def test_low_pass_keeps_what_lies_below():
+    t = np.arange(8000) / 8000
+    tone = lambda f: np.rint(10_000 * np.sin(2 * np.pi * f * t)).astype(np.int16)
+    loud = lambda x: np.sqrt(np.square(x[500:-500].astype(float)).mean())
+    assert loud(telephony_audio.lowpassed(tone(500), 0.5)) == pytest.approx(loud(tone(500)), rel=0.01)
+    assert loud(telephony_audio.lowpassed(tone(3500), 0.5)) < 0.01 * loud(tone(3500))
+    assert loud(telephony_audio.resampled(tone(3500), 4000)) < 0.01 * loud(tone(3500))  # does not come back as a lower tone
+
+
+def test_packed_pcm_loses_nothing():
+    rng = np.random.default_rng(5)
+    signal = telephony_audio.MULAW[rng.integers(0, 256, 577)]
+    double = telephony_audio.resampled(signal, 16_000)
+    changed = double.copy()
+    changed[1::2] += rng.integers(-40_000, 40_000, len(changed[1::2])).astype(np.int16)
+    for pcm in (double, double[:-1], double[:1], changed, signal, rng.integers(-32768, 32768, 301).astype(np.int16), np.zeros(0, np.int16)):
+        assert telephony_audio.unpacked(telephony_audio.packed(pcm)).tolist() == pcm.tolist()
+    assert len(telephony_audio.packed(double)) == 9 + 577
+    with pytest.raises(ValueError):
+        telephony_audio.unpacked(b"Q" + bytes(20))
+
+
 def test_pcm_of_odd_files(spark):
     assert telephony_audio.pcm(spark.createDataFrame([(1, None)], telephony_audio.MEDIA.replace("n_bytes long, ", ""))).first()["pcm"] is None
     with pytest.raises(Exception, match="not a WAVE file"):
