@@ -77,6 +77,24 @@ def test_sample_set_round_trip(spark, run_dir, tmp_path):
     assert parts.columns == ["section", "role", "count", "pos"]
 
 
+def test_counters_come_from_the_write(spark, tmp_path):
+    """The samples are computed once, however many counters are asked for, and one that raises leaves no set."""
+    seen = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for b in batches:
+            seen.add(b.num_rows)
+            yield b
+
+    rows = spark.range(0, 50, 1, 3).select("id", F.when(F.col("id") % 5 != 0, F.col("id") < 40).alias("is_train"), F.array(F.struct(F.lit("user").alias("role"), F.col("id").cast("string").alias("content"))).alias("messages"))
+    counts = sinks.sample_set(rows.mapInArrow(counted, rows.schema), str(tmp_path / "out"), ["id"], counters={"longest": F.max(F.length(F.get("messages", 0)["content"])), "odd": F.count_if(F.col("id") % 2 == 1)})
+    assert seen.value == 50 and counts == {"train": 32, "val": 18, "longest": 2, "odd": 25}
+    train = [r["messages"][0]["content"] for f in sorted((tmp_path / "out/sft_train").glob("*.json")) for r in map(json.loads, f.read_text().splitlines())]
+    assert train == [str(k) for k in range(40) if k % 5]
+    assert sinks.sample_set(rows.filter("false"), str(tmp_path / "none"), ["id"]) == {"train": 0, "val": 0}
+    assert set(json.loads((tmp_path / "none/dataset_info.json").read_text())) == {"sft_train"}
+
+
 def test_growing_folder_resumes(spark, tmp_path):
     folder, seen = tmp_path / "in", []
     folder.mkdir()

@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 from tracelake.functions.text import strip
 from tracelake.operators.ranking import quantiles, ranked
-from tracelake.operators.runs import small
 
 
 def rate(a: Column, b: Column) -> Column:
@@ -34,10 +33,11 @@ def with_rates(counts: DataFrame) -> DataFrame:
 
 def macro(rates: DataFrame, categories: DataFrame, by: list[str], category: str) -> DataFrame:
     """Means over all categories; one without support counts as 0."""
-    n = categories.select(category).distinct().count()
+    n = categories.agg(F.count_distinct(category).alias("_n"))  # one row
     known = rates.join(categories.select(category), category, "left_semi")
-    means = [(F.coalesce(F.sum(m), F.lit(0.0)) / n).alias(f"macro_{m}") for m in ("precision", "recall", "f1", "fpr")]
-    return rates.select(*by).distinct().join(known, by, "left").groupBy(*by).agg(*means)
+    names = ("precision", "recall", "f1", "fpr")
+    sums = rates.select(*by).distinct().join(known, by, "left").groupBy(*by).agg(*[F.coalesce(F.sum(m), F.lit(0.0)).alias(m) for m in names])
+    return sums.crossJoin(F.broadcast(n)).select(*by, *[(F.col(m) / F.col("_n")).alias(f"macro_{m}") for m in names])
 
 
 def normalized_matrix(pairs: DataFrame, truth: str, predicted: str, codes: tuple[int, ...] = (0, 1, 2)) -> DataFrame:
@@ -82,10 +82,16 @@ def corpus_means(scored: DataFrame, by: list[str], scores: list[str], response:
     return scored.groupBy(*by).agg((F.count("*") if blank == "counted" else F.count_if(~is_blank)).alias("n"), *[mean(c).alias(c) for c in scores])
 
 
+#: Buckets of a report at most; more raise.
+MOST_EDGES = 10_000
+
+
 def bucketed(rows: DataFrame, x: str, edges: DataFrame) -> DataFrame:
-    """Rows with the bucket (label, lo, hi) that holds x, lo <= x < hi, null edges open. The edges are a small dimension."""
-    inside = (F.col("lo").isNull() | (F.col(x) >= F.col("lo"))) & (F.col("hi").isNull() | (F.col(x) < F.col("hi")))
-    return rows.join(small(edges), inside)
+    """Rows with the bucket (label, lo, hi) that holds x, lo <= x < hi, null edges open. The edges are a report's, MOST_EDGES at most: they go to the tasks as one row, checked as it is made."""
+    held = edges.agg(F.collect_list(F.struct(*edges.columns)).alias("_edges"))
+    held = held.select(F.when(F.size("_edges") <= MOST_EDGES, F.col("_edges")).otherwise(F.raise_error(F.lit(f"over {MOST_EDGES} buckets"))).alias("_edges"))
+    inside = lambda e: (e["lo"].isNull() | (F.col(x) >= e["lo"])) & (e["hi"].isNull() | (F.col(x) < e["hi"]))
+    return rows.crossJoin(F.broadcast(held)).select(*rows.columns, F.explode(F.filter("_edges", inside)).alias("_e")).select(*rows.columns, "_e.*")
 
 
 def bucket_means(rows: DataFrame, x: str, edges: DataFrame, values: list[str]) -> DataFrame:

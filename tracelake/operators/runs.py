@@ -11,20 +11,15 @@ from tracelake.functions.text import files_in_patch, strip
 from tracelake.operators.ranking import numbered, running
 
 SUBMITTED = "Submitted"
-#: A dimension side is broadcast up to so many rows, which the caller's table has been counted for.
-SMALL_ROWS = 100_000
-
-
-def small(dimension: DataFrame) -> DataFrame:
-    """A broadcast hint for a dimension that is small by count, else the table as it is."""
-    return F.broadcast(dimension) if dimension.limit(SMALL_ROWS + 1).count() <= SMALL_ROWS else dimension
-
-
 def priced(calls: DataFrame, prices: DataFrame, run: str, model: str, tokens_in: str, tokens_out: str, stored: str) -> DataFrame:
-    """Cost per run from token counts and its model's rates; without a rate the stored cost, else 0. prices: (model, rate_in, rate_out)."""
-    c = calls.join(small(prices), model, "left")
-    spent = F.coalesce(F.col(tokens_in), F.lit(0)) * F.col("rate_in") + F.coalesce(F.col(tokens_out), F.lit(0)) * F.col("rate_out")
-    return c.groupBy(run).agg(F.bool_or(F.col("rate_in").isNotNull()).alias("is_priced"), F.sum(spent).alias("_spent"), F.max(stored).alias("_stored")).select(run, "is_priced", F.when(F.col("is_priced"), F.coalesce("_spent", F.lit(0.0))).otherwise(F.coalesce("_stored", F.lit(0.0))).alias("cost"))
+    """Cost per run from token counts and its model's rates; without a rate the stored cost, else 0. prices: (model, rate_in, rate_out), one row a model.
+
+    Tokens are added up by run and model first, so that only a row for each of these meets the prices.
+    """
+    total = lambda c: F.sum(F.coalesce(F.col(c), F.lit(0)))
+    used = calls.groupBy(run, model).agg(total(tokens_in).alias("_in"), total(tokens_out).alias("_out"), F.max(stored).alias("_stored"))
+    c = used.join(prices, model, "left").groupBy(run).agg(F.bool_or(F.col("rate_in").isNotNull()).alias("is_priced"), F.sum(F.col("_in") * F.col("rate_in") + F.col("_out") * F.col("rate_out")).alias("_spent"), F.max("_stored").alias("_stored"))
+    return c.select(run, "is_priced", F.when(F.col("is_priced"), F.coalesce("_spent", F.lit(0.0))).otherwise(F.coalesce("_stored", F.lit(0.0))).alias("cost"))
 
 
 def critic_priced(runs: DataFrame, entries: DataFrame, prices: DataFrame, run: str) -> DataFrame:
@@ -34,7 +29,7 @@ def critic_priced(runs: DataFrame, entries: DataFrame, prices: DataFrame, run: s
     """
     u_in, u_out = F.col("usage.prompt_tokens"), F.col("usage.completion_tokens")
     used = entries.groupBy(run).agg(F.bool_or(u_in.isNotNull() | u_out.isNotNull()).alias("_used"), F.coalesce(F.sum(u_in), F.lit(0)).alias("_in"), F.coalesce(F.sum(u_out), F.lit(0)).alias("_out"))
-    j = runs.join(small(prices), "model", "left").join(used, run, "left")
+    j = runs.join(prices, "model", "left").join(used, run, "left")
     recomputed = F.col("rate_in").isNotNull() & F.coalesce("_used", F.lit(False))
     cost = F.when(recomputed, F.col("_in") * F.col("rate_in") + F.col("_out") * F.col("rate_out")).otherwise(F.coalesce("stored", F.lit(0.0)))
     return j.select(run, recomputed.alias("is_priced"), cost.alias("cost"))

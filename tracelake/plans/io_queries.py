@@ -117,6 +117,16 @@ def k1_sample_set(spark, sf_dir):
     return out
 
 
+@query(f"""WITH {_SET} SELECT count(*) FILTER (is_train) AS train, count(*) FILTER (NOT is_train) AS val, CAST(sum(length(messages[2].content) // 4) AS BIGINT) AS tokens, count(*) FILTER (messages[3].content = '1') AS toxic, max(length(messages[2].content)) AS longest FROM s""")
+def a35_counters_of_the_write(spark, sf_dir):
+    """A sample set and its sidecar of counters, all from the job that writes the samples."""
+    path = scratch.folder(spark, "set")
+    said = F.get("messages", 1)["content"]
+    counters = {"tokens": F.sum(F.expr("length(messages[1].content) div 4")), "toxic": F.count_if(F.get("messages", 2)["content"] == "1"), "longest": F.max(F.length(said))}
+    sinks.metadata(spark, f"{path}/metadata.json", **sinks.sample_set(_samples(spark, sf_dir), path, ["doc_id"], counters=counters))
+    return spark.read.schema("train long, val long, tokens long, toxic long, longest long").option("multiLine", True).json(f"{path}/metadata.json")
+
+
 @query("SELECT (SELECT count(*) FROM labels) AS n, (SELECT CAST(sum(toxic) AS BIGINT) FROM labels) AS toxic, string_agg(CAST(doc_id AS VARCHAR), ',' ORDER BY doc_id) AS first_ids FROM (SELECT doc_id FROM labels ORDER BY doc_id LIMIT 5)")
 def k3_metadata(spark, sf_dir):
     """K3, K5, K6: counters and the first sorted ids in a sidecar, which a second one replaces."""

@@ -9,9 +9,11 @@ from collections.abc import Iterator
 import pyarrow as pa
 from py4j.protocol import Py4JJavaError
 from pyarrow import fs
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
+from tracelake.sources.scratch import folder
+
 
 def write_text(spark: SparkSession, path: str, text: str, replace: bool = True) -> None:
     """A small file from the driver, through the file system of its path. It replaces an older one at once, so that readers find either; without replace one that is there raises FileExistsError."""
@@ -35,19 +37,40 @@ def write_text(spark: SparkSession, path: str, text: str, replace: bool = True)
         raise
 
 
-def sample_set(samples: DataFrame, path: str, order: list[str], split: str = "is_train") -> dict[str, int]:
-    """K1, K2: train and val folders of JSON lines in order, and dataset_info.json; val only if it has rows. Returns the counts.
+_TAGS = {"role_tag": "role", "content_tag": "content", "user_tag": "user", "assistant_tag": "assistant", "system_tag": "system"}
+
+
+def counted_write(rows: DataFrame, path: str, counters: dict[str, Column], **options: object) -> dict[str, object]:
+    """Rows as Parquet, and counters of them (aggregates) from the write itself, so that what they come from is computed once."""
+    seen = Observation()
+    rows.observe(seen, F.count("*").alias("rows"), *[c.alias(n) for n, c in counters.items()]).write.options(**options).parquet(path)
+    return seen.get
+
+
+def sample_set(samples: DataFrame, path: str, order: list[str], split: str = "is_train", counters: dict[str, Column] | None = None) -> dict[str, object]:
+    """K1, K2: train and val folders of JSON lines in order, and dataset_info.json; val only if it has rows. Returns the counts train and val, and those of `counters`, aggregates over the samples.
 
-    Each task writes its range of the order as a file; the files' names keep the order.
+    The samples are computed once: one job writes them to the shared folder and counts what it writes. From
+    there each task writes its range of the order as a file; the files' names keep the order. Both
+    folders come into view with dataset_info.json, which is written last.
     """
-    counts = {r[split]: r["count"] for r in samples.groupBy(split).count().collect()}
+    spark = samples.sparkSession
+    held = folder(spark, "samples")
+    flag = F.coalesce(F.col(split), F.lit(False))
+    counts = counted_write(samples.select("messages", split, *[c for c in order if c != split], *_extra(samples, order, split, counters)), held, {"train": F.count_if(flag), "val": F.count_if(~flag)} | (counters or {}))
     info = {}
-    for name, flag in (("train", True), ("val", False)):
-        if name == "train" or counts.get(flag):
-            samples.filter(F.col(split) == flag).orderBy(*order).select("messages").write.mode("overwrite").json(f"{path}/sft_{name}")
-            info[f"sft_{name}"] = {"file_name": f"sft_{name}", "formatting": "sharegpt", "columns": {"messages": "messages"}, "tags": {"role_tag": "role", "content_tag": "content", "user_tag": "user", "assistant_tag": "assistant", "system_tag": "system"}}
-    write_text(samples.sparkSession, f"{path}/dataset_info.json", json.dumps(info, indent=2))
-    return {"train": counts.get(True, 0), "val": counts.get(False, 0)}
+    for name, wanted in (("train", True), ("val", False)):
+        if name == "train" or counts["val"]:
+            part = spark.read.schema(samples.select("messages", split, *[c for c in order if c != split]).schema).parquet(held).filter(F.coalesce(F.col(split), F.lit(False)) == wanted)
+            part.orderBy(*order).select("messages").write.mode("overwrite").json(f"{path}/sft_{name}")
+            info[f"sft_{name}"] = {"file_name": f"sft_{name}", "formatting": "sharegpt", "columns": {"messages": "messages"}, "tags": _TAGS}
+    write_text(spark, f"{path}/dataset_info.json", json.dumps(info, indent=2))
+    return {k: v for k, v in counts.items() if k != "rows"}
+
+
+def _extra(samples: DataFrame, order: list[str], split: str, counters: dict | None) -> list[str]:
+    """Columns that only counters read."""
+    return [c for c in samples.columns if c not in ("messages", split, *order)] if counters else []
 
 
 def metadata(spark: SparkSession, path: str, **facts: object) -> None:
