@@ -481,6 +481,40 @@ def test_toxicity_holds_out(spark):
     assert {r["score"] for r in toxicity.score(docs, nothing).collect()} == {0.5}
 
 
+def test_toxicity_reads_characters(monkeypatch):
+    same = lambda a, b: toxicity.features(a).tolist() == toxicity.features(b).tolist()
+    assert same("ПРИВЕТ Ärger STRASSE", "привет ärger straße") and same("a-b,  c!", "A b c") and not same("дурак", "дурок")
+    assert len(toxicity.features("дурак")) == sum(5 + 2 - n + 1 for n in toxicity.SIZES)  # places of 7 characters, not of bytes
+    rng = random.Random(2)
+    texts = [words(rng, 400), "", "x", words(rng, 3) + "дурак 中文字 😀", words(rng, 90)]
+    whole = [toxicity.features(t).tolist() for t in texts]
+    model = toxicity.Model(np.array(sorted({b for w in whole for b in w[::3]}), np.int32), np.zeros(0), 0.25)
+    model = model._replace(weights=np.random.default_rng(1).standard_normal(len(model.buckets)))
+    table, weight = toxicity._table(model), dict(zip(model.buckets.tolist(), model.weights))
+    want = [0.25 + sum(weight.get(b, 0) for b in w) for w in whole]
+    for window in (1 << 18, 700, 64):
+        monkeypatch.setattr(toxicity, "WINDOW", window)
+        assert [toxicity.features(t).tolist() for t in texts] == whole
+        assert np.allclose(toxicity.logits(model, table, texts), want)
+
+
+def test_toxicity_of_a_very_long_text(tmp_path):
+    """16 million characters under a limit of address space."""
+    import subprocess
+    import sys
+
+    code = """
+import resource, numpy as np
+from tracelake.llm import toxicity as T
+text = "the quick brown fox " * 800_000 + "dreadful moron"
+resource.setrlimit(resource.RLIMIT_AS, (1_500_000_000,) * 2)
+found = T.features(text)
+model = T.Model(found, np.ones(len(found)), 0.0)
+assert T.logits(model, T._table(model), [text, ""])[0] == len(found) > 100
+"""
+    subprocess.run([sys.executable, "-c", code], check=True, timeout=300)
+
+
 def test_pages(spark):
     page = "<html><head><title>t</title></head><body><nav><ul><li><a href='/x'>Home</a></li></ul></nav><div class='ad'>Buy now</div><article><h1>Ti&amp;tle</h1><p>First <b>bold</b>\n text, and more of it.<p>Second&nbsp;one<br>goes on.</p><script>var t='</p>';</script><div class='comments'><p>Great post thanks</p></div></article><footer>&copy; me</footer>"
     rows = [(1, "u", page), (2, None, None), (None, "v", ""), (1, "u", page)]

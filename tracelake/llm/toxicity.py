@@ -1,9 +1,10 @@
 """Toxicity: a linear classifier over character n-grams scaled by naive Bayes log-count ratios.
 
-A text's features are the distinct n-grams of its lower-case letters, hashed into buckets. On a
-bounded sample of labelled rows, each bucket's ratio r = log((pos + a) / (P + 2 a)) - log((neg + a) /
-(N + 2 a)) is counted in Spark, pos and neg the toxic and other rows that hold it of P and N; the buckets that tell the classes apart best are kept, and a logistic
-regression is fitted on presence * r. Scoring looks every n-gram of a whole text up in one table.
+A text's features are the distinct n-grams of its characters (code points, case folded in every script;
+ASCII that is no letter is a space), hashed into buckets. On a bounded sample of labelled rows, each
+bucket's ratio r = log((pos + a) / (P + 2 a)) - log((neg + a) / (N + 2 a)) is counted in Spark, pos and neg
+the toxic and other rows that hold it of P and N; the buckets that tell the classes apart best are
+selected, and a logistic regression is fitted on presence * r. Scoring looks every n-gram of a whole text up in one table.
 """
 
 from __future__ import annotations
@@ -19,7 +20,7 @@ from pyspark.sql import functions as F
 
 from tracelake.llm.common import map_texts, materialize, remainder, slices, small_batches, tidied
 
-SIZES = (4, 5, 6)
+SIZES = (3, 4, 5, 6)
 BITS = 20
 #: At most so many labelled rows are learned from (the rows of smallest id hash), and so many buckets kept.
 SAMPLE = 16_000
@@ -31,9 +32,8 @@ L2 = 0.2
 ROUNDS = 300
 #: Bytes of text scored at once: the arrays of n-grams take some forty times as much.
 SCORED_BYTES = 1 << 19
-
-#: Lower case for A-Z; other ASCII that is no letter becomes a space.
-_LETTERS = bytes(c + 32 if 65 <= c <= 90 else c if 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
+#: Characters of one text that are hashed at once; a longer one goes in windows that overlap by the longest n-gram but one character.
+WINDOW = 1 << 18
 
 
 class Model(NamedTuple):
@@ -43,27 +43,41 @@ class Model(NamedTuple):
 
 
 def grams(data: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
-    """For each n, the bucket of the n-gram at each place of a byte array."""
-    wide = np.zeros(len(data), np.uint64)
-    done = 0
+    """For each n, the bucket of the n-gram at each place of an array of code points."""
+    hashes, done = np.zeros(len(data), np.uint64), 0
     for n in SIZES:
         m = len(data) - n + 1
         if m <= 0:
             return
         for k in range(done, n):
-            wide[:m] |= data[k : k + m].astype(np.uint64) << np.uint64(8 * k)
+            hashes[:m] = hashes[:m] * np.uint64(0x9E3779B97F4A7C15) + data[k : k + m] + np.uint64(1)
         done = n
-        yield n, ((wide[:m] * np.uint64(0x9E3779B97F4A7C15) + np.uint64(n)) * np.uint64(0xD6E8FEB86659FD93) >> np.uint64(64 - BITS)).astype(np.int32)
+        x = hashes[:m] ^ hashes[:m] >> np.uint64(29)
+        yield n, ((x + np.uint64(n)) * np.uint64(0xD6E8FEB86659FD93) >> np.uint64(64 - BITS)).astype(np.int32)
+
 
+def characters(text: str) -> np.ndarray:
+    """Code points of a text between two spaces: case folded, ASCII but letters as spaces, one for a run of them."""
+    data = np.frombuffer(f" {text.casefold()} ".encode("utf-32-le", "surrogatepass"), "<u4")
+    space = (data < 128) & ((data < 97) | (data > 122))
+    again = space.copy()
+    again[1:] &= space[:-1]
+    again[0] = False
+    return np.where(space, np.uint32(32), data)[~again]
 
-def _bytes(text: str) -> bytes:
-    return b" " + text.encode("utf-8", "surrogatepass").translate(_LETTERS) + b" "
+
+def windows(data: np.ndarray) -> Iterator[np.ndarray]:
+    """Parts of an array of code points that hold each of its n-grams whole, once or more."""
+    for k in range(0, max(len(data) - SIZES[-1] + 1, 1), WINDOW):
+        yield data[k : k + WINDOW + SIZES[-1] - 1]
 
 
 def features(text: str) -> np.ndarray:
     """Distinct buckets of a text, sorted."""
-    seen = [np.unique(b) for _, b in grams(np.frombuffer(_bytes(text), np.uint8))]
-    return np.unique(np.concatenate(seen)) if seen else np.zeros(0, np.int32)
+    seen = np.zeros(0, np.int32)
+    for part in windows(characters(text)):
+        seen = np.unique(np.concatenate([seen, *(b for _, b in grams(part))]))
+    return seen
 
 
 def fit(rows: list[np.ndarray], labels: np.ndarray, ratio: np.ndarray) -> tuple[np.ndarray, float]:
@@ -144,21 +158,35 @@ def train(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str
 
 def logits(model: Model, table: np.ndarray, texts: list[str]) -> np.ndarray:
     """Sum of the weights of each text's distinct kept buckets, and the bias. table: a bucket's place in the model or -1."""
-    raw = [_bytes(t) for t in texts]
-    data = np.frombuffer(b"".join(raw), np.uint8)
-    ends = np.cumsum([len(r) for r in raw])
-    hits = []
-    for n, bucket in grams(data):
-        place = table[bucket]
-        at = np.flatnonzero(place >= 0)
-        doc = np.searchsorted(ends, at, side="right")
-        inside = at + n <= ends[doc]
-        hits.append(doc[inside] * len(model.buckets) + place[at[inside]])
+    size = len(model.buckets)
+    once, held, docs = np.zeros(0, np.int64), [], []
+
+    def counted() -> np.ndarray:
+        """What was found so far, with the n-grams of the parts at hand that do not cross from one to the next."""
+        data, ends = np.concatenate(held), np.cumsum([len(x) for x in held])
+        of, hits = np.array(docs), [once]
+        for n, bucket in grams(data):
+            place = table[bucket]
+            at = np.flatnonzero(place >= 0)
+            part = np.searchsorted(ends, at, side="right")
+            inside = at + n <= ends[part]
+            hits.append(of[part[inside]] * size + place[at[inside]])
+        return np.unique(np.concatenate(hits))
+
+    room = WINDOW
+    for k, text in enumerate(texts):
+        for part in windows(characters(text)):
+            if held and len(part) > room:
+                once = counted()
+                held, docs, room = [], [], WINDOW
+            held.append(part)
+            docs.append(k)
+            room -= len(part)
+    if held:
+        once = counted()
     z = np.full(len(texts), model.bias)
-    if hits:
-        once = np.unique(np.concatenate(hits))
-        if len(once):
-            z += np.bincount(once // len(model.buckets), model.weights[once % len(model.buckets)], len(texts))
+    if len(once):
+        z += np.bincount(once // size, model.weights[once % size], len(texts))
     return z
 
 
@@ -178,8 +206,7 @@ def score(docs: DataFrame, model: Model, doc_id: str = "doc_id", text: str = "te
 
 
 def reject(docs: DataFrame, model: Model, text: str = "text", threshold: float = 0.5) -> DataFrame:
-    """The rows of docs, all columns, whose score is below the threshold. A null or empty text has the score of the bias; an empty table gives an empty one."""
-
+    """The rows of docs, all columns, whose score is below the threshold. A null or empty text has the score of the bias; repeated rows go or stay together; an empty table gives an empty one."""
     small_batches(docs.sparkSession)
     at = docs.columns.index(text)
 
