@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tracelake.operators import conversations as C
+from tracelake.operators import training_set
 from tracelake.sources import readers, sinks
 from tracelake.streaming import incremental
 
@@ -77,6 +78,19 @@ def test_sample_set_round_trip(spark, run_dir, tmp_path):
     assert parts.columns == ["section", "role", "count", "pos"]
 
 
+def test_training_set_from_end_to_end(spark, run_dir, tmp_path):
+    out = str(tmp_path / "set")
+    facts = training_set.build(spark, run_dir, out, layout="multiturn", train_ratio=0.5)
+    assert {k: facts[k] for k in ("errors", "filtered", "skipped", "denoised", "samples", "train", "val", "interval")} == {"errors": 1, "filtered": 0, "skipped": 0, "denoised": 1, "samples": 2, "train": 1, "val": 1, "interval": 4}
+    assert json.loads((tmp_path / "set/metadata.json").read_text()) == facts
+    got = {name: [tuple(m) for m in spark.read.json(f"{out}/sft_{name}").select("messages.role", "messages.content").collect()] for name in ("train", "val")}
+    assert got["train"] == [(["system", "user", "assistant", "user", "assistant"], ["s", "x\ny\nz", "```bash\nls\n```", "\n\nP", GOOD])]
+    assert got["val"] == [(["system", "assistant"], ["", GOOD])]  # what stands in the place of a system text is not one
+    assert [spark.read.text(f"{out}/{n}_ids").first()[0] for n in ("train", "val")] == ["a", "b"]
+    none = training_set.build(spark, run_dir, str(tmp_path / "none"), resolved=spark.createDataFrame([("q",)], "instance_id string"))
+    assert none["samples"] == 0 and none["filtered"] == 2 and not (tmp_path / "none/sft_train").exists()
+
+
 def test_counters_come_from_the_write(spark, tmp_path):
     """The samples are computed once, however many counters are asked for, and one that raises leaves no set."""
     seen = spark.sparkContext.accumulator(0)

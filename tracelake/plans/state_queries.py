@@ -5,10 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tracelake.operators import sequential
+from tracelake.operators import sequential, training_set
 from tracelake.plans import shaping_queries  # noqa: F401  its SQL of the loop is used here
+from tracelake.plans.conversation_queries import _SAMPLES, PROMPT
 from tracelake.plans.registry import ORACLES, query, table
-from tracelake.sources import scratch
+from tracelake.sources import scratch, sinks
 from tracelake.sources.keyed import KeyedTable
 from tracelake.streaming import incremental
 
@@ -84,3 +85,29 @@ def x4_supervised_stream(spark, sf_dir):
         rows = sequential.supervised_stream(stream, "label", "vec_id", "is_step", "embedding", 3, 0.1)
         rows.writeStream.option("checkpointLocation", f"{root}/progress").trigger(availableNow=True).start(f"{root}/out").awaitTermination()
     return spark.read.parquet(f"{root}/out").select("label", "vec_id", "steps", "asked", "suppressed", "active", "history")
+
+
+_SAID = "cx AS (SELECT conv_id, turn, role, CASE WHEN role = 'assistant' AND length(text) > 40 THEN text || ' DETECTED: No TASK_STATUS: On track' ELSE text END AS text FROM conversations WHERE conv_id % 10 <> 7 AND conv_id % 4 <> 1)"
+_CX = _SAMPLES.replace("FROM conversations WHERE role", "FROM cx WHERE role").replace("JOIN conversations c", "JOIN cx c").replace("WHERE length(text) > 40", "WHERE contains(text, 'TASK_STATUS')").replace("WITH sup", f"WITH {_SAID}, sup", 1)
+
+
+@query(_CX + """, k AS (SELECT conv_id, row_number() OVER (ORDER BY CAST(conv_id AS VARCHAR)) <= floor(count(*) OVER () * 0.8) AS is_train FROM (SELECT DISTINCT conv_id FROM m))
+SELECT is_train, count(DISTINCT conv_id || ':' || invocation) AS n_samples, count(*) AS n_messages, CAST(sum(length(content)) AS BIGINT) AS n_chars, count(DISTINCT conv_id) AS n_ids, (SELECT count(DISTINCT conv_id) FROM conversations WHERE conv_id % 10 = 7) AS errors, CAST((SELECT sum(length(content) // 4) FROM m) AS BIGINT) AS approximate_tokens FROM m JOIN k USING (conv_id) GROUP BY is_train""")
+def f1_training_set(spark, sf_dir):
+    """Run folders to a set with sidecars in one call: trajectories of ids of 7 modulo 10 are broken, of 1 modulo 4 not resolved."""
+    root, sup = scratch.folder(spark, "f1"), F.col("role") == "assistant"
+    content = F.when(sup & (F.length("text") > 40), F.concat("text", F.lit(" DETECTED: No TASK_STATUS: On track"))).otherwise(F.col("text"))
+    said = F.array_sort(F.collect_list(F.struct("turn", "role", content.alias("content"), sup.alias("_supervisor"))))
+    one = table(spark, sf_dir, "conversations").groupBy(F.col("conv_id").cast("string").alias("instance_id")).agg(said.alias("messages"))
+    text = F.to_json(F.struct("instance_id", "messages"))
+    sinks.trajectory_files(one.select(F.col("instance_id").alias("name"), F.when(F.col("instance_id") % 10 == 7, F.left(text, F.length(text) - 5)).otherwise(text).alias("text")), f"{root}/run")
+    facts = training_set.build(spark, f"{root}/run", f"{root}/set", PROMPT, one.filter("instance_id % 4 <> 1").select("instance_id"), "plain", 0.8)
+    out = None
+    for name in ("train", "val"):
+        if facts[name]:
+            messages = spark.read.json(f"{root}/set/sft_{name}").select(F.explode("messages").alias("m"))
+            ids = spark.read.text(f"{root}/set/{name}_ids").agg(F.count("*").alias("n_ids"))
+            part = messages.agg(F.count("*").alias("n_messages"), F.sum(F.length("m.content")).alias("n_chars")).crossJoin(F.broadcast(ids))
+            part = part.select(F.lit(name == "train").alias("is_train"), F.lit(facts[name]).alias("n_samples"), "n_messages", "n_chars", "n_ids", F.lit(facts["errors"]).alias("errors"), F.lit(facts["approximate_tokens"]).alias("approximate_tokens"))
+            out = part if out is None else out.unionByName(part)
+    return out
