@@ -54,6 +54,12 @@ FULL = "1. Task Specification Violations: DETECTED: Yes\n3. **Step Repetition:**
     (T.submission, "echo\nCOMPLETE_TASK_AND_SUBMIT_FINAL_OUTPUT", None),
     (T.touched_paths, "echo a > 'x.py' && cat y >> ./testbed/z 2>&1; ls 2>>/testbed/log", ["x.py", "testbed/z", "log"]),
     (T.touched_paths, """sed -i 's/a b/c/' x.py "/testbed/y z.py" | tee t; sed -i.bak -e s/a/b/ ./w && sed '3s/q/r/' /dev/null v""", ["x.py", "y z.py", "w", "v"]),
+    (T.touched_paths, "make >out.txt 2>&1; run &> 'a b.log' | sed 5,9s/x/y/ in.txt >>./more", ["out.txt", "a b.log", "in.txt", "more"]),
+    (T.touched_paths, "sed -f script.sed one two | cat three; sed -n p '>'", ["one", "two", "p", ">"]),
+    (T.status_line, "x\n**Task_Status**:\n - On track\nmore", "On track"),
+    (T.status_line, "TASK_STATUS: **Needs correction**", "Needs correction**"),
+    (T.status_line, "TASK_STATUS:::\n", None),
+    (T.status_line, "no status", None),
     (T.touched_paths, "grep -rn used file > /dev/null", []),
 ])
 def test_text(spark, f, text, want):

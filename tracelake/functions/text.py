@@ -19,8 +19,6 @@ AGENT_STARTS = ("```", "Let me", "I'll", "I need", "Now let", "Okay", "cd ", "ca
 # Path parts whose diff sections are noise, and the line that announces a submission.
 NOISE_PATHS = (r"\.venv(/|$)", r"venv(/|$)", r"__pycache__(/|$)", r"\.git(/|$)", r"\.pytest_cache(/|$)", r"\.mypy_cache(/|$)")
 SUBMIT_MARKERS = ("COMPLETE_TASK_AND_SUBMIT_FINAL_OUTPUT",)
-# Fixed value: a status line, however it is marked up.
-LOOSE_STATUS = r"(?i)TASK_STATUS[\*_\s:]*[\*_\s]*\s*[:\-]?\s*([^\n]+)"
 BASH_BLOCK = r"(?s)```bash\n(.*?)\n```"
 
 
@@ -198,38 +196,56 @@ def config_suffix(run: Column, marker: str = "_cwm_prm_") -> Column:
     return F.when(at > 0, F.substr(run, at + len(marker))).otherwise("-")
 
 
-# Where a redirection names its file, and what tells a substitution script from a file.
-REDIRECTION = r"(?:^|\s)(?:>>?|2>>?|&>>?)\s*([^\s;&|]+)"
-SUBSTITUTION = r"^(?:\d+(?:,\d+)?)?\s*s[^A-Za-z0-9]\S.*"
+def _script(word: Column) -> Column:
+    """Whether a word is a substitution for sed: behind an address of lines, if it has one, an s, a mark that is no letter or digit, and what it replaces."""
+    body = F.ltrim(F.ltrim(word, F.lit("0123456789,")))
+    mark, then = F.substr(body, F.lit(2), F.lit(1)), F.substr(body, F.lit(3), F.lit(1))
+    return F.startswith(body, F.lit("s")) & (F.length(body) > 2) & (F.upper(mark) == F.lower(mark)) & ~mark.between("0", "9") & (F.trim(then) != "")
 
 
-def _sed_operands(part: Column) -> Column:
-    """Files that the sed calls of one command name: a state for each word tells options and their arguments, the script, and files up to a pipe."""
-    kind = "struct<mode:int,skip:boolean,files:array<string>>"
-    words = F.regexp_extract_all(part, F.lit(r"""(?:'[^']*'|"[^"]*"|[^\s'"])+"""), F.lit(0))
-    words = F.transform(words, lambda w: F.regexp_replace(w, r"""'([^']*)'|"([^"]*)\"""", "$1$2"))
-    outside, options, files = 0, 1, 2
+#: A shell word's meaning follows from what stands before it: outside of sed, among its options, among its files.
+_OUTSIDE, _OPTIONS, _FILES = 0, 1, 2
+_WALK = "struct<mode:int,argument:boolean,target:boolean,paths:array<string>>"
 
-    def step(state: Column, w: Column) -> Column:
-        inside, is_option = state["mode"] == options, F.startswith(w, F.lit("-"))
-        goes_on = inside & (is_option | state["skip"])  # an option, or the argument of one
-        first = inside & ~is_option & ~state["skip"]
-        mode = F.when((w == "sed") & ~goes_on, options).when(goes_on, options).when(first | (state["mode"] == files), F.when(w == "|", outside).otherwise(files)).otherwise(state["mode"])
-        named = ((first & ~w.rlike(SUBSTITUTION)) | (state["mode"] == files)) & ~w.isin("", "|", "/dev/null", "sed")
-        return F.struct(mode.alias("mode"), (inside & is_option & w.isin("-i", "-e", "-f")).alias("skip"), F.concat(state["files"], F.when(named, F.array(w)).otherwise(F.array().cast("array<string>"))).alias("files")).cast(kind)
 
-    start = F.struct(F.lit(outside).alias("mode"), F.lit(False).alias("skip"), F.array().cast("array<string>").alias("files")).cast(kind)
-    return F.aggregate(words, start, step, lambda s: s["files"])
+def _walked(command: Column) -> Column:
+    """Files that one command writes to or gives to sed, in order of their words: one walk over the words.
+
+    A word that begins with `>` or `>>`, behind a 2 or & if there is one, redirects to the rest of it, or to the next
+    word where nothing is left; a target ends at ; & or |. Of sed, words with a dash are options, -i, -e and -f take
+    the next word, then a substitution is no file, and all that follows up to a bar is.
+    """
+    raw = F.regexp_extract_all(command, F.lit(r"""(?:'[^']*'|"[^"]*"|[^\s'"])+"""), F.lit(0))
+    plain = lambda w: F.regexp_replace(w, r"""'([^']*)'|"([^"]*)\"""", "$1$2")
+
+    def step(state: Column, word: Column) -> Column:
+        w = plain(word)
+        sign = F.when(F.substr(word, F.lit(1), F.lit(2)).isin("2>", "&>"), F.substr(word, F.lit(2))).otherwise(word)
+        redirects = F.startswith(sign, F.lit(">"))
+        rest = F.when(F.startswith(sign, F.lit(">>")), F.substr(sign, F.lit(3))).otherwise(F.substr(sign, F.lit(2)))
+        aside = redirects | state["target"]  # such a word says nothing to sed
+        target = F.get(F.split(F.when(state["target"], w).otherwise(plain(rest)), "[;&|]"), 0)
+        among, dash = state["mode"] == _OPTIONS, F.startswith(w, F.lit("-"))
+        stays = among & (dash | state["argument"])
+        first = among & ~stays
+        mode = F.when(aside, state["mode"]).when(stays | (w == "sed"), _OPTIONS).when(w == "|", _OUTSIDE).when(first, _FILES).otherwise(state["mode"])
+        operand = ((first & ~_script(w)) | (state["mode"] == _FILES)) & ~w.isin("|", "sed")
+        path = F.when(aside, F.when(redirects & (rest == ""), "").otherwise(target)).when(operand, w).otherwise("")
+        kept = F.when(path.isin("", "/dev/null"), F.array().cast("array<string>")).otherwise(F.array(path))
+        argument = F.when(aside, state["argument"]).otherwise(among & dash & w.isin("-i", "-e", "-f"))
+        return F.struct(mode.alias("mode"), argument.alias("argument"), (redirects & (rest == "")).alias("target"), F.concat(state["paths"], kept).alias("paths")).cast(_WALK)
+
+    start = F.struct(F.lit(_OUTSIDE).alias("mode"), F.lit(False).alias("argument"), F.lit(False).alias("target"), F.array().cast("array<string>").alias("paths")).cast(_WALK)
+    return F.aggregate(raw, start, step, lambda s: s["paths"])
 
 
 def touched_paths(cmd: Column, cwd: str = "/testbed") -> Column:
-    """Files that a shell command may edit, each once: targets of redirections and operands of sed in its parts, without quotes, relative to the working folder."""
-    parts = F.split(cmd, r"\s*(?:&&|\|\||;)\s*")
-    plain = lambda p: F.regexp_replace(p, r"""^'(.*)'$|^"(.*)"$""", "$1$2")
-    found = F.flatten(F.transform(parts, lambda c: F.concat(F.filter(F.transform(F.regexp_extract_all(c, F.lit(REDIRECTION), F.lit(1)), plain), lambda p: p != "/dev/null"), _sed_operands(c))))
+    """Files that a shell command may edit, each once, in order: those of its parts (between &&, || and ;), relative to the working folder."""
+    found = F.flatten(F.transform(F.split(cmd, r"&&|\|\||;"), _walked))
     base = cwd.rstrip("/") + "/"
     relative = lambda p: F.when(F.startswith(p, F.lit(base)), F.substr(p, F.lit(len(base) + 1))).otherwise(p)
-    return F.array_distinct(F.filter(F.transform(found, lambda p: F.regexp_replace(relative(p), r"^\./", "")), lambda p: p != ""))
+    here = lambda p: F.when(F.startswith(p, F.lit("./")), F.substr(p, F.lit(3))).otherwise(p)
+    return F.array_distinct(F.filter(F.transform(found, lambda p: here(relative(p))), lambda p: p != ""))
 
 
 def numbered_line(n: Column, line: Column) -> Column:
@@ -270,9 +286,17 @@ def prompt_format(setting: Column, model: Column) -> Column:
     return F.when(setting.isin("flattened", "multiturn"), setting).when(F.contains(F.lower(model), F.lit("flattened")), "flattened").otherwise("multiturn")
 
 
+def status_line(x: Column) -> Column:
+    """What the first status line says, read in steps: its heading in any case, then colons, marks and blanks, one dash, and the rest of that line; null without a heading or with nothing behind it."""
+    at = F.regexp_instr(x, F.lit("(?i)task_status"))
+    said = F.ltrim(F.substr(x, at + len("task_status")), F.lit("*_: \t\n\r\x0b\x0c"))
+    said = F.when(F.startswith(said, F.lit("-")), F.ltrim(F.substr(said, F.lit(2)), F.lit(" \t\n\r\x0b\x0c"))).otherwise(said)
+    return F.when(at > 0, F.nullif(F.substring_index(said, "\n", 1), F.lit("")))
+
+
 def statuses(history: Column, log: Column, messages: Column) -> Column:
     """Statuses of a trajectory's feedback texts: those of the history, else of the log; where these have no text, of the supervisor messages, empty ones too. A text without a status is Other."""
-    one = lambda t: F.coalesce(normalized_status(_match(t, LOOSE_STATUS)), F.lit("Other"))
+    one = lambda t: F.coalesce(normalized_status(status_line(t)), F.lit("Other"))
     first = F.filter(F.when(F.size(history) > 0, history).otherwise(log), lambda t: t != "")
     return F.transform(F.when(F.size(first) > 0, first).otherwise(F.coalesce(messages, F.array().cast("array<string>"))), one)
 
