@@ -27,19 +27,24 @@ def _grams(tokens: list[str], n: int) -> Counter:
     return Counter(zip(*(tokens[k:] for k in range(n))))
 
 
-def bleu(reference: list[str], hypothesis: list[str], n: int) -> float:
-    """M2: sentence BLEU of one reference with uniform weights up to n; 0 without a common word or with an empty side."""
+def bleus(reference: list[str], hypothesis: list[str], orders: tuple[int, ...]) -> list[float]:
+    """M2: sentence BLEU of one reference with uniform weights up to each order; 0 without a common word or with an empty side. Each order's grams are counted once."""
     if not reference or not hypothesis:
-        return 0.0
-    logs = 0.0
-    for k in range(1, n + 1):
+        return [0.0] * len(orders)
+    logs: list[float] = []
+    for k in range(1, max(orders) + 1):
         own, other = _grams(hypothesis, k), _grams(reference, k)
-        hit = sum(min(c, other[g]) for g, c in own.items())
+        hit = sum((own & other).values())
         if k == 1 and not hit:
-            return 0.0
-        logs += math.log((hit or EPSILON) / max(1, sum(own.values()))) / n
+            return [0.0] * len(orders)
+        logs.append(math.log((hit or EPSILON) / max(1, len(hypothesis) - k + 1)))
     brevity = 1.0 if len(hypothesis) > len(reference) else math.exp(1 - len(reference) / len(hypothesis))
-    return brevity * math.exp(logs)
+    return [brevity * math.exp(sum(x / n for x in logs[:n])) for n in orders]
+
+
+def bleu(reference: list[str], hypothesis: list[str], n: int) -> float:
+    """M2 of one order."""
+    return bleus(reference, hypothesis, (n,))[0]
 
 
 
@@ -165,7 +170,7 @@ def _score(pairs: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFram
         out = []
         for r, h in zip(reference.fillna(""), hypothesis.fillna("")):
             a, b = r.split(), h.split()
-            out.append((bleu(a, b, 1), bleu(a, b, 2), bleu(a, b, 4), *rouge(r, h)))
+            out.append((*bleus(a, b, (1, 2, 4)), *rouge(r, h)))
         yield pd.DataFrame(out, columns=names)
 
 

@@ -56,6 +56,18 @@ def a26_localization(spark, sf_dir):
     return p.agg(F.count_if(hit).alias("localized"), F.count("*").alias("n"), F.round(M.rate(100 * F.count_if(hit), F.count("*")), 6).alias("pct"))
 
 
+@query("""WITH p AS (SELECT page_id, page_id % 4 AS model, list_transform(range(0, page_id % 3 + 1), lambda j: (length(url) + 2 * j) % 5) AS own, [page_id % 5, (page_id + 2) % 5] AS gold FROM pages)
+SELECT model, count(*) FILTER (list_has_any(own, gold)) AS localized, count(*) AS n FROM p WHERE page_id % 7 <> 0 GROUP BY model""")
+def a26_overlaps(spark, sf_dir):
+    """Patches of one to three files against gold patches of two; a seventh has no gold patch."""
+    p = table(spark, sf_dir, "pages").select(F.col("page_id").alias("instance_id"), (F.col("page_id") % 4).alias("model"), F.length("url").alias("n"))
+    section = lambda k: F.concat(F.lit("diff --git a/src/f"), (k % 5).cast("string"), F.lit(".py b/src/f"), (k % 5).cast("string"), F.lit(".py\n@@ -1 +1 @@\n+x\n"))
+    own = F.array_join(F.transform(F.sequence(F.lit(0), (F.col("instance_id") % 3).cast("int")), lambda j: section(F.col("n") + 2 * j)), "")
+    made = p.select("instance_id", "model", own.alias("model_patch"))
+    gold = p.filter("instance_id % 7 <> 0").select("instance_id", F.concat(section(F.col("instance_id")), section(F.col("instance_id") + 2)).alias("gold_patch"))
+    return R.localization(made, gold, ["model"])
+
+
 _COMBINED = _FALLBACK.format(resolved="CASE WHEN exit_status = 'Submitted' THEN resolved ELSE coalesce(br, false) END").replace("WITH ", "", 1)
 
 

@@ -200,3 +200,16 @@ def a22_corpus_means(spark, sf_dir):
     scored = d.repartition(parts, "doc_id").join(n, "doc_id").select("next", bleu_rouge(F.col("text"), F.col("next")).alias("s")).select("next", "s.bleu1", "s.bleu4")
     means = [M.corpus_means(scored, [], ["bleu1", "bleu4"], "next", how).withColumn("blank", F.lit(how)) for how in ("counted", "skipped")]
     return means[0].unionByName(means[1]).select("blank", "n", *[F.round(c, 6).alias(c) for c in ("bleu1", "bleu4")])
+
+
+@query("""WITH l AS (SELECT doc_id, n_chars, i, (n_chars + i) % 2 = 0 AS yes FROM documents, range(12) r(i) WHERE (doc_id + i) % 3 <> 0 AND n_chars IS NOT NULL)
+SELECT doc_id, CAST(count(*) AS INTEGER) AS n_found, CAST(count(*) FILTER (yes) AS INTEGER) AS n_yes, string_agg(CASE WHEN yes THEN CAST(i AS VARCHAR) END, ',' ORDER BY i) AS which FROM l GROUP BY doc_id""")
+def t7_t8_varied_detections(spark, sf_dir):
+    """Answers that leave out a third of the categories, each another, with verdicts that follow from the text; both readings agree on them."""
+    d = table(spark, sf_dir, "documents").filter("n_chars is not null").select("doc_id", "n_chars")
+    line = lambda i: F.when((F.col("doc_id") + i) % 3 != 0, F.concat(F.lit(f"{i + 1}. **{T.CATEGORIES[i]}:** DETECTED: "), F.when((F.col("n_chars") + i) % 2 == 0, "Yes").otherwise("No")))
+    said = d.select("doc_id", F.concat_ws("\n", F.lit("SPECIFICATION ERRORS:"), *map(line, range(len(T.CATEGORIES)))).alias("t"))
+    loose, numbered = T.detections(F.col("t")), T.numbered_detections(F.col("t"))
+    yes = [F.when((loose[c] == 1) & numbered[c], F.lit(str(i))) for i, c in enumerate(T.CATEGORIES)]
+    agree = F.size(F.map_filter(loose, lambda k, v: (v == 1).eqNullSafe(numbered[k])))
+    return said.select("doc_id", F.when(agree == F.size(numbered), agree).alias("n_found"), F.size(F.filter(F.array(*yes), lambda x: x.isNotNull())).alias("n_yes"), F.nullif(F.concat_ws(",", *yes), F.lit("")).alias("which"))
