@@ -1,4 +1,5 @@
 import math
+import random
 import re
 import zlib
 from collections import Counter, defaultdict
@@ -122,3 +123,32 @@ def test_a_frequent_context_is_dealt_over_shards(spark):
     assert len(held) >= 1 << K.follower_bits(model.bits) and sum(len(files.grams[0][s][0]) for s in model.written[1]) == model.n_pairs
     total, one, two, more = files.context_stats(2, np.sort(the[:1]))[:, 0].tolist()
     assert (total, one, two, more) == (1800, 1800, 0, 0)
+
+
+def test_words_are_hashed_the_same_in_parts(monkeypatch):
+    from tracelake.llm import common
+
+    rng = random.Random(6)
+    texts = ["", " ", "one", "x" * 500 + " y", *["".join(rng.choices("abc Ä\n\t😀", k=rng.randint(0, 400))) for _ in range(60)]]
+    whole, first = common.hashed_words(texts)
+    assert len(whole) == first[-1] and [b - a for a, b in zip(first, first[1:])] == [len(t.replace("\n", " ").replace("\t", " ").split(" ")) - t.replace("\n", " ").replace("\t", " ").split(" ").count("") for t in texts]
+    for size in (1, 7, 64, 1000):
+        monkeypatch.setattr(common, "_HASHED_BYTES", size)
+        again, places = common.hashed_words(texts)
+        assert again.tolist() == whole.tolist() and places.tolist() == first.tolist()
+
+
+def test_a_very_long_text_is_hashed_in_parts():
+    """64 MB of words under a limit of address space."""
+    import subprocess
+    import sys
+
+    code = """
+import resource
+from tracelake.llm.common import hashed_words
+text = "the quick brown fox jumps over it " * 2_000_000
+resource.setrlimit(resource.RLIMIT_AS, (2_000_000_000,) * 2)
+h, first = hashed_words([text, "fox"])
+assert first.tolist() == [0, 14_000_000, 14_000_001] and h[3] == h[-1]
+"""
+    subprocess.run([sys.executable, "-c", code], check=True, timeout=300)

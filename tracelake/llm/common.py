@@ -143,26 +143,48 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _POWERS["up"][:n], _POWERS["down"][:n]
 
 
-#: Bytes hashed at once: the arrays of 64-bit values take some thirty times as much.
+#: Bytes hashed at once, of several texts or of one: the arrays of 64-bit values take some thirty times as much.
 _HASHED_BYTES = 1 << 19
+_BLANK = re.compile(rb"[\x20\x09-\x0D]")
+
+
+def _pieces(raw: bytes) -> Iterator[bytes]:
+    """A text in parts of _HASHED_BYTES, cut at white space, so that every word is whole in one."""
+    at = 0
+    while len(raw) - at > _HASHED_BYTES:
+        blank = _BLANK.search(raw, at + _HASHED_BYTES)
+        end = blank.start() if blank else len(raw)
+        yield raw[at:end]
+        at = end
+    yield raw[at:]
 
 
 def hashed_words(texts: list[str], lower: bool = True) -> tuple[np.ndarray, np.ndarray]:
-    """64-bit hashes of all words of the texts in order, and each text's first place in them (one more at the end). Lower-cases A-Z."""
-    found, held, size = [], [], 0
-    for t in texts:
-        held.append(t.encode("utf-8", "surrogatepass"))
-        size += len(held[-1])
-        if size >= _HASHED_BYTES:
-            found.append(_hashed(held, lower))
-            held, size = [], 0
-    if held or not found:
-        found.append(_hashed(held, lower))
-    first, at = [np.zeros(1, np.int64)], 0
-    for h, begin in found:
-        first.append(begin[1:] + at)
-        at += len(h)
-    return np.concatenate([h for h, _ in found]), np.concatenate(first)
+    """64-bit hashes of all words of the texts in order, and each text's first place in them (one more at the end). Lower-cases A-Z. A long text is hashed in parts, so memory follows its words and its longest word."""
+    found: list[np.ndarray] = []
+    words = np.zeros(len(texts), np.int64)
+    held: list[bytes] = []
+    owners: list[int] = []
+    size = 0
+
+    def done() -> None:
+        h, begin = _hashed(held, lower)
+        found.append(h)
+        np.add.at(words, owners, np.diff(begin))
+
+    for k, t in enumerate(texts):
+        for part in _pieces(t.encode("utf-8", "surrogatepass")):
+            held.append(part)
+            owners.append(k)
+            size += len(part)
+            if size >= _HASHED_BYTES:
+                done()
+                held, owners, size = [], [], 0
+    if held:
+        done()
+    first = np.zeros(len(texts) + 1, np.int64)
+    np.cumsum(words, out=first[1:])
+    return np.concatenate([np.zeros(0, np.uint64), *found]), first
 
 
 def _hashed(raw: list[bytes], lower: bool) -> tuple[np.ndarray, np.ndarray]:
