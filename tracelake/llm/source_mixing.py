@@ -141,15 +141,12 @@ def mixed_rows(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", sour
     name stay as they are. An empty table gives an empty mix.
     """
     name = lambda x: next(c for c in (x, *(f"{x}_{k}" for k in range(len(docs.columns) + 1))) if c not in docs.columns)
-    key, words, rows, size, copy = map(name, ("mix_key", "mix_taken", "mix_rows", "mix_size", "mix_copy"))
-    # Equal rows have one key.
-    taken = mix(docs, doc_id, text, source, seed, keep_key=True).groupBy(F.col("order_key").alias(key)).agg(F.sum("taken").alias(words), F.count("*").alias(rows), F.max("size").alias(size)).filter(F.col(words) > 0)
-    taken = materialize(taken, "mix-taken")
-    keyed = docs.withColumn(key, _order_key(seed, doc_id, text, source))
-    single = keyed.join(taken.filter(F.col(rows) == 1), key)
-    # Of rows that are equal any one is kept, by partial aggregates, however many there are.
-    several = keyed.join(taken.filter(F.col(rows) > 1).select(key), key, "left_semi").groupBy(key).agg(F.any_value(F.struct(*docs.columns)).alias(copy)).select(key, f"{copy}.*").join(taken, key)
-    sent = single.unionByName(several).withColumn(copy, F.explode(F.sequence(F.lit(1).cast("long"), F.ceil(F.col(words) / F.col(size)))))
+    key, own, words, size, copy = map(name, ("mix_key", "mix_id", "mix_taken", "mix_size", "mix_copy"))
+    both = lambda order_key, i: [order_key.alias(key), F.coalesce(F.col(i).cast("string"), F.lit("null")).alias(own)]
+    # Equal rows have one key, and rows of different ids are told apart where keys meet by chance. Any one of them is kept, by an aggregate that takes most of them together before it shuffles, so the texts move once and by a key of one row.
+    taken = mix(docs, doc_id, text, source, seed, keep_key=True).groupBy(*both(F.col("order_key"), "doc_id")).agg(F.sum("taken").alias(words), F.max("size").alias(size)).filter(F.col(words) > 0)
+    one = docs.groupBy(*both(_order_key(seed, doc_id, text, source), doc_id)).agg(F.any_value(F.struct(*docs.columns)).alias(copy)).select(key, own, f"{copy}.*")
+    sent = one.join(taken, [key, own]).withColumn(copy, F.explode(F.sequence(F.lit(1).cast("long"), F.ceil(F.col(words) / F.col(size)))))
     whole = F.col(copy) * F.col(size) <= F.col(words)
     cut = F.when(whole, F.col(text)).otherwise(_first_words(F.col(text), F.col(words) - (F.col(copy) - 1) * F.col(size)))
     out = sent.withColumn(text, cut)
