@@ -99,3 +99,16 @@ def test_merging_is_idempotent(spark):
     once = C.merge_roles(spark.createDataFrame(rows, "k string, p int, role string, content string"), "k", "p")
     assert [(r["role"], r["content"]) for r in once.orderBy("p").collect()] == [("system", "0"), ("system", "1"), ("user", "2\n\n3"), ("assistant", "4"), ("user", "5\n\n6")]
     assert sorted(map(tuple, C.merge_roles(once, "k", "p").collect())) == sorted(map(tuple, once.collect()))
+
+
+def test_an_answer_is_read_once(spark):
+    """The texts of both readings stand once in the expression: two patterns' worth for the numbered one, one a category for the loose one."""
+    assert str(T.numbered_detections(F.upper("t"))).count("upper(") == 1 and str(T.numbered_detections(F.col("t"))).count("regexp_extract_all") == 2
+    assert str(T.detections(F.upper("t"))).count("upper(") == 1
+
+
+def test_many_lines_of_a_category(spark):
+    text = "\n".join(f"{i}. **{T.CATEGORIES[i * i % 12]}:** DETECTED: {'Yes' if i % 5 < 2 else 'No'}" for i in range(2000))
+    got = one(spark, T.numbered_detections(F.col("t")), t=text)
+    want = {T.CATEGORIES[i * i % 12]: i % 5 < 2 for i in range(2000)}
+    assert got == want and one(spark, T.numbered_detections(F.col("t")), t=None) is None

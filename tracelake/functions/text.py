@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column
@@ -83,27 +84,39 @@ def content_text(v: Column) -> Column:
     return F.coalesce(F.when(F.startswith(kind, F.lit("ARRAY")), joined).otherwise(F.try_variant_get(v, "$", "string")), F.lit(""))
 
 
+def once(x: Column, f: Callable[[Column], Column]) -> Column:
+    """f of a column that is computed once a row, however often f names it: as a lambda's variable it is not copied into each place."""
+    return F.get(F.transform(F.array(x), f), 0)
+
+
 def detections(x: Column) -> Column:
     """Map of category to 1 or 0 from the first line-bound `category ... DETECTED: Yes|No`, any case; 1 only for a literal Yes. Categories without a match are absent."""
-    found = [F.struct(F.lit(c).alias("k"), _match(x, rf"(?id)\Q{c}\E.*?DETECTED:\s*(Yes|No)").alias("v")) for c in CATEGORIES]
-    return F.map_from_entries(F.transform(F.filter(F.array(*found), lambda e: e["v"].isNotNull()), lambda e: F.struct(e["k"], (e["v"] == "Yes").cast("int"))))
+    first = lambda t, c: F.regexp_extract(t, rf"(?id)\Q{c}\E.*?DETECTED:\s*(Yes|No)", 1)
+    found = once(x, lambda t: F.array(*[F.struct(F.lit(c).alias("k"), first(t, c).alias("v")) for c in CATEGORIES]))
+    return F.map_from_entries(F.transform(F.filter(found, lambda e: e["v"] != ""), lambda e: F.struct(e["k"], (e["v"] == "Yes").cast("int"))))
+
+
+def _category(name: Column) -> Column:
+    """The category whose name starts with the first 20 characters of this one, else the one that holds its first 15."""
+
+    def of(n: Column) -> Column:
+        starts = [F.when(F.startswith(F.lit(c.lower()), F.substring(n, 1, 20)), c) for c in CATEGORIES]
+        holds = [F.when(F.contains(F.lit(c.lower()), F.substring(n, 1, 15)), c) for c in CATEGORIES]
+        return F.coalesce(*starts, *holds)
+
+    return once(F.lower(strip(name)), of)
 
 
 def numbered_detections(x: Column) -> Column:
     """Map of category to boolean from all `n. **Name:** DETECTED: Yes|No`; names match by their first 20 characters, else by containment of the first 15; the last of a category holds."""
     regex = F.lit(r"(?d)(\d+)\.\s+\*{0,2}(.+?)\*{0,2}:\*{0,2}\s*DETECTED:\s*(Yes|No)")
-    pairs = F.arrays_zip(F.regexp_extract_all(x, regex, F.lit(2)).alias("name"), F.regexp_extract_all(x, regex, F.lit(3)).alias("value"))
-    all_ = F.array(*map(F.lit, CATEGORIES))
-
-    def category(name: Column) -> Column:
-        n = F.lower(strip(name))
-        starts = F.filter(all_, lambda c: F.startswith(F.lower(c), F.substring(n, 1, 20)))
-        holds = F.filter(all_, lambda c: F.contains(F.lower(c), F.substring(n, 1, 15)))
-        return F.coalesce(F.get(starts, 0), F.get(holds, 0))
-
-    known = F.filter(F.transform(pairs, lambda p: F.struct(category(p["name"]).alias("k"), (p["value"] == "Yes").alias("v"))), lambda e: e["k"].isNotNull())
-    last = F.filter(known, lambda e, i: F.coalesce(F.array_position(F.slice(F.transform(known, lambda o: o["k"]), i + 2, F.greatest(F.size(known), F.lit(1))), e["k"]), F.lit(0)) == 0)
-    return F.map_from_entries(last)
+    pairs = once(x, lambda t: F.arrays_zip(F.regexp_extract_all(t, regex, F.lit(2)).alias("name"), F.regexp_extract_all(t, regex, F.lit(3)).alias("value")))
+    known = F.filter(F.transform(pairs, lambda p: F.struct(_category(p["name"]).alias("k"), (p["value"] == "Yes").alias("v"))), lambda e: e["k"].isNotNull())
+
+    def last(r: Column) -> Column:
+        return F.reverse(F.transform(F.array_distinct(r["k"]), lambda k: F.struct(k.alias("k"), F.get(r["v"], F.array_position(r["k"], k).cast("int") - 1).alias("v"))))
+
+    return F.map_from_entries(once(F.reverse(known), last))
 
 
 def task_status(x: Column) -> Column:

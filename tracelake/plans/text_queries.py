@@ -209,7 +209,13 @@ def t7_t8_varied_detections(spark, sf_dir):
     d = table(spark, sf_dir, "documents").filter("n_chars is not null").select("doc_id", "n_chars")
     line = lambda i: F.when((F.col("doc_id") + i) % 3 != 0, F.concat(F.lit(f"{i + 1}. **{T.CATEGORIES[i]}:** DETECTED: "), F.when((F.col("n_chars") + i) % 2 == 0, "Yes").otherwise("No")))
     said = d.select("doc_id", F.concat_ws("\n", F.lit("SPECIFICATION ERRORS:"), *map(line, range(len(T.CATEGORIES)))).alias("t"))
-    loose, numbered = T.detections(F.col("t")), T.numbered_detections(F.col("t"))
-    yes = [F.when((loose[c] == 1) & numbered[c], F.lit(str(i))) for i, c in enumerate(T.CATEGORIES)]
-    agree = F.size(F.map_filter(loose, lambda k, v: (v == 1).eqNullSafe(numbered[k])))
-    return said.select("doc_id", F.when(agree == F.size(numbered), agree).alias("n_found"), F.size(F.filter(F.array(*yes), lambda x: x.isNotNull())).alias("n_yes"), F.nullif(F.concat_ws(",", *yes), F.lit("")).alias("which"))
+
+    def agreed(both):
+        loose, numbered = both["loose"], both["numbered"]
+        agree = F.size(F.map_filter(loose, lambda k, v: (v == 1).eqNullSafe(numbered[k])))
+        yes = F.array_compact(F.array(*[F.when((loose[c] == 1) & numbered[c], F.lit(str(i))) for i, c in enumerate(T.CATEGORIES)]))
+        return F.struct(F.when(agree == F.size(numbered), agree).alias("n_found"), yes.alias("yes"))
+
+    both = F.struct(T.detections(F.col("t")).alias("loose"), T.numbered_detections(F.col("t")).alias("numbered"))
+    read = said.select("doc_id", F.inline(F.array(T.once(both, agreed))))
+    return read.select("doc_id", "n_found", F.size("yes").alias("n_yes"), F.nullif(F.concat_ws(",", "yes"), F.lit("")).alias("which"))
