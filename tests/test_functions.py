@@ -1,3 +1,5 @@
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -112,3 +114,38 @@ def test_many_lines_of_a_category(spark):
     got = one(spark, T.numbered_detections(F.col("t")), t=text)
     want = {T.CATEGORIES[i * i % 12]: i % 5 < 2 for i in range(2000)}
     assert got == want and one(spark, T.numbered_detections(F.col("t")), t=None) is None
+
+
+def test_scores_of_many_pairs(spark):
+    """Pairs counted together, in runs and alone, score as each pair does by the definitions, and what is not named is not there."""
+    rng = random.Random(5)
+    texts = [" ".join(rng.choices(["a", "b", "Running", "runs", "Ünder-way", "1,5", "é"], k=rng.choice([0, 1, 2, 3, 9, 40]))) for _ in range(400)] + ["x y " * 40_000, "y x " * 300, "", " \n"]
+    pairs = list(zip(texts, texts[1:]))
+    rows = spark.createDataFrame([(i, r, h) for i, (r, h) in enumerate(pairs)], "i int, r string, h string").coalesce(1)
+    got = rows.select("i", S.bleu_rouge(F.col("r"), F.col("h"), ("rouge1", "bleu4", "bleu1", "rouge2")).alias("s")).select("i", "s.*").collect()
+    assert got[0].asDict().keys() == {"i", "rouge1", "bleu4", "bleu1", "rouge2"}
+    for x in got:
+        r, h = pairs[x["i"]]
+        a, b = ([S._stemmed(w) for w in S._split(t)] for t in (r, h))
+        assert a == S.rouge_tokens(r)
+        assert [x["bleu1"], x["bleu4"]] == S.bleus(r.split(), h.split(), (1, 4))
+        one, two = (sum((S._grams(a, n) & S._grams(b, n)).values()) for n in (1, 2))
+        assert [x["rouge1"], x["rouge2"]] == [S._f(one, len(a), len(b)), S._f(two, max(len(a) - 1, 0), max(len(b) - 1, 0))]
+
+
+def test_longest_common_subsequence():
+    rng = random.Random(6)
+    for _ in range(300):
+        a, b = (rng.choices("abcde", k=rng.choice([0, 1, 3, 12])) for _ in range(2))
+        row = [0] * (len(b) + 1)
+        for x in a:
+            row = _next(row, x, b)
+        assert S.lcs(a, b) == row[-1]
+    assert S.lcs(list("abcab"), list("abxab")) == 4 and S.lcs(list("aa"), list("aaa")) == 2
+
+
+def _next(row, x, b):
+    out = [0]
+    for j, y in enumerate(b):
+        out.append(row[j] + 1 if x == y else max(row[j + 1], out[j]))
+    return out

@@ -100,6 +100,20 @@ def test_corpus_means(spark):
         M.corpus_means(rows, [], ["s"], "r", "other")
 
 
+def test_corpus_means_of_both_ways_score_once(spark):
+    runs = spark.sparkContext.accumulator(0)
+
+    def score(x):
+        runs.add(1)
+        return float(len(x or ""))
+
+    rows = spark.createDataFrame([("g", "text"), ("g", " \n"), ("h", None), (None, "ab")], "g string, r string").coalesce(1)
+    scored = rows.select("g", "r", F.udf(score, "double")("r").alias("s"))
+    got = {(r["g"], r["blank"]): (r["n"], r["s"]) for r in M.corpus_means(scored, ["g"], ["s"], "r", "both").collect()}
+    assert got == {("g", "counted"): (2, 2.0), ("g", "skipped"): (1, 4.0), ("h", "counted"): (1, 0.0), ("h", "skipped"): (0, 0.0), (None, "counted"): (1, 2.0), (None, "skipped"): (1, 2.0)}
+    assert runs.value == 4
+
+
 def test_interval_of_the_first_files(spark):
     files = spark.createDataFrame([(f"f{k:02}",) for k in range(15)], "f string")
     steps = lambda rows: spark.createDataFrame(rows, "f string, s long")

@@ -74,12 +74,21 @@ def nearest_ranks(rows: DataFrame, by: list[str], x: str, ranks: dict[str, tuple
 
 
 def corpus_means(scored: DataFrame, by: list[str], scores: list[str], response: str, blank: str = "counted") -> DataFrame:
-    """Rows and mean of each score over a corpus, or over each group of it. A blank response counts as 0, or with blank="skipped" not at all; a group of none has means of 0. A null score counts as 0."""
-    if blank not in ("counted", "skipped"):
-        raise ValueError("blank responses are counted or skipped")
+    """Rows and mean of each score over a corpus, or over each group of it. A blank response counts as 0, or with blank="skipped" not at all; a group of none has means of 0. A null score counts as 0.
+    With blank="both", a row for either way, named in the column blank, from one pass over the scores."""
+    ways = ("counted", "skipped")
+    if blank not in (*ways, "both"):
+        raise ValueError("blank responses are counted or skipped, or both")
     is_blank = strip(F.coalesce(response, F.lit(""))) == ""
-    mean = lambda c: F.coalesce(F.avg(F.when(~is_blank, F.coalesce(c, F.lit(0.0))).otherwise(F.lit(0.0) if blank == "counted" else F.lit(None))), F.lit(0.0))
-    return scored.groupBy(*by).agg((F.count("*") if blank == "counted" else F.count_if(~is_blank)).alias("n"), *[mean(c).alias(c) for c in scores])
+
+    def means(how: str) -> list[Column]:
+        mean = lambda c: F.coalesce(F.avg(F.when(~is_blank, F.coalesce(c, F.lit(0.0))).otherwise(F.lit(0.0) if how == "counted" else F.lit(None))), F.lit(0.0))
+        return [(F.count("*") if how == "counted" else F.count_if(~is_blank)).alias("n"), *[mean(c).alias(c) for c in scores]]
+
+    if blank != "both":
+        return scored.groupBy(*by).agg(*means(blank))
+    each = scored.groupBy(*by).agg(*[F.struct(F.lit(how).alias("blank"), *means(how)).alias(f"_{how}") for how in ways])
+    return each.select(*by, F.inline(F.array(*[f"_{how}" for how in ways])))
 
 
 #: Buckets of a report at most; more raise.

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tracelake.functions import text as T
-from tracelake.functions.similarity import bleu_rouge, cosine
+from tracelake.functions.similarity import SCORES, bleu_rouge, cosine
 from tracelake.operators import metrics as M
 from tracelake.plans.registry import query, table
 
@@ -159,12 +159,12 @@ h AS (SELECT a.doc_id, a.n, sum(least(a.c, b.c)) AS hit FROM g a JOIN g b ON b.d
 f AS (SELECT p.doc_id, len(p.w) AS la, len(q.w) AS lb, k.n, coalesce(hit, 0) AS hit FROM d p JOIN d q ON q.doc_id = p.doc_id + 1 CROSS JOIN k LEFT JOIN h ON h.doc_id = p.doc_id AND h.n = k.n)"""
 
 
-def _pairs(spark, sf_dir, text):
-    """Each text beside that of the next id, dealt by number, as scoring takes far longer than its bytes suggest."""
+def _pairs(spark, sf_dir, text, scores=SCORES):
+    """Each text beside that of the next id, dealt by number, as scoring takes far longer than its bytes suggest. The next text stays in its column for means."""
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     d = _docs(spark, sf_dir).select("doc_id", text.alias("text"))
     n = d.select((F.col("doc_id") - 1).alias("doc_id"), F.col("text").alias("next")).repartition(parts, "doc_id")
-    return d.repartition(parts, "doc_id").join(n, "doc_id").select("doc_id", bleu_rouge(F.col("text"), F.col("next")).alias("s"))
+    return d.repartition(parts, "doc_id").join(n, "doc_id").select("doc_id", "next", bleu_rouge(F.col("text"), F.col("next"), scores).alias("s"))
 
 
 @query(_GRAMS.format(words=r"list_filter(regexp_split_to_array(coalesce(text, ''), '\s+'), lambda x: x <> '')") + """,
@@ -173,7 +173,7 @@ SELECT doc_id, round(CASE WHEN one > 0 THEN least(1, exp(1 - la / lb)) * exp(l1)
 UNION ALL SELECT DISTINCT doc_id, 0, 0, 0 FROM f WHERE la = 0 OR lb = 0""")
 def m2_bleu(spark, sf_dir):
     """Sentence BLEU of neighbours."""
-    return _pairs(spark, sf_dir, F.col("text")).select("doc_id", *[F.round(f"s.{b}", 6).alias(b) for b in ("bleu1", "bleu2", "bleu4")])
+    return _pairs(spark, sf_dir, F.col("text"), ("bleu1", "bleu2", "bleu4")).select("doc_id", *[F.round(f"s.{b}", 6).alias(b) for b in ("bleu1", "bleu2", "bleu4")])
 
 
 @query(_GRAMS.format(words="list_transform(regexp_extract_all(lower(coalesce(text, '')), '[a-z0-9]+'), lambda x: left(x, 3))") + """
@@ -181,7 +181,7 @@ SELECT doc_id, round(coalesce(max(2 * hit / nullif(la + lb, 0)) FILTER (n = 1),
 def m3_rouge(spark, sf_dir):
     """ROUGE-1 and ROUGE-2 of neighbours, words cut to three letters, which no stemmer changes."""
     short = F.array_join(F.transform(F.regexp_extract_all(F.lower(F.coalesce("text", F.lit(""))), F.lit("[a-z0-9]+"), F.lit(0)), lambda x: F.left(x, F.lit(3))), " ")
-    return _pairs(spark, sf_dir, short).select("doc_id", *[F.round(f"s.{r}", 6).alias(r) for r in ("rouge1", "rouge2")])
+    return _pairs(spark, sf_dir, short, ("rouge1", "rouge2")).select("doc_id", *[F.round(f"s.{r}", 6).alias(r) for r in ("rouge1", "rouge2")])
 
 
 _MEANS = _GRAMS.format(words=r"list_filter(regexp_split_to_array(CASE WHEN doc_id % 6 = 1 THEN '  ' ELSE coalesce(text, '') END, '\s+'), lambda x: x <> '')") + """,
@@ -194,12 +194,9 @@ j AS (SELECT blank, coalesce(bleu1, 0) AS bleu1, coalesce(bleu4, 0) AS bleu4 FRO
 @query(_MEANS + """ SELECT 'counted' AS blank, count(*) AS n, round(avg(bleu1), 6) AS bleu1, round(avg(bleu4), 6) AS bleu4 FROM j UNION ALL SELECT 'skipped', count(*), round(avg(bleu1), 6), round(avg(bleu4), 6) FROM j WHERE NOT blank""")
 def a22_corpus_means(spark, sf_dir):
     """Mean BLEU of neighbours, every sixth of which is blank: counted as 0, and left out."""
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    d = _docs(spark, sf_dir).select("doc_id", F.when(F.col("doc_id") % 6 == 1, "  ").otherwise(F.col("text")).alias("text"))
-    n = d.select((F.col("doc_id") - 1).alias("doc_id"), F.col("text").alias("next")).repartition(parts, "doc_id")
-    scored = d.repartition(parts, "doc_id").join(n, "doc_id").select("next", bleu_rouge(F.col("text"), F.col("next")).alias("s")).select("next", "s.bleu1", "s.bleu4")
-    means = [M.corpus_means(scored, [], ["bleu1", "bleu4"], "next", how).withColumn("blank", F.lit(how)) for how in ("counted", "skipped")]
-    return means[0].unionByName(means[1]).select("blank", "n", *[F.round(c, 6).alias(c) for c in ("bleu1", "bleu4")])
+    text = F.when(F.col("doc_id") % 6 == 1, "  ").otherwise(F.col("text"))
+    scored = _pairs(spark, sf_dir, text, ("bleu1", "bleu4")).select("next", "s.bleu1", "s.bleu4")
+    return M.corpus_means(scored, [], ["bleu1", "bleu4"], "next", "both").select("blank", "n", *[F.round(c, 6).alias(c) for c in ("bleu1", "bleu4")])
 
 
 @query("""WITH l AS (SELECT doc_id, n_chars, i, (n_chars + i) % 2 = 0 AS yes FROM documents, range(12) r(i) WHERE (doc_id + i) % 3 <> 0 AND n_chars IS NOT NULL)
