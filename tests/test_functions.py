@@ -126,13 +126,22 @@ def test_scores_of_many_pairs(spark):
     assert got[0].asDict().keys() == {"i", "rouge1", "bleu4", "bleu1", "rouge2"}
     for x in got:
         r, h = pairs[x["i"]]
-        a, b = ([S._stemmed(w) for w in S._split(t)] for t in (r, h))
+        a, b = ([S._stemmed(w) for w in S._plain(t).split()] for t in (r, h))
         assert a == S.rouge_tokens(r)
         assert [x["bleu1"], x["bleu4"]] == S.bleus(r.split(), h.split(), (1, 4))
         one, two = (sum((S._grams(a, n) & S._grams(b, n)).values()) for n in (1, 2))
         assert [x["rouge1"], x["rouge2"]] == [S._f(one, len(a), len(b)), S._f(two, max(len(a) - 1, 0), max(len(b) - 1, 0))]
 
 
+def test_numbered_tokens_are_those_of_split():
+    texts = ["".join(f"a{chr(c)}" for c in range(k, min(k + 4096, 0x110000)) if not 0xD800 <= c < 0xE000) for k in range(0, 0x110000, 4096)] + ["", " \n", " b  a\u3000b "]
+    words, sizes = S._numbered(texts)
+    want = [w for t in texts for w in t.split()]
+    assert sizes.tolist() == [len(t.split()) for t in texts]
+    first = {}
+    assert [first.setdefault(n, w) for n, w in zip(words.tolist(), want)] == want and len(first) == len(set(want))
+
+
 def test_longest_common_subsequence():
     rng = random.Random(6)
     for _ in range(300):
