@@ -67,3 +67,10 @@ def test_split_is_disjoint_and_ordered(spark):
 def test_slices(spark, at):
     got = [r["id"] for r in R.python_slice(spark.range(10), "id", *at).orderBy("id").collect()]
     assert got == list(range(10))[slice(*at)]
+
+
+@needs_tables
+def test_complete_answers_are_read_once(spark):
+    """The numbered reading has two patterns; each stands once in the plan that runs."""
+    plan = registry.queries()["p9_complete_answers"](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("regexp_extract_all") == 2
